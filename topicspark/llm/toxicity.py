@@ -93,7 +93,7 @@ def _frequencies(batches) -> np.ndarray:
     return out
 
 
-def _regression(rows: list[tuple[int, np.ndarray]], ratio: np.ndarray, prior: float, penalty: float = 3e-4, rounds: int = 250) -> tuple[np.ndarray, float]:
+def _regression(rows: list[tuple[int, np.ndarray]], ratio: np.ndarray, prior: float, penalty: float = 6e-4, rounds: int = 250) -> tuple[np.ndarray, float]:
     """Logistic regression by Adam on ratio-scaled presence; class weights restore the share `prior` of label 1."""
     y = np.array([r[0] for r in rows], float)
     size = np.array([len(r[1]) for r in rows])
@@ -152,7 +152,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit
     rows = [(int(y), flat[a:b]) for y, a, b in zip(found["label"].to_pylist(), cut[:-1], cut[1:], strict=True)]
     if len({y for y, _ in rows}) < 2:
         return ToxicityModel(np.zeros(size), float(np.log(n1 / n0)))
-    w, bias = _regression(rows, ratio[chosen], prior=float(n1 / n))
+    w, bias = _regression(rows, ratio[chosen], prior=0.4)
     weights = np.zeros(size)
     weights[chosen] = w * ratio[chosen]
     return ToxicityModel(weights, bias)
