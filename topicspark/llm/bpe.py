@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding in padded numpy matrices.
 
-A text is split by the tokenizer's pattern; the distinct pieces that a task hasn't met lately are encoded together. Pieces are
-bucketed by length into padded matrices of byte ids. Each round, every row merges its leftmost pair of minimum rank: pairs are
-looked up in an open-addressing hash table, the merged column is compacted away, and rows without a pair left leave the
-matrix.
+A batch of texts is cut before each space that begins a word, which no match of the tokenizer's pattern crosses. The distinct
+chunks are split by the pattern, and their distinct pieces are bucketed by length into padded matrices of byte ids. Each round,
+every row merges its leftmost pair of minimum rank: pairs are looked up in an open-addressing hash table, the merged column is
+compacted away, and rows without a pair left leave the matrix. Equal chunks and pieces are found by 64-bit hashes; as every
+batch is decoded again and compared with its bytes, a collision can't pass unseen.
 
 Edge cases: null and empty texts have no ids; text of any length is read whole; a piece of any length is encoded (one row alone
 if it is very long).
@@ -20,12 +21,24 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import slices
+from topicspark.llm.common import slices, span_hashes, strings
 
-#: Distinct pieces remembered by a task, and numbers in a matrix, at most.
-REMEMBERED, CELLS = 150_000, 1 << 20
+#: Numbers in a matrix, and bytes of text encoded at once, at most (a longer text is encoded alone).
+CELLS, TEXT_BYTES = 1 << 20, 1 << 22
 NONE = np.int32(2**31 - 1)
 
+#: Bytes that, after a space, surely begin no white space: printable ASCII, and lead bytes whose characters include none.
+_BEGINS = np.zeros(256, bool)
+_BEGINS[33:127] = True
+_BEGINS[0xC3:0xF5] = True
+_BEGINS[[0xE1, 0xE2, 0xE3]] = False
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indexes of the ranges of the given starts and sizes, one after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat((starts - before).astype(np.int32), sizes) + np.arange(sizes.sum(), dtype=np.int32)
+
 
 class PairTable:
     """Open-addressing hash from a pair of ids to the rank of their merge; NONE where they don't merge."""
@@ -84,32 +97,39 @@ class Tokenizer:
             if len(token) == 1:
                 self.single[token[0]] = rank
         self.pairs = PairTable(ranks)
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
+        token_of = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            token_of[rank] = token
+        self.token_size = np.array([len(t) for t in token_of], np.int64)
+        self.token_start, self.token_bytes = np.cumsum(self.token_size) - self.token_size, np.frombuffer(b"".join(token_of), np.uint8)
 
     @classmethod
     def from_lines(cls, lines: bytes, pattern: str) -> Tokenizer:
         return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}, pattern)
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each non-empty piece."""
-        out: list[list[int]] = [[]] * len(pieces)
-        size = np.array([len(p) for p in pieces], np.int64)
-        order = np.argsort(size, kind="stable")
+    def encode_pieces(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each non-empty piece of `data`: flat, and each piece's number of ids."""
+        order = np.argsort(sizes, kind="stable")
+        ranked, made, first = sizes[order], [], 0
         # buckets: lengths up to the next power of two, in matrices of bounded size
-        first = 0
         while first < len(order):
-            width = max(4, 1 << int(size[order[first]] - 1).bit_length())
-            last = int(np.searchsorted(size[order], width, side="right"))
-            last = min(last, first + max(1, CELLS // width))
-            self._matrix(pieces, order[first:last], size, out)
+            width = max(4, 1 << int(ranked[first] - 1).bit_length())
+            last = min(int(np.searchsorted(ranked, width, side="right")), first + max(1, CELLS // width))
+            made += self._merged(data, starts, sizes, order[first:last])
             first = last
-        return out
-
-    def _matrix(self, pieces, rows, size, out) -> None:
-        width = int(size[rows].max())
+        n = np.zeros(len(sizes), np.int64)
+        for rows, ids in made:
+            n[rows] = (ids >= 0).sum(axis=1)
+        start, flat = np.cumsum(n) - n, np.empty(n.sum(), np.int32)
+        for rows, ids in made:
+            flat[ragged(start[rows], n[rows])] = ids[ids >= 0]
+        return flat, n
+
+    def _merged(self, data, starts, sizes, rows) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(rows, their ids padded with -1) in the order in which rows end."""
+        width, made = int(sizes[rows].max()), []
         ids = np.full((len(rows), width), -1, np.int32)
-        inside = np.arange(width) < size[rows][:, None]
-        ids[inside] = self.single[np.frombuffer(b"".join([pieces[k] for k in rows]), np.uint8)]
+        ids[np.arange(width) < sizes[rows][:, None]] = self.single[data[ragged(starts[rows], sizes[rows])]]
         ranks = self.pairs(ids[:, :-1], ids[:, 1:])
         while len(rows):
             line = np.arange(len(rows))
@@ -117,10 +137,9 @@ class Tokenizer:
             best = ranks[line, at] if ranks.shape[1] else np.full(len(rows), NONE)
             ended = best == NONE
             if ended.any():
-                whole = ids[ended]
-                for k, own, n in zip(rows[ended].tolist(), whole.tolist(), (whole >= 0).sum(axis=1).tolist(), strict=True):
-                    out[k] = own[:n]
-                rows, ids, ranks, at, best = rows[~ended], ids[~ended], ranks[~ended], at[~ended], best[~ended]
+                made.append((rows[ended], ids[ended]))
+                going = ~ended
+                rows, ids, ranks, at, best = rows[going], ids[going], ranks[going], at[going], best[going]
                 line = line[: len(rows)]
                 if not len(rows):
                     break
@@ -128,45 +147,81 @@ class Tokenizer:
             ids[line, at] = best
             keep = np.ones(ids.shape, bool)
             keep[line, at + 1] = False
-            ids = ids[keep].reshape(len(rows), -1)
-            keep = keep[:, 1:]
-            ranks = ranks[keep].reshape(len(rows), -1)
+            ids, ranks = ids[keep].reshape(len(rows), -1), ranks[keep[:, 1:]].reshape(len(rows), -1)
             n = ids.shape[1]
             if n > 1:
                 for col in (at - 1, at):
                     ok = (col >= 0) & (col < n - 1)
                     ranks[line[ok], col[ok]] = self.pairs(ids[line[ok], col[ok]], ids[line[ok], col[ok] + 1])
-            used = int((ids >= 0).sum(axis=1).max()) if len(rows) else 0
-            if used < ids.shape[1]:
+            used = int((ids >= 0).sum(axis=1).max())
+            if used < n:
                 ids, ranks = ids[:, :used], ranks[:, : max(0, used - 1)]
-
-    def decode(self, ids) -> bytes:
-        return b"".join([self.bytes_of[k] for k in ids])
-
-
-def _encoded(lines: bytes, pattern: str):
-    """Function of an Arrow string array: n_tokens, ids_sha256 and decoded_sha256 of each text, one list of pieces at a time."""
-    state: dict = {}
-
-    def run(array: pa.Array) -> list[tuple[int, str, str]]:
-        if not state:
-            state.update(tok=Tokenizer.from_lines(lines, pattern), met={})
-        tok, met, out = state["tok"], state["met"], []
-        for a, b in slices(array, 1 << 20):
-            split = [tok.pattern.findall(t) for t in array.slice(a, b - a).to_pylist()]
-            new = list(set().union(*split) - met.keys())
-            if len(met) + len(new) > REMEMBERED:
-                met.clear()
-                new = list(set().union(*split))
-            for piece, ids in zip(new, tok.encode_pieces([p.encode("utf-8") for p in new]), strict=True):
-                met[piece] = (" ".join(map(str, ids)), len(ids), tok.decode(ids))
-            for pieces in split:
-                found = [met[p] for p in pieces]
-                ids = " ".join([f[0] for f in found]).encode()
-                out.append((sum([f[1] for f in found]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(b"".join([f[2] for f in found])).hexdigest()))
-        return out
-
-    return run
+        return made
+
+    def _pieces(self, text: str) -> list[int]:
+        return list(map(len, self.pattern.findall(text)))
+
+    def encode(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of an Arrow string array, one after another, and where each text's begin (with the end of the last)."""
+        data, starts, ends = strings(array)
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(starts) + 1, np.int64)
+        cut = np.zeros(len(data) + 1, bool)
+        cut[:-2] = (data[:-1] == 32)[: len(data) - 1] & _BEGINS[data[1:]]
+        cut[starts[starts < ends]] = True
+        begin = np.flatnonzero(cut)
+        size = np.diff(np.append(begin, len(data)))
+        # distinct chunks: those that begin with a word's space may lie side by side, others are split alone
+        _, first, chunk = np.unique(span_hashes(data, begin, begin + size), return_index=True, return_inverse=True)
+        b, n = begin[first], size[first]
+        word = (data[b] == 32) & (n > 1) & _BEGINS[data[np.minimum(b + 1, len(data) - 1)]]
+        order = np.argsort(~word, kind="stable")
+        b, n, side = b[order], n[order], int(word.sum())
+        chunk = np.argsort(order, kind="stable")[chunk]
+        text = data[ragged(b, n)]
+        total = np.concatenate([[0], np.cumsum(n)])
+        lengths = self._pieces(text[: total[side]].tobytes().decode("utf-8"))
+        for k in range(side, len(n)):
+            lengths += self._pieces(text[total[k] : total[k + 1]].tobytes().decode("utf-8"))
+        chars = np.append(np.flatnonzero((text & 0xC0) != 0x80), len(text))
+        edge = chars[np.concatenate([[0], np.cumsum(lengths)])]
+        # distinct pieces
+        start, width = edge[:-1], np.diff(edge)
+        _, one, piece = np.unique(span_hashes(text, start, edge[1:]), return_index=True, return_inverse=True)
+        flat, m = self.encode_pieces(text, start[one], width[one])
+        # from texts to chunks to pieces to ids
+        at = np.searchsorted(start, np.append(total[:-1], len(text)))
+        held = np.diff(at)
+        of = piece[ragged(at[:-1][chunk], held[chunk])]
+        ids = flat[ragged((np.cumsum(m) - m)[of], m[of])]
+        per_chunk = np.concatenate([[0], np.cumsum(m[piece])])
+        per_chunk = (per_chunk[at[1:]] - per_chunk[at[:-1]])[chunk]
+        upto = np.concatenate([[0], np.cumsum(per_chunk)])
+        bounds = upto[np.searchsorted(begin, np.append(starts, len(data)))]
+        if not np.array_equal(self.decode(ids), data):
+            raise ValueError("encoded texts don't decode to their bytes")
+        return ids, bounds
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of the ids, as an array."""
+        return self.token_bytes[ragged(self.token_start[ids], self.token_size[ids])]
+
+
+def _digests(tok: Tokenizer, array: pa.Array) -> tuple[list, list, list]:
+    """n_tokens, ids_sha256 and decoded_sha256 of each text."""
+    wide = len(str(len(tok.token_size))) + 1
+    names = [f"{k} ".encode() for k in range(len(tok.token_size))]
+    spelled, spelled_size = np.frombuffer(b"".join(x.ljust(wide) for x in names), np.uint8).reshape(-1, wide), np.array([len(x) for x in names])
+    counts, of_ids, of_bytes = [], [], []
+    for a, b in slices(array, TEXT_BYTES):
+        ids, cut = tok.encode(array.slice(a, b - a))
+        line = spelled[ids][np.arange(wide) < spelled_size[ids][:, None]].tobytes()
+        raw = tok.decode(ids).tobytes()
+        at, byte = np.concatenate([[0], np.cumsum(spelled_size[ids])])[cut].tolist(), np.concatenate([[0], np.cumsum(tok.token_size[ids])])[cut].tolist()
+        counts += np.diff(cut).tolist()
+        of_ids += [hashlib.sha256(line[x : max(x, y - 1)]).hexdigest() for x, y in zip(at[:-1], at[1:], strict=True)]
+        of_bytes += [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(byte[:-1], byte[1:], strict=True)]
+    return counts, of_ids, of_bytes
 
 
 def rank_file(spark, path: str) -> bytes:
@@ -178,39 +233,44 @@ def rank_file(spark, path: str) -> bytes:
         return bytes(spark.read.format("binaryFile").load(path).head()["content"])
 
 
+def _udf(docs: DataFrame, path: str, pattern: str, schema: str, arrays):
+    """Column function text -> struct of `schema`, of the arrays that `arrays` makes with a tokenizer built once per task."""
+    held = docs.sparkSession.sparkContext.broadcast((rank_file(docs.sparkSession, path), pattern))
+    made: dict = {}
+
+    def run(array: pa.Array) -> pa.Array:
+        if "tok" not in made:
+            made["tok"] = Tokenizer.from_lines(*held.value)
+        names = [x.split()[0] for x in schema.split(", ")]
+        return pa.StructArray.from_arrays(arrays(made["tok"], array), names)
+
+    return F.arrow_udf(run, schema)(F.coalesce("text", F.lit("")))
+
+
 def encoded_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """`docs` with n_tokens, ids_sha256 and decoded_sha256 of the whole text."""
-    lines = docs.sparkSession.sparkContext.broadcast((rank_file(docs.sparkSession, path), pattern))
-    made: dict = {}
 
-    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def encode(array: pa.Array) -> pa.Array:
-        if "run" not in made:
-            made["run"] = _encoded(*lines.value)
-        rows = made["run"](array)
-        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[k] for r in rows], pa.string()) for k in (1, 2)]], ["n_tokens", "ids_sha256", "decoded_sha256"])
+    def arrays(tok, array):
+        n, ids, raw = _digests(tok, array)
+        return [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())]
 
-    return docs.withColumn("__bpe", encode(F.coalesce("text", F.lit("")))).select(*docs.columns, "__bpe.*")
+    made = _udf(docs, path, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string", arrays)
+    return docs.withColumn("__bpe", made).select(*docs.columns, "__bpe.*")
 
 
 def encoded_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """`docs` with `ids`, the ids of the whole text, and `decoded`, the bytes they stand for."""
-    lines = docs.sparkSession.sparkContext.broadcast((rank_file(docs.sparkSession, path), pattern))
-    made: dict = {}
 
-    @F.arrow_udf("ids array<int>, decoded binary")
-    def encode(array: pa.Array) -> pa.Array:
-        if "tok" not in made:
-            made["tok"] = Tokenizer.from_lines(*lines.value)
-        tok, out = made["tok"], []
-        for text in array.to_pylist():
-            pieces = tok.pattern.findall(text)
-            one = dict.fromkeys(pieces)
-            own = dict(zip(one, tok.encode_pieces([p.encode("utf-8") for p in one]), strict=True))
-            out.append([k for p in pieces for k in own[p]])
-        return pa.StructArray.from_arrays([pa.array(out, pa.list_(pa.int32())), pa.array([tok.decode(x) for x in out], pa.binary())], ["ids", "decoded"])
-
-    return docs.withColumn("__bpe", encode(F.coalesce("text", F.lit("")))).select(*docs.columns, "__bpe.*")
+    def arrays(tok, array):
+        parts = [tok.encode(array.slice(a, b - a)) for a, b in slices(array, TEXT_BYTES)]
+        flat = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int32)
+        cut = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))]) if parts else np.zeros(1, np.int64)
+        byte = np.concatenate([[0], np.cumsum(tok.token_size[flat])])[cut]
+        raw = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(byte.astype(np.int32).tobytes()), pa.py_buffer(tok.decode(flat).tobytes())])
+        return [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat)), raw]
+
+    made = _udf(docs, path, pattern, "ids array<int>, decoded binary", arrays)
+    return docs.withColumn("__bpe", made).select(*docs.columns, "__bpe.*")
 
 
 def op8_bpe(docs: DataFrame, path: str, pattern: str) -> DataFrame:
