@@ -19,8 +19,11 @@ def query(oracle: str | None = None):
 
 
 def queries() -> dict:
+    from topicspark.plans import queries as _  # noqa: F401  registers on import
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
