@@ -93,21 +93,23 @@ def _frequencies(batches) -> np.ndarray:
     return out
 
 
-def _regression(rows: list[tuple[int, np.ndarray]], ratio: np.ndarray, prior: float, penalty: float = 6e-4, rounds: int = 250) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam on ratio-scaled presence; class weights restore the share `prior` of label 1."""
-    y = np.array([r[0] for r in rows], float)
-    size = np.array([len(r[1]) for r in rows])
-    at = np.concatenate([r[1] for r in rows]).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), size)
-    value = ratio[at]
+def _regression(y: np.ndarray, cut: np.ndarray, at: np.ndarray, ratio: np.ndarray, prior: float, penalty: float = 6e-4, rounds: int = 250, block: int = 500) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam on ratio-scaled presence (features at[cut[k]:cut[k + 1]] of row k, in blocks of rows, which
+    bound the memory); class weights restore the share `prior` of label 1."""
     share = np.where(y == 1, prior / max(1, y.sum()), (1 - prior) / max(1, (1 - y).sum()))
     w, bias = np.zeros(len(ratio) + 1), np.log(prior / (1 - prior))
     w[-1] = bias
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        margin = np.bincount(row, weights=w[at] * value, minlength=len(rows)) + w[-1]
-        error = share * (1 / (1 + np.exp(-np.clip(margin, -60, 60))) - y)
-        grad = np.append(np.bincount(at, weights=error[row] * value, minlength=len(ratio)) + penalty * w[:-1], error.sum())
+        scaled, grad = w[:-1] * ratio, np.append(penalty * w[:-1], 0.0)
+        for k in range(0, len(y), block):
+            n = len(y[k : k + block])
+            feats = at[cut[k] : cut[k + n]]
+            row = np.repeat(np.arange(n), np.diff(cut[k : k + n + 1]))
+            margin = np.bincount(row, weights=scaled[feats], minlength=n) + w[-1]
+            error = share[k : k + n] * (1 / (1 + np.exp(-np.clip(margin, -60, 60))) - y[k : k + n])
+            grad[:-1] += np.bincount(feats, weights=error[row], minlength=len(ratio)) * ratio
+            grad[-1] += error.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -148,11 +150,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit
     found = picked.mapInArrow(featurised, "doc_id long, label int, feats array<int>").toArrow().sort_by("doc_id")
     feats = found["feats"].combine_chunks()
     feats = feats if isinstance(feats, pa.ListArray) else feats.chunk(0)
-    cut, flat = feats.offsets.to_numpy(), feats.values.to_numpy()
-    rows = [(int(y), flat[a:b]) for y, a, b in zip(found["label"].to_pylist(), cut[:-1], cut[1:], strict=True)]
-    if len({y for y, _ in rows}) < 2:
+    y = found["label"].to_numpy().astype(float)
+    if len(set(y)) < 2:
         return ToxicityModel(np.zeros(size), float(np.log(n1 / n0)))
-    w, bias = _regression(rows, ratio[chosen], prior=0.4)
+    w, bias = _regression(y, feats.offsets.to_numpy(), feats.values.to_numpy(), ratio[chosen], prior=0.4)
     weights = np.zeros(size)
     weights[chosen] = w * ratio[chosen]
     return ToxicityModel(weights, bias)
