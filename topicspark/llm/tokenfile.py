@@ -2,9 +2,9 @@
 
 A block of up to BLOCK ids is coded by itself: its models start empty and its header carries a checksum. The ids last seen after
 the same two ids and after the same one id are predicted; counts under two contexts (how well either prediction has done, and
-how the last two ids were coded) are added to give the probabilities of "order-2 right", "order-1 right" or one of 16 classes of
-other ids, which order-0 counts refine before the last byte is coded evenly. Range coding keeps 48 bits and writes 16 at a time.
-Many blocks are coded side by side as numpy lanes.
+how the last two ids were coded) are added to give the probabilities of "order-2 right", "order-1 right" and "neither". Any other
+id is coded by order-0 counts of buckets of neighbouring ids, taken up every REFRESH ids, and its place in the bucket evenly.
+Range coding keeps 48 bits and writes 16 at a time. Many blocks are coded side by side as numpy lanes.
 
 A file is a Parquet folder, a row to a block: part and block number, where the block starts in its part, the documents in it
 (id, number in the part, ids they have there), and the coded bytes. Parts and blocks follow ascending document ids.
@@ -28,16 +28,25 @@ from pyspark.sql import functions as F
 from topicspark.llm.common import shared_dir, slices, span_hashes, strings, words
 from topicspark.llm.bpe import ragged
 
-BLOCK, LANES = 4096, 1024
+BLOCK, LANES = 4096, 2048
 TABLE_BITS = 11
-SYMBOLS, STEP, LIMIT = 18, 24, 2048
-MAGIC = b"TKB1"
+STEP, LIMIT = 24, 2048
+#: Order-0 counts are kept for buckets of neighbouring ids and put to use every REFRESH ids, and after the first few.
+LOW_BITS, REFRESH, EARLY = 8, 64, (8, 16, 32)
+BUCKETS = 1 << 16 - LOW_BITS
+MAGIC = b"TKB2"
 _HEAD = struct.Struct("<4sIII")
 U = np.uint64
+# three counts in one number
+_FIELD, _ONES, _HALVED = U((1 << 20) - 1), U(1 << 40 | 1 << 20 | 1), U(0x7FFFF << 40 | 0x7FFFF << 20 | 0x7FFFF)
+_STEPS = np.array([STEP, STEP << 20, STEP << 40], U)
+# an id and how well it did, in one number
+_ID, _TRUST = np.uint32(0xFFFF), np.uint32(16)
+_MORE = np.array([1, 2, 3, 3], np.uint32) << _TRUST
 
 
 class _Range:
-    """48-bit range coder, one lane a block: encodes to, or decodes from, 16-bit words."""
+    """48-bit range coder, one lane a block: encodes to, or decodes from, 16-bit words. Lanes are given as a slice or by index."""
 
     def __init__(self, lanes: int, size: int, coded: np.ndarray | None = None):
         self.range = np.full(lanes, (1 << 48) - 1, U)
@@ -45,25 +54,29 @@ class _Range:
         self.words = np.zeros((lanes, size), np.uint16) if coded is None else coded
         self.decoding = coded is not None
         if self.decoding:
-            for _ in range(3):
-                self.low = self.low << U(16) | self.words[:, _].astype(U)
+            for k in range(3):
+                self.low = self.low << U(16) | self.words[:, k].astype(U)
             self.at += 3
 
-    def unit(self, k: int, total: np.ndarray) -> np.ndarray:
-        return self.range[:k] // total
-
-    def narrow(self, k: int, unit: np.ndarray, start: np.ndarray, width: np.ndarray, rounds: int) -> None:
+    def narrow(self, lanes, unit: np.ndarray, start: np.ndarray, width: np.ndarray, rounds: int) -> None:
+        """Narrows each lane to the stretch [start, start + width) of its units; at most `rounds` words follow."""
+        own, small = self.low[lanes], unit * width
         if self.decoding:
-            self.low[:k] -= unit * start
+            self.low[lanes] = own - unit * start
         else:
-            self.low[:k] += unit * start
-            self._carry(np.flatnonzero(self.low[:k] >> U(48)))
-        self.range[:k] = unit * width
+            own = own + unit * start
+            self.low[lanes] = own
+            over = np.flatnonzero(own >> U(48))
+            if len(over):
+                self._carry(over if isinstance(lanes, slice) else lanes[over])
+        self.range[lanes] = small
+        due = np.flatnonzero(small < U(1 << 32))
+        due = due if isinstance(lanes, slice) else lanes[due]
         for _ in range(rounds):
-            small = np.flatnonzero(self.range[:k] < U(1 << 32))
-            if not len(small):
+            if not len(due):
                 return
-            self._shift(small)
+            self._shift(due)
+            due = due[self.range[due] < U(1 << 32)]
 
     def _carry(self, lanes: np.ndarray) -> None:
         self.low[lanes] &= U((1 << 48) - 1)
@@ -74,14 +87,15 @@ class _Range:
             lanes, at = lanes[more], at[more] - 1
 
     def _shift(self, lanes: np.ndarray) -> None:
-        low = self.low[lanes]
+        low, at = self.low[lanes], self.at[lanes]
         if self.decoding:
-            self.low[lanes] = low << U(16) | self.words[lanes, self.at[lanes]].astype(U)
+            # a spoilt block may ask for more words than there are; its checksum won't hold
+            self.low[lanes] = low << U(16) | self.words[lanes, np.minimum(at, self.words.shape[1] - 1)].astype(U)
         else:
-            self.words[lanes, self.at[lanes]] = (low >> U(32)).astype(np.uint16)
+            self.words[lanes, at] = (low >> U(32)).astype(np.uint16)
             self.low[lanes] = (low & U(0xFFFFFFFF)) << U(16)
         self.range[lanes] <<= U(16)
-        self.at[lanes] += 1
+        self.at[lanes] = at + 1
 
     def finish(self) -> None:
         for _ in range(3):
@@ -95,67 +109,81 @@ def _coded(sizes: np.ndarray, ids: np.ndarray | None = None, coded: np.ndarray |
     coder = _Range(n, 3 * longest + 4, coded)
     out = np.zeros((n, longest), np.uint16) if coder.decoding else ids
     slots = 1 << TABLE_BITS
-    guess2, guess1 = np.zeros(n * slots, np.uint16), np.zeros(n * slots, np.uint16)
-    trust2, trust1 = np.zeros(n * slots, np.uint8), np.zeros(n * slots, np.uint8)
-    # symbols run along the first axis, so that sums over them are sums of long rows
-    by_trust, by_past = np.ones((SYMBOLS, n * 16), np.int32), np.ones((SYMBOLS, n * 9), np.int32)
-    classes = np.ones((16, n * 16), np.int32)
+    # what followed a context (16 bits) and how often running it did (2 bits above); 0: nothing yet
+    seen2, seen1 = np.zeros(n * slots, np.uint32), np.zeros(n * slots, np.uint32)
+    # counts of "order-2 right", "order-1 right", "neither" under two contexts, 20 bits each
+    by_trust, by_past = np.full(n * 16, _ONES, U), np.full(n * 9, _ONES, U)
+    counts = np.ones((n, BUCKETS), np.int64)
+    upto = np.zeros((n, BUCKETS + 1), np.int64)
+    base = np.arange(n) << 20
     last, before, past = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     lanes = np.arange(n)
     live = np.searchsorted(-sizes, -np.arange(longest), side="left")
+    flat, flat_counts = upto.reshape(-1), counts.reshape(-1)
     for t in range(longest):
         k = int(live[t])
-        lane = lanes[:k]
-        s2 = lane * slots + ((last[:k] * 40503 + before[:k] * 30011 & 0xFFFFF) >> 9)
-        s1 = lane * slots + ((last[:k] * 40503 & 0xFFFF) >> 5)
-        g2, g1, c2, c1 = guess2[s2], guess1[s1], trust2[s2], trust1[s1]
-        r2, r1 = lane * 16 + c2 * 4 + c1, lane * 9 + past[:k]
-        f = by_trust.take(r2, axis=1)
-        f += by_past.take(r1, axis=1)
-        upto = np.cumsum(f, axis=0, dtype=np.int32)
-        total = upto[-1].astype(U)
-        unit = coder.unit(k, total)
+        lane, first = lanes[:k], slice(0, k)
+        if not t % REFRESH or t in EARLY:
+            # lanes lie one after the other in `flat`, each from its own base, so that one search finds buckets in all of them
+            upto[:k, 0] = base[:k]
+            np.cumsum(counts[:k], axis=1, out=upto[:k, 1:])
+            upto[:k, 1:] += base[:k, None]
+        hashed = last[:k] * 40503
+        s1 = lane * slots + ((hashed & 0xFFFF) >> 16 - TABLE_BITS)
+        s2 = lane * slots + ((hashed + before[:k] * 30011 & 0xFFFFF) >> 20 - TABLE_BITS)
+        v2, v1 = seen2[s2], seen1[s1]
+        g2, g1, c2, c1 = v2 & _ID, v1 & _ID, v2 >> _TRUST, v1 >> _TRUST
+        r2, r1 = lane * 16 + (c2 * np.uint32(4) + c1), lane * 9 + past[:k]
+        f = by_trust[r2] + by_past[r1]
+        f0 = f & _FIELD
+        f1 = f0 + (f >> U(20) & _FIELD)
+        total = f1 + (f >> U(40))
+        unit = coder.range[:k] // total
         if coder.decoding:
-            value = np.minimum(coder.low[:k] // unit, total - U(1)).astype(np.int32)
-            symbol = (upto <= value).sum(axis=0)
+            value = coder.low[:k] // unit
+            wrong2, other = value >= f0, value >= f1
         else:
-            now = out[:k, t].astype(np.int64)
-            symbol = np.where((now == g2) & (c2 > 0), 0, np.where((now == g1) & (c1 > 0), 1, 2 + (now >> 12)))
-        end, width = upto[symbol, lane], f[symbol, lane]
-        coder.narrow(k, unit, (end - width).astype(U), width.astype(U), 1)
-        by_trust[symbol, r2] += STEP
-        by_past[symbol, r1] += STEP
-        full = np.flatnonzero(upto[-1] > LIMIT)
+            now = out[:k, t].astype(np.uint32)
+            wrong2 = (now != g2) | (c2 == 0)
+            other = wrong2 & ((now != g1) | (c1 == 0))
+        start = np.where(other, f1, np.where(wrong2, f0, U(0)))
+        coder.narrow(first, unit, start, np.where(other, total, np.where(wrong2, f1, f0)) - start, 1)
+        symbol = wrong2.astype(np.int64) + other
+        added = _STEPS[symbol]
+        by_trust[r2] += added
+        by_past[r1] += added
+        full = np.flatnonzero(total > U(LIMIT))
         if len(full):
-            by_trust[:, r2[full]] = (by_trust[:, r2[full]] + 1) >> 1
-            by_past[:, r1[full]] = (by_past[:, r1[full]] + 1) >> 1
-        # other ids: the class's next four bits by order-0 counts, the last byte evenly; lanes with a right guess pass through
-        other = symbol >= 2
-        row = lane * 16 + np.maximum(symbol - 2, 0)
-        f = classes.take(row, axis=1)
-        upto = np.cumsum(f, axis=0, dtype=np.int32)
-        total = np.where(other, upto[-1] * 256, 1).astype(U)
-        unit = coder.unit(k, total)
+            by_trust[r2[full]] = (by_trust[r2[full]] + _ONES >> U(1)) & _HALVED
+            by_past[r1[full]] = (by_past[r1[full]] + _ONES >> U(1)) & _HALVED
+        # other ids: a bucket by order-0 counts, the rest of the bits evenly
+        if coder.decoding:
+            now = np.where(wrong2, g1, g2)
+        rest = np.flatnonzero(other)
+        if len(rest):
+            total = (upto[rest, -1] - base[rest] << LOW_BITS).astype(U)
+            unit = coder.range[rest] // total
+            if coder.decoding:
+                value = np.minimum(coder.low[rest] // unit, total - U(1)).astype(np.int64)
+                at = np.searchsorted(flat[: k * (BUCKETS + 1)], (value >> LOW_BITS) + base[rest], side="right") - 1
+                bucket, begin = at - rest * (BUCKETS + 1), flat[at]
+            else:
+                bucket, low = (now[rest] >> np.uint32(LOW_BITS)).astype(np.int64), (now[rest] & np.uint32((1 << LOW_BITS) - 1)).astype(np.int64)
+                at = rest * (BUCKETS + 1) + bucket
+                begin = flat[at]
+            width = flat[at + 1] - begin
+            begin = begin - base[rest] << LOW_BITS
+            if coder.decoding:
+                low = (value - begin) // width
+                now[rest] = bucket << LOW_BITS | low
+            coder.narrow(rest, unit, (begin + low * width).astype(U), width.astype(U), 2)
+            flat_counts[rest * BUCKETS + bucket] += STEP
         if coder.decoding:
-            value = np.minimum(coder.low[:k] // unit, total - U(1)).astype(np.int64)
-            nibble = np.minimum((upto <= value >> 8).sum(axis=0), 15)
-            width = f[nibble, lane]
-            byte = (value - (upto[nibble, lane] - width).astype(np.int64) * 256) // width
-            now = np.where(symbol == 0, g2, np.where(symbol == 1, g1, symbol - 2 << 12 | nibble << 8 | byte))
             out[:k, t] = now
-        else:
-            nibble, byte = (now >> 8 & 15).astype(np.int64), (now & 255).astype(np.int64)
-            width = f[nibble, lane]
-        start = (upto[nibble, lane] - width).astype(np.int64) * 256 + byte * width
-        coder.narrow(k, unit, np.where(other, start, 0).astype(U), np.where(other, width, 1).astype(U), 2)
-        classes[nibble[other], row[other]] += STEP
-        full = np.flatnonzero(other & (upto[-1] > LIMIT))
-        if len(full):
-            classes[:, row[full]] = (classes[:, row[full]] + 1) >> 1
-        right2, right1 = (now == g2) & (c2 > 0), (now == g1) & (c1 > 0)
-        trust2[s2], trust1[s1] = np.where(right2, np.minimum(c2 + 1, 3), 1), np.where(right1, np.minimum(c1 + 1, 3), 1)
-        guess2[s2], guess1[s1] = now, now
-        past[:k] = past[:k] % 3 * 3 + np.minimum(symbol, 2)
+        right2, right1 = ~wrong2, (now == g1) & (c1 > 0)
+        seen2[s2] = now | _MORE[c2 * right2]
+        seen1[s1] = now | _MORE[c1 * right1]
+        past[:k] = past[:k] % 3 * 3 + symbol
         before[:k], last[:k] = last[:k], now
     if coder.decoding:
         return out, sizes
@@ -204,6 +232,9 @@ _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[list(b".,!?;:#$%&*()")] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
+#: Bytes that special tokens hold.
+_SPECIAL = np.zeros(256, bool)
+_SPECIAL[list(b"<|>")] = True
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 #: Distinct words that a Python worker remembers.
@@ -227,18 +258,14 @@ def _tokenized(content: str, array: pa.Array, end_id: int) -> tuple[np.ndarray,
     data = _PLAIN[data]
     if len(begin):
         # pieces of words, where the cut is sure to be the tokenizer's; not in words that may hold a special token
-        odd = np.concatenate([[0], np.cumsum((data == 60) | (data == 124) | (data == 62))])
         cut = np.zeros(len(data) + 1, bool)
-        cut[1:-1] = _LETTER[data[:-1]] & _PUNCTUATION[data[1:]] | _PUNCTUATION[data[:-1]] & _LETTER[data[1:]]
-        special = odd[end] > odd[begin]
-        if special.any():
+        letter, mark = _LETTER[data], _PUNCTUATION[data]
+        cut[1:-1] = letter[:-1] & mark[1:] | mark[:-1] & letter[1:]
+        odd = np.flatnonzero(_SPECIAL[data])
+        if len(odd):
+            special = np.searchsorted(odd, end) > np.searchsorted(odd, begin)
             cut[ragged(begin[special], (end - begin)[special])] = False
         cut[begin] = True
-        inside = np.zeros(len(data) + 1, np.int8)
-        inside[begin] += 1
-        np.subtract.at(inside, end, 1)
-        cut[:-1] &= np.cumsum(inside[:-1], dtype=np.int8) > 0
-        cut[-1] = False
         first = np.flatnonzero(cut)
         word = np.searchsorted(begin, first, side="right") - 1
         begin, end = first, np.minimum(np.append(first[1:], len(data)), end[word])
