@@ -17,32 +17,34 @@ def default_stopwords(language: str = "german") -> list[str]:
     return StopWordsRemover.loadDefaultStopWords(language)
 
 
-def vocabulary(docs: DataFrame, stopwords: list[str] = (), min_df: int = MIN_DF, max_share: float = MAX_SHARE) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, term, n) of the terms kept, and (term, df, n): letter words that aren't stop words, in at least `min_df` texts and
-    at most `max_share` of all. `docs` has doc_id and text; ids are unique."""
+def vocabulary(docs: DataFrame, stopwords: list[str] = (), min_df: int = MIN_DF, max_share: float = MAX_SHARE, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(keys, doc_id, term, n) of the terms kept, and (keys, term, df, n): letter words that aren't stop words, in at least `min_df`
+    texts and at most `max_share` of all (of a key's own, if keys are given). `docs` has keys, doc_id and text; ids are unique."""
     spark = docs.sparkSession
-    counted = docs.select("doc_id", F.explode(letter_words(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    counted = docs.select(*keys, "doc_id", F.explode(letter_words(F.col("text"))).alias("term")).groupBy(*keys, "doc_id", "term").agg(F.count("*").alias("n"))
     if stopwords:
         counted = counted.join(F.broadcast(spark.createDataFrame([(w,) for w in sorted(set(stopwords))], "term string")), "term", "left_anti")
-    total = docs.agg(F.count("*").alias("total"))
-    terms = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n")).withColumn("one", F.lit(1))
-    terms = terms.join(total.withColumn("one", F.lit(1)), "one").filter((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("total"))).select("term", "df", "n")
-    return counted.join(terms.select("term"), "term").select("doc_id", "term", "n"), terms
-
-
-def cluster_terms(docs: DataFrame, stopwords: list[str] = (), top: int = 4, min_df: int = MIN_DF) -> DataFrame:
-    """(cluster, rank, term, score) of the `top` terms of each cluster by class-based TF-IDF. `docs` has doc_id, text and cluster;
-    cluster < 0 is noise, which counts in the global counts and the vocabulary only."""
-    counted, terms = vocabulary(docs.select("doc_id", "text"), stopwords, min_df)
-    of = docs.filter("cluster >= 0").select("doc_id", "cluster")
-    tf = counted.join(of, "doc_id").groupBy("cluster", "term").agg(F.sum("n").alias("n"))
-    size = tf.groupBy("cluster").agg(F.sum("n").alias("size"))
-    clusters = of.agg(F.countDistinct("cluster").alias("clusters"))
-    mean = size.agg(F.sum("size").alias("all")).withColumn("one", F.lit(1)).join(clusters.withColumn("one", F.lit(1)), "one").select("one", (F.col("all") / F.col("clusters")).alias("mean"))
-    idf = terms.withColumn("one", F.lit(1)).join(mean, "one").select("term", F.log1p(F.col("mean") / F.greatest("n", F.lit(1))).alias("idf"))
-    scored = tf.join(size, "cluster").join(idf, "term").withColumn("score", F.round(F.col("n") / F.greatest("size", F.lit(1)) * F.col("idf"), 9))
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("score"), "term"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= top).select("cluster", "rank", "term", "score")
+    one = F.lit(1).alias("one")
+    total = docs.select(*keys, one).groupBy(*keys, "one").agg(F.count("*").alias("total"))
+    terms = counted.groupBy(*keys, "term").agg(F.count("*").alias("df"), F.sum("n").alias("n")).select("*", one)
+    terms = terms.join(total, [*keys, "one"]).filter((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("total"))).select(*keys, "term", "df", "n")
+    return counted.join(terms.select(*keys, "term"), [*keys, "term"]).select(*keys, "doc_id", "term", "n"), terms
+
+
+def cluster_terms(docs: DataFrame, stopwords: list[str] = (), top: int = 4, min_df: int = MIN_DF, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, cluster, rank, term, score) of the `top` terms of each cluster by class-based TF-IDF, within each key if keys are
+    given. `docs` has keys, doc_id, text and cluster; cluster < 0 is noise, which counts in the global counts and the vocabulary
+    only."""
+    counted, terms = vocabulary(docs.select(*keys, "doc_id", "text"), stopwords, min_df, keys=keys)
+    of, one = docs.filter("cluster >= 0").select(*keys, "doc_id", "cluster"), F.lit(1).alias("one")
+    tf = counted.join(of, [*keys, "doc_id"]).groupBy(*keys, "cluster", "term").agg(F.sum("n").alias("n"))
+    size = tf.groupBy(*keys, "cluster").agg(F.sum("n").alias("size"))
+    clusters = of.select(*keys, "cluster", one).groupBy(*keys, "one").agg(F.countDistinct("cluster").alias("clusters"))
+    mean = size.select("*", one).groupBy(*keys, "one").agg(F.sum("size").alias("all")).join(clusters, [*keys, "one"]).select(*keys, "one", (F.col("all") / F.col("clusters")).alias("mean"))
+    idf = terms.select("*", one).join(mean, [*keys, "one"]).select(*keys, "term", F.log1p(F.col("mean") / F.greatest("n", F.lit(1))).alias("idf"))
+    scored = tf.join(size, [*keys, "cluster"]).join(idf, [*keys, "term"]).withColumn("score", F.round(F.col("n") / F.greatest("size", F.lit(1)) * F.col("idf"), 9))
+    rank = F.row_number().over(Window.partitionBy(*keys, "cluster").orderBy(F.desc("score"), "term"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= top).select(*keys, "cluster", "rank", "term", "score")
 
 
 def majority(rows: DataFrame, group: str | list[str], value: str, order: str, keep: Column | None = None) -> DataFrame:

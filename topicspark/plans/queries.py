@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicspark.functions import calendar, names, text
-from topicspark.operators import corpus, density, explore, neighbours, origins, terms, themes
+from topicspark.operators import corpus, density, explore, landscape, neighbours, origins, terms, themes
 from topicspark.plans.registry import query
 from topicspark.sources import tables
 from topicspark.streaming import embedding
@@ -444,6 +445,53 @@ def m2_layout(spark, d):
     return density.layout(vectors(spark, d).drop("grp"))
 
 
+# Models of weeks and of the period: week of a row its label, agenda its source
+
+
+def landscape_rows(spark, d):
+    e = T(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), F.concat(F.lit("w"), F.col("label")).alias("week"))
+    return T(spark, d, "documents").join(e, "doc_id").select(F.col("doc_id").alias("id"), "week", "text", "vec", F.col("source").alias("agenda"))
+
+
+def landscape_parts(spark, d):
+    return T(spark, d, "embeddings").filter("vec_id % 3 = 0").select(F.col("vec_id").alias("id"), F.array(F.col("vec_id"), -F.col("vec_id") - 1).alias("part_ids"))
+
+
+def _own_folder(spark):
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{top.rstrip('/')}/landscape-{uuid.uuid4().hex}"
+
+
+@query()
+def m7_week_model(spark, d):
+    found, clusters = landscape.week_model(landscape_rows(spark, d), STOPWORDS)
+    return found.join(clusters, ["week", "cluster"], "left").select("week", "id", "cluster", "n", "terms", "agenda")
+
+
+@query()
+def m6_period_model(spark, d):
+    assigned, described = landscape.period_model(landscape_rows(spark, d), STOPWORDS, least=20)
+    return assigned.join(described, "theme", "left").select("id", "week", "theme", "n", "terms", "agendas")
+
+
+@query(f"""WITH {CTFIDF}, l AS (SELECT cluster, string_agg(CASE WHEN term IN ('ion', 'ing') THEN upper(term) ELSE upper(term[1]) || term[2:] END, ' · ' ORDER BY rank) AS label FROM k WHERE rank <= 3 GROUP BY 1),
+parts AS (SELECT doc_id AS id, cluster, unnest(CASE WHEN doc_id % 3 = 0 THEN [doc_id, -doc_id - 1] ELSE [doc_id] END) AS part_id FROM t)
+SELECT part_id, cluster, label FROM parts JOIN l USING (cluster)""")
+def x3_x4_labelled_parts(spark, d):
+    docs = topic_docs(spark, d)
+    listed = landscape.term_lists(terms.cluster_terms(docs, STOPWORDS), ["cluster"])
+    return landscape.labelled_parts(docs.select(F.col("doc_id").alias("id"), "cluster"), listed, landscape_parts(spark, d), ["cluster"], ACRONYMS)
+
+
+@query()
+def x2_x3_x9_rebuild(spark, d):
+    path, parts = _own_folder(spark), landscape_parts(spark, d)
+    landscape.rebuild(landscape_rows(spark, d), parts, path, overview=False, stopwords=STOPWORDS, acronyms=ACRONYMS, floor=0.3)
+    points = tables.read_table(spark, f"{path}/week_points")
+    labels = landscape.speech_clusters(spark, path, parts, ACRONYMS).select(F.col("part_id").alias("id"), "label")
+    return points.join(labels, "id", "left").select("week", "id", "cluster", "x", "y", "similar", "agenda", "label")
+
+
 # Exploration
 
 
