@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -237,8 +238,8 @@ _SPECIAL = np.zeros(256, bool)
 _SPECIAL[list(b"<|>")] = True
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
-#: Distinct words that a Python worker remembers.
-REMEMBERED = 400_000
+#: Distinct words that a Python worker remembers, at about 25 bytes each; after that many it starts anew.
+REMEMBERED = 2_000_000
 _worker: dict = {}
 
 
@@ -281,13 +282,14 @@ def _tokenized(content: str, array: pa.Array, end_id: int) -> tuple[np.ndarray,
         texts = [raw[a:b].decode("utf-8") for a, b in zip(begin[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
         found = [x.ids for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.concatenate([np.diff(_worker["cut"]), [len(x) for x in found]]).astype(np.int64)
-        flat = np.concatenate([_worker["flat"].astype(np.int64), np.fromiter((k for x in found for k in x), np.int64)])
-        if len(flat) and flat.max() > 0xFFFF:
+        made = np.fromiter(chain.from_iterable(found), np.int64)
+        if len(made) and made.max() > 0xFFFF:
             raise ValueError("ids of 65,536 and up can't be written")
+        flat = np.concatenate([_worker["flat"], made.astype(np.uint16)])
         every = np.concatenate([known, h[new]])
         order = np.argsort(every, kind="stable")
         start = np.cumsum(size) - size
-        _worker.update(known=every[order], flat=flat[ragged(start[order], size[order])].astype(np.uint16), cut=np.concatenate([[0], np.cumsum(size[order])]))
+        _worker.update(known=every[order], flat=flat[ragged(start[order], size[order])], cut=np.concatenate([[0], np.cumsum(size[order])]))
     start, size = _worker["cut"][:-1], np.diff(_worker["cut"])
     of = np.searchsorted(_worker["known"], h)[inverse]
     n = size[of]
