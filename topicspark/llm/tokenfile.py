@@ -40,24 +40,28 @@ _HEAD = struct.Struct("<4sIII")
 U = np.uint64
 # three counts in one number
 _FIELD, _ONES, _HALVED = U((1 << 20) - 1), U(1 << 40 | 1 << 20 | 1), U(0x7FFFF << 40 | 0x7FFFF << 20 | 0x7FFFF)
-_STEPS = np.array([STEP, STEP << 20, STEP << 40], U)
-# an id and how well it did, in one number
+# an id and how well it did (1 to 3), in one number
 _ID, _TRUST = np.uint32(0xFFFF), np.uint32(16)
-_MORE = np.array([1, 2, 3, 3], np.uint32) << _TRUST
+_ONE, _TWO, _MOST = np.uint32(1), np.uint32(2), np.uint32(3)
+# how the last two ids were coded is 3 x the one before + the last: what is left of it after another
+_TAIL = np.arange(9) % 3 * 3
+# a bucket is found by halving
+_HALVES = [BUCKETS >> k for k in range(1, BUCKETS.bit_length())]
 
 
 class _Range:
-    """48-bit range coder, one lane a block: encodes to, or decodes from, 16-bit words. Lanes are given as a slice or by index."""
+    """48-bit range coder, one lane a block: encodes to, or decodes from, 16-bit words. Lanes are given as a slice or by index.
+    Words of the same place lie next to one another, a lane to a column."""
 
     def __init__(self, lanes: int, size: int, coded: np.ndarray | None = None):
         self.range = np.full(lanes, (1 << 48) - 1, U)
-        self.low, self.at = np.zeros(lanes, U), np.zeros(lanes, np.int64)
-        self.words = np.zeros((lanes, size), np.uint16) if coded is None else coded
+        self.low, self.lanes, self.at = np.zeros(lanes, U), lanes, np.arange(lanes)
+        self.words = np.zeros(size * lanes, np.uint16) if coded is None else coded.reshape(-1)
         self.decoding = coded is not None
         if self.decoding:
             for k in range(3):
-                self.low = self.low << U(16) | self.words[:, k].astype(U)
-            self.at += 3
+                self.low = self.low << U(16) | coded[k].astype(U)
+            self.at += 3 * lanes
 
     def narrow(self, lanes, unit: np.ndarray, start: np.ndarray, width: np.ndarray, rounds: int) -> None:
         """Narrows each lane to the stretch [start, start + width) of its units; at most `rounds` words follow."""
@@ -67,129 +71,134 @@ class _Range:
         else:
             own = own + unit * start
             self.low[lanes] = own
-            over = np.flatnonzero(own >> U(48))
+            over = np.flatnonzero(own >= U(1 << 48))
             if len(over):
                 self._carry(over if isinstance(lanes, slice) else lanes[over])
         self.range[lanes] = small
         due = np.flatnonzero(small < U(1 << 32))
         due = due if isinstance(lanes, slice) else lanes[due]
-        for _ in range(rounds):
+        for k in range(rounds):
             if not len(due):
                 return
-            self._shift(due)
-            due = due[self.range[due] < U(1 << 32)]
+            left = self._shift(due)
+            if k + 1 < rounds:
+                due = due[left < U(1 << 32)]
 
     def _carry(self, lanes: np.ndarray) -> None:
         self.low[lanes] &= U((1 << 48) - 1)
-        at = self.at[lanes] - 1
-        while len(lanes):
-            self.words[lanes, at] += np.uint16(1)
-            more = self.words[lanes, at] == 0
-            lanes, at = lanes[more], at[more] - 1
+        at = self.at[lanes] - self.lanes
+        while len(at):
+            more = self.words[at] + np.uint16(1)
+            self.words[at] = more
+            at = at[more == 0] - self.lanes
 
-    def _shift(self, lanes: np.ndarray) -> None:
+    def _shift(self, lanes: np.ndarray) -> np.ndarray:
         low, at = self.low[lanes], self.at[lanes]
         if self.decoding:
             # a spoilt block may ask for more words than there are; its checksum won't hold
-            self.low[lanes] = low << U(16) | self.words[lanes, np.minimum(at, self.words.shape[1] - 1)].astype(U)
+            self.low[lanes] = low << U(16) | self.words.take(at, mode="clip").astype(U)
         else:
-            self.words[lanes, at] = (low >> U(32)).astype(np.uint16)
+            self.words[at] = (low >> U(32)).astype(np.uint16)
             self.low[lanes] = (low & U(0xFFFFFFFF)) << U(16)
-        self.range[lanes] <<= U(16)
-        self.at[lanes] = at + 1
+        left = self.range[lanes] << U(16)
+        self.range[lanes] = left
+        self.at[lanes] = at + self.lanes
+        return left
 
     def finish(self) -> None:
         for _ in range(3):
-            self._shift(np.arange(len(self.low)))
+            self._shift(np.arange(self.lanes))
 
 
 def _coded(sizes: np.ndarray, ids: np.ndarray | None = None, coded: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Runs the models over lanes whose sizes don't increase: encodes `ids` to (words, number of words), or decodes `coded` to
-    (ids, sizes)."""
+    (ids, sizes). All four have a row to a place and a column to a lane."""
     n, longest = len(sizes), int(sizes.max())
     coder = _Range(n, 3 * longest + 4, coded)
-    out = np.zeros((n, longest), np.uint16) if coder.decoding else ids
-    slots = 1 << TABLE_BITS
+    out = np.zeros((longest, n), np.uint16) if coder.decoding else ids
+    slots, row = 1 << TABLE_BITS, BUCKETS + 1
     # what followed a context (16 bits) and how often running it did (2 bits above); 0: nothing yet
     seen2, seen1 = np.zeros(n * slots, np.uint32), np.zeros(n * slots, np.uint32)
     # counts of "order-2 right", "order-1 right", "neither" under two contexts, 20 bits each
     by_trust, by_past = np.full(n * 16, _ONES, U), np.full(n * 9, _ONES, U)
-    counts = np.ones((n, BUCKETS), np.int64)
-    upto = np.zeros((n, BUCKETS + 1), np.int64)
-    base = np.arange(n) << 20
+    counts, upto, whole = np.ones((n, BUCKETS), np.int32), np.zeros((n, row), np.int32), np.zeros(n, U)
     last, before, past = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     lanes = np.arange(n)
+    of_slots, of_trust, of_past = lanes * slots, lanes * 16, lanes * 9
     live = np.searchsorted(-sizes, -np.arange(longest), side="left")
     flat, flat_counts = upto.reshape(-1), counts.reshape(-1)
     for t in range(longest):
         k = int(live[t])
-        lane, first = lanes[:k], slice(0, k)
+        first = slice(0, k)
         if not t % REFRESH or t in EARLY:
-            # lanes lie one after the other in `flat`, each from its own base, so that one search finds buckets in all of them
-            upto[:k, 0] = base[:k]
             np.cumsum(counts[:k], axis=1, out=upto[:k, 1:])
-            upto[:k, 1:] += base[:k, None]
+            whole[:k] = upto[:k, -1].astype(U) << U(LOW_BITS)
         hashed = last[:k] * 40503
-        s1 = lane * slots + ((hashed & 0xFFFF) >> 16 - TABLE_BITS)
-        s2 = lane * slots + ((hashed + before[:k] * 30011 & 0xFFFFF) >> 20 - TABLE_BITS)
-        v2, v1 = seen2[s2], seen1[s1]
+        s1 = of_slots[:k] + ((hashed & 0xFFFF) >> 16 - TABLE_BITS)
+        s2 = of_slots[:k] + ((hashed + before[:k] * 30011 & 0xFFFFF) >> 20 - TABLE_BITS)
+        v2, v1 = seen2.take(s2), seen1.take(s1)
         g2, g1, c2, c1 = v2 & _ID, v1 & _ID, v2 >> _TRUST, v1 >> _TRUST
-        r2, r1 = lane * 16 + (c2 * np.uint32(4) + c1), lane * 9 + past[:k]
-        f = by_trust[r2] + by_past[r1]
-        f0 = f & _FIELD
-        f1 = f0 + (f >> U(20) & _FIELD)
-        total = f1 + (f >> U(40))
+        r2, r1 = of_trust[:k] + (c2 << _TWO | c1), of_past[:k] + past[:k]
+        t2, t1 = by_trust.take(r2), by_past.take(r1)
+        f = t2 + t1
+        # sums of the counts so far, again 20 bits each
+        sums = f * _ONES
+        total = sums >> U(40) & _FIELD
         unit = coder.range[:k] // total
         if coder.decoding:
-            value = coder.low[:k] // unit
-            wrong2, other = value >= f0, value >= f1
+            low = coder.low[:k]
+            wrong2, other = low >= unit * (f & _FIELD), low >= unit * (sums >> U(20) & _FIELD)
         else:
-            now = out[:k, t].astype(np.uint32)
+            now = out[t, :k].astype(np.uint32)
             wrong2 = (now != g2) | (c2 == 0)
             other = wrong2 & ((now != g1) | (c1 == 0))
-        start = np.where(other, f1, np.where(wrong2, f0, U(0)))
-        coder.narrow(first, unit, start, np.where(other, total, np.where(wrong2, f1, f0)) - start, 1)
         symbol = wrong2.astype(np.int64) + other
-        added = _STEPS[symbol]
-        by_trust[r2] += added
-        by_past[r1] += added
+        field = (symbol * 20).astype(U)
+        coder.narrow(first, unit, sums << U(20) >> field & _FIELD, f >> field & _FIELD, 1)
+        added = U(STEP) << field
+        t2, t1 = t2 + added, t1 + added
         full = np.flatnonzero(total > U(LIMIT))
         if len(full):
-            by_trust[r2[full]] = (by_trust[r2[full]] + _ONES >> U(1)) & _HALVED
-            by_past[r1[full]] = (by_past[r1[full]] + _ONES >> U(1)) & _HALVED
+            t2[full] = (t2[full] + _ONES >> U(1)) & _HALVED
+            t1[full] = (t1[full] + _ONES >> U(1)) & _HALVED
+        by_trust[r2], by_past[r1] = t2, t1
         # other ids: a bucket by order-0 counts, the rest of the bits evenly
         if coder.decoding:
             now = np.where(wrong2, g1, g2)
         rest = np.flatnonzero(other)
         if len(rest):
-            total = (upto[rest, -1] - base[rest] << LOW_BITS).astype(U)
+            total, own = whole[rest], rest * row
             unit = coder.range[rest] // total
             if coder.decoding:
                 value = np.minimum(coder.low[rest] // unit, total - U(1)).astype(np.int64)
-                at = np.searchsorted(flat[: k * (BUCKETS + 1)], (value >> LOW_BITS) + base[rest], side="right") - 1
-                bucket, begin = at - rest * (BUCKETS + 1), flat[at]
+                wanted, at = (value >> LOW_BITS).astype(np.int32), own.copy()
+                for step in _HALVES:
+                    at += (flat.take(at + step) <= wanted) * step
+                bucket = at - own
             else:
-                bucket, low = (now[rest] >> np.uint32(LOW_BITS)).astype(np.int64), (now[rest] & np.uint32((1 << LOW_BITS) - 1)).astype(np.int64)
-                at = rest * (BUCKETS + 1) + bucket
-                begin = flat[at]
-            width = flat[at + 1] - begin
-            begin = begin - base[rest] << LOW_BITS
+                given = now[rest].astype(np.int64)
+                bucket, low = given >> LOW_BITS, given & (1 << LOW_BITS) - 1
+                at = own + bucket
+            begin = flat.take(at).astype(np.int64)
+            width = flat.take(at + 1) - begin
+            begin <<= LOW_BITS
             if coder.decoding:
                 low = (value - begin) // width
                 now[rest] = bucket << LOW_BITS | low
             coder.narrow(rest, unit, (begin + low * width).astype(U), width.astype(U), 2)
-            flat_counts[rest * BUCKETS + bucket] += STEP
+            at = rest * BUCKETS + bucket
+            flat_counts[at] = flat_counts.take(at) + np.int32(STEP)
         if coder.decoding:
-            out[:k, t] = now
+            out[t, :k] = now
         right2, right1 = ~wrong2, (now == g1) & (c1 > 0)
-        seen2[s2] = now | _MORE[c2 * right2]
-        seen1[s1] = now | _MORE[c1 * right1]
-        past[:k] = past[:k] % 3 * 3 + symbol
+        seen2[s2] = np.minimum(c2 * right2 + _ONE, _MOST) << _TRUST | now
+        seen1[s1] = np.minimum(c1 * right1 + _ONE, _MOST) << _TRUST | now
+        past[:k] = _TAIL.take(past[:k]) + symbol
         before[:k], last[:k] = last[:k], now
     if coder.decoding:
         return out, sizes
     coder.finish()
-    return coder.words, coder.at
+    return coder.words.reshape(-1, n), coder.at // n
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -202,7 +211,8 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         ids = np.zeros((len(some), sizes[0]), np.uint16)
         for row, k in enumerate(some):
             ids[row, : sizes[row]] = blocks[k]
-        coded, n = _coded(sizes, ids=ids)
+        coded, n = _coded(sizes, ids=np.ascontiguousarray(ids.T))
+        coded = np.ascontiguousarray(coded[: n.max()].T)
         for row, k in enumerate(some):
             out[k] = _HEAD.pack(MAGIC, sizes[row], n[row], zlib.crc32(blocks[k].astype("<u4").tobytes())) + coded[row, : n[row]].astype("<u2").tobytes()
     return out
@@ -219,7 +229,8 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
         coded = np.zeros((len(some), max(heads[k][2] for k in some) + 4), np.uint16)
         for row, k in enumerate(some):
             coded[row, : heads[k][2]] = np.frombuffer(blocks[k], "<u2", heads[k][2], _HEAD.size)
-        ids, _ = _coded(sizes, coded=coded)
+        ids, _ = _coded(sizes, coded=np.ascontiguousarray(coded.T))
+        ids = np.ascontiguousarray(ids.T)
         for row, k in enumerate(some):
             own = ids[row, : sizes[row]].astype("<u4")
             if heads[k][0] != MAGIC or zlib.crc32(own.tobytes()) != heads[k][3]:
