@@ -16,6 +16,7 @@ that repeat an id follow one another; an empty table gives an empty file.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from itertools import chain
@@ -254,6 +255,34 @@ REMEMBERED = 2_000_000
 _worker: dict = {}
 
 
+def _letters(tok) -> dict[int, str]:
+    """Small Latin letters and what the tokenizer hands to its model for each; empty unless it leaves a run of them whole."""
+    every = [chr(x) for x in (*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
+
+    def handed(text: str) -> list[str]:
+        text = tok.normalizer.normalize_str(text) if tok.normalizer else text
+        return [piece for piece, _ in tok.pre_tokenizer.pre_tokenize_str(text)] if tok.pre_tokenizer else []
+
+    alone = [handed(x) for x in every]
+    whole = handed("".join(every))
+    return {ord(x): y[0] for x, y in zip(every, alone, strict=True)} if whole == ["".join(chain.from_iterable(alone))] else {}
+
+
+def _encoded_words(tok, letters: dict[int, str], texts: list[str]) -> list[list[int]]:
+    """Ids of each text. A word of small Latin letters alone goes straight to the tokenizer's model, without its rules for
+    normalizing and splitting, which would leave it as it is."""
+    plain = re.compile(f"[{''.join(map(chr, letters)) or '^'}]+" if letters else "(?!)").fullmatch
+    model, out, others = tok.model, [[]] * len(texts), []
+    for k, text in enumerate(texts):
+        if plain(text):
+            out[k] = [x.id for x in model.tokenize(text if text.isascii() else text.translate(letters))]
+        else:
+            others.append(k)
+    for k, x in zip(others, tok.encode_batch_fast([texts[k] for k in others], add_special_tokens=False), strict=True):
+        out[k] = x.ids
+    return out
+
+
 def _tokenized(content: str, array: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each with the end id appended, and each text's number of ids.
 
@@ -263,7 +292,8 @@ def _tokenized(content: str, array: pa.Array, end_id: int) -> tuple[np.ndarray,
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _worker.update(content=content, tok=Tokenizer.from_str(content), known=np.zeros(0, U), flat=np.zeros(0, np.uint16), cut=np.zeros(1, np.int64))
+        tok = Tokenizer.from_str(content)
+        _worker.update(content=content, tok=tok, letters=_letters(tok), known=np.zeros(0, U), flat=np.zeros(0, np.uint16), cut=np.zeros(1, np.int64))
     tok = _worker["tok"]
     data, starts, ends = strings(array)
     begin, end, _ = words(data, starts, ends)
@@ -291,7 +321,7 @@ def _tokenized(content: str, array: pa.Array, end_id: int) -> tuple[np.ndarray,
     if len(new):
         raw = data.tobytes()
         texts = [raw[a:b].decode("utf-8") for a, b in zip(begin[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
-        found = [x.ids for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        found = _encoded_words(tok, _worker["letters"], texts)
         size = np.concatenate([np.diff(_worker["cut"]), [len(x) for x in found]]).astype(np.int64)
         made = np.fromiter(chain.from_iterable(found), np.int64)
         if len(made) and made.max() > 0xFFFF:
