@@ -1,6 +1,6 @@
 import hashlib
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import pairwise
 
 import numpy as np
@@ -98,6 +98,39 @@ def test_lm(spark, odd, labels):
     assert mean[1] < mean[0]
 
 
+def brute_lm(rows, target):
+    texts = {r["doc_id"]: WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"] or "")) for r in rows}
+    seen = Counter(w for t in texts.values() for w in t)
+    texts = {i: [w if seen[w] >= 3 else None for w in t] for i, t in texts.items()}
+    size, models, out = sum(n >= 3 for n in seen.values()) + 1, [], {}
+    for own in (target, set(texts)):
+        models.append((Counter(w for i in own & set(texts) for w in texts[i]), Counter(p for i in own & set(texts) for p in pairwise(texts[i]))))
+    for i, t in texts.items():
+        bits = []
+        for ones, twos in models:
+            loss = 0
+            for k, w in enumerate(t):
+                p = (ones[w] + 1) / (ones.total() + size)
+                if k and ones[t[k - 1]]:
+                    p = 0.6 * twos[t[k - 1], w] / ones[t[k - 1]] + 0.4 * p
+                loss -= np.log2(p)
+            bits.append(loss / max(1, len(t)))
+        out[i] = (len(t), *bits)
+    return out
+
+
+def test_lm_equals_brute_force(spark, odd, labels):
+    cases = [(docs_of(spark).repartition(3), spark.read.parquet(f"{SF}/labels.parquet"), lm.CHUNK), (docs_of(spark), spark.read.parquet(f"{SF}/labels.parquet"), 700), (odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), labels, 5)]
+    for docs, known, chunk in cases:
+        target = {r["doc_id"] for r in known.groupBy("doc_id").agg(F.max(F.expr("CASE WHEN quality > 0 AND NOT coalesce(toxic > 0, false) THEN 1 ELSE 0 END")).alias("t")).filter("t > 0").collect()}
+        want = brute_lm(docs.collect(), target)
+        got = lm.op3_lm(docs, known, chunk=chunk, bucket_bytes=50_000).collect()
+        assert len(got) == len(want)
+        for r in got:
+            assert tuple(r[1:4]) == pytest.approx(want[r["doc_id"]], abs=1e-9) and r["score"] == pytest.approx(want[r["doc_id"]][1] - want[r["doc_id"]][2], abs=1e-9)
+    assert lm.op3_lm(odd.limit(0), labels).count() == 0
+
+
 def brute_fingerprint(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     found = WORD.findall(low)
