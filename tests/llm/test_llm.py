@@ -300,6 +300,20 @@ def test_url_rules_are_mined(spark):
     assert all((got[i] == "block") == (i % 3 == 0) for i in range(300))
 
 
+def test_url_rules_of_any_length_and_share(spark):
+    parts = [f"p{chr(97 + k)}" for k in range(5)]
+    urls = [("http://h.org/" + "/".join(parts), 0)] * 40 + [("http://h.org/" + "/".join(p if p != left else "px" for p in parts), 1) for left in parts for _ in range(40)]
+    urls += [("http://rare.net/x", 0)] * 20 + [("http://few.net/x", 0)] * 19 + [("http://news.net/x", 1)] * 15000
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    known = spark.createDataFrame([(i, q, 0) for i, (_, q) in enumerate(urls)], "doc_id long, quality int, toxic int")
+    verdicts = defaultdict(set)
+    for r in urlrules.op5_urlrules(df, known).collect():
+        verdicts[urls[r["page_id"]][0]].add((r["verdict"], r["confidence"]))
+    blocked = {u for u, v in verdicts.items() if v == {("block", 1.0)}}
+    assert blocked == {"http://h.org/" + "/".join(parts), "http://rare.net/x"}
+    assert all(v == {("allow", None)} for u, v in verdicts.items() if u not in blocked)
+
+
 def test_mixing(spark, odd):
     assert query_rows(registered.op6_mixing(spark, SF)) == oracle_rows(mixing.oracle_sql(), SF)
     rows = mixing.mixed_rows(odd, mixing.source_domain(F.col("source")), percent=200, epochs=2)

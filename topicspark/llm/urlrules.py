@@ -1,8 +1,9 @@
 """URL filtering: fixed host and path rules, then association rules over URL tokens.
 
-FP-growth mines the labelled urls' token sets, with one more item on those labelled bad; rules `tokens -> bad` of enough support
-and confidence block a url that holds all their tokens. Rules are found through an inverted index on the rarest token of each,
-over the distinct token sets only. DataFrame functions throughout.
+FP-growth mines the labelled urls' token sets, with one more item on those labelled bad; rules `tokens -> bad` of any length that
+MIN_COUNT bad urls (all, where fewer urls are labelled) and confidence MIN_CONFIDENCE stand for block a url that holds all their
+tokens. Tokens on fewer bad urls can be in no rule and aren't mined; a rule goes if one with a token less is as sure. Rules are
+found through an inverted index on the rarest token of each, over the distinct token sets only. DataFrame functions throughout.
 
 Edge cases: a null url, or one without `://`, has an empty host and path, no tokens, and is allowed; repeated ids are judged row
 by row; without labelled or without bad urls there are no association rules.
@@ -20,7 +21,7 @@ from topicspark.llm.common import written
 
 #: (verdict, rule) of the contract.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MOST_TOKENS = 0.002, 20, 0.6, 4
+MIN_COUNT, MIN_CONFIDENCE = 20, 0.6
 BAD = "=bad"
 
 
@@ -55,13 +56,23 @@ def mined_rules(urls: DataFrame, labels: DataFrame) -> DataFrame | None:
     """(tokens, confidence, support, key): rules that lead to a bad label; key is the rarest token. `urls` has id and tokens,
     `labels` has id and bad. None without bad rows."""
     one = labels.groupBy("id").agg(F.max("bad").alias("bad"))
-    data = written(urls.join(one, "id").select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"), "bad"))
+    data = written(urls.join(one, "id").select("tokens", "bad"))
     if not data.filter("bad").head(1):
         return None
-    support = min(1.0, max(MIN_SUPPORT, MIN_COUNT / data.count()))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=MIN_CONFIDENCE).fit(data)
-    rules = model.associationRules.filter((F.col("consequent")[0] == BAD) & (F.size("antecedent") <= MOST_TOKENS))
+    n = data.count()
+    least = min(MIN_COUNT, n)
+    seen = data.filter("bad").select(F.explode("tokens").alias("token")).groupBy("token").count().filter(F.col("count") >= least).select("token")
+    row = written(data.withColumn("row", F.monotonically_increasing_id()))
+    held = row.select("row", F.explode("tokens").alias("token")).join(seen, "token").groupBy("row").agg(F.collect_list("token").alias("held"))
+    items = F.coalesce("held", F.array().cast("array<string>"))
+    items = written(row.join(held, "row", "left").select(F.when(F.col("bad"), F.concat(items, F.array(F.lit(BAD)))).otherwise(items).alias("items")))
+    # half a url less, so that rounding of the share doesn't ask for one more
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=MIN_CONFIDENCE).fit(items)
+    rules = model.associationRules.filter(F.col("consequent")[0] == BAD)
     rules = written(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
+    shorter = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("sure"))
+    parts = rules.filter(F.size("tokens") > 1).select("tokens", "confidence", F.explode("tokens").alias("without")).withColumn("part", F.array_remove("tokens", F.col("without")))
+    rules = written(rules.join(parts.join(shorter, "part").filter("sure >= confidence").select("tokens").distinct(), "tokens", "left_anti"))
     each = written(model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq"))
     keyed = rules.withColumn("token", F.explode("tokens")).join(each, "token").groupBy("tokens", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
     return written(keyed)
