@@ -6,6 +6,7 @@ whole batches in numpy.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,6 +26,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
+_made: dict[str, list[str]] = {}
+
+#: Rows of a table of names that is broadcast at most (some 20 MB); beyond that it is joined by shuffle, its rows repeated for
+#: SALTS parts of the other side.
+SMALL, SALTS = 100_000, 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,13 +38,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below the folder that driver and executors share (spark.checkpoint.dir), set here only where it is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path below the folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a local session takes
+    a temporary folder of its own; a cluster has no folder that would do."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
-        top = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Removes what this session's operators have written to the shared folder, and says how many folders; for when their results
+    have been stored."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -62,6 +83,15 @@ def with_labels(docs: DataFrame, labels: DataFrame, *names: str, how: str = "lef
     return docs.join(F.broadcast(one) if small else one, "doc_id", how)
 
 
+def looked_up(rows: DataFrame, table_: DataFrame, keys: list[str], spread: Column, how: str = "inner", small: int = SMALL) -> DataFrame:
+    """`rows` joined with `table_` (one row per `keys`). A small table is broadcast; else rows of one key go to SALTS tasks by
+    `spread`, so that a hot key isn't one task's."""
+    if table_.limit(small + 1).count() <= small:
+        return rows.join(F.broadcast(table_), keys, how)
+    dealt = table_.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(dealt, [*keys, "__salt"], how).drop("__salt")
+
+
 def strings(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string array, and each row's start and end in them; null rows are empty."""
     if isinstance(array, pa.ChunkedArray):
@@ -137,27 +167,39 @@ def sum_per_row(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 def summed_arrays(df: DataFrame, counts: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, piece: int = 1 << 14) -> np.ndarray:
     """Sum over all partitions of the count array of `size` that `counts` makes of a partition's batches.
 
-    Each task sends its array in pieces; pieces are added in two rounds, so that no task holds more than one piece of a few
-    hundred others. The sum, of fixed size, is what reaches the driver."""
-    tasks = 64
+    Each task sends its array in pieces. Pieces are added in rounds, ADDED of them at a time, until one is left of each; only that
+    sum, of fixed size, reaches the driver."""
 
     def partial(batches):
         found = counts(batches)
         part = TaskContext.get().partitionId()
         for k in range(0, size, piece):
             if found[k : k + piece].any():
-                yield pa.RecordBatch.from_pydict({"piece": pa.array([k // piece], pa.int32()), "part": pa.array([part // tasks], pa.int32()), "sums": pa.array([found[k : k + piece].astype("<i8").tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([k // piece], pa.int32()), "part": pa.array([part], pa.int32()), "sums": pa.array([found[k : k + piece].astype("<i8").tobytes()], pa.binary())})
+
+    pieces = written(df.mapInArrow(partial, "piece int, part int, sums binary"))
+    out = np.zeros(size + piece, np.int64)
+    for row in added_pieces(pieces, 1 + (pieces.agg(F.max("part")).head()[0] or 0), piece).collect():
+        out[row["piece"] * piece : (row["piece"] + 1) * piece] = np.frombuffer(row["sums"], "<i8")
+    return out[:size]
+
+
+#: Pieces that one group adds.
+ADDED = 64
+
+
+def added_pieces(pieces: DataFrame, parts: int, piece: int) -> DataFrame:
+    """(piece, part, sums) with one row for each piece: `part` (under `parts`) is divided by ADDED until only 0 is left."""
 
     def add(frame):
         total = np.zeros(piece, np.int64)
         for x in frame["sums"]:
             own = np.frombuffer(x, "<i8")
             total[: len(own)] += own
-        return frame[["piece", "part"]].head(1).assign(part=0, sums=[total.tobytes()])
+        return frame[["piece", "part"]].head(1).assign(sums=[total.tobytes()])
 
-    schema = "piece int, part int, sums binary"
-    pieces = df.mapInArrow(partial, schema).groupBy("piece", "part").applyInPandas(add, schema).groupBy("piece").applyInPandas(add, schema)
-    out = np.zeros(size + piece, np.int64)
-    for row in pieces.collect():
-        out[row["piece"] * piece : (row["piece"] + 1) * piece] = np.frombuffer(row["sums"], "<i8")
-    return out[:size]
+    while True:
+        pieces = pieces.withColumn("part", F.floor(F.col("part") / ADDED).cast("int")).groupBy("piece", "part").applyInPandas(add, "piece int, part int, sums binary")
+        parts = -(-parts // ADDED)
+        if parts <= 1:
+            return pieces
