@@ -7,11 +7,13 @@ neighbours of sample queries lie in probed lists. Lists are packed into shards o
 several; each shard's vectors are held by one task while the queries that probe it stream past.
 
 Nearness is the largest inner product. Vectors are lifted to a common norm by one more coordinate, so that the nearest lifted
-vectors are those of largest inner product.
+vectors are those of largest inner product. The index works on vectors divided by their largest component, so that squares of
+huge ones don't overflow; scores are those of the original vectors.
 
-Equal vectors are indexed once with their MEMBERS smallest ids, which is all that any top-k can hold. Edge cases: null, zero
+Equal vectors are indexed once with their k + 1 smallest ids, which is all that any top-k can hold. Edge cases: null, zero
 or non-finite vectors, and those of another length than the commonest one, take no part; a repeated id counts with its
-smallest vector; fewer candidates than k give fewer rows; an empty table gives no rows.
+smallest vector; of equal scores the smaller id is nearer, whether the vectors are equal or not; fewer candidates than k give
+fewer rows; an inner product over the largest double is infinite; other columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ BOUNDARY = 1.1
 #: Share of sample neighbours that the probed lists must hold.
 COVER = 0.97
 DEGREE, SHARD = 16, 8192
+#: Pairs scored at once.
+PAIRS = 1 << 15
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -177,12 +181,15 @@ def _top(postings: list[tuple], ids: np.ndarray, q: np.ndarray, lists: pa.Array,
     ok[ok] = known[at[ok]] == flat[cut[0] : cut[-1]][ok]
     probes[row[ok], at[ok]] = True
     posted = np.logical_or.reduceat(probes[:, np.searchsorted(known, list_id)], list_at[:-1], axis=1)
-    score = np.where(posted, q @ x.T, -np.inf)
-    most = min(k + 12, score.shape[1])
-    top = np.argpartition(-score, most - 1, axis=1)[:, :most]
-    row, col = np.nonzero(np.isfinite(np.take_along_axis(score, top, 1)))
-    col = top[row, col]
-    exact = np.einsum("ij,ij->i", q[row], x[col])
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = q @ x.T
+        score = np.where(posted & ~np.isnan(score), score, -np.inf)
+        # everything that rounding can't tell from the last one wanted, so that ties are settled below
+        most = min(k + 1, score.shape[1])
+        last = -np.partition(-score, most - 1, axis=1)[:, most - 1 : most]
+        room = 8 * x.shape[1] * np.finfo(float).eps * np.sqrt((q * q).sum(1) * (x * x).sum(1).max())[:, None]
+        row, col = np.nonzero((score > -np.inf) & (score >= np.where(np.isfinite(last - room), last - room, last)))
+        exact = np.concatenate([np.einsum("ij,ij->i", q[row[a : a + PAIRS]], x[col[a : a + PAIRS]]) for a in range(0, max(1, len(row)), PAIRS)])
     order = np.lexsort((rid[col], -exact, row))
     row, col, exact = row[order], col[order], exact[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -239,14 +246,15 @@ def nearest(vectors: DataFrame, queries, k: int = K) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     stored = usable.withColumn("place", rank).filter(F.col("place") <= k + 1).groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("members"))
     stored = written(stored.select(F.col("members")[0].alias("id"), "vec", "members"))
-    squared = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    scale = stored.agg(F.max(F.greatest(F.array_max("vec"), -F.array_min("vec")))).head()[0] or 1.0
+    squared = F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x / scale) * (x / scale))
     count, norm = stored.agg(F.count("*"), F.sqrt(F.max(squared))).head()
     sample = stored.orderBy(F.xxhash64("id"), "id").limit(max(256, SAMPLE_NUMBERS // length["n"])).select("vec").toArrow()
-    index = spark.sparkContext.broadcast(fit_index(_matrix(sample["vec"]), norm * (1 + 1e-9), count))
+    index = spark.sparkContext.broadcast(fit_index(_matrix(sample["vec"]) / scale, norm * (1 + 1e-9), count))
 
     def post(batches):
         for batch in batches:
-            at = index.value.posted(_matrix(batch.column("vec")))
+            at = index.value.posted(_matrix(batch.column("vec")) / scale)
             n = (at >= 0).sum(1)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(at[at >= 0]))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "lists"])
@@ -282,7 +290,7 @@ def nearest(vectors: DataFrame, queries, k: int = K) -> DataFrame:
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 batch = whole.slice(a, 512)
-                row, at = np.nonzero(index.value.probed(_matrix(batch.column("vec"))))
+                row, at = np.nonzero(index.value.probed(_matrix(batch.column("vec")) / scale))
                 n = pieces[at]
                 k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 yield spread(batch, np.repeat(row, n), np.repeat(at, n), np.repeat(first[at], n) + k, 1)
