@@ -5,7 +5,8 @@ window feeds a softmax over the languages. The network is trained in numpy on a
 every window of every text, the windows' log-probabilities being averaged by their length.
 
 Edge cases: a null text, or one without letters, is `und` with score 0; a text of any length is read whole; a last short window
-is padded with spaces; with one learned language every text with letters is that language; with none all are `und`.
+is padded with spaces; with one learned language every text with letters is that language; with none all are `und`; rows that
+repeat an id are predicted row by row; other columns are left alone or out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicspark.llm.common import crc_mod, slices, strings
@@ -22,8 +23,10 @@ from topicspark.llm.common import crc_mod, slices, strings
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 WINDOW = 192
-#: Texts per language that the network is fitted on, at most; of each, one window.
-FIT_TEXTS = 1500
+#: Texts that the network is fitted on, per language and in all, at most; of each, one window.
+FIT_TEXTS, FIT_ALL = 1500, 60_000
+#: Parts that a language's ids are ranked in before the best of them are ranked together.
+SALTS = 64
 BATCH, EPOCHS = 64, 6
 
 
@@ -122,15 +125,20 @@ def train_network(texts: list[str], labels: list[str], seed: int = 7) -> ByteNet
 
 def train_langid(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> ByteNetwork | None:
     """Fit on `docs` (doc_id, text, lang): of each language the `fit_texts` documents with letters that come first by a hash of
-    the id. Only ids are ranked; the few texts chosen follow."""
-    from pyspark.sql import Window
-
+    the id (fewer each, if there are so many languages that they would be over FIT_ALL). Only ids are ranked, a part of a language's
+    at a time and then the best of all parts; the few texts chosen follow."""
+    languages = docs.agg(F.countDistinct("lang")).head()[0]
+    fit_texts = min(fit_texts, max(1, FIT_ALL // max(1, languages)))
     fit = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = fit.select("doc_id", "lang").withColumn("__rank", rank).filter(F.col("__rank") <= fit_texts).select("doc_id", "lang").distinct()
+    ids = fit.select("doc_id", "lang", F.xxhash64("doc_id").alias("place"), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(SALTS)).alias("salt"))
+    for keys in (("lang", "salt"), ("lang",)):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("place", "doc_id"))
+        ids = ids.withColumn("rank", rank).filter(F.col("rank") <= fit_texts).drop("rank")
+    ids = ids.select("doc_id", "lang").distinct()
     # a cut of this length from a seeded place is all that training looks at
     cut = F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1, WINDOW + 8)
-    small = docs.select("lang").distinct().limit(1001).count() <= 1000
+    # at most FIT_ALL ids, or one for each language
+    small = languages <= FIT_ALL
     rows = fit.join(F.broadcast(ids) if small else ids, ["doc_id", "lang"], "left_semi").select("doc_id", cut.alias("text"), "lang").toArrow()
     if not rows.num_rows:
         return None
