@@ -1,27 +1,31 @@
 """URL filtering: fixed host and path rules, then association rules over URL tokens.
 
-FP-growth mines the labelled urls' token sets, with one more item on those labelled bad; rules `tokens -> bad` of any length that
-MIN_COUNT bad urls (all, where fewer urls are labelled) and confidence MIN_CONFIDENCE stand for block a url that holds all their
-tokens. Tokens on fewer bad urls can be in no rule and aren't mined; a rule goes if one with a token less is as sure. Rules are
-found through an inverted index on the rarest token of each, over the distinct token sets only. DataFrame functions throughout.
-
-Edge cases: a null url, or one without `://`, has an empty host and path, no tokens, and is allowed; repeated ids are judged row
-by row; without labelled or without bad urls there are no association rules.
+FP-growth mines the labelled urls' token sets, with one more item on those labelled bad. Rules `tokens -> bad` of any length, for
+which MIN_COUNT bad urls (all, where fewer urls are labelled) and MIN_LIFT times the share of bad urls overall stand, block a url
+that holds their tokens. Tokens on fewer bad urls can be in no rule and aren't mined. Tokens that the same labelled urls hold are
+one item, met by any of them: a rule with one of them is as sure as one with several, so nothing is lost, and a long url that is
+repeated costs no more than a short one. A rule goes if one with an item less is as sure. Rules are found through an inverted
+index on the rarest item of each, over the distinct item sets only. DataFrame functions throughout.
+
+What FP-growth costs grows with the number of item sets on MIN_COUNT bad urls, which is left unbounded.
+
+Edge cases: a null url, or one without `://`, has an empty host and path, no tokens, and is allowed; repeated ids and urls are
+judged row by row; a label without a verdict (null quality and toxicity) is no label, of several of an id a bad one counts; without
+labelled or without bad urls there are no association rules; other columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import written
+from topicspark.llm.common import looked_up, written
 
 #: (verdict, rule) of the contract.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-MIN_COUNT, MIN_CONFIDENCE = 20, 0.6
+#: Bad urls that a rule stands on, and its share of bad urls against that of all labelled urls, at least.
+MIN_COUNT, MIN_LIFT = 20, 1.5
 BAD = "=bad"
 
 
@@ -44,60 +48,79 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
+def _tokens(prefix: str, part: Column) -> Column:
+    found = F.filter(F.split(F.regexp_replace(_lower(part), r"[0-9]+", "0"), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.transform(found, lambda t: F.concat(F.lit(prefix), t))
+
+
 def url_tokens(url: Column) -> Column:
-    """Sorted distinct tokens: parts of the host (h:), of the path (p:) and of query and fragment (q:); digits become 0."""
+    """Sorted distinct tokens: parts of the host (h:), of the path (p:) and of query and fragment (q:); digits become 0. Only of
+    urls with a `://`."""
     host, path = host_and_path(url)
-    rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)[?#](.*)$", 1)
-    parts = [F.transform(F.split(F.regexp_replace(_lower(part), r"[0-9]+", "0"), r"[^\p{L}\p{N}]+"), lambda t, p=p: F.when(t != "", F.concat(F.lit(p), t))) for p, part in (("h:", host), ("p:", path), ("q:", rest))]
-    return F.array_sort(F.array_distinct(F.filter(F.concat(*parts), lambda t: t.isNotNull())))
+    rest = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*[?#](.*)$", 1), F.lit(""))
+    return F.array_sort(F.array_distinct(F.concat(_tokens("h:", host), _tokens("p:", path), _tokens("q:", rest))))
+
+
+def url_items(labelled: DataFrame, least: int) -> DataFrame:
+    """(token, item): the tokens on `least` bad urls of `labelled` (row, tokens, bad), and the least token held by the same rows."""
+    each = labelled.select("row", "bad", F.explode("tokens").alias("token"))
+    # of two seeded hashes, the sum over the rows names the set of rows
+    rows = [F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(38,0)")).alias(f"rows{k}") for k in (1, 2)]
+    seen = each.groupBy("token").agg(F.count_if("bad").alias("n_bad"), F.count("*").alias("n"), *rows).filter(F.col("n_bad") >= least)
+    item = seen.groupBy("n", "rows1", "rows2").agg(F.min("token").alias("item"))
+    return seen.join(item, ["n", "rows1", "rows2"]).select("token", "item")
 
 
-def mined_rules(urls: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """(tokens, confidence, support, key): rules that lead to a bad label; key is the rarest token. `urls` has id and tokens,
-    `labels` has id and bad. None without bad rows."""
+def mined_rules(urls: DataFrame, labels: DataFrame, min_count: int = MIN_COUNT, min_lift: float = MIN_LIFT) -> tuple[DataFrame, DataFrame] | None:
+    """(items, confidence, lift, n_bad, key): rules that lead to a bad label, key being the rarest item; and (token, item), the
+    item that each token in a rule counts as. `urls` has id and tokens, `labels` has id and bad. None without bad rows."""
     one = labels.groupBy("id").agg(F.max("bad").alias("bad"))
-    data = written(urls.join(one, "id").select("tokens", "bad"))
-    if not data.filter("bad").head(1):
+    labelled = written(written(urls.join(one, "id").select("tokens", "bad")).withColumn("row", F.monotonically_increasing_id()))
+    n, n_bad = labelled.agg(F.count("*"), F.count_if("bad")).head()
+    if not n_bad:
         return None
-    n = data.count()
-    least = min(MIN_COUNT, n)
-    seen = data.filter("bad").select(F.explode("tokens").alias("token")).groupBy("token").count().filter(F.col("count") >= least).select("token")
-    row = written(data.withColumn("row", F.monotonically_increasing_id()))
-    held = row.select("row", F.explode("tokens").alias("token")).join(seen, "token").groupBy("row").agg(F.collect_list("token").alias("held"))
-    items = F.coalesce("held", F.array().cast("array<string>"))
-    items = written(row.join(held, "row", "left").select(F.when(F.col("bad"), F.concat(items, F.array(F.lit(BAD)))).otherwise(items).alias("items")))
+    least = min(min_count, n)
+    items = written(url_items(labelled, least))
+    spread = F.col("row")
+    held = looked_up(labelled.select("row", F.explode("tokens").alias("token")), items, ["token"], spread).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("held"))
+    own = F.coalesce("held", F.array().cast("array<string>"))
+    baskets = written(labelled.select("row", "bad").join(held, "row", "left").select(F.when(F.col("bad"), F.concat(own, F.array(F.lit(BAD)))).otherwise(own).alias("items")))
     # half a url less, so that rounding of the share doesn't ask for one more
-    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=MIN_CONFIDENCE).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=min(1.0, min_lift * n_bad / n)).fit(baskets)
     rules = model.associationRules.filter(F.col("consequent")[0] == BAD)
-    rules = written(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
-    shorter = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("sure"))
-    parts = rules.filter(F.size("tokens") > 1).select("tokens", "confidence", F.explode("tokens").alias("without")).withColumn("part", F.array_remove("tokens", F.col("without")))
-    rules = written(rules.join(parts.join(shorter, "part").filter("sure >= confidence").select("tokens").distinct(), "tokens", "left_anti"))
-    each = written(model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq"))
-    keyed = rules.withColumn("token", F.explode("tokens")).join(each, "token").groupBy("tokens", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
-    return written(keyed)
+    rules = written(rules.select(F.array_sort("antecedent").alias("items"), "confidence", "lift", F.round(F.col("support") * n).cast("long").alias("n_bad")))
+    shorter = rules.select(F.col("items").alias("part"), F.col("confidence").alias("sure"))
+    parts = rules.filter(F.size("items") > 1).select("items", "confidence", F.explode("items").alias("without")).withColumn("part", F.array_remove("items", F.col("without")))
+    rules = written(rules.join(parts.join(shorter, "part").filter("sure >= confidence").select("items").distinct(), "items", "left_anti"))
+    freq = written(model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq"))
+    keyed = rules.withColumn("item", F.explode("items")).join(freq, "item").groupBy(*rules.columns).agg(F.min_by("item", F.struct("freq", "item")).alias("key"))
+    needed = rules.select(F.explode("items").alias("item")).distinct()
+    return written(keyed), written(items.join(needed, "item", "left_semi"))
 
 
-def judged_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
+def judged_urls(pages: DataFrame, labels: DataFrame, rules=RULES, **options) -> DataFrame:
     """page_id, host, path, rule, verdict and confidence (of the best association rule met). `labels` has id and bad; it is
     joined on page_id."""
     host, path = host_and_path(F.col("url"))
     urls = written(pages.select(F.col("page_id").alias("id"), host.alias("host"), path.alias("path"), url_tokens(F.col("url")).alias("tokens")))
-    found = mined_rules(urls.select("id", "tokens"), labels)
+    found = mined_rules(urls.select("id", "tokens"), labels, **options)
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     named = urls.select(F.col("id").alias("page_id"), "host", "path", rule.alias("rule"), verdict.alias("own"), "tokens")
     if found is None:
         return named.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("confidence"))
-    sets = urls.select("tokens").distinct()
-    asked = sets.withColumn("key", F.explode("tokens"))
-    index = found.select("key", F.col("tokens").alias("needed"), "confidence")
-    met = asked.join(index, "key").filter(F.size(F.array_except("needed", "tokens")) == 0).groupBy("tokens").agg(F.max("confidence").alias("confidence"))
-    out = named.join(met, "tokens", "left")
+    mined, item_of = found
+    # token sets whose items hold what a rule needs; there are no more of them than distinct token sets
+    sets = urls.select("tokens").distinct().withColumn("set", F.xxhash64("tokens"))
+    items = looked_up(sets.select("tokens", "set", F.explode("tokens").alias("token")), item_of, ["token"], F.col("set")).groupBy("tokens").agg(F.collect_set("item").alias("held"))
+    asked = items.withColumn("key", F.explode("held"))
+    index = mined.select("key", F.col("items").alias("needed"), "confidence")
+    met = asked.join(index, "key").filter(F.size(F.array_except("needed", "held")) == 0).groupBy("tokens").agg(F.max("confidence").alias("confidence"))
+    out = looked_up(named, written(met), ["tokens"], F.xxhash64("page_id", "path"), "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"), "confidence")
 
 
 def op5_urlrules(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """Pages are labelled by the documents of the same id: bad if of low quality or toxic."""
-    bad = reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in (F.col("quality") == 0, F.col("toxic") == 1)])
-    known = labels.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), bad.alias("bad"))
-    return judged_urls(pages.select("page_id", "url"), known)
+    told = labels.filter(F.col("doc_id").isNotNull() & F.coalesce("quality", "toxic").isNotNull())
+    bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
+    return judged_urls(pages.select("page_id", "url"), told.select(F.col("doc_id").alias("id"), bad.alias("bad")))
