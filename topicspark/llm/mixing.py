@@ -5,8 +5,8 @@ leaves hold, times the epochs allowed; what it can't take goes to its siblings f
 leaves can take, to the parent's siblings only when they are all full. Each leaf takes whole seeded epochs of its documents and
 a token-prefix of the next one. DataFrame functions throughout.
 
-A leaf's prefix is found from sums over 4096 spans of the seeded order, so no task sorts a whole leaf: only the documents of the
-span where the budget ends are summed one by one.
+A leaf's prefix is found from sums over 4096 spans of the seeded order, then from sums per key of the span where the budget ends,
+so no task sorts or gathers a whole leaf. What is joined to the documents is a row per leaf, broadcast up to SMALL leaves.
 
 Edge cases: null domains, languages and sources count as ''; null and empty texts have no tokens; shares are rounded down, so
 up to one token per child stays unspent; a node of weight 0, or without tokens, gets nothing; rows that repeat an id stand or
@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import WORD, written
+from topicspark.llm.common import WORD, looked_up, written
 
 LEVELS = ("domain", "lang", "source")
 SPAN_DIGITS = 3
@@ -64,46 +64,77 @@ def leaf_budgets(leaves: DataFrame, weights: dict, percent: int, epochs: int) ->
         names = list(LEVELS[: level + 1])
         nodes = held.groupBy(*names).agg(F.sum("held").alias("held"), F.sum("tokens").alias("tokens"))
         # the root's budget is one row, the others are one row per parent
-        nodes = nodes.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").drop("one") if level == 0 else nodes.join(above, names[:-1])
+        nodes = nodes.withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one").drop("one") if level == 0 else nodes.join(above, names[:-1])
         above = _filled(nodes, level, weights).select(*names, "tokens", F.col("share").alias("budget"))
         above = above if level == len(LEVELS) - 1 else above.drop("tokens")
     return above.withColumnRenamed("budget", "share")
 
 
+def _with_levels(docs: DataFrame, domain: Column) -> DataFrame:
+    """`docs` with the levels as `__domain`, `__lang` and `__source`."""
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    return docs.withColumns({"__domain": empty(domain), "__lang": empty(F.col("lang")), "__source": empty(F.col("source"))})
+
+
+_LEAF = [f"__{c}" for c in LEVELS]
+
+
+def _key(seed: int) -> Column:
+    """Place of a document in the seeded order of its leaf's last epoch."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
+def leaf_plan(rows: DataFrame, weights: dict, percent: int, epochs: int, seed: int) -> DataFrame:
+    """Of each leaf that gives tokens: `__whole` epochs, and `__last` (span and key), up to which documents go once more. `rows`
+    has the leaf, doc_id and n_tokens.
+
+    Every step adds tokens within a leaf's spans, or within the keys of one span, before a leaf's sums meet."""
+    leaves = rows.groupBy(*[F.col(f"__{c}").alias(c) for c in LEVELS]).agg(F.sum("n_tokens").alias("tokens"))
+    shares = leaf_budgets(leaves, weights, percent, epochs)
+    plan = written(shares.select(*[F.col(c).alias(f"__{c}") for c in LEVELS], F.expr("share div tokens").alias("__whole"), F.expr("share % tokens").alias("__rest")))
+    spread = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    keyed = looked_up(rows, plan, _LEAF, spread).withColumn("key", _key(seed)).withColumn("span", F.substring("key", 1, SPAN_DIGITS))
+    upto = F.sum("n").over(Window.partitionBy(*_LEAF).orderBy("span"))
+    spans = keyed.groupBy(*_LEAF, "__rest", "span").agg(F.sum("n_tokens").alias("n")).withColumn("upto", upto).filter("upto > __rest")
+    ends = written(spans.groupBy(*_LEAF).agg(F.min(F.struct("span", (F.col("upto") - F.col("n")).alias("before"))).alias("end")).select(*_LEAF, F.col("end.span").alias("end"), "end.before"))
+    edge = looked_up(keyed, ends, _LEAF, spread).filter("span = end").groupBy(*_LEAF, "__rest", "before", "key").agg(F.sum("n_tokens").alias("n"))
+    within = edge.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*_LEAF).orderBy("key"))).filter("upto <= __rest")
+    last = within.groupBy(*_LEAF).agg(F.max("key").alias("key"))
+    # a key up to which documents go: that in the span where the budget ends, or what comes before that span
+    place = F.coalesce("key", "end")
+    return written(plan.join(ends, _LEAF, "left").join(last, _LEAF, "left").select(*_LEAF, "__whole", place.alias("__last")))
+
+
+def _counted(docs: DataFrame, domain: Column) -> DataFrame:
+    """The leaf, doc_id and n_tokens of each document, written."""
+    tokens = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    return written(_with_levels(docs, domain).select("doc_id", *_LEAF, tokens.alias("n_tokens")))
+
+
+def _with_copies(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """The chosen of `rows` (doc_id and the leaf among its columns) with `__copies`, 1 and up."""
+    out = looked_up(rows, plan, _LEAF, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    more = (_key(seed) <= F.col("__last")).cast("long")
+    return out.withColumn("__copies", (F.col("__whole") + F.coalesce(more, F.lit(0))).cast("int")).filter("__copies > 0")
+
+
 def mixed_documents(docs: DataFrame, domain: Column, weights: dict = WEIGHTS, percent: int = BUDGET_PERCENT, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens and copies (1 and up) of the documents chosen from `docs` (doc_id, text, lang,
     source)."""
-    empty = lambda c: F.coalesce(c, F.lit(""))
-    rows = written(docs.select("doc_id", empty(domain).alias("domain"), empty(F.col("lang")).alias("lang"), empty(F.col("source")).alias("source"), F.regexp_count(empty(F.col("text")), F.lit(WORD)).cast("long").alias("n_tokens")))
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
-    plan = leaf_budgets(leaves, weights, percent, epochs).selectExpr(*LEVELS, "share div tokens AS whole", "share % tokens AS rest")
-    plan = written(plan)
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), empty(F.col("doc_id").cast("string"))))
-    keyed = rows.join(plan, list(LEVELS)).withColumn("key", key).withColumn("span", F.substring("key", 1, SPAN_DIGITS))
-    spans = keyed.groupBy(*LEVELS, "rest", "span").agg(F.sum("n_tokens").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("span"))
-    ends = spans.withColumn("upto", upto).filter("upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("span", (F.col("upto") - F.col("n")).alias("before"))).alias("last"))
-    near = keyed.join(ends, list(LEVELS), "left").select(*rows.columns, "whole", "rest", "key", "span", F.col("last.span").alias("last_span"), F.col("last.before").alias("before"))
-    at_end = F.coalesce(F.col("span") == F.col("last_span"), F.lit(False))
-    sure = near.filter(~at_end).withColumn("more", F.coalesce(F.col("span") < F.col("last_span"), F.lit(True)))
-    inner = F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = near.filter(at_end).withColumn("more", F.col("before") + inner <= F.col("rest"))
-    return sure.unionByName(edge).withColumn("copies", (F.col("whole") + F.col("more").cast("long")).cast("int")).filter("copies > 0").select(*rows.columns, "copies")
+    rows = _counted(docs, domain)
+    chosen = _with_copies(rows, leaf_plan(rows, weights, percent, epochs, seed), seed)
+    return chosen.select("doc_id", *[F.col(f"__{c}").alias(c) for c in LEVELS], "n_tokens", F.col("__copies").alias("copies"))
 
 
 def op6_mixing(docs: DataFrame) -> DataFrame:
     return mixed_documents(docs.select("doc_id", "text", "lang", "source"), source_domain(F.col("source")))
 
 
-def mixed_rows(docs: DataFrame, domain: Column, **options) -> DataFrame:
-    """The chosen documents with their own columns, one row per copy."""
-    chosen = mixed_documents(docs, domain, **options).select("doc_id", *[F.col(c).alias(f"__{c}") for c in LEVELS], F.col("copies").alias("__copies")).distinct()
-    empty = lambda c: F.coalesce(c, F.lit(""))
-    same = F.expr("doc_id <=> __id")
-    for name, own in (("domain", domain), ("lang", F.col("lang")), ("source", F.col("source"))):
-        same = same & (empty(own) == F.col(f"__{name}"))
-    copies = F.explode(F.sequence(F.lit(1), F.col("__copies")))
-    return docs.join(chosen.withColumnRenamed("doc_id", "__id"), same).withColumn("__copy", copies).select(*docs.columns)
+def mixed_rows(docs: DataFrame, domain: Column, weights: dict = WEIGHTS, percent: int = BUDGET_PERCENT, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """The chosen documents with their own columns, one row per copy. The texts aren't shuffled."""
+    plan = leaf_plan(_counted(docs, domain), weights, percent, epochs, seed)
+    chosen = _with_copies(_with_levels(docs, domain), plan, seed)
+    return chosen.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def oracle_sql() -> str:
