@@ -1,38 +1,79 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
-Fingerprints that differ in three bits or fewer agree on all bits of some choice of blocks, so every distinct fingerprint is
-dealt to one group per choice: the top node of the index, whose mask is those blocks. Within a group the fingerprints are
-sorted by Gray rank and cut into leaves; each node above keeps the bits that all below it share. Two nodes whose shared bits
-already differ in more than three places are dropped together, else their children are compared, down to fingerprints. A group
-too large for a task is cut into runs of Gray order, and each pair of runs that the same test leaves goes to a task of its own.
-What tasks return are forests, not pairs; their components are joined by min-label rounds over written tables.
+Fingerprints are one or more words of 64 bits. Every distinct fingerprint is dealt to one group per mask: the top node of the
+index, whose members agree on all bits of the mask. Within a group the fingerprints are sorted by Gray rank and cut into leaves;
+each node above keeps the bits that all below it share. Two nodes whose shared bits already differ in more places than a link
+allows are dropped together, else their children are compared, down to fingerprints, word by word with the differences so far
+added up. A group too large for a task is cut into runs of Gray order, and each pair of runs that the same test leaves goes to a
+task of its own. What tasks return are forests, not pairs; their components are joined by min-label rounds over written tables.
+
+Two settings are in use. `EXACT`, that of the query: 64 bits of three-word shingles, three bits apart; fingerprints that close agree
+on all but three of the blocks that the masks are made of, so every link is found. `SIMILAR`, that of `without_near_duplicates`:
+256 bits of distinct five-word shingles, and links at an estimated similarity of 0.8 or more. The similarity is the cosine of the
+shingle sets, which is what SimHash estimates (for sets of one size, a Jaccard index of 0.8 is a cosine of 0.89). Masks are seeded samples of bits, as many
+and as long as it takes for a pair of that Jaccard index to agree on one with odds of RECALL.
 
 Edge cases: null, empty and wordless texts have fingerprint zero and link like any other; texts of fewer words than a shingle
-are one shingle; equal texts and repeated ids are fine; an empty table gives no rows.
+are one shingle; equal texts and repeated ids are fine; other columns stay or are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import slices, written
+from topicspark.llm.common import SALTS, looked_up, mixed, slices, span_hashes, strings, words, written
 
-BITS, DISTANCE = 64, 3
+BITS = 64
 SHINGLE, SEED = 3, 42
 LEAF, FANOUT = 16, 8
-#: Fingerprints of a group that one task takes.
-RUN = 8192
+#: Fingerprints of a group that one task takes, and that a seeded mask is to leave in one.
+RUN, AIM = 8192, 256
+#: Odds that a pair of Jaccard index 0.8 agrees on a seeded mask.
+RECALL = 0.95
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_LOWER_ARRAY = np.frombuffer(_LOWER, np.uint8)
 _HASH = xxhash.xxh64_intdigest
+# a byte's bits as eight bytes
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+@dataclass(frozen=True)
+class Links:
+    """Words of a fingerprint and the most bits in which linked ones differ."""
+
+    words: int
+    distance: int
+
+    def masks(self, n: int) -> list[tuple[int, ...]]:
+        """Masks of the groups for n fingerprints, a number for each word."""
+        if self.words == 1:
+            # choices of blocks: one of them is equal in fingerprints within the distance
+            blocks = 4 if n < 20_000_000 else 5 if n < 2_000_000_000 else 6
+            edge = [round(k * BITS / blocks) for k in range(blocks + 1)]
+            return [(sum(((1 << edge[k + 1]) - (1 << edge[k])) for k in chosen),) for chosen in combinations(range(blocks), blocks - self.distance)]
+        size = max(4, math.ceil(math.log2(max(2, n) / AIM)))
+        agree = (1 - math.acos(2 * 0.8 / 1.8) / math.pi) ** size
+        rng, out = np.random.default_rng(17), []
+        for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - agree))):
+            bits = rng.choice(BITS * self.words, size, replace=False).tolist()
+            out.append(tuple(sum(1 << b % BITS for b in bits if b // BITS == w) for w in range(self.words)))
+        return out
+
+
+EXACT = Links(1, 3)
+#: A cosine of 0.8 is an angle of 36.9 degrees, so that 0.205 of the bits differ.
+SIMILAR = Links(4, int(4 * BITS * math.acos(0.8) / math.pi))
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -65,6 +106,55 @@ def with_fingerprint(docs: DataFrame, output: str = "fp", text: str = "text") ->
     return docs.withColumn(output, F.arrow_udf(_fingerprints, "long")(F.coalesce(F.col(text), F.lit(""))))
 
 
+def shingle_hashes(array: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each distinct word shingle of each text, A-Z lower-cased, and each text's number of them (0 without words)."""
+    data, starts, ends = strings(array)
+    data = _LOWER_ARRAY[data]
+    begin, end, row = words(data, starts, ends)
+    h, n = span_hashes(data, begin, end), np.bincount(row, minlength=len(starts))
+    with np.errstate(over="ignore"):
+        whole = np.zeros(len(h), np.uint64)
+        for k in range(shingle):
+            # places after a text's last word count as nothing, which only texts shorter than a shingle keep
+            inside, m = np.zeros(len(h), np.uint64), max(0, len(h) - k)
+            inside[:m] = np.where(row[len(h) - m :] == row[:m], h[len(h) - m :], np.uint64(0))
+            whole = whole * np.uint64(0x100000001B3) + inside
+        place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+        own = place < np.repeat(np.maximum(n - shingle + 1, 1), n)
+        whole, row = mixed(whole[own]), row[own]
+        key = mixed(whole + (row + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    order = np.argsort(key)
+    first = np.ones(len(key), bool)
+    first[order[1:]] = key[order[1:]] != key[order[:-1]]
+    return whole[first], np.bincount(row[first], minlength=len(starts))
+
+
+def wide_fingerprints(array: pa.Array, n_words: int, shingle: int) -> np.ndarray:
+    """SimHash of each text as a row of `n_words` words of 64 bits. Bits that half of a text's shingles have are set in every other
+    place."""
+    out = np.zeros((len(array), n_words), np.uint64)
+    for a, b in slices(array, 1 << 19):
+        h, n = shingle_hashes(array.slice(a, b - a), shingle)
+        if not len(h):
+            continue
+        # bits are counted in bytes, over pieces of up to 255 shingles of a text
+        pieces = -(-n // 255)
+        of = np.repeat(np.arange(len(n)), pieces)
+        first = np.repeat(np.cumsum(n) - n, pieces) + 255 * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        ends = np.append(first[1:], len(h))
+        ones = np.zeros((len(n), n_words * BITS), np.int64)
+        for p in range(0, len(of), 256):
+            own, cut = h[first[p] : ends[min(p + 256, len(of)) - 1]], first[p : p + 256] - first[p]
+            with np.errstate(over="ignore"):
+                bits = [_SPREAD[mixed(own + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.uint8).reshape(-1, 8)] for k in range(n_words)]
+            np.add.at(ones, of[p : p + 256], np.add.reduceat(np.concatenate(bits, axis=1), cut, axis=0).view(np.uint8))
+        alternate = np.arange(ones.shape[1]) % 2 == 1
+        some = n > 0
+        bits = (2 * ones > n[:, None]) | (2 * ones == n[:, None]) & alternate & some[:, None]
+        out[a:b] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
 def gray_rank(fp: np.ndarray) -> np.ndarray:
     """Place of each 64-bit pattern in the reflected Gray sequence."""
     rank = fp.copy()
@@ -79,7 +169,7 @@ def _levels(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     both, either, size = fp, fp, LEAF
     while True:
         cut = np.arange(0, len(both), size)
-        both, either = np.bitwise_and.reduceat(both, cut), np.bitwise_or.reduceat(either, cut)
+        both, either = np.bitwise_and.reduceat(both, cut, axis=0), np.bitwise_or.reduceat(either, cut, axis=0)
         levels.append((~(both ^ either), both, np.append(cut, len(fp) if not levels else len(levels[-1][0]))))
         if len(cut) == 1:
             return levels
@@ -88,7 +178,17 @@ def _levels(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 def _apart(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray) -> np.ndarray:
     """Bits in which the patterns that nodes i of a and j of b share differ."""
-    return np.bitwise_count((a[1][i] ^ b[1][j]) & a[0][i] & b[0][j])
+    return np.bitwise_count((a[1][i] ^ b[1][j]) & a[0][i] & b[0][j]).sum(axis=1, dtype=np.int64)
+
+
+def _near(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, distance: int) -> np.ndarray:
+    """Which pairs of rows are at most `distance` bits apart; a pair goes at the word at which its differences are over it."""
+    left, apart = np.arange(len(i)), np.zeros(len(i), np.int64)
+    for w in range(a.shape[1]):
+        apart = apart + np.bitwise_count(a[i[left], w] ^ b[j[left], w])
+        keep = np.flatnonzero(apart <= distance)
+        left, apart = left[keep], apart[keep]
+    return left
 
 
 def _below(cut: np.ndarray, i: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,15 +198,14 @@ def _below(cut: np.ndarray, i: np.ndarray, other: np.ndarray) -> tuple[np.ndarra
     return first + np.arange(n.sum()), np.repeat(other, n)
 
 
-def links(a: np.ndarray, b: np.ndarray | None = None, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (into a, and into b or else a itself, i < j) at most `distance` bits apart; inputs in Gray order."""
+def links(a: np.ndarray, b: np.ndarray | None = None, distance: int = EXACT.distance):
+    """Index pairs (into a, and into b or else a itself, i < j) at most `distance` bits apart, a bounded lot at a time; inputs in
+    Gray order, a row of words to a fingerprint."""
     own = b is None
     b = a if own else b
-    none = np.zeros(0, np.int64)
     if not len(a) or not len(b):
-        return none, none
+        return
     la, lb = _levels(a), _levels(b)
-    found = []
     # a stack of node pairs per level keeps what is open at once small
     stack = [(len(la) - 1, len(lb) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
@@ -115,8 +214,8 @@ def links(a: np.ndarray, b: np.ndarray | None = None, distance: int = DISTANCE)
         if own and p == q:
             near &= i <= j
         i, j = i[near], j[near]
-        for at in range(0, len(i), 1 << 13):
-            x, y = i[at : at + (1 << 13)], j[at : at + (1 << 13)]
+        for at in range(0, len(i), 1 << 11):
+            x, y = i[at : at + (1 << 11)], j[at : at + (1 << 11)]
             if p or q:
                 np_, nq = p, q
                 if p >= q and p:
@@ -129,72 +228,79 @@ def links(a: np.ndarray, b: np.ndarray | None = None, distance: int = DISTANCE)
             else:
                 x, y = _below(la[0][2], x, y)
                 y, x = _below(lb[0][2], y, x)
-                near = np.bitwise_count(a[x] ^ b[y]) <= distance
                 if own:
-                    near &= x < y
-                found.append((x[near], y[near]))
-    return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (none, none)
+                    x, y = x[x < y], y[x < y]
+                near = _near(a, x, b, y, distance)
+                if len(near):
+                    yield x[near], y[near]
 
 
-def forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of n, by hooking and pointer jumping."""
+def forest(n: int, pairs) -> np.ndarray:
+    """Smallest index reachable from each of n by lots of pairs, by hooking and pointer jumping."""
     root = np.arange(n)
-    while len(x):
-        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
-        open_ = low < high
-        if not open_.any():
-            break
-        x, y = x[open_], y[open_]
-        np.minimum.at(root, high[open_], low[open_])
-        while not np.array_equal(up := root[root], root):
-            root = up
+    for x, y in pairs:
+        while len(x):
+            low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+            open_ = low < high
+            if not open_.any():
+                break
+            x, y = x[open_], y[open_]
+            np.minimum.at(root, high[open_], low[open_])
+            while not np.array_equal(up := root[root], root):
+                root = up
     return root
 
 
-def _small_groups(fp: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of equal key, rows sorted by key: each row against the rows just after it."""
-    out, step, at = [], 1, np.arange(len(fp) - 1)
+def _small_groups(fp: np.ndarray, label: np.ndarray, distance: int):
+    """Links between rows of equal label, rows sorted by it: each row against the rows just after it."""
+    step, at = 1, np.arange(len(fp) - 1)
     while len(at):
         at = at[at + step < len(fp)]
-        at = at[key[at] == key[at + step]]
-        near = np.bitwise_count(fp[at] ^ fp[at + step]) <= DISTANCE
-        out.append((at[near], at[near] + step))
+        at = at[label[at] == label[at + step]]
+        near = at[_near(fp, at, fp, at + step, distance)]
+        if len(near):
+            yield near, near + step
         step += 1
-    return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _stars(fp: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
-    child = np.flatnonzero(root != np.arange(len(fp)))
-    return pa.RecordBatch.from_arrays([pa.array(fp[root[child]].view(np.int64)), pa.array(fp[child].view(np.int64))], ["a", "b"])
-
-
-def _linked(batches):
-    """Rows (choice, key, fp) sorted by choice and key, groups whole: a forest of the links within each group."""
-    for choice, key, fp in _whole_groups(batches):
-        change = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (choice[1:] != choice[:-1])))
-        size = np.diff(np.append(change, len(fp)))
-        label = np.repeat(np.arange(len(change)), size)
-        small = size[label] <= 64
-        f, k = fp[small], label[small]
-        x, y = _small_groups(f, k)
-        if len(x):
-            yield _stars(f, forest(len(f), x, y))
-        for a, n in zip(change[size > 64], size[size > 64], strict=True):
-            own = fp[a : a + n]
-            own = own[np.argsort(gray_rank(own), kind="stable")]
-            x, y = links(own)
-            if len(x):
-                yield _stars(own, forest(n, x, y))
-
-
-def _whole_groups(batches):
-    """Arrays (choice, key, fp) in which no group is cut."""
+
+
+def _stars(ids: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    child = np.flatnonzero(root != np.arange(len(ids)))
+    return pa.RecordBatch.from_arrays([pa.array(ids[root[child]]), pa.array(ids[child])], ["a", "b"])
+
+
+def _linked(kind: Links):
+    """Rows (choice, key, id, f0, f1 ...) sorted by choice and key, groups whole: a forest of the links within each group."""
+
+    def run(batches):
+        for choice, key, ids, *fp in _whole_groups(batches, kind.words):
+            fp = np.stack([x.view(np.uint64) for x in fp], axis=1)
+            change = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (choice[1:] != choice[:-1])))
+            size = np.diff(np.append(change, len(fp)))
+            label = np.repeat(np.arange(len(change)), size)
+            small = size[label] <= 64
+            if small.any():
+                yield _stars(ids[small], forest(int(small.sum()), _small_groups(fp[small], label[small], kind.distance)))
+            for a, n in zip(change[size > 64], size[size > 64], strict=True):
+                own, at = _ordered(fp[a : a + n])
+                yield _stars(ids[a : a + n][at], forest(n, links(own, distance=kind.distance)))
+
+    return run
+
+
+def _ordered(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in Gray order, and their places before."""
+    at = np.lexsort([gray_rank(fp[:, w]) for w in reversed(range(fp.shape[1]))])
+    return fp[at], at
+
+
+def _whole_groups(batches, n_words: int):
+    """Arrays (choice, key, id, words) in which no group is cut."""
+    names = ("choice", "key", "id", *[f"f{w}" for w in range(n_words)])
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = tuple(batch.column(n).to_numpy(zero_copy_only=False) for n in ("choice", "key", "fp"))
-        now = (now[0], now[1], now[2].view(np.uint64))
+        now = tuple(batch.column(n).to_numpy(zero_copy_only=False) for n in names)
         last = np.flatnonzero((now[1] != now[1][-1]) | (now[0] != now[0][-1]))
         cut = last[-1] + 1 if len(last) else 0
         if cut:
@@ -210,30 +316,32 @@ def _whole_groups(batches):
         yield tuple(np.concatenate(z) for z in zip(*held, strict=True))
 
 
-def _choices(blocks: int) -> list[int]:
-    """Masks of all choices of blocks - DISTANCE of `blocks` blocks: one of them is equal in fingerprints within DISTANCE."""
-    edge = [round(k * BITS / blocks) for k in range(blocks + 1)]
-    return [sum(((1 << edge[k + 1]) - (1 << edge[k])) for k in chosen) for chosen in combinations(range(blocks), blocks - DISTANCE)]
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def fingerprint_links(prints: DataFrame, kind: Links = EXACT, run: int = RUN) -> DataFrame:
+    """(a, b): a forest whose components are those of all links found between the rows of `prints` (id long, f0, f1 ...), one row
+    for each distinct fingerprint."""
+    names = [f"f{w}" for w in range(kind.words)]
 
+    def key(mask: tuple[int, ...]) -> Column:
+        parts = [F.col(n).bitwiseAND(F.lit(_signed(m)).cast("long")) for n, m in zip(names, mask, strict=True) if m]
+        return parts[0] if len(names) == 1 else F.xxhash64(*parts)
 
-def fingerprint_links(prints: DataFrame, column: str = "fp", run: int = RUN) -> DataFrame:
-    """(a, b): a forest whose components are those of all links between the distinct values of `column`."""
-    spark = prints.sparkSession
-    n = prints.count()
-    masks = _choices(4 if n < 20_000_000 else 5 if n < 2_000_000_000 else 6)
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    dealt = prints.select(F.posexplode(F.array(*[F.col(column).bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks])).alias("choice", "key"), F.col(column).alias("fp"))
+    dealt = prints.select(F.posexplode(F.array(*[key(m) for m in kind.masks(prints.count())])).alias("choice", "key"), "id", *names)
     size = dealt.groupBy("choice", "key").count()
-    large = size.filter(F.col("count") > run).drop("count")
+    large = written(size.filter(F.col("count") > run).drop("count"))
     has_large = bool(large.head(1))
     groups = dealt.join(large, ["choice", "key"], "left_anti") if has_large else dealt
-    out = groups.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_linked, "a long, b long")
-    return out.union(_large_group_links(dealt.join(large, ["choice", "key"], "left_semi"), run)) if has_large else out
+    out = groups.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_linked(kind), "a long, b long")
+    return out.union(_large_group_links(dealt.join(large, ["choice", "key"], "left_semi"), kind, run)) if has_large else out
 
 
-def _large_group_links(dealt: DataFrame, run: int) -> DataFrame:
+def _large_group_links(dealt: DataFrame, kind: Links, run: int) -> DataFrame:
     """Links within groups of over `run` fingerprints: runs of Gray order, and pairs of runs that shared bits don't part."""
-    rank = F.col("fp")
+    names = [f"f{w}" for w in range(kind.words)]
+    rank = F.col("f0")
     for shift in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
     ranked = written(dealt.withColumn("rank", rank.bitwiseXOR(F.lit(-(1 << 63)))))
@@ -251,39 +359,43 @@ def _large_group_links(dealt: DataFrame, run: int) -> DataFrame:
         if not todo.head(1):
             break
     runs = written(runs)
-    node = runs.groupBy("choice", "key", "depth", "span").agg(F.bit_and("fp").alias("both"), F.bit_or("fp").alias("either")).withColumn("mask", F.bitwise_not(F.col("both").bitwiseXOR(F.col("either"))))
+    node = runs.groupBy("choice", "key", "depth", "span").agg(*[f(n).alias(f"{tag}{n}") for n in names for tag, f in (("both", F.bit_and), ("either", F.bit_or))])
     left, right = node.alias("l"), node.alias("r")
     before = (F.col("l.depth") < F.col("r.depth")) | (F.col("l.depth") == F.col("r.depth")) & (F.col("l.span") <= F.col("r.span"))
-    apart = F.bit_count(F.col("l.both").bitwiseXOR(F.col("r.both")).bitwiseAND(F.col("l.mask")).bitwiseAND(F.col("r.mask")))
-    kept = left.join(right, (F.col("l.choice") == F.col("r.choice")) & (F.col("l.key") == F.col("r.key")) & before & (apart <= DISTANCE)).select("l.choice", "l.key", *[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "lr" for c in ("depth", "span")])
+    mask = lambda s, n: F.bitwise_not(F.col(f"{s}.both{n}").bitwiseXOR(F.col(f"{s}.either{n}")))
+    apart = sum((F.bit_count(F.col(f"l.both{n}").bitwiseXOR(F.col(f"r.both{n}")).bitwiseAND(mask("l", n)).bitwiseAND(mask("r", n))) for n in names), F.lit(0))
+    kept = left.join(right, (F.col("l.choice") == F.col("r.choice")) & (F.col("l.key") == F.col("r.key")) & before & (apart <= kind.distance)).select("l.choice", "l.key", *[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "lr" for c in ("depth", "span")])
     kept = written(kept.withColumn("pair", F.xxhash64("choice", "key", "ldepth", "lspan", "rdepth", "rspan")))
     sides = [kept.select("choice", "key", F.col(f"{s}depth").alias("depth"), F.col(f"{s}span").alias("span"), "pair", F.lit(s == "r").alias("right"), (F.struct("ldepth", "lspan") == F.struct("rdepth", "rspan")).alias("own")) for s in "lr"]
-    dealt = runs.select("choice", "key", "depth", "span", "fp").join(sides[0].union(sides[1].filter(~F.col("own"))), ["choice", "key", "depth", "span"]).select("pair", "right", "fp")
+    dealt = runs.select("choice", "key", "depth", "span", "id", *names).join(sides[0].union(sides[1].filter(~F.col("own"))), ["choice", "key", "depth", "span"]).select("pair", "right", "id", *names)
 
     def pair_links(frame: pa.Table) -> pa.Table:
-        fp, right = frame["fp"].to_numpy().view(np.uint64), frame["right"].to_numpy(zero_copy_only=False)
-        a, b = (x[np.argsort(gray_rank(x), kind="stable")] for x in (fp[~right], fp[right]))
-        x, y = links(a, b if len(b) else None)
-        both = np.concatenate([a, b])
-        return pa.Table.from_batches([_stars(both, forest(len(both), x, y + (len(a) if len(b) else 0)))])
+        fp, right, ids = np.stack([frame[n].to_numpy().view(np.uint64) for n in names], axis=1), frame["right"].to_numpy(zero_copy_only=False), frame["id"].to_numpy()
+        (a, i), (b, j) = (_ordered(fp[side]) for side in (~right, right))
+        found = ((x, y + (len(a) if len(b) else 0)) for x, y in links(a, b if len(b) else None, kind.distance))
+        return pa.Table.from_batches([_stars(np.concatenate([ids[~right][i], ids[right][j]]), forest(len(fp), found))])
 
     return dealt.groupBy("pair").applyInArrow(pair_links, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, salts: int = SALTS) -> DataFrame:
     """(node, label) for every node of `edges` (a, b): the smallest node reachable.
 
     Alternates large-star and small-star rounds, each written and read again, until no edge changes; rows never exceed the
-    number of edges."""
-    one = Window.partitionBy("u").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    number of edges. A node's smallest neighbour is an aggregate, and goes back to its edges in `salts` parts, so that no task
+    gets all edges of a hot node."""
+
+    def smallest(of: DataFrame) -> DataFrame:
+        """The edges with `m`, the smallest `v` of their `u`."""
+        low = of.groupBy("u").agg(F.min("v").alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return of.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(low, ["u", "salt"]).drop("salt")
+
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     stamp = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).head()
     while stamp[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least(F.min("v").over(one), F.col("u"))
-        large = both.withColumn("m", low).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = F.min("v").over(one)
-        small = large.withColumn("m", low)
+        large = smallest(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u <> v").distinct()
+        small = smallest(written(large))
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
         edges = written(small)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).head()
@@ -295,13 +407,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of `docs` (doc_id, text); component_id is the smallest doc_id reachable."""
+    """(doc_id, fp, component_id) of every row of `docs` (doc_id, text) by the `EXACT` setting; component_id is the smallest doc_id
+    reachable."""
     prints = written(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "fp"))
-    each = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    label = components(fingerprint_links(each))
-    named = each.join(label, each["fp"] == label["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    each = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    label = components(fingerprint_links(each.select(F.col("fp").alias("id"), F.col("fp").alias("f0"))))
+    named = written(each.join(label, each["fp"] == label["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label")))
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_print = written(named.join(lowest, "label").select("fp", "component_id"))
+    by_print = written(looked_up(named, lowest, ["label"], F.col("fp")).select("fp", "component_id"))
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -310,9 +423,32 @@ def op7_simhash(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group, that of the smallest doc_id (one row of it, if the id repeats), with its own columns; rows
-    without an id stay."""
-    stays = near_duplicates(docs.filter(F.col("doc_id").isNotNull())).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+def _grouped(docs: DataFrame, kind: Links, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """`docs` written with `__row` (a number of its own) and `__fp`; and a row for each distinct fingerprint with `__component` (the
+    same for all that are linked) and `least`, the first of its rows by doc_id (null last), then the text's hash."""
+    names = [f"f{w}" for w in range(kind.words)]
+
+    @F.arrow_udf(", ".join(f"{n} long" for n in names))
+    def prints(array: pa.Array) -> pa.Array:
+        fp = wide_fingerprints(array, kind.words, shingle).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(fp[:, w])) for w in range(kind.words)], names)
+
+    rows = written(docs.withColumns({"__row": F.monotonically_increasing_id(), "__fp": prints(F.coalesce("text", F.lit("")))}))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text"), "__row")
+    each = written(rows.groupBy("__fp").agg(F.min("__row").alias("id"), F.min(order).alias("least")))
+    label = components(fingerprint_links(each.select("id", *[F.col(f"__fp.{n}").alias(n) for n in names]), kind))
+    return rows, written(each.join(label, each["id"] == label["node"], "left").select("__fp", "least", F.coalesce("label", "id").alias("__component")))
+
+
+def with_components(docs: DataFrame, kind: Links = SIMILAR, shingle: int = 5) -> DataFrame:
+    """`docs` (text among its columns) with `__component`, the same for near-duplicate rows, whatever their ids."""
+    rows, each = _grouped(docs, kind, shingle)
+    return looked_up(rows, each.select("__fp", "__component"), ["__fp"], F.col("__row")).select(*docs.columns, "__component")
+
+
+def without_near_duplicates(docs: DataFrame, kind: Links = SIMILAR, shingle: int = 5) -> DataFrame:
+    """One row of each group of near-duplicate rows of `docs` (doc_id, text among its columns), with its own columns: that of the
+    smallest doc_id (null last), of several of that id the one whose text's hash is least."""
+    rows, each = _grouped(docs, kind, shingle)
+    stays = each.groupBy("__component").agg(F.min("least").alias("least")).select(F.col("least.__row").alias("__row"))
+    return rows.join(stays, "__row", "left_semi").select(*docs.columns)
