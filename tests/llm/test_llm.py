@@ -1,7 +1,7 @@
 import hashlib
 import zlib
 from collections import Counter, defaultdict
-from itertools import pairwise
+from itertools import combinations, pairwise, product
 
 import numpy as np
 import public_tokenizers as P
@@ -165,9 +165,71 @@ def test_simhash(spark, odd):
         assert len(got) == docs.count()
         assert all(r["fingerprint"] == f"{prints[r['doc_id']]:016x}" and r["component_id"] == want[r["doc_id"]] for r in got)
     assert simhash.op7_simhash(odd.limit(0)).count() == 0
-    kept = simhash.without_near_duplicates(odd)
-    assert kept.columns == odd.columns and kept.filter("doc_id IS NULL").count() == 1
-    assert {r["doc_id"] for r in kept.collect()} - {None} == {i for i, c in brute_components({r["doc_id"]: brute_fingerprint(r["text"]) for r in odd.collect() if r["doc_id"] is not None}).items() if c == i}
+
+
+def shingle_sets(rows):
+    out = {}
+    for i, t in rows:
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        out[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return out
+
+
+def brute_wide_fingerprint(hashes):
+    """Of a text's distinct shingle hashes, as wide_fingerprints defines it."""
+    word = lambda k: simhash.mixed(np.array(hashes, np.uint64) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).tolist()
+    out = []
+    for k in range(4):
+        h = word(k)
+        ones = [sum(x >> b & 1 for x in h) for b in range(64)]
+        out.append(sum(1 << b for b in range(64) if h and (2 * ones[b] > len(h) or 2 * ones[b] == len(h) and b % 2)))
+    return out
+
+
+def test_wide_fingerprints():
+    texts = ["", " ", "one", "one two three four", "a b c d e f", "A b c d e F", *(" ".join(f"w{k * i % 97}" for k in range(i)) for i in (7, 300, 1500)), "x y z v w " * 200]
+    h, n = simhash.shingle_hashes(pa.array(texts), 5)
+    assert n.tolist() == [len(s) for s in shingle_sets(enumerate(texts)).values()]
+    got, cut = simhash.wide_fingerprints(pa.array(texts), 4, 5), np.cumsum([0, *n])
+    for row, a, b in zip(got.tolist(), cut[:-1], cut[1:], strict=True):
+        assert row == brute_wide_fingerprint(h[a:b])
+    assert got[4].tolist() == got[5].tolist()
+
+
+def test_near_duplicates_go(spark, odd):
+    docs = docs_of(spark).unionByName(spark.createDataFrame([(10_000 + k, " ".join(f"{x}{y}" for x in "abcdefghij" for y in range(k, 20 + k)), "en", "s", 0) for k in range(3)], docs_of(spark).schema))
+    sets = shingle_sets([(r["doc_id"], r["text"]) for r in docs.collect()])
+    of = {r["doc_id"]: r["__component"] for r in simhash.with_components(docs).collect()}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a | b:
+                alike = len(a & b) / len(a | b)
+                assert alike < 0.85 or of[i] == of[j]
+    members = defaultdict(set)
+    for i, c in of.items():
+        members[c].add(i)
+    for m in members.values():
+        # nobody is in a group without a text that is alike
+        assert len(m) == 1 or all(any(len(sets[i] & sets[j]) >= 0.5 * (len(sets[i]) * len(sets[j])) ** 0.5 for j in m - {i}) for i in m)
+    assert {r["doc_id"] for r in simhash.without_near_duplicates(docs).collect()} == {min(m) for m in members.values()}
+    # repeated ids of different texts both count, rows without an id are compared too, and the row that stays is fixed
+    extra = odd.union(spark.createDataFrame([(None, "no id at all", "de", "x", "y"), (5, "another text with the id of five", "de", "x", "y")], odd.schema))
+    kept = simhash.without_near_duplicates(extra)
+    assert kept.columns == extra.columns
+    stay = sorted((r["doc_id"], (r["text"] or "").strip()) for r in kept.collect() if r["doc_id"] is not None)
+    assert stay == sorted([(0, ""), (4, "a"), (5, "a b"), (5, "another text with the id of five"), *((i, ODD[i].strip()) for i in (6, 8, 9, 10, 11, 12))])
+    assert kept.filter("doc_id IS NULL").count() == 1
+    assert simhash.without_near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_wide_links_of_large_groups(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, (2, 4), dtype=np.uint64)
+    fp = np.concatenate([b ^ np.bitwise_or.reduce([np.uint64(1) << rng.integers(0, 64, (300, 4)).astype(np.uint64) for _ in range(3)]) for b in base] + [rng.integers(0, 2**63, (200, 4), dtype=np.uint64)])
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(fp.view(np.int64).tolist())], "id long, f0 long, f1 long, f2 long, f3 long")
+    for run in (8192, 40):
+        label = {r["node"]: r["label"] for r in simhash.components(simhash.fingerprint_links(df, simhash.SIMILAR, run=run)).collect()}
+        assert label == {k: 0 for k in range(300)} | {k: 300 for k in range(300, 600)}
 
 
 def test_simhash_large_groups_equal_small(spark):
@@ -176,7 +238,7 @@ def test_simhash_large_groups_equal_small(spark):
     flip = lambda n: one << rng.integers(0, 64, n).astype(np.uint64)
     base = rng.integers(0, 2**63, 3, dtype=np.uint64)
     fp = np.unique(np.concatenate([b ^ flip(400) ^ flip(400) for b in base] + [rng.integers(0, 2**63, 600, dtype=np.uint64) & np.uint64(0xFFFF)]))
-    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    df = spark.createDataFrame([(int(x), int(x)) for x in fp.view(np.int64)], "id long, f0 long")
     found = [{(r["node"], r["label"]) for r in simhash.components(simhash.fingerprint_links(df, run=run)).collect()} for run in (8192, 150)]
     assert found[0] == found[1]
     want = brute_components({int(x): int(x.view(np.uint64)) for x in fp.view(np.int64)})
@@ -275,6 +337,13 @@ def test_ann_edges(spark):
         got[r["query_id"]].append((r["vec_id"], round(r["score"], 6)))
     assert got == {0: [(20, 1.0), (21, 1.0), (40, 0.5), (1, 0.0)], 20: [(0, 1.0), (21, 1.0), (40, 0.5), (1, 0.0)], 40: [(1, 1.5), (0, 0.5), (20, 0.5), (21, 0.5)]}
     assert ann.op1_ann(df.limit(0)).count() == 0
+    # distinct vectors of one score in one list: the smaller ids, as for equal vectors; huge ones, and columns that clash
+    tied = spark.createDataFrame([(0, [1e150, 0.0], "x", 1)] + [(i, [1e150, i * 1e146], "x", 1) for i in range(1, 121)], "vec_id long, embedding array<double>, score string, rank int")
+    assert [r["vec_id"] for r in ann.op1_ann(tied).filter("query_id = 0").orderBy("rank").collect()] == list(range(1, 21))
+    ids, x = np.arange(1, 501), np.stack([np.ones(500), np.arange(500)], axis=1)
+    held = (ids, x, (np.arange(501), ids), np.arange(501), np.zeros(500, np.int64))
+    top = ann._top(held, np.array([1000]), np.array([[1.0, 0.0]]), pa.array([[0]]), 20)
+    assert sorted(top.column("vec_id").to_pylist())[:20] == list(range(1, 21))
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(60)], "vec_id long, embedding array<double>")
     assert [r["vec_id"] for r in ann.op1_ann(same).filter("query_id = 0").orderBy("rank").collect()] == list(range(1, 21))
 
@@ -292,26 +361,74 @@ def test_urls(spark):
     assert got[8][2:] == (None, "allow") and got[9][2:] == ("com/", "allow")
 
 
+def test_url_tokens(spark):
+    urls = ["HTTP://WWW.Example.COM/en/Page-12/en?q=Wort&x#y", "no-scheme/page?x", None, "a://b", "a://b#c?d"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string").select(urlrules.url_tokens(F.col("url")).alias("t"))
+    assert [r["t"] for r in df.collect()] == [sorted(["h:www", "h:example", "h:com", "p:en", "p:page", "p:0", "q:q", "q:wort", "q:x", "q:y"]), [], [], ["h:b"], ["h:b", "q:c", "q:d"]]
+
+
+def brute_rules(rows, least, lift):
+    """Minimal token sets on `least` bad rows whose share of bad rows is `lift` times the overall one."""
+    share = lift * sum(b for _, b in rows) / len(rows)
+    tokens = sorted({t for own, _ in rows for t in own})
+    sure = {}
+    for n in range(1, len(tokens) + 1):
+        for some in combinations(tokens, n):
+            met = [b for own, b in rows if set(some) <= own]
+            if sum(met) >= least and sum(met) / len(met) >= share - 1e-12:
+                sure[some] = sum(met) / len(met)
+    return {s: c for s, c in sure.items() if not any(sure.get(p, 0) >= c for p in combinations(s, len(s) - 1))}
+
+
+def test_url_rules_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [({f"t{k}" for k in range(6) if rng.random() < 0.5} | ({"u", "v"} if k % 3 == 0 else set()), False) for k in range(80)]
+    rows = [(own, bool(rng.random() < (0.9 if {"t1", "t2"} <= own or "u" in own and "t4" in own else 0.2))) for own, _ in rows]
+    urls = spark.createDataFrame([(k, sorted(own)) for k, (own, _) in enumerate(rows)], "id long, tokens array<string>")
+    mined, item_of = urlrules.mined_rules(urls, spark.createDataFrame([(k, b) for k, (_, b) in enumerate(rows)], "id long, bad boolean"), 8, 1.5)
+    tokens = defaultdict(set)
+    for r in item_of.collect():
+        tokens[r["item"]].add(r["token"])
+    got = {tuple(sorted(x)): r["confidence"] for r in mined.collect() for x in product(*(tokens[i] for i in r["items"]))}
+    assert len(got) > 3 and got == pytest.approx(brute_rules(rows, 8, 1.5))
+    assert tokens["u"] in (set(), {"u", "v"})
+
+
+def verdicts_of(spark, urls):
+    df = spark.createDataFrame([(i, u, "clash") for i, (u, _) in enumerate(urls)], "page_id long, url string, tokens string")
+    known = spark.createDataFrame([(i, q, 0) for i, (_, q) in enumerate(urls)], "doc_id long, quality int, toxic int")
+    found = defaultdict(set)
+    for r in urlrules.op5_urlrules(df, known).collect():
+        found[urls[r["page_id"]][0]].add((r["verdict"], r["confidence"]))
+    return found
+
+
 def test_url_rules_are_mined(spark):
     rows = [(i, f"http://{'casino.win' if i % 3 == 0 else 'news.site'}.org/page/{i}") for i in range(300)]
     df = spark.createDataFrame(rows, "page_id long, url string")
     known = spark.createDataFrame([(i, 0 if i % 3 == 0 else 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
     got = {r["page_id"]: r["verdict"] for r in urlrules.op5_urlrules(df, known).collect()}
     assert all((got[i] == "block") == (i % 3 == 0) for i in range(300))
+    # labels that say nothing are none
+    assert {r["verdict"] for r in urlrules.op5_urlrules(df, spark.createDataFrame([(i, None, None) for i in range(200)], known.schema)).collect()} == {"allow"}
+    assert urlrules.op5_urlrules(df.limit(0), known).count() == 0
 
 
 def test_url_rules_of_any_length_and_share(spark):
     parts = [f"p{chr(97 + k)}" for k in range(5)]
     urls = [("http://h.org/" + "/".join(parts), 0)] * 40 + [("http://h.org/" + "/".join(p if p != left else "px" for p in parts), 1) for left in parts for _ in range(40)]
     urls += [("http://rare.net/x", 0)] * 20 + [("http://few.net/x", 0)] * 19 + [("http://news.net/x", 1)] * 15000
-    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
-    known = spark.createDataFrame([(i, q, 0) for i, (_, q) in enumerate(urls)], "doc_id long, quality int, toxic int")
-    verdicts = defaultdict(set)
-    for r in urlrules.op5_urlrules(df, known).collect():
-        verdicts[urls[r["page_id"]][0]].add((r["verdict"], r["confidence"]))
-    blocked = {u for u, v in verdicts.items() if v == {("block", 1.0)}}
+    found = verdicts_of(spark, urls)
+    blocked = {u for u, v in found.items() if v == {("block", 1.0)}}
+    # the whole combination and every part of it that is far worse than the rest are blocked, by the surest rule
     assert blocked == {"http://h.org/" + "/".join(parts), "http://rare.net/x"}
-    assert all(v == {("allow", None)} for u, v in verdicts.items() if u not in blocked)
+    assert found["http://few.net/x"] == {("allow", None)} == found["http://news.net/x"]
+
+
+def test_long_repeated_urls_end_soon(spark):
+    words = [a + b for a in "abcdef" for b in "vwxyz"]
+    found = verdicts_of(spark, [("http://spam.org/" + "/".join(words) + "?" + "y" * 20000, 0)] * 60 + [("http://fine.org/x", 1)] * 140)
+    assert sorted(x for v in found.values() for x in v) == [("allow", None), ("block", 1.0)]
 
 
 def test_mixing(spark, odd):
@@ -340,8 +457,10 @@ def test_pipeline(spark):
             assert out.columns == docs.columns
         rows = out.collect()
         if name == "simhash_near_dedup":
-            prints = {r["doc_id"]: brute_fingerprint(r["text"]) for r in docs.collect()}
-            assert sorted(r["doc_id"] for r in rows) == sorted(i for i, c in brute_components(prints).items() if i == c)
+            sets, stay = shingle_sets([(r["doc_id"], r["text"]) for r in docs.collect()]), {r["doc_id"] for r in rows}
+            cosine = lambda i, j: len(sets[i] & sets[j]) / (len(sets[i]) * len(sets[j])) ** 0.5
+            assert all(i in stay or any(cosine(i, j) >= 0.7 for j in sets if j != i) for i in sets)
+            assert not any(len(sets[i] & sets[j]) >= 0.85 * len(sets[i] | sets[j]) for i, j in combinations(sorted(stay), 2))
         want = want or docs.count()
         docs = spark.createDataFrame(rows, out.schema)
     assert 0 < docs.select("doc_id").distinct().count() < want
