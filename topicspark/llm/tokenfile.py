@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from topicspark.llm.common import shared_dir, slices, span_hashes, strings, words
 from topicspark.llm.bpe import ragged
 
-BLOCK, LANES = 4096, 2048
+#: Ids of a block, and blocks coded side by side at most: what a numpy call costs is shared by all lanes, so many short blocks are
+#: coded in half the time of few long ones, at 3 % more bytes.
+BLOCK, LANES = 1024, 4096
 TABLE_BITS = 11
 STEP, LIMIT = 24, 2048
 #: Order-0 counts are kept for buckets of neighbouring ids and put to use every REFRESH ids, and after the first few.
