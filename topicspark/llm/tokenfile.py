@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import shared_dir, slices, span_hashes, strings, words
+from topicspark.llm.common import SEPARATORS, shared_dir, slices, span_hashes, strings
 from topicspark.llm.bpe import ragged
 
 #: Ids of a block, and blocks coded side by side at most: what a numpy call costs is shared by all lanes, so many short blocks are
@@ -285,6 +285,30 @@ def _encoded_words(tok, letters: dict[int, str], texts: list[str]) -> list[list[
     return out
 
 
+def _word_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the pieces of words, cut where the cut is sure to be the tokenizer's; words that may hold a special token
+    stay whole."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside, letter, mark = ~SEPARATORS[data], _LETTER[data], _PUNCTUATION[data]
+    cut = np.zeros(n + 1, bool)
+    cut[1:-1] = letter[:-1] & mark[1:] | mark[:-1] & letter[1:]
+    odd = np.flatnonzero(_SPECIAL[data])
+    if len(odd):
+        # from the last separator or text's start before each, to the first one after it
+        edge = np.sort(np.concatenate([np.flatnonzero(~inside), starts, [n]]))
+        k = np.searchsorted(edge, odd, side="right")
+        cut[ragged(edge[k - 1] + 1, edge[k] - edge[k - 1] - 1)] = False
+    cut[starts] = True
+    cut[ends] = True
+    first, last = inside & cut[:-1], inside & cut[1:]
+    first[1:] |= inside[1:] & ~inside[:-1]
+    last[:-1] |= inside[:-1] & ~inside[1:]
+    first[0], last[-1] = inside[0], inside[-1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 def _tokenized(content: str, array: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each with the end id appended, and each text's number of ids.
 
@@ -298,22 +322,17 @@ def _tokenized(content: str, array: pa.Array, end_id: int) -> tuple[np.ndarray,
         _worker.update(content=content, tok=tok, letters=_letters(tok), known=np.zeros(0, U), flat=np.zeros(0, np.uint16), cut=np.zeros(1, np.int64))
     tok = _worker["tok"]
     data, starts, ends = strings(array)
-    begin, end, _ = words(data, starts, ends)
+    begin, end = _word_pieces(data, starts, ends)
     data = _PLAIN[data]
-    if len(begin):
-        # pieces of words, where the cut is sure to be the tokenizer's; not in words that may hold a special token
-        cut = np.zeros(len(data) + 1, bool)
-        letter, mark = _LETTER[data], _PUNCTUATION[data]
-        cut[1:-1] = letter[:-1] & mark[1:] | mark[:-1] & letter[1:]
-        odd = np.flatnonzero(_SPECIAL[data])
-        if len(odd):
-            special = np.searchsorted(odd, end) > np.searchsorted(odd, begin)
-            cut[ragged(begin[special], (end - begin)[special])] = False
-        cut[begin] = True
-        first = np.flatnonzero(cut)
-        word = np.searchsorted(begin, first, side="right") - 1
-        begin, end = first, np.minimum(np.append(first[1:], len(data)), end[word])
-    h, at, inverse = np.unique(span_hashes(data, begin, end), return_index=True, return_inverse=True)
+    own = span_hashes(data, begin, end)
+    # places in the low bits go along when the high bits of the hashes are sorted
+    low = U((1 << max(1, len(own)).bit_length()) - 1)
+    order = (np.sort(own & ~low | np.arange(len(own), dtype=U)) & low).astype(np.int64)
+    ranked = own[order]
+    new = np.ones(len(own), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    h, at, inverse = ranked[new], order[new], np.empty(len(own), np.int64)
+    inverse[order] = np.cumsum(new) - 1
     known = _worker["known"]
     if len(known) + len(h) > REMEMBERED:
         known = np.zeros(0, U)
@@ -336,8 +355,8 @@ def _tokenized(content: str, array: pa.Array, end_id: int) -> tuple[np.ndarray,
     start, size = _worker["cut"][:-1], np.diff(_worker["cut"])
     of = np.searchsorted(_worker["known"], h)[inverse]
     n = size[of]
-    row = np.searchsorted(ends, begin, side="right")
-    per_text = np.bincount(row, weights=n, minlength=len(starts)).astype(np.int64)
+    upto, cut = np.concatenate([[0], np.cumsum(n)]), np.searchsorted(begin, np.append(starts, len(data)))
+    per_text = upto[cut[1:]] - upto[cut[:-1]]
     out = np.full(per_text.sum() + len(starts), end_id, np.uint16)
     upto = np.cumsum(per_text + 1)
     body = np.ones(len(out), bool)
