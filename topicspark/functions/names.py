@@ -30,11 +30,6 @@ FRACTIONS = {
     "cdu/csu": "CDU/CSU", "spd": "SPD", "afd": "AfD", "bündnis 90/die grünen": "BÜNDNIS 90/DIE GRÜNEN", "die linke": "Die Linke",
 }
 
-# Acronyms in labels of a week's topics, and of the period's themes.
-WEEK_ACRONYMS = "usa nato eu uno un csd ard zdf kfw dfb fifa ki eeg geg stpo bgb sgb bka bnd öpnv lng co2 nis tv gkv pkv iwf oecd wto".split()
-THEME_ACRONYMS = "usa nato eu uno un kfw ki eeg geg bka bnd öpnv lng co2 gkv pkv iwf oecd bmz kfor unifil kritis spd cdu csu afd ard zdf".split()
-
-
 def _lookup(key: Column, values: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(values.items())]), key)
 

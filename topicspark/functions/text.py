@@ -19,7 +19,7 @@ def word_count(text: Column) -> Column:
 
 def letter_words(text: Column, least: int = 3) -> Column:
     """Lower-cased words of at least so many letters and nothing but letters."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike(rf"^\p{{L}}{{{least},}}$"))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<![\p{{L}}\p{{N}}_])\p{{L}}{{{least},}}+(?![\p{{L}}\p{{N}}_])"), F.lit(0))
 
 
 def chunks(text: Column, most: int = 500, separator: str = "\n\n", count=word_count) -> Column:
@@ -38,6 +38,20 @@ def chunks(text: Column, most: int = 500, separator: str = "\n\n", count=word_co
     return F.aggregate(parts, start, put, lambda a: F.concat(a["done"], F.array(a["open"])))
 
 
+def text_chunks(text: str, most: int, separator: str, count) -> list[str]:
+    """What `chunks` makes of a text, for use inside a task; `count` is a function of a string."""
+    done, n = [], 0
+    for paragraph in text.split(separator):
+        more = count(paragraph)
+        if done and n + more <= most:
+            done[-1].append(paragraph)
+            n += more
+        else:
+            done.append([paragraph])
+            n = more
+    return [separator.join(x) for x in done]
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in doubles."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
@@ -49,11 +63,6 @@ def normalised(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def mean_vector(vectors: Column, size: int) -> Column:
-    """Element-wise mean of an array of vectors."""
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(vectors, F.lit(0.0), lambda s, v: s + F.get(v, i)) / F.size(vectors))
-
-
 def string_list(json: Column) -> Column:
     """A JSON array of strings; null gives an empty array."""
     return F.coalesce(F.from_json(json, "array<string>"), F.array().cast("array<string>"))

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicspark.functions import calendar, names
+from topicspark.functions.text import string_list
+from topicspark.sources.tables import not_kind
+
 MIN_CHARS = 500
 #: Words of the main speaker after which the same person interrupts anew, and paragraphs in which an announcement counts.
 NEW_AFTER, LAST_PARAGRAPHS = 30, 6
 ANNOUNCED = "Kurzintervention|Zwischenbemerkung"
+#: Kinds of paragraphs that stand for another speech.
+MARKERS = ("zwischenfrage", "kurzintervention", "antwort")
 
 
 def joined_parts(parts: DataFrame, sittings: DataFrame, agenda: DataFrame) -> DataFrame:
@@ -16,6 +22,15 @@ def joined_parts(parts: DataFrame, sittings: DataFrame, agenda: DataFrame) -> Da
     return parts.join(sittings, "sitting_id").join(agenda, "agenda_item_id", "left")
 
 
+def joined_paragraphs(paragraphs: DataFrame, parts: DataFrame, sittings: DataFrame) -> DataFrame:
+    """Paragraphs (speech_id, and their own columns) with their part and its sitting (both inner). `parts` has id and sitting_id;
+    columns of the paragraphs come first where names clash."""
+    own = paragraphs.columns
+    p = parts.withColumnRenamed("id", "speech_id")
+    x = paragraphs.join(p.select("speech_id", *[c for c in p.columns if c not in own]), "speech_id")
+    return x.join(sittings.select("sitting_id", *[c for c in sittings.columns if c not in x.columns]), "sitting_id")
+
+
 def weeks_of(sittings: DataFrame, speeches: DataFrame) -> DataFrame:
     """(week, sittings in date order, speeches): sittings without a speech count 0. `sittings` has sitting_id, number, date and
     week."""
@@ -36,8 +51,13 @@ def n_comments(paragraphs: Column) -> Column:
     return F.size(F.filter(paragraphs, lambda p: p["kind"] == "comment"))
 
 
-def kept(text: Column, interruption: Column) -> Column:
-    return (F.length(text) >= MIN_CHARS) | interruption
+def kept(text: Column, interruption: Column, least: int = MIN_CHARS) -> Column:
+    return (F.length(text) >= least) | interruption
+
+
+def included(kind: Column, interruption: Column) -> Column:
+    """Rows that count for the period: no question time and no interruption; a null kind is included."""
+    return ~kind.eqNullSafe("befragung") & ~F.coalesce(interruption, F.lit(False))
 
 
 def interruptions(parts: DataFrame, turns: Column | None = None) -> DataFrame:
@@ -83,6 +103,51 @@ def markers(parts: DataFrame) -> DataFrame:
     return into.unionByName(others.select("rede_id", "position", F.col("person_id").alias("in_person"), F.lit("antwort").alias("kind"), "target"))
 
 
+def load_weeks(parts: DataFrame, sittings: DataFrame, agenda: DataFrame, paragraphs: DataFrame, photos: DataFrame | None = None, least: int = MIN_CHARS) -> DataFrame:
+    """Speeches of all weeks: split parts re-joined per (rede, person), with paragraphs and markers in speaking order, short units
+    dropped, and what was dropped but is referred to in `linked`.
+
+    `parts` has id, sitting_id, agenda_item_id, position, person_id, speaker_name, speaker_group, member_fraction, speaker_role, text,
+    source_document_id, rede_id, interruption, interruption_start and maybe kind; `sittings` sitting_id, date, pdf_url; `agenda`
+    agenda_item_id, top_id, title, drucksache_numbers (JSON), kind; `paragraphs` speech_id, position, kind, text. Without `photos`
+    (person_id, credit) everyone has a portrait. A part without an agenda item has a null title and no papers."""
+    item = agenda.select("agenda_item_id", "top_id", F.col("title").alias("raw_title"), "drucksache_numbers", F.col("kind").alias("agenda_kind"))
+    p = joined_parts(not_kind(parts), sittings, item).withColumn("week", calendar.week_id(F.to_date("date")))
+    rede = Window.partitionBy("week", "rede_id").orderBy("date", "position")
+    own = Window.partitionBy("week", "rede_id", "person_id").orderBy("date", "position")
+    p = p.withColumns({"main": F.first("person_id").over(rede), "main_id": F.first("id").over(rede), "before": F.lag("person_id").over(rede), "head": F.first("id").over(own)})
+    other = F.col("person_id") != F.col("main")
+
+    # what a speech holds, in order: paragraphs, where someone starts to interrupt the main speaker, and the way back at the end
+    said = p.select("week", "rede_id", "id", F.struct("date", "position").alias("at"), "head", "main_id", "interruption", other.alias("other"), (other & (F.col("before") == F.col("main")) & (F.col("interruption_start") == F.col("id"))).alias("starts"))
+
+    def lines(of: DataFrame, head: str, rank: int, place: Column, kind: Column, text: str) -> DataFrame:
+        return of.select("week", "rede_id", F.col(head).alias("id"), F.struct("at", F.lit(rank).alias("rank"), place.cast("long").alias("place"), F.struct(kind.alias("kind"), F.col(text).alias("text")).alias("line")).alias("x"))
+
+    none = F.lit(0)
+    own_lines = said.join(paragraphs.select(F.col("speech_id").alias("id"), F.col("position").alias("place"), "kind", "text"), "id")
+    back = said.filter("other").groupBy("week", "rede_id", "head", "main_id").agg(F.max("at").alias("at"))
+    every = lines(own_lines, "head", 1, F.col("place"), F.col("kind"), "text").unionByName(lines(said.filter("starts"), "main_id", 0, none, F.col("interruption"), "head")).unionByName(lines(back, "head", 2, none, F.lit("antwort"), "main_id"))
+    held = every.groupBy("week", "rede_id", "id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]).alias("paragraphs"))
+
+    first = F.min(F.struct("date", "position", "id", "speaker_name", "speaker_group", "member_fraction", "agenda_kind", "speaker_role", "top_id", "agenda_item_id", "raw_title", "drucksache_numbers", "pdf_url", "source_document_id", (other & F.coalesce(F.col("interruption") == "zwischenfrage", F.lit(False))).alias("asks"))).alias("f")
+    pieces = F.array_sort(F.collect_list(F.struct("date", "position", "id", "text"))).alias("p")
+    speeches = p.groupBy("week", "rede_id", "person_id").agg(first, pieces).select(
+        "week", "rede_id", "person_id", F.col("f.id").alias("id"), F.col("f.date").alias("date"), names.display_name(F.col("f.speaker_name")).alias("speaker"), names.recoded_group(F.col("f.speaker_group")).alias("fraction"),
+        F.col("f.member_fraction").alias("member_fraction"), F.col("f.speaker_role").alias("role"), F.col("f.top_id").alias("top_id"), F.col("f.agenda_item_id").alias("agenda_item_id"), names.short_title(F.col("f.raw_title"), F.col("f.top_id")).alias("agenda_title"),
+        F.col("f.agenda_kind").alias("agenda_kind"), string_list(F.col("f.drucksache_numbers")).alias("drucksachen"), F.array_join(F.transform("p", lambda x: F.coalesce(x["text"], F.lit(""))), "\n\n").alias("text"), F.col("f.pdf_url").alias("pdf_url"), F.col("f.source_document_id").alias("source_document_id"),
+        F.transform("p", lambda x: x["id"]).alias("part_ids"), F.struct("f.date", "f.position").alias("start"), F.struct(F.element_at("p", -1)["date"].alias("date"), F.element_at("p", -1)["position"].alias("position")).alias("end"), F.col("f.asks").alias("zwischenfrage"),
+    )
+    speeches = speeches.join(held, ["week", "rede_id", "id"], "left").withColumn("paragraphs", F.coalesce("paragraphs", F.expr("CAST(array() AS array<struct<kind:string,text:string>>)")))
+    # targets of markers are in the same rede, which is a few speeches: what was dropped there is looked up within it
+    stays = kept(F.col("text"), F.col("zwischenfrage"), least)
+    gone = F.when(~stays, F.struct("id", F.struct("speaker", "fraction", "paragraphs").alias("value")))
+    speeches = speeches.withColumn("gone", F.collect_list(gone).over(Window.partitionBy("week", "rede_id")))
+    named = lambda g: F.exists("paragraphs", lambda x: x["kind"].isin(*MARKERS) & (x["text"] == g["id"]))
+    out = speeches.filter(stays).withColumn("linked", F.map_from_entries(F.filter("gone", named))).drop("gone")
+    return with_photo(out, photos).withColumns({"comments": n_comments(F.col("paragraphs")), "chars": F.length("text")})
+
+
 def with_photo(people: DataFrame, photos: DataFrame | None, key: str = "person_id") -> DataFrame:
     """`photo` and `photo_credit`; true for everyone without a photo table."""
     if photos is None:

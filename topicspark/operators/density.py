@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicspark.operators.neighbours import nearest
+from topicspark.sources.tables import stored
 
-CUTS = 12
+#: Distance cuts, at quantiles of the core distances that are off by a share of 1 / ACCURACY at most.
+CUTS, ACCURACY = 12, 10_000
 
 
 def reduced(rows: DataFrame, k: int = 5) -> DataFrame:
@@ -27,26 +29,31 @@ def layout(rows: DataFrame) -> DataFrame:
     """(id, x, y): centred principal coordinates scaled to unit length each (left singular vectors); each axis points so that its
     entry of largest size is positive."""
     flat = reduced(rows, 2).select("id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
-    m = flat.agg(F.avg("x").alias("mx"), F.avg("y").alias("my")).withColumn("one", F.lit(1))
-    c = flat.withColumn("one", F.lit(1)).join(m, "one").select("id", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
-    s = c.agg(*[F.sqrt(F.sum(F.col(a) * F.col(a))).alias(f"n{a}") for a in "xy"], *[F.signum(F.max_by(a, F.struct(F.abs(F.col(a)), F.col("id")))).alias(f"s{a}") for a in "xy"]).withColumn("one", F.lit(1))
-    return c.withColumn("one", F.lit(1)).join(s, "one").select("id", *[F.coalesce(F.col(a) * F.col(f"s{a}") / F.nullif(F.col(f"n{a}"), F.lit(0.0)), F.lit(0.0)).alias(a) for a in "xy"])
+    m = flat.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    c = flat.crossJoin(F.broadcast(m)).select("id", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
+    s = c.agg(*[F.sqrt(F.sum(F.col(a) * F.col(a))).alias(f"n{a}") for a in "xy"], *[F.signum(F.max_by(a, F.struct(F.abs(F.col(a)), F.col("id")))).alias(f"s{a}") for a in "xy"])
+    return c.crossJoin(F.broadcast(s)).select("id", *[F.coalesce(F.col(a) * F.col(f"s{a}") / F.nullif(F.col(f"n{a}"), F.lit(0.0)), F.lit(0.0)).alias(a) for a in "xy"])
 
 
-def _components(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, id, root) for the nodes of `edges` (keys, a, b), by min-label rounds cut by checkpoints."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
+def plane_map(rows: DataFrame, near: DataFrame, rounds: int = 3) -> DataFrame:
+    """(id, x, y) for display: principal coordinates, each point then moved half way to the mean of its nearest neighbours, so often.
+    `near` has id and near_id, over the rows of a map. Distances between clusters mean nothing."""
+    at = stored(layout(rows))
+    for _ in range(rounds):
+        mean = near.select("id", "near_id").join(at.select(F.col("id").alias("near_id"), "x", "y"), "near_id").groupBy("id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+        at = stored(at.join(mean, "id", "left").select("id", *[(F.col(a) + F.coalesce(f"m{a}", a)) / 2 for a in "xy"]).toDF("id", "x", "y"))
+    return at
+
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    both = edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = both.select(*keys, F.col("a").alias("id")).distinct().withColumn("root", F.col("id")).checkpoint()
+def _components(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, root) for the nodes of `edges` (keys, a, b), by min-label rounds, each written and read again."""
+    both = stored(edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = stored(both.select(*keys, F.col("a").alias("id")).distinct().withColumn("root", F.col("id")))
     while True:
         low = both.join(label.select(*keys, F.col("id").alias("b"), "root"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("id")).agg(F.min("root").alias("m"))
         hop = label.join(low, [*keys, "id"]).select(*keys, "id", F.least("root", "m").alias("root"), (F.col("m") < F.col("root")).alias("moved"))
         # one pointer jump halves long chains
-        jump = hop.join(hop.select(*keys, F.col("id").alias("root"), F.col("root").alias("up")), [*keys, "root"]).select(*keys, "id", F.least("root", "up").alias("root"), "moved").checkpoint()
+        jump = stored(hop.join(hop.select(*keys, F.col("id").alias("root"), F.col("root").alias("up")), [*keys, "root"]).select(*keys, "id", F.least("root", "up").alias("root"), "moved"))
         label = jump.drop("moved")
         if not jump.filter("moved").head(1):
             return label
@@ -59,15 +66,17 @@ def density_clusters(rows: DataFrame, least: int, keys: tuple[str, ...] = (), cu
     rows = rows.withColumn("__all", F.lit(0))
     keys = keys or ["__all"]
     many = rows.groupBy(*keys).count().filter(F.col("count") >= 2 * least).drop("count")
-    near = nearest(rows.join(many, keys, "left_semi"), rows, least, by="l2", keys=tuple(keys)).checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else nearest(rows.join(many, keys, "left_semi"), rows, least, by="l2", keys=tuple(keys)).cache()
+    own = rows.join(many, keys, "left_semi")
+    near = stored(nearest(own, own, least, by="l2", keys=tuple(k for k in keys if k != "__all")).withColumns({} if "__all" not in keys else {"__all": F.lit(0)}))
     core = near.groupBy(*keys, "id").agg(F.max("value").alias("core"))
     edges = near.join(core, [*keys, "id"]).join(core.select(*keys, F.col("id").alias("near_id"), F.col("core").alias("other")), [*keys, "near_id"])
     edges = edges.select(*keys, F.col("id").alias("a"), F.col("near_id").alias("b"), F.greatest("value", "core", "other").alias("reach"))
-    ladder = core.groupBy(*keys).agg(F.percentile("core", F.array(*[F.lit((c + 1) / cuts) for c in range(cuts)])).alias("eps")).select(*keys, F.posexplode("eps").alias("cut", "eps"))
+    ladder = core.groupBy(*keys).agg(F.percentile_approx("core", F.array(*[F.lit((c + 1) / cuts) for c in range(cuts)]), F.lit(ACCURACY)).alias("eps")).select(*keys, F.posexplode("eps").alias("cut", "eps"))
     within = edges.join(ladder, keys).filter(F.col("reach") <= F.col("eps")).select(*keys, "cut", "a", "b")
     label = _components(within, [*keys, "cut"])
     size = label.groupBy(*keys, "cut", "root").count().filter(F.col("count") >= least)
-    big = label.join(size.drop("count"), [*keys, "cut", "root"], "left_semi").checkpoint()
+    big = label.join(size.drop("count"), [*keys, "cut", "root"], "left_semi")
+    big = stored(big)
     # parent of a component: the one its points are in at the next cut; a leaf never holds two at any tighter cut
     up = big.select(*keys, F.col("cut"), F.col("root").alias("child"), "id").join(big.select(*keys, (F.col("cut") - 1).alias("cut"), "root", "id"), [*keys, "cut", "id"]).select(*keys, (F.col("cut") + 1).alias("cut"), "root", "cut", "child").toDF(*keys, "cut", "root", "below", "child").distinct()
     state = big.filter("cut = 0").select(*keys, "cut", "root").distinct().withColumn("leaf", F.col("root"))
@@ -75,10 +84,12 @@ def density_clusters(rows: DataFrame, least: int, keys: tuple[str, ...] = (), cu
     for cut in range(1, cuts):
         kids = up.filter(F.col("cut") == cut).join(done.filter(F.col("cut") == cut - 1).select(*keys, F.col("root").alias("child"), "leaf"), [*keys, "child"]).groupBy(*keys, "root").agg(F.collect_set("child").alias("c"), F.count_if(F.col("leaf").isNull()).alias("split"))
         here = every.filter(F.col("cut") == cut).join(kids, [*keys, "root"], "left")
-        done = done.union(here.select(*keys, "cut", "root", F.when((F.coalesce(F.size("c"), F.lit(0)) <= 1) & (F.coalesce("split", F.lit(0)) == 0), F.col("root")).alias("leaf"))).checkpoint()
+        done = stored(done.union(here.select(*keys, "cut", "root", F.when((F.coalesce(F.size("c"), F.lit(0)) <= 1) & (F.coalesce("split", F.lit(0)) == 0), F.col("root")).alias("leaf"))))
     points = big.join(done.filter("leaf IS NOT NULL"), [*keys, "cut", "root"]).groupBy(*keys, "id").agg(F.max(F.struct("cut", "root")).alias("best"))
     named = points.select(*keys, "id", F.col("best.root").alias("root"))
-    # the same leaf at its widest cut: label by the lowest id in it
-    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("root")) - 1
-    out = rows.select(*keys, "id").join(named.withColumn("cluster", rank).drop("root"), [*keys, "id"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+    # the same leaf at its widest cut: label by the lowest id in it; only the roots are numbered, a row for each cluster
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("root")) - 1
+    numbers = named.select(*keys, "root").distinct().withColumn("cluster", number)
+    named = named.join(numbers, [*keys, "root"]).drop("root")
+    out = rows.select(*keys, "id").join(named, [*keys, "id"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
     return out.drop("__all")

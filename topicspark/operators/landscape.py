@@ -6,11 +6,13 @@ fit in one row; tables of weeks are partitioned by week.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicspark.functions import names
-from topicspark.operators import density, neighbours, terms, themes
+from topicspark.operators import corpus, density, neighbours, terms, themes
 from topicspark.sources import tables
 
 WEEK_LEAST, PERIOD_LEAST = 8, 60
@@ -29,8 +31,8 @@ def term_lists(ranked: DataFrame, keys: list[str]) -> DataFrame:
 def week_model(rows: DataFrame, stopwords: list[str] = (), least: int = WEEK_LEAST, top: int = WEEK_TERMS) -> tuple[DataFrame, DataFrame]:
     """(week, id, cluster) and (week, cluster, n, terms, agenda) of all weeks in one job: clusters and vocabularies are each
     week's own; agenda is the commonest item of a cluster. Noise is cluster -1 and has no row in the second table."""
-    found = density.density_clusters(rows.select("week", "id", "vec"), least, keys=("week",))
-    full = rows.drop("vec").join(found, ["week", "id"])
+    found = tables.stored(density.density_clusters(rows.select("week", "id", "vec"), least, keys=("week",)))
+    full = rows.select("week", "id", "text", "agenda").join(found, ["week", "id"])
     listed = term_lists(terms.cluster_terms(_texts(full, "week"), stopwords, top, keys=("week",)), ["week", "cluster"])
     n = full.filter("cluster >= 0").groupBy("week", "cluster").agg(F.count("*").alias("n"))
     agenda = terms.majority(full.filter("cluster >= 0"), ["week", "cluster"], "agenda", "id").drop("n")
@@ -42,12 +44,13 @@ def period_model(rows: DataFrame, stopwords: list[str] = (), least: int = PERIOD
     """(id, week, theme) and (theme, n, terms, agendas): clusters of the reduced vectors, with noise rows given to the theme on
     which their nearest core rows agree. Themes are numbered by size and described after that; theme -1 is what stays noise."""
     space = density.reduced(rows.select("id", "vec"), dims).select("id", "vec")
-    found = density.density_clusters(space, least)
+    space = tables.stored(space)
+    found = tables.stored(density.density_clusters(space, least))
     core, noise = (space.join(found.filter(c), "id", "left_semi") for c in ("cluster >= 0", "cluster < 0"))
     near = neighbours.nearest(noise, core, themes.KNN, by="l2").select("id", "near_id")
     voted = themes.noise_vote(near.join(found.select(F.col("id").alias("near_id"), F.col("cluster").alias("theme")), "near_id"))
     settled = found.join(voted, "id", "left").select("id", F.coalesce("theme", "cluster").alias("cluster"))
-    full = rows.drop("vec").join(settled, "id")
+    full = tables.stored(rows.select("id", "week", "text", "agenda").join(settled, "id"))
     ranked = themes.ranked_themes(full)
     listed = term_lists(terms.cluster_terms(_texts(full), stopwords, top), ["cluster"])
     titles = themes.top_values(full.filter("cluster >= 0"), "cluster", "agenda", "id")
@@ -57,11 +60,15 @@ def period_model(rows: DataFrame, stopwords: list[str] = (), least: int = PERIOD
 
 
 def week_points(rows: DataFrame, clusters: DataFrame, layout: DataFrame, near: DataFrame) -> DataFrame:
-    """A row for each point of each week: the row's own columns but its text and vector, its cluster, place and similar ids. `near`
-    is the nearest neighbours within each week; points without any have an empty list."""
+    """A row for each point of each week: the row's own columns but its text and vector, its cluster, place and similar ids, and
+    `next`, the first speech after it, where rows have start and end. `near` is the nearest neighbours within each week; points
+    without any have an empty list."""
     similar = neighbours.neighbour_lists(near)
-    out = rows.drop("text", "vec").join(clusters, ["week", "id"]).join(layout, "id", "left").join(similar, "id", "left")
-    return out.withColumns({"x": F.round("x", 3), "y": F.round("y", 3), "similar": F.coalesce("near_ids", F.array().cast(dict(similar.dtypes)["near_ids"]))}).drop("near_ids")
+    own = rows.drop("text", "vec")
+    if {"start", "end"} <= set(own.columns):
+        own = corpus.following(own, ["week"])
+    out = own.join(clusters, ["week", "id"]).join(layout, "id", "left").join(similar, "id", "left")
+    return out.withColumns({"x": F.bround("x", 3), "y": F.bround("y", 3), "similar": F.coalesce("near_ids", F.array().cast(dict(similar.dtypes)["near_ids"]))}).drop("near_ids")
 
 
 def labelled_parts(assigned: DataFrame, described: DataFrame, parts: DataFrame, on: list[str], acronyms: list[str] = ()) -> DataFrame:
@@ -72,31 +79,39 @@ def labelled_parts(assigned: DataFrame, described: DataFrame, parts: DataFrame,
     return themes.expanded(kept.select("id", *on, "label"), parts).select("part_id", *on, "label")
 
 
-def rebuild(rows: DataFrame, parts: DataFrame, path: str, weeks: list[str] | None = None, overview: bool = True, *, stopwords: list[str] = (), acronyms: list[str] = (), least: tuple[int, int] = (WEEK_LEAST, PERIOD_LEAST), k: int = 5, floor: float = 0.88) -> None:
-    """Writes the tables below `path`: week_clusters and week_points of the chosen weeks (others stay as they are), and with
-    `overview` the period's model (taken up again if rows and parameters are as before), themes and speech_themes. Only a run
-    over all weeks replaces speech_neighbours."""
+def rebuild(rows: DataFrame, parts: DataFrame, path: str, weeks: list[str] | None = None, overview: bool = True, *, embed: Callable[[DataFrame], DataFrame] | None = None, encoder: str = "", stopwords: list[str] = (), acronyms: list[str] = (), stems: DataFrame | None = None, decisions: DataFrame | None = None, least: tuple[int, int] = (WEEK_LEAST, PERIOD_LEAST), k: int = 5, floor: float = 0.88, dims: int = 5) -> None:
+    """Writes the tables below `path`: week_clusters, week_points and (of `decisions` by agenda) week_decisions of the chosen weeks
+    (others stay as they are), and with `overview` the period's model (taken up again if rows and parameters are as before),
+    speech_themes and, with `stems`, the tables of `themes.overview`. Only a run over all weeks replaces speech_neighbours.
+
+    `embed` gives rows their vectors where they have none yet, and `encoder` is the key of what it computes."""
     spark = rows.sparkSession
-    chosen = rows if weeks is None else rows.filter(F.col("week").isin(weeks))
+    with_vectors = (lambda df: df) if embed is None or "vec" in rows.columns else embed
+    chosen = with_vectors(rows if weeks is None else rows.filter(F.col("week").isin(weeks)))
     found, clusters = week_model(chosen, stopwords, least[0])
-    near = neighbours.nearest(chosen.select("week", "id", "vec"), chosen.select("week", "id", "vec"), k, keys=("week",))
-    _write_weeks(week_points(chosen, found, density.layout(chosen.select("id", "vec")), near), f"{path}/week_points")
+    found = tables.stored(found)
+    near = tables.stored(neighbours.nearest(chosen.select("week", "id", "vec"), chosen.select("week", "id", "vec"), k, keys=("week",)))
+    _write_weeks(week_points(chosen, found, density.plane_map(chosen.select("id", "vec"), near), near), f"{path}/week_points")
     _write_weeks(clusters, f"{path}/week_clusters")
+    if decisions is not None:
+        items = chosen.select("week", F.col("agenda").alias("agenda_item_id")).distinct()
+        _write_weeks(items.join(decisions, "agenda_item_id"), f"{path}/week_decisions")
     if overview:
-        made: list[DataFrame] = []
-
-        def build(all_rows: DataFrame) -> DataFrame:
-            assigned, described = period_model(all_rows, stopwords, least[1])
-            made.append(described)
-            return assigned
-
-        assigned, changed = tables.build_if_changed(rows, {"least": least[1], "stopwords": list(stopwords)}, f"{path}/period", build)
-        if changed:
-            made[0].write.mode("overwrite").parquet(f"{path}/themes")
-        described = tables.read_table(spark, f"{path}/themes")
-        labelled_parts(assigned, described, parts, ["theme"], acronyms).write.mode("overwrite").parquet(f"{path}/speech_themes")
+
+        def build(all_rows: DataFrame) -> dict[str, DataFrame]:
+            assigned, described = period_model(with_vectors(all_rows), stopwords, least[1], dims=dims)
+            assigned = tables.stored(assigned)
+            return {"assigned": assigned, "themes": described}
+
+        params = {"least": least[1], "stopwords": sorted(stopwords), "encoder": encoder, "dims": dims, "terms": PERIOD_TERMS}
+        model, _ = tables.build_if_changed(rows, params, f"{path}/period", build)
+        labelled_parts(model["assigned"], model["themes"], parts, ["theme"], acronyms).write.mode("overwrite").parquet(f"{path}/speech_themes")
+        if stems is not None:
+            shown = themes.overview(model["assigned"], tables.read_table(spark, f"{path}/week_points"), model["themes"], stems)
+            for name, table in shown.items():
+                table.write.mode("overwrite").parquet(f"{path}/overview/{name}")
     if weeks is None:
-        v = rows.select("id", "vec", F.col("agenda").alias("grp"))
+        v = chosen.select("id", "vec", F.col("agenda").alias("grp"))
         lists = neighbours.neighbour_lists(neighbours.nearest(v, v, k, floor=floor))
         themes.expanded(lists, parts).select("part_id", "near_ids").write.mode("overwrite").parquet(f"{path}/speech_neighbours")
 

@@ -1,7 +1,8 @@
 """Nearest neighbours in vector columns, exact by blocks.
 
-Rows are dealt to blocks by a hash of the id; each pair of blocks (within a key, if one is given) is one task that multiplies two
-matrices and keeps the local best, and one shuffle by row merges these.
+Rows are dealt to blocks by a hash of the id, as many as the rows of their key ask for; each pair of blocks (within a key, if one is
+given) is one task that multiplies matrices tile by tile and keeps the local best, and one shuffle by row merges these. The work
+grows with the square of a key's rows, and what is shuffled with that over BLOCK: for sets too large for it, index the vectors.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+#: Rows of a block, rows of a tile, and rows of a key from which queries are dealt to more tasks.
+BLOCK, TILE, LEAST = 16384, 1024, 256
 
 
 def _matrix(column) -> np.ndarray:
@@ -19,41 +21,68 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
 
 
-def nearest(queries: DataFrame, stored: DataFrame, k: int, *, floor: float | None = None, by: str = "dot", keys: tuple[str, ...] = (), rows: int | None = None, block: int = BLOCK) -> DataFrame:
+def _best(value: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k largest finite values of each row; of equal ones the lower id."""
+    n = min(k, value.shape[1])
+    last = -np.partition(-value, n - 1, axis=1)[:, n - 1 : n]
+    row, col = np.nonzero((value >= last) & np.isfinite(value))
+    order = np.lexsort((ids[col], -value[row, col], row))
+    row, col = row[order], col[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep]
+
+
+def nearest(queries: DataFrame, stored: DataFrame, k: int, *, floor: float | None = None, by: str = "dot", keys: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
     """(keys, id, rank, near_id, value): the k nearest of `stored` to each row of `queries` (id, vec, and optionally grp).
 
     By inner product (`dot`, with an optional `floor`) or Euclidean distance (`l2`). A row is never its own neighbour, nor are
     rows of an equal, non-null grp. Rows of a key (a week, say) meet only rows of that key. Of equal values the lower id wins."""
-    parts = max(1, -(-(stored.count() if rows is None else rows) // block))
+    keys = list(keys)
     has_group = "grp" in queries.columns and "grp" in stored.columns
     cols = [*keys, "id", "vec", *(["grp"] if has_group else [])]
-    side = lambda df, tag, other: df.select(*cols, F.pmod(F.xxhash64("id"), F.lit(parts)).alias("__b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__o")).select(*cols, F.col("__b" if tag == 0 else "__o").alias("__q"), F.col("__o" if tag == 0 else "__b").alias("__s"), F.lit(tag).alias("__side"))
-    both = side(queries, 0, parts).unionByName(side(stored, 1, parts))
+    spread = queries.sparkSession.sparkContext.defaultParallelism
+    # blocks of each side of a key: (queries, stored); queries of a small key go to some more tasks
+    parts = lambda df, n: df.groupBy(*keys).agg(F.count("*").alias(n))
+    asked, held = F.col("asked"), F.col("held")
+    counts = parts(queries, "asked").join(parts(stored, "held"), keys) if keys else parts(queries, "asked").crossJoin(F.broadcast(parts(stored, "held")))
+    more = F.least(F.lit(spread), F.ceil(asked * held / F.lit(1 << 20)), F.ceil(asked / LEAST)) if not keys else F.lit(1)
+    dealt = counts.select(*keys, F.greatest(F.ceil(asked / block), more).alias("__nq"), F.ceil(held / block).alias("__ns"))
+
+    def side(df: DataFrame, tag: int) -> DataFrame:
+        own, other = ("__nq", "__ns") if tag == 0 else ("__ns", "__nq")
+        x = df.select(*cols).join(dealt, keys) if keys else df.select(*cols).crossJoin(F.broadcast(dealt))
+        x = x.withColumns({"__own": F.pmod(F.xxhash64("id"), F.col(own)), "__other": F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))})
+        q, s = ("__own", "__other") if tag == 0 else ("__other", "__own")
+        return x.select(*cols, F.col(q).alias("__q"), F.col(s).alias("__s"), F.lit(tag).alias("__side"))
+
+    both = side(queries, 0).unionByName(side(stored, 1))
     id_type, key_types = dict(queries.dtypes)["id"], dict(queries.dtypes)
 
     def pair(table: pa.Table) -> pa.Table:
         tag = table["__side"].to_numpy()
         q, s = table.filter(pa.array(tag == 0)), table.filter(pa.array(tag == 1))
-        names = [*keys, "id", "near_id", "value"]
-        if not q.num_rows or not s.num_rows:
-            return pa.table({n: table[n if n in keys else "id"].slice(0, 0) if n != "value" else pa.array([], pa.float64()) for n in names})
-        s = s.sort_by("id")
-        a, b = _matrix(q["vec"]), _matrix(s["vec"])
-        value = a @ b.T if by == "dot" else -np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
-        qi, si = q["id"].to_numpy(zero_copy_only=False), s["id"].to_numpy(zero_copy_only=False)
-        value[qi[:, None] == si] = -np.inf
-        if has_group:
-            qg, sg = (x["grp"].to_pandas() for x in (q, s))
-            value[(qg.to_numpy()[:, None] == sg.to_numpy()) & qg.notna().to_numpy()[:, None] & sg.notna().to_numpy()] = -np.inf
-        if floor is not None:
-            value[value < floor] = -np.inf
-        value = np.round(value, 12)
-        n = min(k, value.shape[1])
-        top = np.argsort(-value, axis=1, kind="stable")[:, :n]
-        row, col = np.nonzero(np.isfinite(np.take_along_axis(value, top, 1)))
-        col = top[row, col]
-        out = {name: q[name].take(pa.array(row)) for name in [*keys, "id"]}
-        return pa.table(out | {"near_id": s["id"].take(pa.array(col)), "value": pa.array(value[row, col] if by == "dot" else -value[row, col])})
+        found = {n: [] for n in [*keys, "id", "near_id", "value"]}
+        if q.num_rows and s.num_rows:
+            b, si = _matrix(s["vec"]), s["id"].to_numpy(zero_copy_only=False)
+            sg = s["grp"].to_pandas() if has_group else None
+            for at in range(0, q.num_rows, TILE):
+                own = q.slice(at, TILE)
+                a, qi = _matrix(own["vec"]), own["id"].to_numpy(zero_copy_only=False)
+                value = a @ b.T if by == "dot" else -np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
+                value[qi[:, None] == si] = -np.inf
+                if has_group:
+                    qg = own["grp"].to_pandas()
+                    value[(qg.to_numpy()[:, None] == sg.to_numpy()) & qg.notna().to_numpy()[:, None] & sg.notna().to_numpy()] = -np.inf
+                value = np.round(value, 12)
+                if floor is not None:
+                    value[value < floor] = -np.inf
+                row, col = _best(value, si, k)
+                for name in [*keys, "id"]:
+                    found[name].append(own[name].combine_chunks().take(pa.array(row)))
+                found["near_id"].append(s["id"].combine_chunks().take(pa.array(col)))
+                found["value"].append(pa.array(value[row, col] if by == "dot" else -value[row, col]))
+        types = {n: table[n if n in keys else "id"].type if n != "value" else pa.float64() for n in found}
+        return pa.table({n: pa.chunked_array(x, types[n]) for n, x in found.items()})
 
     schema = ", ".join([*[f"{c} {key_types[c]}" for c in keys], f"id {id_type}", f"near_id {id_type}", "value double"])
     found = both.groupBy(*keys, "__q", "__s").applyInArrow(pair, schema)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicspark.functions import names
+
 ACTIVE_SHARE, GAP, LOOKBACK, LISTED = 0.04, 4, 8, 12
 
 
 def dense(cells: DataFrame, themes: DataFrame, weeks: DataFrame, value: str) -> DataFrame:
     """A row for every theme and week, 0 where there is none. Themes and weeks are small tables of names."""
-    grid = themes.select("theme").distinct().join(F.broadcast(weeks.select("week", "week_idx").distinct()))
+    grid = themes.select("theme").distinct().crossJoin(F.broadcast(weeks.select("week", "week_idx").distinct()))
     return grid.join(cells.select("theme", "week", value), ["theme", "week"], "left").withColumn(value, F.coalesce(value, F.lit(0)))
 
 
@@ -23,13 +25,13 @@ def weekly_shares(rows: DataFrame, weeks: DataFrame, themes: DataFrame, amount:
 
 
 def episodes(shares: DataFrame, threshold: float | Column = ACTIVE_SHARE, gap: int = GAP, keys: tuple[str, ...] = ("theme",)) -> DataFrame:
-    """(keys, episode, start, end, peak, period_start): runs of active weeks, broken by `gap` or more inactive ones; the first is
+    """(keys, episode, start, end, peak, share, period_start): runs of active weeks, with the largest and the first week's share, broken by `gap` or more inactive ones; the first is
     at the period's start if it begins before the gap could be seen."""
     order = Window.partitionBy(*keys).orderBy("week_idx")
     active = shares.filter(F.col("share") >= threshold).withColumn("prev", F.lag("week_idx").over(order))
     new = (F.col("prev").isNull() | (F.col("week_idx") - F.col("prev") - 1 >= gap)).cast("int")
     marked = active.withColumn("episode", F.sum(new).over(order) - 1)
-    out = marked.groupBy(*keys, "episode").agg(F.min("week_idx").alias("start"), F.max("week_idx").alias("end"), F.max("share").alias("peak"))
+    out = marked.groupBy(*keys, "episode").agg(F.min("week_idx").alias("start"), F.max("week_idx").alias("end"), F.max("share").alias("peak"), F.min_by("share", "week_idx").alias("share"))
     return out.withColumn("period_start", (F.col("episode") == 0) & (F.col("start") < gap))
 
 
@@ -63,7 +65,7 @@ def per_originator(items: DataFrame) -> DataFrame:
 
 def lookback(found: DataFrame, rows: DataFrame, back: int = LOOKBACK, keys: tuple[str, ...] = ("theme", "episode")) -> DataFrame:
     """Rows of the `back` weeks before each episode: an equi-join on the week, each episode's range being `back` rows."""
-    spans = found.filter("NOT period_start").select(*[F.col(k).alias(f"of_{k}") for k in keys], F.explode(F.sequence(F.col("start") - back, F.col("start") - 1)).alias("week_idx"))
+    spans = found.filter("NOT period_start").select(*[F.col(k).alias(f"of_{k}") for k in keys], F.explode(F.sequence(F.greatest(F.col("start") - back, F.lit(0)), F.col("start") - 1)).alias("week_idx"))
     return spans.join(rows, "week_idx")
 
 
@@ -90,10 +92,39 @@ def formal(found: DataFrame, rows: DataFrame, main: DataFrame) -> DataFrame:
     return found.select("theme", "episode", F.col("start").alias("week_idx")).join(items, ["theme", "week_idx"]).select("theme", "episode", "agenda")
 
 
-def origins(shares: DataFrame, rows: DataFrame, threshold: float = ACTIVE_SHARE, gap: int = GAP, back: int = LOOKBACK) -> DataFrame:
-    """One row per theme with its episodes, each with its formal items and, unless at the period's start, unprompted mentions."""
+def formal_items(found: DataFrame, rows: DataFrame, main: DataFrame, agenda: DataFrame | None = None, papers: DataFrame | None = None) -> DataFrame:
+    """(theme, episode, agenda, title, date, originators, requested, papers): the formal items with who brought them: the fractions
+    that asked for a topical debate, then the initiators of the papers in their order, each once.
+
+    Title and date are those of the item's first row in that week. `agenda` has agenda, raw_title and numbers (array); an item that
+    it lacks has the row's own `numbers`, if there are any, and no raw title. `papers` has number and names, as `initiators` gives
+    them, and what else is to be shown; numbers that it lacks are left out."""
+    optional = {"title": "string", "date": "string", "numbers": "array<string>"}
+    rows = rows.withColumns({n: F.lit(None).cast(t) for n, t in optional.items() if n not in rows.columns})
+    first = rows.groupBy("week_idx", "agenda").agg(F.min_by(F.struct("title", "date", "numbers"), "id").alias("f"))
+    items = formal(found, rows, main).join(found.select("theme", "episode", F.col("start").alias("week_idx")), ["theme", "episode"]).join(first, ["week_idx", "agenda"])
+    raw = (rows.sparkSession.createDataFrame([], f"agenda {dict(rows.dtypes)['agenda']}, raw_title string, numbers array<string>") if agenda is None else agenda).select("agenda", F.struct("raw_title", "numbers").alias("raw"))
+    items = items.join(raw, "agenda", "left").select("theme", "episode", "agenda", "f.title", "f.date", names.requested_by(F.col("raw.raw_title")).alias("requested"), F.coalesce(F.when(F.col("raw").isNotNull(), F.coalesce("raw.numbers", F.array().cast("array<string>"))), "f.numbers", F.array().cast("array<string>")).alias("numbers"))
+    if papers is None:
+        papers = rows.sparkSession.createDataFrame([], "number string, names array<string>")
+    told = items.select("theme", "episode", "agenda", F.posexplode("numbers").alias("pos", "number")).join(papers.select("number", F.col("names").alias("originators"), *[c for c in papers.columns if c not in ("number", "names")]), "number")
+    each = told.groupBy("theme", "episode", "agenda").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct("number", *[c for c in told.columns if c not in ("theme", "episode", "agenda", "pos", "number")]).alias("paper")))), lambda x: x["paper"]).alias("papers"))
+    out = items.drop("numbers").join(each, ["theme", "episode", "agenda"], "left")
+    tabled = F.coalesce(F.flatten(F.transform("papers", lambda x: x["originators"])), F.array().cast("array<string>"))
+    return out.withColumn("originators", F.array_distinct(F.concat(F.coalesce("requested", F.array().cast("array<string>")), tabled)))
+
+
+def origins(shares: DataFrame, rows: DataFrame, threshold: float = ACTIVE_SHARE, gap: int = GAP, back: int = LOOKBACK, agenda: DataFrame | None = None, papers: DataFrame | None = None) -> DataFrame:
+    """One row per theme with its episodes, each with its formal items, how many each originator brought, and, unless at the
+    period's start, the unprompted mentions: per fraction, in all, and the first LISTED of them."""
     found, main = episodes(shares, threshold, gap), main_themes(rows)
-    items = formal(found, rows, main).groupBy("theme", "episode").agg(F.array_sort(F.collect_list("agenda")).alias("formal"))
-    said = unprompted(found, rows, main, back).groupBy("theme", "episode").agg(F.array_sort(F.collect_list(F.struct("fraction", "n", "of"))).alias("unprompted"))
-    each = found.join(items, ["theme", "episode"], "left").join(said, ["theme", "episode"], "left")
-    return each.groupBy("theme").agg(F.array_sort(F.collect_list(F.struct("episode", "start", "end", F.bround("peak", 3).alias("share"), "period_start", "formal", "unprompted"))).alias("episodes"))
+    brought = formal_items(found, rows, main, agenda, papers)
+    items = brought.groupBy("theme", "episode").agg(F.array_sort(F.collect_list(F.struct("agenda", "title", "date", "originators", "requested", "papers"))).alias("formal"))
+    by = brought.select("theme", "episode", F.explode("originators").alias("originator")).groupBy("theme", "episode", "originator").agg(F.count("*").alias("n"))
+    by = by.groupBy("theme", "episode").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "originator", "n"))), lambda x: F.struct(x["originator"].alias("originator"), x["n"].alias("n"))).alias("by_originator"))
+    said = unprompted(found, rows, main, back).groupBy("theme", "episode").agg(F.array_sort(F.collect_list(F.struct("fraction", "n", "of"))).alias("unprompted"), F.sum("n").alias("n_unprompted"))
+    listed = unprompted_listed(found, rows, main, back).groupBy("theme", "episode").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("listed"))
+    each = found
+    for more in (items, by, said, listed):
+        each = each.join(more, ["theme", "episode"], "left")
+    return each.groupBy("theme").agg(F.array_sort(F.collect_list(F.struct("episode", "start", "end", F.bround("share", 3).alias("share"), "period_start", "formal", "by_originator", "unprompted", F.when(~F.col("period_start"), F.coalesce("n_unprompted", F.lit(0))).alias("n_unprompted"), "listed"))).alias("episodes"))

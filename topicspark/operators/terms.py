@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicspark.functions.text import letter_words
+from topicspark.sources.tables import stored
 
 MIN_DF, MAX_SHARE = 2, 0.5
 
@@ -17,32 +18,52 @@ def default_stopwords(language: str = "german") -> list[str]:
     return StopWordsRemover.loadDefaultStopWords(language)
 
 
-def vocabulary(docs: DataFrame, stopwords: list[str] = (), min_df: int = MIN_DF, max_share: float = MAX_SHARE, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(keys, doc_id, term, n) of the terms kept, and (keys, term, df, n): letter words that aren't stop words, in at least `min_df`
-    texts and at most `max_share` of all (of a key's own, if keys are given). `docs` has keys, doc_id and text; ids are unique."""
+def term_counts(docs: DataFrame, stopwords: list[str] = (), keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, cluster, term, n, df): occurrences of the letter words that aren't stop words, and the texts with them. `docs` has
+    keys, cluster and text. A text's words are told apart within its row, so one shuffle of pre-aggregated counts does it."""
     spark = docs.sparkSession
-    counted = docs.select(*keys, "doc_id", F.explode(letter_words(F.col("text"))).alias("term")).groupBy(*keys, "doc_id", "term").agg(F.count("*").alias("n"))
+    words = letter_words(F.col("text"))
+    of = lambda w, n, df: F.transform(w, lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(df).alias("df")))
+    each = docs.select(*keys, "cluster", words.alias("w")).select(*keys, "cluster", F.explode(F.concat(of(F.col("w"), 1, 0), of(F.array_distinct("w"), 0, 1))).alias("x"))
+    counted = each.groupBy(*keys, "cluster", F.col("x.term").alias("term")).agg(F.sum("x.n").alias("n"), F.sum("x.df").alias("df"))
     if stopwords:
         counted = counted.join(F.broadcast(spark.createDataFrame([(w,) for w in sorted(set(stopwords))], "term string")), "term", "left_anti")
+    return counted.select(*keys, "cluster", "term", "n", "df")
+
+
+def _few(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """A hint for what is one row without keys; with keys its size isn't known."""
+    return df if keys else F.broadcast(df)
+
+
+def _kept_terms(counted: DataFrame, docs: DataFrame, min_df: int, max_share: float, keys: tuple[str, ...]) -> DataFrame:
     one = F.lit(1).alias("one")
     total = docs.select(*keys, one).groupBy(*keys, "one").agg(F.count("*").alias("total"))
-    terms = counted.groupBy(*keys, "term").agg(F.count("*").alias("df"), F.sum("n").alias("n")).select("*", one)
-    terms = terms.join(total, [*keys, "one"]).filter((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("total"))).select(*keys, "term", "df", "n")
-    return counted.join(terms.select(*keys, "term"), [*keys, "term"]).select(*keys, "doc_id", "term", "n"), terms
+    terms = counted.groupBy(*keys, "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).select("*", one)
+    terms = terms.join(_few(total, keys), [*keys, "one"])
+    return terms.filter((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("total"))).select(*keys, "term", "df", "n")
+
+
+def vocabulary(docs: DataFrame, stopwords: list[str] = (), min_df: int = MIN_DF, max_share: float = MAX_SHARE, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, term, df, n) of the terms kept: letter words that aren't stop words, in at least `min_df` texts and at most
+    `max_share` of all (of a key's own, if keys are given). `docs` has keys and text."""
+    counted = term_counts(docs.select(*keys, F.lit(0).alias("cluster"), "text"), stopwords, keys)
+    return _kept_terms(counted, docs, min_df, max_share, keys)
 
 
 def cluster_terms(docs: DataFrame, stopwords: list[str] = (), top: int = 4, min_df: int = MIN_DF, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, cluster, rank, term, score) of the `top` terms of each cluster by class-based TF-IDF, within each key if keys are
-    given. `docs` has keys, doc_id, text and cluster; cluster < 0 is noise, which counts in the global counts and the vocabulary
-    only."""
-    counted, terms = vocabulary(docs.select(*keys, "doc_id", "text"), stopwords, min_df, keys=keys)
-    of, one = docs.filter("cluster >= 0").select(*keys, "doc_id", "cluster"), F.lit(1).alias("one")
-    tf = counted.join(of, [*keys, "doc_id"]).groupBy(*keys, "cluster", "term").agg(F.sum("n").alias("n"))
-    size = tf.groupBy(*keys, "cluster").agg(F.sum("n").alias("size"))
-    clusters = of.select(*keys, "cluster", one).groupBy(*keys, "one").agg(F.countDistinct("cluster").alias("clusters"))
-    mean = size.select("*", one).groupBy(*keys, "one").agg(F.sum("size").alias("all")).join(clusters, [*keys, "one"]).select(*keys, "one", (F.col("all") / F.col("clusters")).alias("mean"))
-    idf = terms.select("*", one).join(mean, [*keys, "one"]).select(*keys, "term", F.log1p(F.col("mean") / F.greatest("n", F.lit(1))).alias("idf"))
-    scored = tf.join(size, [*keys, "cluster"]).join(idf, [*keys, "term"]).withColumn("score", F.round(F.col("n") / F.greatest("size", F.lit(1)) * F.col("idf"), 9))
+    given. `docs` has keys, text and cluster; cluster < 0 is noise, which counts in the global counts and the vocabulary only."""
+    counted = stored(term_counts(docs, stopwords, keys))
+    terms = _kept_terms(counted, docs, min_df, MAX_SHARE, keys)
+    one = F.lit(1).alias("one")
+    tf = counted.filter("cluster >= 0").select(*keys, "cluster", "term", F.col("n").alias("own")).join(terms, [*keys, "term"])
+    size = tf.groupBy(*keys, "cluster").agg(F.sum("own").alias("size"))
+    # clusters without a term of the vocabulary count as well
+    clusters = docs.filter("cluster >= 0").select(*keys, "cluster", one).groupBy(*keys, "one").agg(F.countDistinct("cluster").alias("clusters"))
+    mean = size.select("*", one).groupBy(*keys, "one").agg(F.sum("size").alias("all")).join(_few(clusters, keys), [*keys, "one"]).select(*keys, "one", (F.col("all") / F.col("clusters")).alias("mean"))
+    idf = F.log1p(F.col("mean") / F.greatest("n", F.lit(1)))
+    scored = tf.select("*", one).join(size, [*keys, "cluster"]).join(_few(mean, keys), [*keys, "one"]).withColumn("score", F.round(F.col("own") / F.greatest("size", F.lit(1)) * idf, 9))
     rank = F.row_number().over(Window.partitionBy(*keys, "cluster").orderBy(F.desc("score"), "term"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top).select(*keys, "cluster", "rank", "term", "score")
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicspark.functions.calendar import week_ordinals
+from topicspark.operators.terms import majority
+
 KNN, AGREE = 15, 0.5
 OTHER_AREA = "weitere"
 
@@ -47,7 +52,7 @@ def areas(terms: DataFrame, stems: DataFrame) -> DataFrame:
     n = F.max("rank").over(Window.partitionBy("theme")) + 1
     cut = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("term"), F.lit(1))), lambda k: F.substr("term", F.lit(1), k)))
     begun = terms.withColumn("gain", n - F.col("rank")).withColumn("stem", cut)
-    hits = begun.join(stems, "stem").select("theme", "term", "rank", "gain", "area", "area_order").distinct()
+    hits = begun.join(F.broadcast(stems), "stem").select("theme", "term", "rank", "gain", "area", "area_order").distinct()
     score = hits.groupBy("theme", "area", "area_order").agg(F.sum("gain").alias("score"))
     best = Window.partitionBy("theme").orderBy(F.desc("score"), "area_order")
     won = score.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("theme", "area")
@@ -79,3 +84,38 @@ def week_summary(rows: DataFrame, terms: DataFrame) -> DataFrame:
     n = rows.filter("cluster >= 0").groupBy("week", "cluster").agg(F.count("*").alias("n"))
     topics = n.join(terms, ["week", "cluster"]).groupBy("week").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "cluster", F.slice("terms", 1, 3).alias("t")))), lambda x: x["t"]).alias("topics"))
     return days.join(topics, "week", "left")
+
+
+def theme_of(rows: DataFrame, assigned: DataFrame) -> DataFrame:
+    """`rows` (week, id) with `theme`, that of `assigned` (week, id, theme) or else -1."""
+    return rows.join(assigned.select("week", "id", "theme"), ["week", "id"], "left").withColumn("theme", F.coalesce("theme", F.lit(-1)))
+
+
+def union_weeks(*tables: DataFrame) -> DataFrame:
+    """Distinct weeks of all tables with `week_idx` from 0."""
+    every = reduce(lambda a, b: a.union(b), [t.select("week").distinct() for t in tables])
+    return week_ordinals(every)
+
+
+def overview(assigned: DataFrame, points: DataFrame, described: DataFrame, stems: DataFrame) -> dict[str, DataFrame]:
+    """What an index of the period shows, as tables: `cells` (theme, week, week_idx, n, focus), dense over the weeks of the model
+    and of the built weeks, focus being the week's cluster that holds most of the cell's rows (null if none does; of equal ones
+    that seen first); `themes`, `described` with its area; `weeks` (week, week_idx, unassigned).
+
+    `assigned` has week, id and theme (-1 for none), `points` week, id and cluster, `described` theme, n and terms; `stems` is a
+    small table of the user's."""
+    weeks = union_weeks(assigned, points)
+    placed = assigned.filter("theme >= 0").select("week", "id", "theme").join(points.select("week", "id", "cluster"), ["week", "id"], "left")
+    n = placed.groupBy("theme", "week").agg(F.count("*").alias("n"))
+    grid = described.select("theme").distinct().crossJoin(F.broadcast(weeks))
+    focus = majority(placed, ["theme", "week"], "cluster", "id", F.col("cluster") >= 0).select("theme", "week", F.col("cluster").alias("focus"))
+    cells = grid.join(n, ["theme", "week"], "left").join(focus, ["theme", "week"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ranked = described.select("theme", F.posexplode("terms").alias("rank", "term"))
+    named = described.join(areas(ranked, stems), "theme", "left").withColumn("area", F.coalesce("area", F.lit(OTHER_AREA)))
+    return {"cells": cells, "themes": named, "weeks": weeks.join(unassigned(assigned, weeks), "week")}
+
+
+def index_tables(rows: DataFrame, week_clusters: DataFrame, shown: dict[str, DataFrame] | None = None, origins: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Tables of the index page: `summaries` of the built weeks, and the overview's tables and the origins where there are any.
+    `rows` has week, date and cluster, `week_clusters` week, cluster and terms."""
+    return {"summaries": week_summary(rows, week_clusters)} | (shown or {}) | ({"origins": origins} if shown and origins is not None else {})

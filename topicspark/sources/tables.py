@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +14,26 @@ from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 
+def shared_folder(spark: SparkSession, name: str = "topics") -> str:
+    """A new path below the folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a local session takes
+    a temporary folder of its own; a cluster has no folder that would do."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(top)
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read again, so that it is made once and outlives a lost executor."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """A Parquet table; FileNotFoundError that names the path if there is none."""
     try:
@@ -57,18 +81,32 @@ def write_mapping(df: DataFrame, path: str, key: str = "id") -> int:
 
 
 def fingerprint(rows: DataFrame, params: dict, key: str = "id", text: str = "text") -> DataFrame:
-    """(n, rows_hash, params_sha1): order-free over unique ids."""
-    row = F.xxhash64(F.col(key).cast("string"), F.sha1(F.coalesce(F.col(text), F.lit(""))))
-    return rows.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("rows_hash")).withColumn("params_sha1", F.sha1(F.lit(json.dumps(params, sort_keys=True))))
+    """(n, rows_hash, params_sha1): order-free over unique ids; a row's hash is the first 60 bits of the MD5 of its id and its
+    text's SHA-1."""
+    row = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.sha1(F.coalesce(F.col(text), F.lit("")))))
+    number = F.conv(F.substring(row, 1, 15), 16, 10).cast("long")
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(number), F.lit(0)).alias("rows_hash")).withColumn("params_sha1", F.sha1(F.lit(json.dumps(params, sort_keys=True))))
+
+
+FINGERPRINT = "n long, rows_hash long, params_sha1 string, model string"
+
 
+def build_if_changed(rows: DataFrame, params: dict, path: str, build: Callable[[DataFrame], dict[str, DataFrame]]) -> tuple[dict[str, DataFrame], bool]:
+    """The tables of the model at `path`, made anew by `build(rows)` unless rows and parameters are as before; and whether they
+    were. `params` should name all that the model depends on, the encoder's key included.
 
-def build_if_changed(rows: DataFrame, params: dict, path: str, build) -> tuple[DataFrame, bool]:
-    """The model at `path`, rebuilt by `build(rows)` unless rows and parameters are as before; and whether it was rebuilt."""
+    Tables go to a new folder each time; the fingerprint that names it is written when all of them are complete, so a run that
+    breaks off leaves the model before it in place."""
     spark = rows.sparkSession
-    now = fingerprint(rows, params)
-    before = read_optional(spark, f"{path}/fingerprint", "n long, rows_hash long, params_sha1 string")
-    if before.intersect(now).head(1):
-        return read_table(spark, f"{path}/model"), False
-    build(rows).write.mode("overwrite").parquet(f"{path}/model")
-    now.write.mode("overwrite").parquet(f"{path}/fingerprint")
-    return read_table(spark, f"{path}/model"), True
+    now = fingerprint(rows, params).head()
+    before = read_optional(spark, f"{path}/fingerprint", FINGERPRINT).head()
+    if before and tuple(before)[:3] == tuple(now):
+        names = read_table(spark, f"{path}/{before['model']}/_names", "name string")
+        return {r["name"]: read_table(spark, f"{path}/{before['model']}/{r['name']}") for r in names.collect()}, False
+    folder = f"model-{uuid.uuid4().hex}"
+    made = build(rows)
+    for name, table in made.items():
+        table.write.parquet(f"{path}/{folder}/{name}")
+    spark.createDataFrame([(name,) for name in made], "name string").coalesce(1).write.parquet(f"{path}/{folder}/_names")
+    spark.createDataFrame([(*now, folder)], FINGERPRINT).coalesce(1).write.mode("overwrite").parquet(f"{path}/fingerprint")
+    return {name: read_table(spark, f"{path}/{folder}/{name}") for name in made}, True

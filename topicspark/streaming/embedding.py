@@ -1,7 +1,7 @@
 """Embedding behind a content-addressed cache, in batches or over a stream of new files.
 
-An encoder loader gives (encode, count): `encode` takes a list of texts and returns a matrix of as many rows, `count` a text's
-tokens. It runs once per task, and only where a text misses the cache.
+An encoder loader gives `encode`, which takes a list of texts and returns a matrix of as many rows. It runs once per task, and only
+where a text misses the cache.
 """
 
 from __future__ import annotations
@@ -13,23 +13,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.functions.text import chunks, mean_vector, normalised
+from topicspark.functions.text import text_chunks
 from topicspark.sources.tables import read_optional
 
 CACHE = "key string, text_sha string, vector array<float>"
+#: Chunks encoded at once.
 BATCH = 256
 
 
 def hashing_encoder(size: int = 64):
-    """A loader that needs no model file: signed hashing of words."""
+    """A loader that needs no model file: signed hashing of words by their MD5."""
 
     def load():
+        places: dict[str, tuple[int, int]] = {}
+
+        def place(word: str) -> tuple[int, int]:
+            if len(places) > 1_000_000:
+                places.clear()
+            h = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+            places[word] = int(h[:8], 16) % size, 1 if int(h[8], 16) < 8 else -1
+            return places[word]
+
         def encode(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), size), np.float32)
             for row, text in enumerate(texts):
-                for w in text.lower().split():
-                    h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                    out[row, h % size] += 1 if h >> 63 else -1
+                found = [places.get(w) or place(w) for w in text.lower().split()]
+                if found:
+                    at, sign = zip(*found, strict=True)
+                    out[row] = np.bincount(at, weights=sign, minlength=size)
             return out
 
         return encode
@@ -37,45 +48,47 @@ def hashing_encoder(size: int = 64):
     return load
 
 
-def encoded(texts: DataFrame, load, prefix: str = "") -> DataFrame:
-    """`texts` with `vector`, the encoding of `prefix` and text."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=x.copy(), where=norm > 0)
 
-    def run(batches):
-        encode = None
-        for whole in batches:
-            for a in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(a, BATCH)
-                encode = encode or load()
-                made = np.asarray(encode([prefix + (t or "") for t in batch.column("text").to_pylist()]), np.float32)
-                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * made.shape[1], pa.int32()), pa.array(made.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, vectors], [*batch.schema.names, "vector"])
 
-    schema = ", ".join([*[f"{n} {t}" for n, t in texts.dtypes], "vector array<float>"])
-    return texts.mapInArrow(run, schema)
+def pooled(texts: DataFrame, load, most: int = 500, separator: str = "\n\n", prefix: str = "passage: ", count=None) -> DataFrame:
+    """(text_sha, vector): unit means of the chunks' unit vectors, cut, encoded and pooled in one pass. `texts` has text_sha and
+    text; `count` is a text's tokens (words by default)."""
+    count = count or (lambda t: len(t.split()))
 
+    def run(batches):
+        encode = None
+        for batch in batches:
+            encode = encode or load()
+            shas, cut, parts = batch.column("text_sha").to_pylist(), [0], []
+            for t in batch.column("text").to_pylist():
+                parts += text_chunks(t or "", most, separator, count)
+                cut.append(len(parts))
+            made = np.concatenate([_unit(np.asarray(encode([prefix + x for x in parts[a : a + BATCH]]), float)) for a in range(0, len(parts), BATCH)]) if parts else np.zeros((0, 1))
+            mean = np.add.reduceat(made, cut[:-1], axis=0) / np.diff(cut)[:, None] if shas else made
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(mean) + 1) * made.shape[1], pa.int32()), pa.array(_unit(mean).astype(np.float32).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(shas, pa.string()), vectors], ["text_sha", "vector"])
 
-def pooled(texts: DataFrame, load, size: int, most: int = 500, separator: str = "\n\n", prefix: str = "passage: ") -> DataFrame:
-    """(text_sha, vector): unit means of the chunks' vectors. `texts` has text_sha and text."""
-    parts = texts.select("text_sha", F.posexplode(chunks(F.col("text"), most, separator)).alias("pos", "text"))
-    each = encoded(parts, load, prefix).select("text_sha", "pos", normalised(F.col("vector")).alias("v"))
-    mean = each.groupBy("text_sha").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("vs"))
-    return mean.select("text_sha", F.transform(normalised(mean_vector(F.col("vs"), size)), lambda x: x.cast("float")).alias("vector"))
+    return texts.select("text_sha", "text").mapInArrow(run, "text_sha string, vector array<float>")
 
 
-def embed(rows: DataFrame, cache: str, key: str, load, size: int, **options) -> DataFrame:
+def embed(rows: DataFrame, cache: str, key: str, load, **options) -> DataFrame:
     """`rows` (id, text) with one unit `vector` each. Texts not in the cache under `key` are encoded once and appended to it."""
     spark = rows.sparkSession
     hashed = rows.withColumn("text_sha", F.sha1(F.coalesce("text", F.lit(""))))
     known = lambda: read_optional(spark, cache, CACHE).filter(F.col("key") == key)
-    missing = hashed.select("text_sha", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text_sha"]).join(known(), "text_sha", "left_anti")
-    pooled(missing, load, size, **options).select(F.lit(key).alias("key"), "text_sha", "vector").write.mode("append").partitionBy("key").parquet(cache)
+    # which texts are new is found by their hashes alone
+    missing = hashed.select("text_sha", F.coalesce("text", F.lit("")).alias("text")).join(known().select("text_sha"), "text_sha", "left_anti").dropDuplicates(["text_sha"])
+    pooled(missing, load, **options).select(F.lit(key).alias("key"), "text_sha", "vector").write.mode("append").partitionBy("key").parquet(cache)
     return hashed.join(known().select("text_sha", "vector").dropDuplicates(["text_sha"]), "text_sha").drop("text_sha")
 
 
-def embed_stream(stream: DataFrame, cache: str, key: str, load, size: int, checkpoint: str, **options):
+def embed_stream(stream: DataFrame, cache: str, key: str, load, checkpoint: str, **options):
     """Keep the cache filled from a stream of (id, text); no state is held, as the cache is addressed by content."""
 
     def batch(df: DataFrame, _: int) -> None:
-        embed(df, cache, key, load, size, **options)
+        embed(df, cache, key, load, **options)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
