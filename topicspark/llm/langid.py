@@ -18,15 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import crc_mod, slices, strings
+from topicspark.llm.common import crc_mod, looked_up, slices, strings
 
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 WINDOW = 192
 #: Texts that the network is fitted on, per language and in all, at most; of each, one window.
 FIT_TEXTS, FIT_ALL = 1500, 60_000
-#: Parts that a language's ids are ranked in before the best of them are ranked together.
-SALTS = 64
 BATCH, EPOCHS = 64, 6
 
 
@@ -125,15 +123,17 @@ def train_network(texts: list[str], labels: list[str], seed: int = 7) -> ByteNet
 
 def train_langid(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> ByteNetwork | None:
     """Fit on `docs` (doc_id, text, lang): of each language the `fit_texts` documents with letters that come first by a hash of
-    the id (fewer each, if there are so many languages that they would be over FIT_ALL). Only ids are ranked, a part of a language's
-    at a time and then the best of all parts; the few texts chosen follow."""
+    the id (fewer each, if there are so many languages that they would be over FIT_ALL). Only ids are ranked, and
+    only about twice as many as are taken; the few texts chosen follow."""
     languages = docs.agg(F.countDistinct("lang")).head()[0]
     fit_texts = min(fit_texts, max(1, FIT_ALL // max(1, languages)))
     fit = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ids = fit.select("doc_id", "lang", F.xxhash64("doc_id").alias("place"), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(SALTS)).alias("salt"))
-    for keys in (("lang", "salt"), ("lang",)):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("place", "doc_id"))
-        ids = ids.withColumn("rank", rank).filter(F.col("rank") <= fit_texts).drop("rank")
+    # ids whose hash is in the part of its range where twice as many as wanted lie; few are ranked, and languages of fewer in whole
+    ids = fit.select("doc_id", "lang", F.xxhash64("doc_id").alias("place"))
+    ids = looked_up(ids, ids.groupBy("lang").agg(F.count("*").alias("n")), ["lang"], F.col("place"))
+    ids = ids.filter(F.col("place") / F.lit(2.0**64) + 0.5 <= 2 * fit_texts / F.col("n")).drop("n")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    ids = ids.withColumn("rank", rank).filter(F.col("rank") <= fit_texts)
     ids = ids.select("doc_id", "lang").distinct()
     # a cut of this length from a seeded place is all that training looks at
     cut = F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1, WINDOW + 8)
