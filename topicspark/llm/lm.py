@@ -12,7 +12,7 @@ hashes (any two of a hundred million words are equal with odds of 3 in 10,000),
 
 Words are `[^\\x20\\x09-\\x0D]+`, lower-cased in A-Z. Edge cases: null and empty texts have no tokens and score 0; without target
 documents the target model is uniform over the vocabulary; a text of any length is read whole; labels may repeat (the largest
-counts).
+counts); rows that repeat an id are counted and scored row by row; other columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations

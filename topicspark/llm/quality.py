@@ -5,7 +5,8 @@ a document's score is the mean log ratio of its n-grams. The threshold separates
 wrongly dropped good document counting GOOD_COST times.
 
 Edge cases: null and empty texts have no words and fail the base rules; a text of any length is read whole; labels may repeat
-(the largest counts); with no trusted or no bad document there is no threshold, so the base rules decide alone.
+(the largest counts); with no trusted or no bad document there is no threshold, so the base rules decide alone; rows that repeat an
+id are judged row by row; a score right at the threshold is kept; other columns are left alone or out; an empty table gives no rows.
 """
 
 from __future__ import annotations
