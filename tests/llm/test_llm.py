@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tests.compare import oracle_rows, query_rows
 from topicspark.llm import ann, bpe, langid, lm, mixing, quality, simhash, tokenfile, toxicity, urlrules
 from topicspark.llm import queries as registered
+from topicspark.llm.common import added_pieces
 
 SF = "/root/testdata/sf0.001"
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
@@ -78,6 +79,100 @@ def test_toxicity_without_labels(spark, odd, labels):
     assert {r["predicted"] for r in got} == {0}
 
 
+def test_toxicity_equals_brute_force(spark):
+    """Ratios and scores anew from the n-grams as strings; each is found in its bucket by itself."""
+    texts = ["you idiot", "idiot idiot go", "Good Day to all", "a good day\tit is", "ein guter Tag", "du Idiot!", "x", ""]
+    toxic = [1, 1, 0, 0, 0, 1, 0, 1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame([(i, 1, y) for i, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    model = toxicity.train_toxicity(docs, known, features=200)
+
+    def buckets(text):
+        low = "".join(" " if "\t" <= c <= "\r" else c for c in text.lower())
+        grams = {low[k : k + n] for n in (3, 4, 5) for k in range(len(low) - n + 1)}
+        return {int(b[0]) for g in grams for _, b in toxicity.ngram_buckets(pa.array([g]))[-1:]}
+
+    found, n1, n0 = [buckets(t) for t in texts], sum(toxic), len(toxic) - sum(toxic)
+    yes, no = (Counter(b for f, y in zip(found, toxic, strict=True) if y == want for b in f) for want in (1, 0))
+    ratio = {b: np.log((yes[b] + 1) / (n1 + 2)) - np.log((no[b] + 1) / (n0 + 2)) for f in found for b in f}
+    used = set(np.flatnonzero(model.weights).tolist())
+    assert used and used <= set(ratio)
+    # the weight's sign is the ratio's wherever the regression kept to the side that the counts are on
+    assert np.mean([(model.weights[b] > 0) == (ratio[b] > 0) for b in used]) > 0.8
+    want = [1 / (1 + np.exp(-(model.bias + sum(model.weights[b] for b in f)))) for f in found]
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_score(docs, model).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=1e-9)
+    sums = toxicity._frequencies([pa.record_batch([pa.array(toxic, pa.int32()), pa.array(texts)], ["label", "text"])])
+    size = 1 << toxicity.BITS
+    assert {b: int(sums[size + b]) for b in ratio} == {b: yes[b] for b in ratio} and {b: int(sums[b]) for b in ratio} == {b: no[b] for b in ratio}
+    assert sums[2 * size :].tolist() == [n0, n1]
+
+
+def test_networks_forward_pass(spark):
+    """The batched network against one filter, one place at a time."""
+    net = langid.train_network(["le chat dort bien", "the cat is asleep", "la maison est là", "a house is there"] * 10, ["fr", "en"] * 20)
+    text = "étrange chat"
+    raw = text.encode()
+    window = raw + b" " * (langid.WINDOW + 3 - len(raw))
+    pooled = []
+    for w in langid.WIDTHS:
+        for f in range(langid.FILTERS):
+            pooled.append(max(sum(float(net.taps[w][j][window[at + j]][f]) for j in range(w)) for at in range(langid.WINDOW)))
+    h = [max(0.0, p + float(s)) for p, s in zip(pooled, net.shift, strict=True)]
+    logits = [sum(h[k] * float(net.out[k][c]) for k in range(len(h))) + float(net.bias[c]) for c in range(2)]
+    want = [np.exp(x) / sum(np.exp(logits)) for x in logits]
+    got = langid.identified(spark.createDataFrame([(1, text)], "doc_id long, text string"), net).head()
+    assert got["lang_pred"] == net.langs[int(np.argmax(want))] and got["score"] == pytest.approx(max(want), abs=1e-4)
+
+
+def test_quality_ratio_and_threshold_equal_brute_force(spark):
+    docs, known = docs_of(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    text, quality_of = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}, {r["doc_id"]: r["quality"] for r in known.collect()}
+    bucket = lambda g: (g[0] << 16 | g[1] << 8 | g[2]) * 0x9E3779B1 % 2**32 >> 32 - quality.BITS
+    grams = {i: [bucket(t[k : k + 3]) for k in range(len(t) - 2)] for i, t in text.items()}
+    raw, trusted = Counter(b for g in grams.values() for b in g), Counter(b for i, g in grams.items() if quality_of.get(i) == 1 for b in g)
+    size = 1 << quality.BITS
+    ratio = {b: np.float32(np.log((trusted[b] + 0.5) / (trusted.total() + 0.5 * size)) - np.log((raw[b] + 0.5) / (raw.total() + 0.5 * size))) for b in raw}
+    score = {i: float(np.mean([ratio[b] for b in g])) if g else 0.0 for i, g in grams.items()}
+    got = {r["doc_id"]: r for r in quality.op10_quality(docs, known).collect()}
+    assert all(got[i]["score"] == pytest.approx(score[i], abs=1e-5) for i in text)
+    threshold = quality.train_quality(docs.select("doc_id", "text"), known).threshold
+    cost = lambda t: sum(got[i]["score"] < t if q == 0 else -quality.GOOD_COST * (got[i]["score"] < t) for i, q in quality_of.items() if i in got)
+    edges = [np.floor(got[i]["score"] / quality.BIN) * quality.BIN + quality.BIN for i in quality_of if i in got]
+    assert cost(threshold) == max([0, *map(cost, edges)])
+    assert all(r["kept"] == (not r["base_failed"] and r["score"] >= threshold) for r in got.values())
+
+
+def test_sums_of_many_parts(spark):
+    parts, piece = 10_000, 4
+    made = spark.range(parts).selectExpr("cast(id % 2 as int) AS piece", "cast(id as int) AS part").mapInPandas(lambda it: (f.assign(sums=[np.full(piece, k, "<i8").tobytes() for k in f["part"]]) for f in it), "piece int, part int, sums binary")
+    got = {r["piece"]: np.frombuffer(r["sums"], "<i8").tolist() for r in added_pieces(made, parts, piece).collect()}
+    assert got == {p: [sum(range(p, parts, 2))] * piece for p in (0, 1)}
+
+
+def test_lm_counts_over_32_bits():
+    """Words and pairs seen more than 2^31 times keep their counts."""
+    big = 3_000_000_000
+    key = np.array([5, 9], np.uint64)
+    body = lm._packed(key, np.array([big, 1], np.int64), np.array([big - 1, 0], np.int64))
+    answer = lm._count_pairs(pa.table({"chunk": [0, 1], "bucket": pa.array([0, 0], pa.int32()), "body": pa.array([body, body], pa.binary())}))
+    n, t = lm._unpacked(answer["body"][0].as_py(), "i8", "i8")
+    assert n.tolist() == [2 * big, 2] and t.tolist() == [2 * (big - 1), 0]
+
+
+def test_empty_and_filtered_tables(spark, odd, labels):
+    none, path = odd.limit(0), P.path("byte_bpe_50k.tiktoken")
+    for made in (toxicity.op2_toxicity(none, labels), lm.op3_lm(none, labels), langid.op4_langid(none), quality.op10_quality(none, labels), bpe.op8_bpe(none, path, P.PATTERN)):
+        assert made.count() == 0
+    # stages keep the columns, and repeated rows and rows without an id stand or fall by their text
+    for stage in (lambda d: toxicity.clean_documents(d, labels), lambda d: quality.good_documents(d, labels)):
+        assert stage(none).count() == 0
+        kept = stage(odd.union(odd))
+        assert kept.columns == odd.columns
+        counts = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+        assert all(n % 2 == 0 for n in counts.values())
+
+
 def test_langid(spark, odd):
     got = {r["doc_id"]: r for r in langid.op4_langid(odd).collect()}
     for i, t in enumerate(ODD):
