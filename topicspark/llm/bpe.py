@@ -4,16 +4,18 @@ A batch of texts is cut before each space that begins a word, which no match of
 chunks are split by the pattern, and their distinct pieces are bucketed by length into padded matrices of byte ids. Each round,
 every row merges its leftmost pair of minimum rank: pairs are looked up in an open-addressing hash table, the merged column is
 compacted away, and rows without a pair left leave the matrix. Equal chunks and pieces are found by 64-bit hashes; as every
-batch is decoded again and compared with its bytes, a collision can't pass unseen.
+batch is decoded again and compared with its bytes, a collision can't pass unseen. A piece of over LONG bytes, whose row each round
+would move, takes the same merges in the same order from a heap.
 
-Edge cases: null and empty texts have no ids; text of any length is read whole; a piece of any length is encoded (one row alone
-if it is very long).
+Edge cases: null and empty texts have no ids; text and pieces of any length are encoded whole; rows that repeat an id are encoded
+row by row; other columns are left alone or out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from topicspark.llm.common import slices, span_hashes, strings
 
 #: Numbers in a matrix, and bytes of text encoded at once, at most (a longer text is encoded alone).
 CELLS, TEXT_BYTES = 1 << 20, 1 << 22
+#: Bytes of a piece from which it isn't a row of a matrix.
+LONG = 2048
 NONE = np.int32(2**31 - 1)
 
 #: Bytes that, after a space, surely begin no white space: printable ASCII, and lead bytes whose characters include none.
@@ -96,7 +100,7 @@ class Tokenizer:
         for token, rank in ranks.items():
             if len(token) == 1:
                 self.single[token[0]] = rank
-        self.pairs = PairTable(ranks)
+        self.pairs, self.joined = PairTable(ranks), {}
         token_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             token_of[rank] = token
@@ -110,7 +114,10 @@ class Tokenizer:
     def encode_pieces(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each non-empty piece of `data`: flat, and each piece's number of ids."""
         order = np.argsort(sizes, kind="stable")
-        ranked, made, first = sizes[order], [], 0
+        ranked, first = sizes[order], 0
+        long = order[np.searchsorted(ranked, LONG, side="right") :]
+        made = [(np.array([k]), self._merged_long(data[starts[k] : starts[k] + sizes[k]])[None]) for k in long]
+        order = order[: len(order) - len(long)]
         # buckets: lengths up to the next power of two, in matrices of bounded size
         while first < len(order):
             width = max(4, 1 << int(ranked[first] - 1).bit_length())
@@ -158,6 +165,33 @@ class Tokenizer:
                 ids, ranks = ids[:, :used], ranks[:, : max(0, used - 1)]
         return made
 
+    def _merged_long(self, piece: np.ndarray) -> np.ndarray:
+        """Ids of one piece: the leftmost pair of minimum rank is next in a heap of (rank, place)."""
+        if not self.joined:
+            held = np.flatnonzero(self.pairs.ranks != NONE)
+            self.joined = dict(zip(self.pairs.keys[held].tolist(), self.pairs.ranks[held].tolist(), strict=True))
+        row = self.single[piece]
+        first = self.pairs(row[:-1], row[1:])
+        ids, n, none = row.tolist(), len(row), int(NONE)
+        before, after, rank = list(range(-1, n - 1)), list(range(1, n + 1)), [*first.tolist(), none]
+        heap = [(r, k) for k, r in enumerate(rank) if r != none]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            if rank[k] != r:
+                continue
+            gone = after[k]
+            ids[k], ids[gone], rank[gone] = r, -1, none
+            after[k] = right = after[gone]
+            if right < n:
+                before[right] = k
+            for at, other in ((before[k], k), (k, right)):
+                if at >= 0:
+                    rank[at] = new = self.joined.get(ids[at] << 32 | ids[other], none) if other < n else none
+                    if new != none:
+                        heapq.heappush(heap, (new, at))
+        return np.array([x for x in ids if x >= 0], np.int32)
+
     def _pieces(self, text: str) -> list[int]:
         return list(map(len, self.pattern.findall(text)))
 
