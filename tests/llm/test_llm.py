@@ -377,6 +377,24 @@ def test_bpe_spaces():
         assert ids[a:b].tolist() == enc.encode_ordinary(t)
 
 
+def test_bpe_of_long_pieces():
+    import time
+
+    import tiktoken
+
+    lines = open(P.path("byte_bpe_50k.tiktoken"), "rb").read()
+    tok = bpe.Tokenizer.from_lines(lines, P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={__import__("base64").b64decode(x): int(y) for x, y in map(bytes.split, lines.splitlines())}, special_tokens={})
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzAEIOU"), n)) for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 20_000)] + ["ab" * 3000, "a" * 5001, "é" * 4000, " " * 9000 + "x"]
+    ids, cut = tok.encode(pa.array(texts))
+    for t, a, b in zip(texts, cut[:-1], cut[1:], strict=True):
+        assert ids[a:b].tolist() == enc.encode_ordinary(t)
+    began = time.time()
+    ids, _ = tok.encode(pa.array(["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 1_000_000))]))
+    assert time.time() - began < 60 and len(tok.decode(ids)) == 1_000_000
+
+
 def test_token_file(spark, odd):
     from tokenizers import Tokenizer
 
