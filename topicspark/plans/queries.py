@@ -117,7 +117,7 @@ r AS (SELECT doc_id, i, 0 AS pos, words AS n FROM p WHERE i = 1
 UNION ALL SELECT p.doc_id, p.i, CASE WHEN n + words <= 100 THEN pos ELSE pos + 1 END, CASE WHEN n + words <= 100 THEN n + words ELSE words END FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1)
 SELECT doc_id, pos, string_agg(part, chr(10) ORDER BY i) AS chunk FROM r JOIN p USING (doc_id, i) GROUP BY 1, 2""")
 def f1_chunks(spark, d):
-    return T(spark, d, "documents").select("doc_id", F.posexplode(text.chunks(F.col("text"), 100, "\n")).alias("pos", "chunk"))
+    return tables.spread(T(spark, d, "documents")).select("doc_id", F.posexplode(text.chunks(F.col("text"), 100, "\n")).alias("pos", "chunk"))
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings")
@@ -322,7 +322,7 @@ def j6_j7_u1_decisions(spark, d):
 def topic_docs(spark, d):
     """All documents, those without a vector as noise."""
     e = T(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("int").alias("cluster"))
-    return T(spark, d, "documents").join(e, "doc_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+    return tables.spread(T(spark, d, "documents")).join(e, "doc_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
 
 
 TOPICS = "t AS (SELECT doc_id, text, source, lang, coalesce(CAST(label AS INTEGER), -1) AS cluster FROM documents LEFT JOIN embeddings ON vec_id = doc_id)"
@@ -338,7 +338,7 @@ k AS (SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY scor
 
 @query(f"WITH {VOCABULARY} SELECT term, df, n FROM v")
 def a5_vocabulary(spark, d):
-    return terms.vocabulary(T(spark, d, "documents"), STOPWORDS)
+    return terms.vocabulary(tables.spread(T(spark, d, "documents")), STOPWORDS)
 
 
 @query(f"WITH {CTFIDF} SELECT cluster, rank, term, round(score, 6) AS score FROM k WHERE rank <= 4")
@@ -782,7 +782,7 @@ u AS (SELECT doc_id, pos, dim, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id, po
 m AS (SELECT doc_id, dim, sum(x) / any_value(k) AS x FROM u JOIN (SELECT doc_id, count(*) AS k FROM c GROUP BY 1) USING (doc_id) GROUP BY 1, 2)
 SELECT doc_id, dim, round(CAST(CAST(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 5) AS value FROM m QUALIFY abs(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id))) > 0.00001""")
 def m1_a4_embed(spark, d):
-    rows = T(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = tables.spread(T(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
     made = embedding.embed(rows, tables.shared_folder(spark, "cache"), "hashing@100", embedding.hashing_encoder(), most=100, separator="\n")
     each = made.select(F.col("id").alias("doc_id"), F.posexplode("vector").alias("dim", "x")).filter("abs(x) > 0.00001")
     return each.select("doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("x").cast("double"), 5).alias("value"))

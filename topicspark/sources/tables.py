@@ -44,6 +44,14 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
         raise
 
 
+def spread(df: DataFrame, most_bytes: int = 1 << 26) -> DataFrame:
+    """A table of up to `most_bytes` a core, which may lie in fewer files than there are cores, dealt to all of them; a larger one as
+    it is. For scans ahead of work on whole texts."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= most_bytes * cores else df
+
+
 def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table, or an empty one of that schema."""
     try:
