@@ -164,11 +164,15 @@ def sum_per_row(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return total[ends] - total[starts]
 
 
+#: Pieces that one group adds, and rounds of that: enough for the pieces of ADDED ** ROUNDS tasks (16 million).
+ADDED, ROUNDS = 256, 3
+
+
 def summed_arrays(df: DataFrame, counts: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, piece: int = 1 << 14) -> np.ndarray:
     """Sum over all partitions of the count array of `size` that `counts` makes of a partition's batches.
 
-    Each task sends its array in pieces. Pieces are added in rounds, ADDED of them at a time, until one is left of each; only that
-    sum, of fixed size, reaches the driver."""
+    Each task sends its array in pieces, which are added in rounds of ADDED at a time, so no task holds more than so many of one
+    piece. Only the sum, of fixed size, reaches the driver."""
 
     def partial(batches):
         found = counts(batches)
@@ -177,19 +181,14 @@ def summed_arrays(df: DataFrame, counts: Callable[[Iterator[pa.RecordBatch]], np
             if found[k : k + piece].any():
                 yield pa.RecordBatch.from_pydict({"piece": pa.array([k // piece], pa.int32()), "part": pa.array([part], pa.int32()), "sums": pa.array([found[k : k + piece].astype("<i8").tobytes()], pa.binary())})
 
-    pieces = written(df.mapInArrow(partial, "piece int, part int, sums binary"))
     out = np.zeros(size + piece, np.int64)
-    for row in added_pieces(pieces, 1 + (pieces.agg(F.max("part")).head()[0] or 0), piece).collect():
+    for row in added_pieces(df.mapInArrow(partial, "piece int, part int, sums binary"), piece).collect():
         out[row["piece"] * piece : (row["piece"] + 1) * piece] = np.frombuffer(row["sums"], "<i8")
     return out[:size]
 
 
-#: Pieces that one group adds.
-ADDED = 64
-
-
-def added_pieces(pieces: DataFrame, parts: int, piece: int) -> DataFrame:
-    """(piece, part, sums) with one row for each piece: `part` (under `parts`) is divided by ADDED until only 0 is left."""
+def added_pieces(pieces: DataFrame, piece: int) -> DataFrame:
+    """(piece, part, sums) with one row for each piece: `part` is divided by ADDED in every round."""
 
     def add(frame):
         total = np.zeros(piece, np.int64)
@@ -198,8 +197,6 @@ def added_pieces(pieces: DataFrame, parts: int, piece: int) -> DataFrame:
             total[: len(own)] += own
         return frame[["piece", "part"]].head(1).assign(sums=[total.tobytes()])
 
-    while True:
+    for _ in range(ROUNDS):
         pieces = pieces.withColumn("part", F.floor(F.col("part") / ADDED).cast("int")).groupBy("piece", "part").applyInPandas(add, "piece int, part int, sums binary")
-        parts = -(-parts // ADDED)
-        if parts <= 1:
-            return pieces
+    return pieces
