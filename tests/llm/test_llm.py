@@ -144,9 +144,9 @@ def test_quality_ratio_and_threshold_equal_brute_force(spark):
 
 
 def test_sums_of_many_parts(spark):
-    parts, piece = 10_000, 4
+    parts, piece = 100_000, 4
     made = spark.range(parts).selectExpr("cast(id % 2 as int) AS piece", "cast(id as int) AS part").mapInPandas(lambda it: (f.assign(sums=[np.full(piece, k, "<i8").tobytes() for k in f["part"]]) for f in it), "piece int, part int, sums binary")
-    got = {r["piece"]: np.frombuffer(r["sums"], "<i8").tolist() for r in added_pieces(made, parts, piece).collect()}
+    got = {r["piece"]: np.frombuffer(r["sums"], "<i8").tolist() for r in added_pieces(made, piece).collect()}
     assert got == {p: [sum(range(p, parts, 2))] * piece for p in (0, 1)}
 
 
