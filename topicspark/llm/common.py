@@ -52,14 +52,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def clear_shared(spark: SparkSession) -> int:
-    """Removes what this session's operators have written to the shared folder, and says how many folders; for when their results
-    have been stored."""
-    paths = _made.pop(spark.sparkContext.applicationId, [])
+def made_folders(spark: SparkSession) -> list[str]:
+    """The paths that this session has got from `shared_dir` so far."""
+    return list(_made.get(spark.sparkContext.applicationId, []))
+
+
+def clear_shared(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Removes what this session's operators have written to the shared folder (or the given paths of it), for when what was made
+    of it has been stored."""
+    paths = made_folders(spark) if paths is None else paths
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    return len(paths)
+    _made[spark.sparkContext.applicationId] = [p for p in made_folders(spark) if p not in set(paths)]
 
 
 def written(df: DataFrame) -> DataFrame:
