@@ -38,7 +38,18 @@ def test_period_model(period):
 
 def test_rebuild_keeps_other_weeks(spark, period, parts, tmp_path):
     path = str(tmp_path / "out")
-    landscape.rebuild(period, parts, path, least=(5, 10), floor=0.0)
+    # rows get their vectors from a step of the user's
+    vectors = period.select("id", "vec")
+    decisions = spark.createDataFrame([("top0", "angenommen"), ("top9", "abgelehnt")], "agenda_item_id string, result string")
+    stems = spark.createDataFrame([("klima", 0, "klim"), ("soziales", 1, "rent")], "area string, area_order int, stem string")
+    spoken = period.drop("vec").withColumns({c: F.struct(F.lit("d").alias("date"), F.col("id").alias("position")) for c in ("start", "end")})
+    landscape.rebuild(spoken, parts, path, embed=lambda df: df.join(vectors, "id"), encoder="test", decisions=decisions, stems=stems, least=(5, 10), floor=0.0)
+    following = {r["id"]: r["next"] for r in tables.read_table(spark, f"{path}/week_points").collect()}
+    assert following[0] == 1 and following[19] == 30 and following[79] is None and following[20] == 21
+    assert {(r["week"], r["result"]) for r in tables.read_weeks(spark, f"{path}/week_decisions", form="parquet").collect()} == {("2026-W01", "angenommen"), ("2026-W02", "angenommen")}
+    cells = {(r["theme"], r["week"]): r["n"] for r in tables.read_table(spark, f"{path}/overview/cells").collect()}
+    assert cells == {(t, w): n for t in range(3) for w, n in (("2026-W01", 20), ("2026-W02", 10))}
+    assert sorted(r["area"] for r in tables.read_table(spark, f"{path}/overview/themes").collect()) == ["klima", "soziales", "weitere"]
     every = tables.read_table(spark, f"{path}/week_points")
     assert every.groupBy("week").count().orderBy("week").collect() == [("2026-W01", 60), ("2026-W02", 30)]
     assert every.filter(F.size("similar") != 5).count() == 0

@@ -127,6 +127,10 @@ def test_cache_and_model(spark, tmp_path):
         raise RuntimeError("the cache was missed")
 
     assert len(embedding.embed(rows, str(tmp_path / "c"), "k", broken).collect()) == 3
+    # another counter, here of characters, cuts other chunks
+    load2 = embedding.hashing_encoder(8)
+    by_words, by_chars = (embedding.pooled(rows.selectExpr("string(id) AS text_sha", "concat_ws('\\n\\n', text, text, text) AS text"), load2, most=5, **more).filter("text_sha = '3'").head()["vector"] for more in ({}, {"count": len}))
+    assert len(by_words) == len(by_chars) == 8 and by_words != by_chars
     build = lambda r: calls.append(1) or {"rows": r}
     assert tables.build_if_changed(rows, {"a": 1}, str(tmp_path / "m"), build)[1]
     assert not tables.build_if_changed(rows, {"a": 1}, str(tmp_path / "m"), build)[1]
@@ -140,5 +144,11 @@ def test_sources(spark, tmp_path):
     df = spark.createDataFrame([("w1", 1), ("w2", 2)], "week string, n int")
     tables.write_weeks(df, str(tmp_path / "w"))
     tables.write_weeks(df.filter("week = 'w2'").withColumn("n", F.lit(5)), str(tmp_path / "w"))
+    (tmp_path / "w" / "notes.json").write_text('{"n": 9}')
     assert {tuple(r) for r in tables.read_weeks(spark, str(tmp_path / "w")).select("week", "n").collect()} == {("w1", 1), ("w2", 5)}
+    tables.write_weeks(df, str(tmp_path / "p"), "parquet")
+    assert {tuple(r) for r in tables.read_weeks(spark, str(tmp_path / "p"), "n int, week string", "parquet").select("week", "n").collect()} == {("w1", 1), ("w2", 2)}
+    more = tables.with_optional(df, n="int", kind="string")
+    assert more.columns == ["week", "n", "kind"] and more.filter("kind IS NULL").count() == 2
+    assert tables.not_kind(df).count() == 2 and tables.not_kind(more).count() == 0
     assert tables.write_mapping(df.withColumnRenamed("week", "id"), str(tmp_path / "m")) == 2

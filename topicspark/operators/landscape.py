@@ -91,11 +91,11 @@ def rebuild(rows: DataFrame, parts: DataFrame, path: str, weeks: list[str] | Non
     found, clusters = week_model(chosen, stopwords, least[0])
     found = tables.stored(found)
     near = tables.stored(neighbours.nearest(chosen.select("week", "id", "vec"), chosen.select("week", "id", "vec"), k, keys=("week",)))
-    _write_weeks(week_points(chosen, found, density.plane_map(chosen.select("id", "vec"), near), near), f"{path}/week_points")
-    _write_weeks(clusters, f"{path}/week_clusters")
+    tables.write_weeks(week_points(chosen, found, density.plane_map(chosen.select("id", "vec"), near), near), f"{path}/week_points", "parquet")
+    tables.write_weeks(clusters, f"{path}/week_clusters", "parquet")
     if decisions is not None:
         items = chosen.select("week", F.col("agenda").alias("agenda_item_id")).distinct()
-        _write_weeks(items.join(decisions, "agenda_item_id"), f"{path}/week_decisions")
+        tables.write_weeks(items.join(decisions, "agenda_item_id"), f"{path}/week_decisions", "parquet")
     if overview:
 
         def build(all_rows: DataFrame) -> dict[str, DataFrame]:
@@ -116,10 +116,6 @@ def rebuild(rows: DataFrame, parts: DataFrame, path: str, weeks: list[str] | Non
         themes.expanded(lists, parts).select("part_id", "near_ids").write.mode("overwrite").parquet(f"{path}/speech_neighbours")
 
 
-def _write_weeks(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week").parquet(path)
-
-
 def speech_clusters(spark: SparkSession, path: str, parts: DataFrame, acronyms: list[str] = ()) -> DataFrame:
     """(part_id, week, cluster, label) of every part from the week tables below `path`."""
     points, clusters = tables.read_table(spark, f"{path}/week_points"), tables.read_table(spark, f"{path}/week_clusters")

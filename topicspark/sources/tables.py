@@ -70,13 +70,15 @@ def not_kind(df: DataFrame, kind: str = "fragestunde", column: str = "kind") ->
     return df.filter(F.col(column) != kind) if column in df.columns else df
 
 
-def write_weeks(payloads: DataFrame, path: str) -> None:
+def write_weeks(payloads: DataFrame, path: str, form: str = "json") -> None:
     """One partition per week; weeks that aren't in `payloads` stay as they are."""
-    payloads.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week").json(path)
+    payloads.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week").format(form).save(path)
 
 
-def read_weeks(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    return (spark.read if schema is None else spark.read.schema(schema)).json(path)
+def read_weeks(spark: SparkSession, path: str, schema: str | None = None, form: str = "json") -> DataFrame:
+    """All weeks below `path`; other folders and files there are ignored."""
+    reader = (spark.read if schema is None else spark.read.schema(schema)).format(form).option("basePath", path)
+    return reader.load(f"{path}/week=*")
 
 
 def write_mapping(df: DataFrame, path: str, key: str = "id") -> int:
