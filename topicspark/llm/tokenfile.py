@@ -33,12 +33,15 @@ from topicspark.llm.bpe import ragged
 #: Ids of a block, and blocks coded side by side at most: what a numpy call costs is shared by all lanes, so many short blocks are
 #: coded in half the time of few long ones, at 3 % more bytes.
 BLOCK, LANES = 1024, 4096
+#: Bytes of text of a part of the file.
+PART_BYTES = 1 << 26
 TABLE_BITS = 11
-STEP, LIMIT = 24, 2048
+#: What a count grows by, and the sum over which counts are halved, looked at every so many ids.
+STEP, LIMIT, HALVED_EVERY = 24, 2048, 16
 #: Order-0 counts are kept for buckets of neighbouring ids and put to use every REFRESH ids, and after the first few.
 LOW_BITS, REFRESH, EARLY = 8, 64, (8, 16, 32)
 BUCKETS = 1 << 16 - LOW_BITS
-MAGIC = b"TKB2"
+MAGIC = b"TKB3"
 _HEAD = struct.Struct("<4sIII")
 U = np.uint64
 # three counts in one number
@@ -48,6 +51,9 @@ _ID, _TRUST = np.uint32(0xFFFF), np.uint32(16)
 _ONE, _TWO, _MOST = np.uint32(1), np.uint32(2), np.uint32(3)
 # how the last two ids were coded is 3 x the one before + the last: what is left of it after another
 _TAIL = np.arange(9) % 3 * 3
+_ADDED = np.array([STEP, STEP << 20, STEP << 40], U)
+# contexts are hashed by the high bits of 32-bit products
+_SPREAD1, _SPREAD2, _PLACE = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(32 - TABLE_BITS)
 # a bucket is found by halving
 _HALVES = [BUCKETS >> k for k in range(1, BUCKETS.bit_length())]
 
@@ -66,13 +72,13 @@ class _Range:
                 self.low = self.low << U(16) | coded[k].astype(U)
             self.at += 3 * lanes
 
-    def narrow(self, lanes, unit: np.ndarray, start: np.ndarray, width: np.ndarray, rounds: int) -> None:
-        """Narrows each lane to the stretch [start, start + width) of its units; at most `rounds` words follow."""
-        own, small = self.low[lanes], unit * width
+    def narrow(self, lanes, start: np.ndarray, small: np.ndarray, rounds: int) -> None:
+        """Narrows each lane's range to `small` from `start` on; at most `rounds` words follow."""
+        own = self.low[lanes]
         if self.decoding:
-            self.low[lanes] = own - unit * start
+            self.low[lanes] = own - start
         else:
-            own = own + unit * start
+            own = own + start
             self.low[lanes] = own
             over = np.flatnonzero(own >= U(1 << 48))
             if len(over):
@@ -125,20 +131,22 @@ def _coded(sizes: np.ndarray, ids: np.ndarray | None = None, coded: np.ndarray |
     # counts of "order-2 right", "order-1 right", "neither" under two contexts, 20 bits each
     by_trust, by_past = np.full(n * 16, _ONES, U), np.full(n * 9, _ONES, U)
     counts, upto, whole = np.ones((n, BUCKETS), np.int32), np.zeros((n, row), np.int32), np.zeros(n, U)
-    last, before, past = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    last, before, past = np.zeros(n, np.uint32), np.zeros(n, np.uint32), np.zeros(n, np.int64)
+    # where the stretches of "order-2 right", "order-1 right" and "neither" begin, and the last ends
+    bounds, whole_row = np.zeros((4, n), U), n
     lanes = np.arange(n)
     of_slots, of_trust, of_past = lanes * slots, lanes * 16, lanes * 9
     live = np.searchsorted(-sizes, -np.arange(longest), side="left")
-    flat, flat_counts = upto.reshape(-1), counts.reshape(-1)
+    flat, flat_counts, flat_bounds = upto.reshape(-1), counts.reshape(-1), bounds.reshape(-1)
     for t in range(longest):
         k = int(live[t])
         first = slice(0, k)
         if not t % REFRESH or t in EARLY:
             np.cumsum(counts[:k], axis=1, out=upto[:k, 1:])
             whole[:k] = upto[:k, -1].astype(U) << U(LOW_BITS)
-        hashed = last[:k] * 40503
-        s1 = of_slots[:k] + ((hashed & 0xFFFF) >> 16 - TABLE_BITS)
-        s2 = of_slots[:k] + ((hashed + before[:k] * 30011 & 0xFFFFF) >> 20 - TABLE_BITS)
+        hashed = last[:k] * _SPREAD1
+        s1 = of_slots[:k] + (hashed >> _PLACE)
+        s2 = of_slots[:k] + (hashed + before[:k] * _SPREAD2 >> _PLACE)
         v2, v1 = seen2.take(s2), seen1.take(s1)
         g2, g1, c2, c1 = v2 & _ID, v1 & _ID, v2 >> _TRUST, v1 >> _TRUST
         r2, r1 = of_trust[:k] + (c2 << _TWO | c1), of_past[:k] + past[:k]
@@ -148,20 +156,23 @@ def _coded(sizes: np.ndarray, ids: np.ndarray | None = None, coded: np.ndarray |
         sums = f * _ONES
         total = sums >> U(40) & _FIELD
         unit = coder.range[:k] // total
+        for row_, part in enumerate((f & _FIELD, sums >> U(20) & _FIELD, total), 1):
+            np.multiply(unit, part, out=bounds[row_, :k])
         if coder.decoding:
             low = coder.low[:k]
-            wrong2, other = low >= unit * (f & _FIELD), low >= unit * (sums >> U(20) & _FIELD)
+            wrong2, other = low >= bounds[1, :k], low >= bounds[2, :k]
         else:
             now = out[t, :k].astype(np.uint32)
             wrong2 = (now != g2) | (c2 == 0)
             other = wrong2 & ((now != g1) | (c1 == 0))
         symbol = wrong2.astype(np.int64) + other
-        field = (symbol * 20).astype(U)
-        coder.narrow(first, unit, sums << U(20) >> field & _FIELD, f >> field & _FIELD, 1)
-        added = U(STEP) << field
+        at = symbol * whole_row + lanes[:k]
+        start = flat_bounds.take(at)
+        coder.narrow(first, start, flat_bounds.take(at + whole_row) - start, 1)
+        added = _ADDED.take(symbol)
         t2, t1 = t2 + added, t1 + added
-        full = np.flatnonzero(total > U(LIMIT))
-        if len(full):
+        if not t % HALVED_EVERY:
+            full = np.flatnonzero(total > U(LIMIT))
             t2[full] = (t2[full] + _ONES >> U(1)) & _HALVED
             t1[full] = (t1[full] + _ONES >> U(1)) & _HALVED
         by_trust[r2], by_past[r1] = t2, t1
@@ -188,7 +199,7 @@ def _coded(sizes: np.ndarray, ids: np.ndarray | None = None, coded: np.ndarray |
             if coder.decoding:
                 low = (value - begin) // width
                 now[rest] = bucket << LOW_BITS | low
-            coder.narrow(rest, unit, (begin + low * width).astype(U), width.astype(U), 2)
+            coder.narrow(rest, unit * (begin + low * width).astype(U), unit * width.astype(U), 2)
             at = rest * BUCKETS + bucket
             flat_counts[at] = flat_counts.take(at) + np.int32(STEP)
         if coder.decoding:
@@ -369,7 +380,8 @@ FILE = "part int, block int, start long, docs array<struct<doc_id: long, seq: lo
 
 
 def write_token_file(docs: DataFrame, content: str, end_id: int, path: str, parts: int | None = None) -> None:
-    """Write the ids of `docs` (doc_id, text), tokenized by the tokenizer of the JSON `content`, to the folder `path`."""
+    """Write the ids of `docs` (doc_id, text), tokenized by the tokenizer of the JSON `content`, to the folder `path`, in parts of about
+    PART_BYTES of text at most."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(content)
 
@@ -412,9 +424,11 @@ def write_token_file(docs: DataFrame, content: str, end_id: int, path: str, part
                 yield from blocks(False)
         yield from blocks(True)
 
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + size // PART_BYTES)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, FILE).write.parquet(path)
+    rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, FILE).write.parquet(path)
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -426,14 +440,25 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def joined_crc32(first: np.ndarray, second: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """crc32 of two byte strings put together, from each one's crc32 and the second's size in bytes."""
-    power, bits = np.full(len(first), 1 << 23, np.uint32), size.astype(np.int64)
-    shift = np.full(len(first), 1 << 31, np.uint32)
+def crc32_shifts(size: np.ndarray) -> np.ndarray:
+    """What a crc32 is multiplied by when so many bytes follow."""
+    distinct, place = np.unique(size, return_inverse=True)
+    power, bits, shift = np.full(len(distinct), 1 << 23, np.uint32), distinct.astype(np.int64), np.full(len(distinct), 1 << 31, np.uint32)
     while (bits > 0).any():
         shift = np.where(bits & 1, _times(shift, power), shift)
         power, bits = _times(power, power), bits >> 1
-    return _times(shift, first.astype(np.uint32)) ^ second.astype(np.uint32)
+    return shift[place]
+
+
+def joined_crc32(crc: np.ndarray, size: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """crc32 of the byte strings cut[k]:cut[k + 1] put together, from each one's crc32 and size in bytes; none is empty of strings."""
+    shift, n, out = crc32_shifts(size), np.diff(cut), crc[cut[:-1]]
+    more = np.arange(len(n))
+    for k in range(1, int(n.max(initial=1))):
+        more = more[n[more] > k]
+        at = cut[more] + k
+        out[more] = _times(shift[at], out[more]) ^ crc[at]
+    return out
 
 
 def read_token_file(spark, path: str) -> DataFrame:
@@ -462,13 +487,7 @@ def documents_in(spark, path: str) -> DataFrame:
     @F.arrow_udf("long")
     def whole_crc(array: pa.Array) -> pa.Array:
         flat, cut = array.flatten(), np.concatenate([[0], np.cumsum([len(x) for x in array])]).astype(np.int64)
-        n, crc = flat.field("n").to_numpy(), flat.field("crc").to_numpy().astype(np.uint32)
-        size, out = np.diff(cut), crc[cut[:-1]]
-        for k in range(1, int(size.max(initial=1))):
-            more = np.flatnonzero(size > k)
-            at = cut[more] + k
-            out[more] = joined_crc32(out[more], crc[at], 4 * n[at])
-        return pa.array(out.astype(np.int64))
+        return pa.array(joined_crc32(flat.field("crc").to_numpy().astype(np.uint32), 4 * flat.field("n").to_numpy(), cut).astype(np.int64))
 
     pieces = F.array_sort(F.collect_list(F.struct("start", "n", "crc")))
     each = read_token_file(spark, path).groupBy("part", "seq").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("own"), F.sum("n").alias("n_tokens"), pieces.alias("pieces"))
