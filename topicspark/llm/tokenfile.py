@@ -35,7 +35,7 @@ from topicspark.llm.bpe import ragged
 BLOCK, LANES = 1024, 4096
 #: Bytes of text of a part of the file.
 PART_BYTES = 1 << 26
-TABLE_BITS = 11
+TABLE_BITS = 9
 #: What a count grows by, and the sum over which counts are halved, looked at every so many ids.
 STEP, LIMIT, HALVED_EVERY = 24, 2048, 16
 #: Order-0 counts are kept for buckets of neighbouring ids and put to use every REFRESH ids, and after the first few.
