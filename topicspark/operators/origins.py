@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicspark.functions import names
+from topicspark.sources.tables import stored
 
 ACTIVE_SHARE, GAP, LOOKBACK, LISTED = 0.04, 4, 8, 12
 
@@ -117,7 +118,8 @@ def formal_items(found: DataFrame, rows: DataFrame, main: DataFrame, agenda: Dat
 def origins(shares: DataFrame, rows: DataFrame, threshold: float = ACTIVE_SHARE, gap: int = GAP, back: int = LOOKBACK, agenda: DataFrame | None = None, papers: DataFrame | None = None) -> DataFrame:
     """One row per theme with its episodes, each with its formal items, how many each originator brought, and, unless at the
     period's start, the unprompted mentions: per fraction, in all, and the first LISTED of them."""
-    found, main = episodes(shares, threshold, gap), main_themes(rows)
+    # both are small next to the rows, and looked at several times
+    found, main = stored(episodes(shares, threshold, gap)), stored(main_themes(rows))
     brought = formal_items(found, rows, main, agenda, papers)
     items = brought.groupBy("theme", "episode").agg(F.array_sort(F.collect_list(F.struct("agenda", "title", "date", "originators", "requested", "papers"))).alias("formal"))
     by = brought.select("theme", "episode", F.explode("originators").alias("originator")).groupBy("theme", "episode", "originator").agg(F.count("*").alias("n"))
