@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from topicspark.llm import ann, bpe, langid, lm, mixing, quality, simhash, tokenfile, toxicity, urlrules
+from topicspark.llm import alignment, ann, bpe, langid, lm, mixing, quality, simhash, tokenfile, toxicity, urlrules, whitening, winnowing
 from topicspark.llm.common import table
 
 
@@ -50,10 +50,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.op11_decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.op12_aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op13_whitening(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    own = (op1_ann, op2_toxicity, op3_lm, op4_langid, op5_urlrules, op6_mixing, op7_simhash, op8_bpe, op9_tokenfile, op10_quality)
+    own = (op1_ann, op2_toxicity, op3_lm, op4_langid, op5_urlrules, op6_mixing, op7_simhash, op8_bpe, op9_tokenfile, op10_quality, op11_winnowing, op12_alignment, op13_whitening)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.oracle_sql()}
+    return {"op6_mixing": mixing.oracle_sql(), "op11_winnowing": winnowing.oracle_sql()}
