@@ -109,11 +109,11 @@ def test_density_finds_three_themes(spark):
     rng = np.random.default_rng(0)
     v = np.concatenate([np.eye(16)[k] + rng.normal(0, 0.05, (30, 16)) for k in range(3)])
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>")
-    got = {r["id"]: r["cluster"] for r in density.density_clusters(df, 10, cuts=6).collect()}
+    got = {r["id"]: r["cluster"] for r in density.density_clusters(df, 10).collect()}
     for k in range(3):
         assert len({got[i] for i in range(30 * k, 30 * k + 30)} - {-1}) == 1
     assert len(set(got.values()) - {-1}) == 3
-    assert {r["cluster"] for r in density.density_clusters(df.filter("id < 15"), 10, cuts=3).collect()} == {-1}
+    assert {r["cluster"] for r in density.density_clusters(df.filter("id < 15"), 10).collect()} == {-1}
 
 
 def test_cache_and_model(spark, tmp_path):

@@ -1,21 +1,27 @@
 """Density clusters with noise, and plane layouts.
 
-Points are linked within a ladder of distance cuts of the mutual-reachability graph of their nearest neighbours; a component of
-at least the least size that holds no two such components at a tighter cut is a cluster, the rest is noise.
+The clusters are the leaves of the condensed tree of a minimum spanning tree over mutual reachability, the larger of two points'
+distance and their core distances. The tree is exact: each pair of blocks of rows gives the spanning tree of its own rows, which hold
+every edge of the whole tree, and where a key has several blocks, Boruvka rounds over these edges choose among them. Its edges are then
+taken in order of weight, in slices of SLICE edges, so that no task holds more of a key; what is carried from slice to slice is each
+point's component, with its size and the cluster it grew from.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicspark.operators.neighbours import nearest
+from topicspark.operators.neighbours import distances, matrix, nearest
 from topicspark.sources.tables import stored
 
-#: Distance cuts, at quantiles of the core distances that are off by a share of 1 / ACCURACY at most.
-CUTS, ACCURACY = 12, 10_000
+#: Rows of a key whose tree one task makes, rows of a block of a larger key, and edges of a key that one task takes at once.
+ALONE, BLOCK, SLICE = 16384, 4096, 1 << 20
 
 
 def reduced(rows: DataFrame, k: int = 5) -> DataFrame:
@@ -45,51 +51,175 @@ def plane_map(rows: DataFrame, near: DataFrame, rounds: int = 3) -> DataFrame:
     return at
 
 
-def _components(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, id, root) for the nodes of `edges` (keys, a, b), by min-label rounds, each written and read again."""
-    both = stored(edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = stored(both.select(*keys, F.col("a").alias("id")).distinct().withColumn("root", F.col("id")))
-    while True:
-        low = both.join(label.select(*keys, F.col("id").alias("b"), "root"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("id")).agg(F.min("root").alias("m"))
-        hop = label.join(low, [*keys, "id"]).select(*keys, "id", F.least("root", "m").alias("root"), (F.col("m") < F.col("root")).alias("moved"))
-        # one pointer jump halves long chains
-        jump = stored(hop.join(hop.select(*keys, F.col("id").alias("root"), F.col("root").alias("up")), [*keys, "root"]).select(*keys, "id", F.least("root", "up").alias("root"), "moved"))
-        label = jump.drop("moved")
-        if not jump.filter("moved").head(1):
-            return label
-
-
-def density_clusters(rows: DataFrame, least: int, keys: tuple[str, ...] = (), cuts: int = CUTS) -> DataFrame:
-    """(keys, id, cluster) of `rows` (keys, id, vec): clusters numbered by their lowest id, noise -1; a key with fewer than twice
-    `least` rows is all noise. All keys are clustered in one job."""
-    keys = list(keys)
-    rows = rows.withColumn("__all", F.lit(0))
-    keys = keys or ["__all"]
-    many = rows.groupBy(*keys).count().filter(F.col("count") >= 2 * least).drop("count")
-    own = rows.join(many, keys, "left_semi")
-    near = stored(nearest(own, own, least, by="l2", keys=tuple(k for k in keys if k != "__all")).withColumns({} if "__all" not in keys else {"__all": F.lit(0)}))
-    core = near.groupBy(*keys, "id").agg(F.max("value").alias("core"))
-    edges = near.join(core, [*keys, "id"]).join(core.select(*keys, F.col("id").alias("near_id"), F.col("core").alias("other")), [*keys, "near_id"])
-    edges = edges.select(*keys, F.col("id").alias("a"), F.col("near_id").alias("b"), F.greatest("value", "core", "other").alias("reach"))
-    ladder = core.groupBy(*keys).agg(F.percentile_approx("core", F.array(*[F.lit((c + 1) / cuts) for c in range(cuts)]), F.lit(ACCURACY)).alias("eps")).select(*keys, F.posexplode("eps").alias("cut", "eps"))
-    within = edges.join(ladder, keys).filter(F.col("reach") <= F.col("eps")).select(*keys, "cut", "a", "b")
-    label = _components(within, [*keys, "cut"])
-    size = label.groupBy(*keys, "cut", "root").count().filter(F.col("count") >= least)
-    big = label.join(size.drop("count"), [*keys, "cut", "root"], "left_semi")
-    big = stored(big)
-    # parent of a component: the one its points are in at the next cut; a leaf never holds two at any tighter cut
-    up = big.select(*keys, F.col("cut"), F.col("root").alias("child"), "id").join(big.select(*keys, (F.col("cut") - 1).alias("cut"), "root", "id"), [*keys, "cut", "id"]).select(*keys, (F.col("cut") + 1).alias("cut"), "root", "cut", "child").toDF(*keys, "cut", "root", "below", "child").distinct()
-    state = big.filter("cut = 0").select(*keys, "cut", "root").distinct().withColumn("leaf", F.col("root"))
-    every, done = big.select(*keys, "cut", "root").distinct(), state
-    for cut in range(1, cuts):
-        kids = up.filter(F.col("cut") == cut).join(done.filter(F.col("cut") == cut - 1).select(*keys, F.col("root").alias("child"), "leaf"), [*keys, "child"]).groupBy(*keys, "root").agg(F.collect_set("child").alias("c"), F.count_if(F.col("leaf").isNull()).alias("split"))
-        here = every.filter(F.col("cut") == cut).join(kids, [*keys, "root"], "left")
-        done = stored(done.union(here.select(*keys, "cut", "root", F.when((F.coalesce(F.size("c"), F.lit(0)) <= 1) & (F.coalesce("split", F.lit(0)) == 0), F.col("root")).alias("leaf"))))
-    points = big.join(done.filter("leaf IS NOT NULL"), [*keys, "cut", "root"]).groupBy(*keys, "id").agg(F.max(F.struct("cut", "root")).alias("best"))
-    named = points.select(*keys, "id", F.col("best.root").alias("root"))
-    # the same leaf at its widest cut: label by the lowest id in it; only the roots are numbered, a row for each cluster
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("root")) - 1
-    numbers = named.select(*keys, "root").distinct().withColumn("cluster", number)
-    named = named.join(numbers, [*keys, "root"]).drop("root")
+def _spanning_tree(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends (the lower first) and weights of the minimum spanning tree of all rows; of equal weights the edge of lower ends."""
+    n = len(x)
+    low, high, weight = np.zeros(n - 1, np.int64), np.zeros(n - 1, np.int64), np.zeros(n - 1)
+    # rows that aren't in the tree yet lie in the first m places; one that joins it gives its place to the last of them
+    rest, at, core_of, place = np.arange(1, n), 0, core[1:].copy(), x[1:].copy()
+    best, edge = np.full(n - 1, np.inf), np.full(n - 1, n * n, np.int64)
+    for k in range(n - 1):
+        m = n - 1 - k
+        left, known, code_of = rest[:m], best[:m], edge[:m]
+        reach = np.maximum(np.maximum(distances(place[:m], x[at]), core_of[:m]), core[at])
+        code = np.minimum(left, at) * n + np.maximum(left, at)
+        nearer = np.flatnonzero((reach < known) | (reach == known) & (code < code_of))
+        known[nearer], code_of[nearer] = reach[nearer], code[nearer]
+        least = np.flatnonzero(known == known.min())
+        pick = least[code_of[least].argmin()]
+        low[k], high[k], weight[k], at = edge[pick] // n, edge[pick] % n, best[pick], rest[pick]
+        for column in (rest, core_of, place, best, edge):
+            column[pick] = column[m - 1]
+    return low, high, weight
+
+
+def block_trees(rows: DataFrame, keys: list[str], alone: int = ALONE, block: int = BLOCK) -> DataFrame:
+    """(keys, lo, hi, w): the edges of the spanning trees of all pairs of blocks of `rows` (keys, id, vec, core), among which are all
+    edges of each key's whole tree. A key of up to `alone` rows has that tree alone."""
+    parts = rows.groupBy(*keys).agg(F.when(F.count("*") <= alone, F.lit(1).cast("long")).otherwise(F.ceil(F.count("*") / block)).alias("__n"))
+    x = rows.join(parts, keys).withColumn("__own", F.pmod(F.xxhash64("id"), F.col("__n")))
+    other = F.when(F.col("__n") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1), F.col("__own")))
+    x = x.withColumn("__other", F.explode(other)).select(*keys, "id", "vec", "core", F.least("__own", "__other").alias("__q"), F.greatest("__own", "__other").alias("__s"))
+    types = dict(rows.dtypes)
+
+    def tree(table: pa.Table) -> pa.Table:
+        table = table.take(pa.compute.sort_indices(table["id"]))
+        lo, hi, w = _spanning_tree(matrix(table["vec"]), table["core"].to_numpy())
+        ids = table["id"].combine_chunks()
+        first = {k: table[k].combine_chunks().take(pa.array(np.zeros(len(lo), np.int64))) for k in keys}
+        return pa.table({**first, "lo": ids.take(pa.array(lo)), "hi": ids.take(pa.array(hi)), "w": pa.array(w)})
+
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"lo {types['id']}", f"hi {types['id']}", "w double"])
+    return x.groupBy(*keys, "__q", "__s").applyInArrow(tree, schema)
+
+
+def spanning_forest(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """The minimum spanning forest of `edges` (keys, lo, hi, w; lo below hi) by Boruvka rounds: every component takes its lightest edge
+    to another, of equal ones that of the lowest ends, until none has one. Each round, which at least halves the components, is written
+    and read again."""
+    live = stored(edges.distinct().withColumns({"ca": F.col("lo"), "cb": F.col("hi")}))
+    chosen = live.select(*keys, "lo", "hi", "w").limit(0)
+    edge = F.struct("w", "lo", "hi").alias("e")
+    while live.head(1):
+        ends = live.select(*keys, F.col("ca").alias("c"), F.col("cb").alias("to"), edge).union(live.select(*keys, F.col("cb"), F.col("ca"), edge))
+        best = stored(ends.groupBy(*keys, "c").agg(F.min(F.struct("e", "to")).alias("b")).select(*keys, "c", "b.to", "b.e"))
+        chosen = chosen.union(best.select(*keys, "e.lo", "e.hi", "e.w"))
+        # two components that chose one another: the lower is the root
+        back = best.select(*keys, F.col("c").alias("to"), F.col("to").alias("then"))
+        up = stored(best.join(back, [*keys, "to"]).select(*keys, "c", F.when((F.col("then") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("root")))
+        while True:
+            above = up.select(*keys, F.col("c").alias("root"), F.col("root").alias("top"))
+            hop = stored(up.join(above, [*keys, "root"]).select(*keys, "c", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
+            up = hop.drop("moved")
+            if not hop.filter("moved").head(1):
+                break
+        a, b = (up.select(*keys, F.col("c").alias(n), F.col("root").alias(f"r{n}")) for n in ("ca", "cb"))
+        live = stored(live.join(a, [*keys, "ca"]).join(b, [*keys, "cb"]).filter("rca <> rcb").select(*keys, "lo", "hi", "w", F.col("rca").alias("ca"), F.col("rcb").alias("cb")))
+    return stored(chosen.distinct())
+
+
+def _merged(least: int, keys: list[str]):
+    """Takes edges between components in order of weight; what becomes of each component. A component of fewer than `least` points that
+    joins a larger one is part of the cluster that this grew from, unless two such have met in it (`mixed`); one that reaches `least` is
+    a new cluster, named by its lowest root."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["w", "lo", "hi"])
+        ends = pd.concat([frame[["ra", "size_a", "seed_a", "mixed_a"]].set_axis(["r", "size", "seed", "mixed"], axis=1), frame[["rb", "size_b", "seed_b", "mixed_b"]].set_axis(["r", "size", "seed", "mixed"], axis=1)])
+        known = ends.drop_duplicates("r").sort_values("r")
+        roots = known["r"].tolist()
+        place = {r: k for k, r in enumerate(roots)}
+        size, mixed = known["size"].tolist(), known["mixed"].tolist()
+        seed = [None if pd.isna(s) else s for s in known["seed"]]
+        parent, open_ = list(range(len(roots))), [[k] for k in range(len(roots))]
+        told, label = [False] * len(roots), [None] * len(roots)
+
+        def top(k):
+            while parent[k] != k:
+                parent[k] = k = parent[parent[k]]
+            return k
+
+        def settle(group, name):
+            for k in group:
+                told[k], label[k] = True, name
+
+        for a, b in zip(frame["ra"], frame["rb"], strict=True):
+            a, b = sorted((top(place[a]), top(place[b])))
+            if a == b:
+                continue
+            big = [k for k in (a, b) if size[k] >= least]
+            if len(big) == 2:
+                seed[a], mixed[a] = None, True
+            elif big:
+                small = b if big[0] == a else a
+                settle(open_[small], seed[big[0]])
+                seed[a], mixed[a] = seed[big[0]], mixed[big[0]]
+            elif size[a] + size[b] >= least:
+                seed[a] = roots[min(open_[a] + open_[b])]
+                settle(open_[a] + open_[b], seed[a])
+            else:
+                open_[a] += open_[b]
+            size[a] += size[b]
+            parent[b] = a
+        tops = [top(k) for k in range(len(roots))]
+        out = pd.DataFrame({"root": roots, "new": [roots[k] for k in tops], "new_size": [size[k] for k in tops], "new_seed": [seed[k] for k in tops], "new_mixed": [mixed[k] for k in tops], "told": told, "name": label})
+        for k in keys:
+            out[k] = frame[k].iloc[0]
+        return out
+
+    return run
+
+
+def tree_clusters(tree: DataFrame, keys: list[str], least: int, most: int = SLICE) -> DataFrame:
+    """(keys, id, name): the points of the leaves of the condensed tree of `tree` (keys, lo, hi, w). Noise has no row, and neither has
+    a key whose tree doesn't split into two components of `least` points."""
+    kind = dict(tree.dtypes)["lo"]
+    types = dict(tree.dtypes)
+    n = tree.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("__slices"))
+    rounds = n.agg(F.max("__slices")).head()[0] or 0
+    cut = tree.withColumn("slice", F.lit(0))
+    if rounds > 1:
+        at = tree.groupBy(*keys).agg(F.percentile_approx("w", F.array(*[F.lit(k / rounds) for k in range(1, rounds)]), F.lit(10_000)).alias("__at"))
+        cut = stored(tree.join(at, keys).withColumn("slice", F.size(F.filter("__at", lambda q: q < F.col("w")))).drop("__at"))
+    fresh = {"size": F.lit(1).cast("long"), "seed": F.lit(None).cast(kind), "mixed": F.lit(False)}
+    points = tree.select(*keys, F.explode(F.array("lo", "hi")).alias("id")).distinct().withColumns({"root": F.col("id"), **fresh, "told": F.lit(False), "name": F.lit(None).cast(kind)})
+    schema = ", ".join([f"root {kind}, new {kind}, new_size long, new_seed {kind}, new_mixed boolean, told boolean, name {kind}", *[f"{k} {types[k]}" for k in keys]])
+    for k in range(rounds):
+        e = cut.filter(F.col("slice") == k)
+        for end, of in (("lo", "a"), ("hi", "b")):
+            state = {f"r{of}": "root", f"size_{of}": "size", f"seed_{of}": "seed", f"mixed_{of}": "mixed"}
+            # before the first slice every point is a component of its own
+            e = e.withColumns({f"r{of}": F.col(end), **{f"{c}_{of}": v for c, v in fresh.items()}}) if k == 0 else e.join(points.select(*keys, F.col("id").alias(end), *[F.col(v).alias(c) for c, v in state.items()]), [*keys, end])
+        moved = e.groupBy(*keys).applyInPandas(_merged(least, keys), schema)
+        met = points.join(moved.select(*keys, "root", "new", "new_size", "new_seed", "new_mixed", F.col("told").alias("now"), F.col("name").alias("as")), [*keys, "root"], "left")
+        taken = lambda new, old: F.when(F.col("new").isNotNull(), F.col(new)).otherwise(F.col(old)).alias(old)
+        points = stored(met.select(*keys, "id", taken("new", "root"), taken("new_size", "size"), taken("new_seed", "seed"), taken("new_mixed", "mixed"), (F.col("told") | F.coalesce("now", F.lit(False))).alias("told"), F.coalesce("name", "as").alias("name")))
+    return points.filter("name IS NOT NULL").select(*keys, "id", "name")
+
+
+def density_clusters(rows: DataFrame, least: int, keys: tuple[str, ...] = (), alone: int = ALONE, block: int = BLOCK, most: int = SLICE) -> DataFrame:
+    """(keys, id, cluster) of `rows` (keys, id, vec; ids unique within a key): clusters numbered by their lowest id, noise -1.
+
+    A point's core distance is that to the `least`-th row, itself counted. Of the condensed tree, whose components have `least` points
+    or more, the leaves are clusters, and never the whole: a key that doesn't split, or has fewer than twice `least` rows, is all noise,
+    and so are rows without a vector. All keys are clustered in one job."""
+    keys = list(keys) or ["__all"]
+    rows = rows.withColumns({} if keys != ["__all"] else {"__all": F.lit(0)})
+    own = rows.filter("vec IS NOT NULL").select(*keys, "id", "vec")
+    own = own.join(own.groupBy(*keys).count().filter(F.col("count") >= 2 * least).drop("count"), keys, "left_semi")
+    near = nearest(own, own, max(least - 1, 1), by="l2", keys=tuple(k for k in keys if k != "__all"))
+    core = near.groupBy(*[k for k in keys if k != "__all"], "id").agg(F.max("value").alias("core"))
+    cored = own.join(core, [*[k for k in keys if k != "__all"], "id"]).withColumn("core", F.col("core") if least > 1 else F.lit(0.0))
+    edges = stored(block_trees(cored, keys, alone, block))
+    # a key of one block has its tree already
+    several = own.groupBy(*keys).agg((F.count("*") > alone).alias("__several"))
+    if several.filter("__several").head(1):
+        marked = edges.join(several, keys)
+        edges = marked.filter("NOT __several").drop("__several").unionByName(spanning_forest(marked.filter("__several").drop("__several"), keys))
+    found = tree_clusters(edges, keys, least, most)
+    # a row for each cluster; a tree that doesn't split has one
+    low = found.groupBy(*keys, "name").agg(F.min("id").alias("low")).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    numbers = low.filter("n > 1").withColumn("cluster", F.row_number().over(Window.partitionBy(*keys).orderBy("low")) - 1)
+    named = found.join(numbers.select(*keys, "name", "cluster"), [*keys, "name"]).select(*keys, "id", "cluster")
     out = rows.select(*keys, "id").join(named, [*keys, "id"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
     return out.drop("__all")

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_automata: dict = {}
+
 
 def facet_condition(lists: dict[str, list], together: tuple[str, ...] = ("day", "agenda"), leave: str | None = None) -> Column:
     """Values within a list are alternatives, lists are combined by and; the lists named in `together` form one group of
@@ -21,10 +26,65 @@ def facet_filter(df: DataFrame, lists: dict[str, list], **options) -> DataFrame:
     return df.filter(facet_condition(lists, **options))
 
 
+def _automaton(terms: tuple[str, ...]) -> ahocorasick.Automaton:
+    """Made once per Python worker for a list of terms."""
+    if terms not in _automata:
+        _automata.clear()
+        made = ahocorasick.Automaton()
+        for k, term in enumerate(terms):
+            made.add_word(term, (k, len(term)))
+        if terms:
+            made.make_automaton()
+        _automata[terms] = made
+    return _automata[terms]
+
+
+def distinct_terms(terms: list[str]) -> tuple[str, ...]:
+    """The terms as they are looked for: lower-cased, each once, without empty ones."""
+    return tuple(dict.fromkeys(t.lower() for t in terms if t))
+
+
+def term_places(df: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
+    """`df` with `places`: an array of (term, place) of every match of any term in any case, overlapping ones too, in order of place.
+    Terms are counted from 0 in the order of `distinct_terms`, places from 1 in the lower-cased text. An Aho-Corasick automaton of all
+    terms passes once over each text; a null text, or no term, gives an empty array."""
+    sought = distinct_terms(terms)
+
+    def run(texts: pa.Array) -> pa.Array:
+        automaton, cut, found = _automaton(sought), [0], []
+        for t in texts.to_pylist():
+            found += sorted((end - n + 2, k) for end, (k, n) in automaton.iter(t)) if t and sought else []
+            cut.append(len(found))
+        at, term = np.array(found, np.int32).reshape(-1, 2).T
+        return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([pa.array(term), pa.array(at)], ["term", "place"]))
+
+    return df.withColumn("places", F.arrow_udf(run, "array<struct<term: int, place: int>>")(F.lower(text)))
+
+
 def term_filter(df: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
-    """Rows that hold all terms, in any case, with the place of each term's first match."""
-    low = F.lower(text)
-    return df.filter(reduce(lambda a, b: a & b, [F.contains(low, F.lit(t.lower())) for t in terms], F.lit(True))).withColumn("places", F.array(*[F.locate(t.lower(), low) for t in terms]))
+    """Rows that hold all terms, in any case, with the places of all matches as `term_places` gives them."""
+    held = F.size(F.array_distinct(F.transform("places", lambda x: x["term"])))
+    return term_places(df, terms, text).filter(held == len(distinct_terms(terms)))
+
+
+def marked(text: Column, places: Column, lengths: list[int], begin: str = "<mark>", end: str = "</mark>") -> Column:
+    """`text` with every match between `begin` and `end`: matches that overlap or touch are marked as one. `lengths` are those of the
+    terms. For texts as long as their lower-cased form."""
+    size = F.array(*[F.lit(n) for n in lengths])
+    spans = F.transform(places, lambda x: F.struct(x["place"].alias("a"), (x["place"] + F.get(size, x["term"])).alias("b")))
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"), F.lit(0).alias("b"))
+
+    def step(acc, x):
+        joined = (acc["b"] > 0) & (x["a"] <= acc["b"])
+        # up to the match before, which may still grow, then that match closed and the text between
+        closed = F.concat(acc["out"], F.when(acc["b"] > 0, F.concat(F.substr(text, acc["at"], acc["b"] - acc["at"]), F.lit(end))).otherwise(F.lit("")))
+        between = F.substr(text, F.greatest(acc["b"], F.lit(1)), x["a"] - F.greatest(acc["b"], F.lit(1)))
+        return F.when(joined, F.struct(acc["out"].alias("out"), acc["at"].alias("at"), F.greatest(acc["b"], x["b"]).alias("b"))).otherwise(F.struct(F.concat(closed, between, F.lit(begin)).alias("out"), x["a"].alias("at"), x["b"].alias("b")))
+
+    def finish(acc):
+        return F.when(acc["b"] == 0, text).otherwise(F.concat(acc["out"], F.substr(text, acc["at"], acc["b"] - acc["at"]), F.lit(end), F.substr(text, acc["b"], F.greatest(F.length(text) - acc["b"] + 1, F.lit(0)))))
+
+    return F.aggregate(spans, start, step, finish)
 
 
 def default_visibility(lists: dict[str, list], question: Column, interruption: Column, show_questions: bool = False, show_interruptions: bool = False) -> Column:

@@ -16,11 +16,17 @@ from pyspark.sql import functions as F
 BLOCK, TILE, LEAST = 16384, 1024, 256
 
 
-def _matrix(column) -> np.ndarray:
+def matrix(column) -> np.ndarray:
+    """A column of equally long lists as rows."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows of `a` from those of `b`, or from one row."""
+    return np.round(np.sqrt(((a - b) ** 2).sum(axis=1)), 12)
+
+
 def _best(value: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the k largest finite values of each row; of equal ones the lower id."""
     n = min(k, value.shape[1])
@@ -63,11 +69,11 @@ def nearest(queries: DataFrame, stored: DataFrame, k: int, *, floor: float | Non
         q, s = table.filter(pa.array(tag == 0)), table.filter(pa.array(tag == 1))
         found = {n: [] for n in [*keys, "id", "near_id", "value"]}
         if q.num_rows and s.num_rows:
-            b, si = _matrix(s["vec"]), s["id"].to_numpy(zero_copy_only=False)
+            b, si = matrix(s["vec"]), s["id"].to_numpy(zero_copy_only=False)
             sg = s["grp"].to_pandas() if has_group else None
             for at in range(0, q.num_rows, TILE):
                 own = q.slice(at, TILE)
-                a, qi = _matrix(own["vec"]), own["id"].to_numpy(zero_copy_only=False)
+                a, qi = matrix(own["vec"]), own["id"].to_numpy(zero_copy_only=False)
                 value = a @ b.T if by == "dot" else -np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
                 value[qi[:, None] == si] = -np.inf
                 if has_group:
@@ -80,7 +86,8 @@ def nearest(queries: DataFrame, stored: DataFrame, k: int, *, floor: float | Non
                 for name in [*keys, "id"]:
                     found[name].append(own[name].combine_chunks().take(pa.array(row)))
                 found["near_id"].append(s["id"].combine_chunks().take(pa.array(col)))
-                found["value"].append(pa.array(value[row, col] if by == "dot" else -value[row, col]))
+                # distances by differences, so that those of near or equal rows don't drown in the norms
+                found["value"].append(pa.array(value[row, col] if by == "dot" else distances(a[row], b[col])))
         types = {n: table[n if n in keys else "id"].type if n != "value" else pa.float64() for n in found}
         return pa.table({n: pa.chunked_array(x, types[n]) for n, x in found.items()})
 

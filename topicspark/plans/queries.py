@@ -619,12 +619,14 @@ def m3_map(spark, d):
     return density.plane_map(v, neighbours.nearest(v, v, 5))
 
 
-# Models of weeks and of the period, over all rows that have a vector: week of a row its label, agenda its source
+# Models of weeks and of the period, over all documents: vectors of their hashed words, week of a document its source, agenda its
+# language. Words tell languages apart, so that these are what clusters and themes find
 
 
 def landscape_rows(spark, d):
-    e = T(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), F.concat(F.lit("w"), F.col("label")).alias("week"))
-    return T(spark, d, "documents").join(e, "doc_id").select(F.col("doc_id").alias("id"), "week", "text", "vec", F.col("source").alias("agenda"))
+    docs = tables.spread(T(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("none")).alias("week"), "text", F.col("lang").alias("agenda"))
+    made = embedding.embed(docs, tables.shared_folder(spark, "cache"), "hashing@500", embedding.hashing_encoder(32))
+    return tables.stored(made.withColumn("vec", F.col("vector").cast("array<double>")).drop("vector"))
 
 
 def landscape_parts(spark, d):
@@ -733,9 +735,16 @@ def p18_facet_filter(spark, d):
     return explore.facet_filter(T(spark, d, "documents"), {"lang": ["de", "fr"], "source": ["src0", "src1"]}).select("doc_id")
 
 
-@query("SELECT doc_id, strpos(lower(text), 'the') AS place FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'and')")
+# Every place of each term: the sum of what lies before it, texts being cut at the term
+
+
+@query("""WITH t AS (SELECT doc_id, lower(text) AS low, unnest(['the', 'and', 'tion']) AS term FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'and') AND contains(lower(text), 'tion')),
+p AS (SELECT doc_id, term, unnest(string_split(low, term)) AS part, generate_subscripts(string_split(low, term), 1) AS i, len(string_split(low, term)) AS n FROM t)
+SELECT doc_id, term, CAST(sum(length(part)) OVER (PARTITION BY doc_id, term ORDER BY i) + (i - 1) * length(term) + 1 AS INTEGER) AS place FROM p QUALIFY i < n""")
 def p19_term_filter(spark, d):
-    return explore.term_filter(T(spark, d, "documents"), ["The", "and"]).select("doc_id", F.col("places")[0].cast("long").alias("place"))
+    terms = ["The", "and", "TION", "the"]
+    x = explore.term_filter(tables.spread(T(spark, d, "documents")), terms).select("doc_id", F.explode("places").alias("p"))
+    return x.select("doc_id", F.get(F.array(*[F.lit(t) for t in explore.distinct_terms(terms)]), "p.term").alias("term"), "p.place")
 
 
 @query("SELECT event_id FROM events WHERE event_type <> 'click'")
