@@ -137,6 +137,40 @@ def test_cache_and_model(spark, tmp_path):
     assert tables.build_if_changed(rows, {"a": 2}, str(tmp_path / "m"), build)[1]
 
 
+def test_a_stream_that_is_started_again_adds_each_text_once(spark, tmp_path, monkeypatch):
+    """The second batch breaks off twice: after it has written, and before; two restarts finish it."""
+    source, cache, done = str(tmp_path / "in"), str(tmp_path / "c"), str(tmp_path / "checkpoint")
+    add = lambda *rows: spark.createDataFrame(list(rows), "id long, text string").coalesce(1).write.mode("append").json(source)
+    run = lambda: embedding.embed_stream(spark.readStream.schema("id long, text string").json(source), cache, "k@1", embedding.hashing_encoder(8), done).awaitTermination()
+    held = lambda: sorted(r["text_sha"] for r in spark.read.parquet(cache).collect())
+    add((1, "eins"), (2, "zwei"), (3, "zwei"))
+    run()
+    assert len(held()) == 2
+    real, fails = embedding.embed, ["after", "before"]
+
+    def broken(*args, **options):
+        how = fails.pop(0) if fails else ""
+        out = None if how == "before" else real(*args, **options)
+        if how:
+            raise OSError("lost")
+        return out
+
+    monkeypatch.setattr(embedding, "embed", broken)
+    add((4, "zwei"), (5, "drei"), (6, None))
+    for _ in range(2):
+        with pytest.raises(Exception, match="lost"):
+            run()
+    run()
+    once = held()
+    assert not fails and len(once) == len(set(once)) == 4
+    run()
+    assert held() == once
+    embedding.compact(spark, cache, "k@1")
+    assert held() == once and spark.read.parquet(cache).select("batch").distinct().count() == 1
+    rows = spark.createDataFrame([(1, "eins"), (2, "drei")], "id long, text string")
+    assert real(rows, cache, "k@1", lambda: pytest.fail("the cache was missed")).count() == 2
+
+
 def test_sources(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="nowhere"):
         tables.read_table(spark, str(tmp_path / "nowhere"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from topicspark.functions import calendar, names
 from topicspark.functions.text import string_list
-from topicspark.sources.tables import not_kind
+from topicspark.sources.tables import not_kind, stored
 
 MIN_CHARS = 500
 #: Words of the main speaker after which the same person interrupts anew, and paragraphs in which an announcement counts.
@@ -110,9 +110,10 @@ def load_weeks(parts: DataFrame, sittings: DataFrame, agenda: DataFrame, paragra
     `parts` has id, sitting_id, agenda_item_id, position, person_id, speaker_name, speaker_group, member_fraction, speaker_role, text,
     source_document_id, rede_id, interruption, interruption_start and maybe kind; `sittings` sitting_id, date, pdf_url; `agenda`
     agenda_item_id, top_id, title, drucksache_numbers (JSON), kind; `paragraphs` speech_id, position, kind, text. Without `photos`
-    (person_id, credit) everyone has a portrait. A part without an agenda item has a null title and no papers."""
+    (person_id, credit) everyone has a portrait. A part without an agenda item has a null title and no papers; one without a rede_id
+    belongs to no speech and is left out."""
     item = agenda.select("agenda_item_id", "top_id", F.col("title").alias("raw_title"), "drucksache_numbers", F.col("kind").alias("agenda_kind"))
-    p = joined_parts(not_kind(parts), sittings, item).withColumn("week", calendar.week_id(F.to_date("date")))
+    p = joined_parts(not_kind(parts).filter("rede_id IS NOT NULL"), sittings, item).withColumn("week", calendar.week_id(F.to_date("date")))
     rede = Window.partitionBy("week", "rede_id").orderBy("date", "position")
     own = Window.partitionBy("week", "rede_id", "person_id").orderBy("date", "position")
     p = p.withColumns({"main": F.first("person_id").over(rede), "main_id": F.first("id").over(rede), "before": F.lag("person_id").over(rede), "head": F.first("id").over(own)})
@@ -139,12 +140,12 @@ def load_weeks(parts: DataFrame, sittings: DataFrame, agenda: DataFrame, paragra
         F.transform("p", lambda x: x["id"]).alias("part_ids"), F.struct("f.date", "f.position").alias("start"), F.struct(F.element_at("p", -1)["date"].alias("date"), F.element_at("p", -1)["position"].alias("position")).alias("end"), F.col("f.asks").alias("zwischenfrage"),
     )
     speeches = speeches.join(held, ["week", "rede_id", "id"], "left").withColumn("paragraphs", F.coalesce("paragraphs", F.expr("CAST(array() AS array<struct<kind:string,text:string>>)")))
-    # targets of markers are in the same rede, which is a few speeches: what was dropped there is looked up within it
+    # looked at twice: what stays, and what was dropped but is the target of a marker in it
+    speeches = stored(speeches)
     stays = kept(F.col("text"), F.col("zwischenfrage"), least)
-    gone = F.when(~stays, F.struct("id", F.struct("speaker", "fraction", "paragraphs").alias("value")))
-    speeches = speeches.withColumn("gone", F.collect_list(gone).over(Window.partitionBy("week", "rede_id")))
-    named = lambda g: F.exists("paragraphs", lambda x: x["kind"].isin(*MARKERS) & (x["text"] == g["id"]))
-    out = speeches.filter(stays).withColumn("linked", F.map_from_entries(F.filter("gone", named))).drop("gone")
+    marks = said.filter("starts").select(F.col("main_id").alias("host"), F.col("head").alias("target")).union(back.select("head", "main_id"))
+    found = linked(marks, speeches.filter(~stays).select("id", F.struct("speaker", "fraction", "paragraphs").alias("value"))).withColumnRenamed("host", "id")
+    out = speeches.filter(stays).join(found, "id", "left").withColumn("linked", F.coalesce("linked", F.create_map().cast(found.schema["linked"].dataType)))
     return with_photo(out, photos).withColumns({"comments": n_comments(F.col("paragraphs")), "chars": F.length("text")})
 
 

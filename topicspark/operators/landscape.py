@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from topicspark.functions import names
 from topicspark.operators import corpus, density, neighbours, terms, themes
-from topicspark.sources import tables
+from topicspark.sources import snapshots, tables
 
 WEEK_LEAST, PERIOD_LEAST = 8, 60
 WEEK_TERMS, PERIOD_TERMS = 4, 6
@@ -79,23 +79,25 @@ def labelled_parts(assigned: DataFrame, described: DataFrame, parts: DataFrame,
     return themes.expanded(kept.select("id", *on, "label"), parts).select("part_id", *on, "label")
 
 
-def rebuild(rows: DataFrame, parts: DataFrame, path: str, weeks: list[str] | None = None, overview: bool = True, *, embed: Callable[[DataFrame], DataFrame] | None = None, encoder: str = "", stopwords: list[str] = (), acronyms: list[str] = (), stems: DataFrame | None = None, decisions: DataFrame | None = None, least: tuple[int, int] = (WEEK_LEAST, PERIOD_LEAST), k: int = 5, floor: float = 0.88, dims: int = 5) -> None:
-    """Writes the tables below `path`: week_clusters, week_points and (of `decisions` by agenda) week_decisions of the chosen weeks
-    (others stay as they are), and with `overview` the period's model (taken up again if rows and parameters are as before),
-    speech_themes and, with `stems`, the tables of `themes.overview`. Only a run over all weeks replaces speech_neighbours.
+def rebuild(rows: DataFrame, parts: DataFrame, path: str, weeks: list[str] | None = None, overview: bool = True, *, embed: Callable[[DataFrame], DataFrame] | None = None, encoder: str = "", stopwords: list[str] = (), acronyms: list[str] = (), stems: DataFrame | None = None, decisions: DataFrame | None = None, least: tuple[int, int] = (WEEK_LEAST, PERIOD_LEAST), k: int = 5, floor: float = 0.88, dims: int = 5, keep: int = 2) -> int:
+    """Writes a new version of the tables below `path` (read by `snapshots.read_snapshot`): week_clusters, week_points and (of
+    `decisions` by agenda) week_decisions of the chosen weeks (others stay as they are), and with `overview` speech_themes of the
+    period's model (taken up again if rows and parameters are as before) and, with `stems`, overview_cells, overview_themes and
+    overview_weeks. Only a run over all weeks replaces speech_neighbours. Readers see all of it at once, when the last table is
+    complete, or none of it; `keep` versions stay. The number of the version.
 
     `embed` gives rows their vectors where they have none yet, and `encoder` is the key of what it computes."""
     spark = rows.sparkSession
+    version, before = snapshots.Version(spark, path), set(tables.made_folders(spark))
     with_vectors = (lambda df: df) if embed is None or "vec" in rows.columns else embed
     chosen = with_vectors(rows if weeks is None else rows.filter(F.col("week").isin(weeks)))
     found, clusters = week_model(chosen, stopwords, least[0])
-    found = tables.stored(found)
     near = tables.stored(neighbours.nearest(chosen.select("week", "id", "vec"), chosen.select("week", "id", "vec"), k, keys=("week",)))
-    tables.write_weeks(week_points(chosen, found, density.plane_map(chosen.select("id", "vec"), near), near), f"{path}/week_points", "parquet")
-    tables.write_weeks(clusters, f"{path}/week_clusters", "parquet")
+    version.write_weeks("week_points", week_points(chosen, found, density.plane_map(chosen.select("id", "vec"), near), near), weeks)
+    version.write_weeks("week_clusters", clusters, weeks)
     if decisions is not None:
         items = chosen.select("week", F.col("agenda").alias("agenda_item_id")).distinct()
-        tables.write_weeks(items.join(decisions, "agenda_item_id"), f"{path}/week_decisions", "parquet")
+        version.write_weeks("week_decisions", items.join(decisions, "agenda_item_id"), weeks)
     if overview:
 
         def build(all_rows: DataFrame) -> dict[str, DataFrame]:
@@ -105,18 +107,22 @@ def rebuild(rows: DataFrame, parts: DataFrame, path: str, weeks: list[str] | Non
 
         params = {"least": least[1], "stopwords": sorted(stopwords), "encoder": encoder, "dims": dims, "terms": PERIOD_TERMS}
         model, _ = tables.build_if_changed(rows, params, f"{path}/period", build)
-        labelled_parts(model["assigned"], model["themes"], parts, ["theme"], acronyms).write.mode("overwrite").parquet(f"{path}/speech_themes")
+        version.write("speech_themes", labelled_parts(model["assigned"], model["themes"], parts, ["theme"], acronyms))
         if stems is not None:
-            shown = themes.overview(model["assigned"], tables.read_table(spark, f"{path}/week_points"), model["themes"], stems)
+            shown = themes.overview(model["assigned"], version.read("week_points"), model["themes"], stems)
             for name, table in shown.items():
-                table.write.mode("overwrite").parquet(f"{path}/overview/{name}")
+                version.write(f"overview_{name}", table)
     if weeks is None:
         v = chosen.select("id", "vec", F.col("agenda").alias("grp"))
         lists = neighbours.neighbour_lists(neighbours.nearest(v, v, k, floor=floor))
-        themes.expanded(lists, parts).select("part_id", "near_ids").write.mode("overwrite").parquet(f"{path}/speech_neighbours")
+        version.write("speech_neighbours", themes.expanded(lists, parts).select("part_id", "near_ids"))
+    number = version.commit()
+    snapshots.clean(spark, path, keep)
+    tables.clear_stored(spark, [p for p in tables.made_folders(spark) if p not in before])
+    return number
 
 
 def speech_clusters(spark: SparkSession, path: str, parts: DataFrame, acronyms: list[str] = ()) -> DataFrame:
     """(part_id, week, cluster, label) of every part from the week tables below `path`."""
-    points, clusters = tables.read_table(spark, f"{path}/week_points"), tables.read_table(spark, f"{path}/week_clusters")
+    points, clusters = snapshots.read_snapshot(spark, path, "week_points"), snapshots.read_snapshot(spark, path, "week_clusters")
     return labelled_parts(points.select("id", "week", "cluster"), clusters, parts, ["week", "cluster"], acronyms)

@@ -2,18 +2,27 @@
 
 Rows are dealt to blocks by a hash of the id, as many as the rows of their key ask for; each pair of blocks (within a key, if one is
 given) is one task that multiplies matrices tile by tile and keeps the local best, and one shuffle by row merges these. The work
-grows with the square of a key's rows, and what is shuffled with that over BLOCK: for sets too large for it, index the vectors.
+grows with the square of a key's rows, and what is shuffled with that over BLOCK.
+
+`pruned_nearest` gives the same rows for less work where vectors lie in groups: rows are dealt to the cells of their nearest pivots, and
+by the triangle inequality a query is sent only to cells that may hold something as near as the k-th it has found in its own.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicspark.sources.tables import stored as kept
+
 #: Rows of a block, rows of a tile, and rows of a key from which queries are dealt to more tasks.
 BLOCK, TILE, LEAST = 16384, 1024, 256
+#: Pivots at most, rows among which they are chosen, and what rounding may take from a bound.
+PIVOTS, SAMPLE, SLACK = 512, 4096, 1e-9
 
 
 def matrix(column) -> np.ndarray:
@@ -97,6 +106,83 @@ def nearest(queries: DataFrame, stored: DataFrame, k: int, *, floor: float | Non
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(*keys, "id", "rank", "near_id", "value")
 
 
+def chosen_pivots(stored: DataFrame, most: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
+    """About as many rows of `stored` as the root of their number, each the farthest from those before it among a fixed sample."""
+    n = min(most, math.isqrt(max(stored.count() - 1, 0)) + 1)
+    rows = stored.filter("vec IS NOT NULL").select("vec", F.xxhash64("id").alias("h")).orderBy("h", "vec").limit(sample).collect()
+    x = np.array([r["vec"] for r in rows], float)
+    if not len(x):
+        return x
+    picked = [0]
+    far = distances(x, x[0])
+    while len(picked) < min(n, len(x)) and far.max() > 0:
+        picked.append(int(far.argmax()))
+        far = np.minimum(far, distances(x, x[picked[-1]]))
+    return x[picked]
+
+
+def _from_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.stack([distances(x, p) for p in pivots], axis=1)
+
+
+def in_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """`rows` with the `cell` of their nearest pivot (of equal ones the first), the distance `off` to it, and their `norm`."""
+
+    def run(batches):
+        for batch in batches:
+            x = matrix(batch.column("vec"))
+            d = _from_pivots(x, pivots) if len(x) else np.zeros((0, len(pivots)))
+            cell = d.argmin(axis=1)
+            more = [pa.array(cell, pa.int32()), pa.array(d[np.arange(len(x)), cell]), pa.array(np.sqrt((x * x).sum(axis=1)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "cell", "off", "norm"])
+
+    schema = ", ".join([*[f"`{n}` {t}" for n, t in rows.dtypes], "cell int, off double, norm double"])
+    return rows.mapInArrow(run, schema)
+
+
+def visits(asked: DataFrame, bounds: DataFrame, cells: dict[int, tuple[float, float]], pivots: np.ndarray, floor: float | None, by: str) -> DataFrame:
+    """The rows of `asked`, once for each other cell that may hold a row as near as `bound`, the value of the k-th that `bounds` (id,
+    bound) has for a row, or any row where it has none. `cells` has the radius and the largest norm of each cell."""
+    names = [n for n in asked.columns if n not in ("cell", "off", "norm")]
+    at = np.array(sorted(cells), np.int64)
+    radius, longest = np.array([cells[c] for c in at]).reshape(-1, 2).T
+
+    def run(batches):
+        for batch in batches:
+            x = matrix(batch.column("vec"))
+            if not len(x):
+                continue
+            bound = batch.column("bound").to_numpy(zero_copy_only=False).astype(float)
+            near = np.maximum(_from_pivots(x, pivots)[:, at] - radius - SLACK, 0)
+            if by == "dot":
+                most = ((x * x).sum(axis=1)[:, None] + longest**2 - near**2) / 2
+                least = np.where(np.isnan(bound), -np.inf, bound)
+                go = most + SLACK >= np.maximum(least, -np.inf if floor is None else floor)[:, None]
+            else:
+                go = near <= np.where(np.isnan(bound), np.inf, bound)[:, None]
+            row, col = np.nonzero(go & (at != batch.column("cell").to_numpy()[:, None]))
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n).take(take) for n in names], pa.array(at[col], pa.int32())], [*names, "cell"])
+
+    types = dict(asked.dtypes)
+    schema = ", ".join([*[f"`{n}` {types[n]}" for n in names], "cell int"])
+    return asked.join(bounds, "id", "left").select(*names, "cell", "bound").mapInArrow(run, schema)
+
+
+def pruned_nearest(queries: DataFrame, stored: DataFrame, k: int, *, floor: float | None = None, by: str = "dot", most: int = PIVOTS) -> DataFrame:
+    """The rows of `nearest(queries, stored, k, floor=floor, by=by)`, exactly, for vectors (none null) in one set."""
+    pivots = chosen_pivots(stored, most)
+    if not len(pivots):
+        return nearest(queries, stored, k, floor=floor, by=by)
+    asked, held = kept(in_cells(queries, pivots)), kept(in_cells(stored, pivots))
+    cells = {r["cell"]: (r["radius"], r["longest"]) for r in held.groupBy("cell").agg(F.max("off").alias("radius"), F.max("norm").alias("longest")).collect()}
+    first = kept(nearest(asked, held, k, floor=floor, by=by, keys=("cell",)))
+    last = first.groupBy("id").agg(F.count("*").alias("n"), (F.min("value") if by == "dot" else F.max("value")).alias("bound")).filter(F.col("n") >= k).drop("n")
+    second = nearest(kept(visits(asked, last, cells, pivots, floor, by)), held, k, floor=floor, by=by, keys=("cell",))
+    best = Window.partitionBy("id").orderBy(F.desc("value") if by == "dot" else F.asc("value"), "near_id")
+    return first.unionByName(second).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("id", "rank", "near_id", "value")
+
+
 def agreement(near: DataFrame, groups: DataFrame) -> DataFrame:
     """Share of neighbours in the row's own group, over all rows. `groups` has id and grp."""
     x = near.join(groups.select("id", F.col("grp").alias("own")), "id").join(groups.select(F.col("id").alias("near_id"), F.col("grp").alias("other")), "near_id")

@@ -70,10 +70,20 @@ def lookback(found: DataFrame, rows: DataFrame, back: int = LOOKBACK, keys: tupl
     return spans.join(rows, "week_idx")
 
 
+def with_main(rows: DataFrame, main: DataFrame) -> DataFrame:
+    """`rows` with `main`, the main theme of their agenda item, or -1; rows that have it already as they are."""
+    return rows if "main" in rows.columns else rows.join(main.select("agenda", F.col("theme").alias("main")), "agenda", "left").withColumn("main", F.coalesce("main", F.lit(-1)))
+
+
+def of_first_weeks(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of weeks in which an episode begins."""
+    return rows.join(found.select(F.col("start").alias("week_idx")).distinct(), "week_idx", "left_semi")
+
+
 def unprompted(found: DataFrame, rows: DataFrame, main: DataFrame, back: int = LOOKBACK) -> DataFrame:
     """(theme, episode, fraction, n, of): of all rows of a fraction in the look-back, those on the theme under an agenda item
     whose main theme is another."""
-    rows = rows.join(main.select("agenda", F.col("theme").alias("main")), "agenda", "left").withColumn("main", F.coalesce("main", F.lit(-1)))
+    rows = with_main(rows, main)
     hit = (F.col("theme") == F.col("of_theme")) & (F.col("main") != F.col("of_theme"))
     out = lookback(found, rows, back).groupBy("of_theme", "of_episode", "fraction").agg(F.count_if(hit).alias("n"), F.count("*").alias("of"))
     return out.filter("n > 0").select(F.col("of_theme").alias("theme"), F.col("of_episode").alias("episode"), "fraction", "n", "of")
@@ -81,7 +91,7 @@ def unprompted(found: DataFrame, rows: DataFrame, main: DataFrame, back: int = L
 
 def unprompted_listed(found: DataFrame, rows: DataFrame, main: DataFrame, back: int = LOOKBACK, listed: int = LISTED) -> DataFrame:
     """The first such rows of each episode in speaking order."""
-    rows = rows.join(main.select("agenda", F.col("theme").alias("main")), "agenda", "left").withColumn("main", F.coalesce("main", F.lit(-1)))
+    rows = with_main(rows, main)
     met = lookback(found, rows, back).filter((F.col("theme") == F.col("of_theme")) & (F.col("main") != F.col("of_theme")))
     rank = F.row_number().over(Window.partitionBy("of_theme", "of_episode").orderBy("week_idx", "id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= listed).select(F.col("of_theme").alias("theme"), F.col("of_episode").alias("episode"), "rank", "id")
@@ -89,7 +99,7 @@ def unprompted_listed(found: DataFrame, rows: DataFrame, main: DataFrame, back:
 
 def formal(found: DataFrame, rows: DataFrame, main: DataFrame) -> DataFrame:
     """(theme, episode, agenda): items of an episode's first week whose main theme it is."""
-    items = rows.select("agenda", "week_idx").distinct().join(main, "agenda")
+    items = of_first_weeks(rows.select("agenda", "week_idx"), found).distinct().join(main, "agenda")
     return found.select("theme", "episode", F.col("start").alias("week_idx")).join(items, ["theme", "week_idx"]).select("theme", "episode", "agenda")
 
 
@@ -102,7 +112,7 @@ def formal_items(found: DataFrame, rows: DataFrame, main: DataFrame, agenda: Dat
     them, and what else is to be shown; numbers that it lacks are left out."""
     optional = {"title": "string", "date": "string", "numbers": "array<string>"}
     rows = rows.withColumns({n: F.lit(None).cast(t) for n, t in optional.items() if n not in rows.columns})
-    first = rows.groupBy("week_idx", "agenda").agg(F.min_by(F.struct("title", "date", "numbers"), "id").alias("f"))
+    first = of_first_weeks(rows, found).groupBy("week_idx", "agenda").agg(F.min_by(F.struct("title", "date", "numbers"), "id").alias("f"))
     items = formal(found, rows, main).join(found.select("theme", "episode", F.col("start").alias("week_idx")), ["theme", "episode"]).join(first, ["week_idx", "agenda"])
     raw = (rows.sparkSession.createDataFrame([], f"agenda {dict(rows.dtypes)['agenda']}, raw_title string, numbers array<string>") if agenda is None else agenda).select("agenda", F.struct("raw_title", "numbers").alias("raw"))
     items = items.join(raw, "agenda", "left").select("theme", "episode", "agenda", "f.title", "f.date", names.requested_by(F.col("raw.raw_title")).alias("requested"), F.coalesce(F.when(F.col("raw").isNotNull(), F.coalesce("raw.numbers", F.array().cast("array<string>"))), "f.numbers", F.array().cast("array<string>")).alias("numbers"))
@@ -118,8 +128,9 @@ def formal_items(found: DataFrame, rows: DataFrame, main: DataFrame, agenda: Dat
 def origins(shares: DataFrame, rows: DataFrame, threshold: float = ACTIVE_SHARE, gap: int = GAP, back: int = LOOKBACK, agenda: DataFrame | None = None, papers: DataFrame | None = None) -> DataFrame:
     """One row per theme with its episodes, each with its formal items, how many each originator brought, and, unless at the
     period's start, the unprompted mentions: per fraction, in all, and the first LISTED of them."""
-    # both are small next to the rows, and looked at several times
+    # all are looked at several times
     found, main = stored(episodes(shares, threshold, gap)), stored(main_themes(rows))
+    rows = stored(with_main(rows, main))
     brought = formal_items(found, rows, main, agenda, papers)
     items = brought.groupBy("theme", "episode").agg(F.array_sort(F.collect_list(F.struct("agenda", "title", "date", "originators", "requested", "papers"))).alias("formal"))
     by = brought.select("theme", "episode", F.explode("originators").alias("originator")).groupBy("theme", "episode", "originator").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from topicspark.functions import calendar, names, text
 from topicspark.operators import corpus, density, explore, landscape, neighbours, origins, terms, themes
 from topicspark.plans.registry import query
-from topicspark.sources import tables
+from topicspark.sources import snapshots, tables
 from topicspark.streaming import embedding
 
 STOPWORDS = "the and der die das les des que und von los las".split()
@@ -210,6 +210,15 @@ def w4_interruptions(spark, d):
     return corpus.interruptions(_parts(spark, d)).select("part_id", "interruption", "interruption_start")
 
 
+# Conversations of whose number there is a German document stand for question times, in which turns are no interruptions
+
+
+@query(f"WITH {INTERRUPTED} SELECT part_id, CASE WHEN lang IS DISTINCT FROM 'de' THEN interruption END AS interruption, CASE WHEN lang IS DISTINCT FROM 'de' THEN interruption_start END AS interruption_start FROM i LEFT JOIN documents ON doc_id = rede_id")
+def w4_question_times(spark, d):
+    lang = T(spark, d, "documents").select(F.col("doc_id").alias("rede_id"), "lang")
+    return corpus.interruptions(_parts(spark, d).join(lang, "rede_id", "left"), F.col("lang") == "de").select("part_id", "interruption", "interruption_start")
+
+
 @query(f"""WITH {INTERRUPTED} SELECT rede_id, position, main AS in_person, interruption AS kind, head AS target FROM i WHERE after_main AND interruption_start = part_id
 UNION ALL SELECT rede_id, max(position), person_id, 'antwort', first(main_head) FROM i WHERE NOT own GROUP BY rede_id, person_id""")
 def w1_w2_markers(spark, d):
@@ -535,7 +544,9 @@ SELECT ep.theme, ep.episode, ep.start, ep."end", ep.period_start, round_even(fir
 FROM ep JOIN shares first_ ON first_.theme = ep.theme AND first_.week_idx = ep.start LEFT JOIN by_ ON by_.theme = ep.theme AND by_.episode = ep.episode
 LEFT JOIN f ON f.theme = ep.theme AND f.episode = ep.episode LEFT JOIN l ON l.theme = ep.theme AND l.episode = ep.episode""")
 def x6_origins(spark, d):
-    rows, shares = order_shares(spark, d)
+    rows, weeks = order_rows(spark, d)
+    rows = tables.stored(rows)
+    shares = origins.weekly_shares(rows, weeks, rows)
     x = origins.origins(shares, rows, THRESHOLD, GAP, BACK, *agenda_and_papers(spark, d))
     by = F.array_join(F.transform("e.by_originator", lambda x: F.concat(x["originator"], F.lit(":"), x["n"])), ",")
     return x.select("theme", F.explode("episodes").alias("e")).select(
@@ -575,6 +586,19 @@ def j16_knn_excluding(spark, d):
     return neighbours.nearest(v, v, 5, floor=0.3).withColumn("value", r6(F.col("value")))
 
 
+@query(_knn_sql("la <> lb AND value >= 0.3", 5) + " SELECT id, rank, near_id, round(value, 6) AS value FROM q")
+def j16_l3_pruned(spark, d):
+    v = vectors(spark, d)
+    return neighbours.pruned_nearest(v, v, 5, floor=0.3).withColumn("value", r6(F.col("value")))
+
+
+@query(_knn_sql("la = 0 AND lb <> 0", 15, "l2") + " SELECT id, rank, near_id, round(l2, 6) AS value FROM q")
+def j17_pruned(spark, d):
+    v = vectors(spark, d)
+    near = neighbours.pruned_nearest(v.filter("grp = 0").drop("grp"), v.filter("grp <> 0").drop("grp"), 15, by="l2")
+    return near.withColumn("value", r6(F.col("value")))
+
+
 @query(_knn_sql("la <> lb AND value >= 0.3", 5) + " SELECT id, string_agg(CAST(near_id AS VARCHAR), ',' ORDER BY rank) AS near_ids FROM q GROUP BY 1")
 def x5_neighbour_lists(spark, d):
     v = vectors(spark, d)
@@ -663,8 +687,8 @@ def x2_x3_x9_rebuild(spark, d):
     decisions = T(spark, d, "documents").groupBy(F.col("source").alias("agenda_item_id")).agg(F.count("*").alias("decided"))
     stems = spark.createDataFrame(STEMS, "area string, area_order int, stem string")
     landscape.rebuild(rows, parts, path, stopwords=STOPWORDS, acronyms=ACRONYMS, stems=stems, decisions=decisions, least=(8, 20), floor=0.3, encoder="given")
-    made = ["week_points", "week_clusters", "week_decisions", "speech_themes", "speech_neighbours", "overview/cells", "overview/themes", "overview/weeks"]
-    read = {name: tables.read_table(spark, f"{path}/{name}") for name in made} | {"speech_clusters": landscape.speech_clusters(spark, path, parts, ACRONYMS)}
+    made = ["week_points", "week_clusters", "week_decisions", "speech_themes", "speech_neighbours", "overview_cells", "overview_themes", "overview_weeks"]
+    read = {name: snapshots.read_snapshot(spark, path, name) for name in made} | {"speech_clusters": landscape.speech_clusters(spark, path, parts, ACRONYMS)}
     told = [t.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*t.columns)).alias("hash")).select(F.lit(name).alias("name"), "n", "hash") for name, t in read.items()]
     return reduce(lambda a, b: a.union(b), told)
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+_made: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession, name: str = "topics") -> str:
     """A new path below the folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a local session takes
@@ -30,10 +32,25 @@ def shared_folder(spark: SparkSession, name: str = "topics") -> str:
 def stored(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read again, so that it is made once and outlives a lost executor."""
     path = shared_folder(df.sparkSession)
+    _made.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made_folders(spark: SparkSession) -> list[str]:
+    """What `stored` has written in this session so far."""
+    return list(_made.get(spark.sparkContext.applicationId, []))
+
+
+def clear_stored(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Removes what `stored` has written in this session (or the given paths of it), for when what was made of it has been written."""
+    paths = made_folders(spark) if paths is None else paths
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _made[spark.sparkContext.applicationId] = [p for p in made_folders(spark) if p not in set(paths)]
+
+
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """A Parquet table; FileNotFoundError that names the path if there is none."""
     try:

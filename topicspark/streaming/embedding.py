@@ -7,16 +7,18 @@ where a text misses the cache.
 from __future__ import annotations
 
 import hashlib
+import uuid
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicspark.functions.text import text_chunks
 from topicspark.sources.tables import read_optional
 
-CACHE = "key string, text_sha string, vector array<float>"
+CACHE = "key string, batch string, text_sha string, vector array<float>"
 #: Chunks encoded at once.
 BATCH = 256
 
@@ -74,21 +76,50 @@ def pooled(texts: DataFrame, load, most: int = 500, separator: str = "\n\n", pre
     return texts.select("text_sha", "text").mapInArrow(run, "text_sha string, vector array<float>")
 
 
-def embed(rows: DataFrame, cache: str, key: str, load, **options) -> DataFrame:
-    """`rows` (id, text) with one unit `vector` each. Texts not in the cache under `key` are encoded once and appended to it."""
+def embed(rows: DataFrame, cache: str, key: str, load, batch: str | None = None, **options) -> DataFrame:
+    """`rows` (id, text) with one unit `vector` each. Texts not in the cache under `key` are encoded once and added to it.
+
+    They are written as one `batch` of the cache, by default under a name of its own. A run with the name of an earlier one replaces
+    what that has written, so that a batch which is run again after it broke off, or was complete, adds each text once. A text that two
+    runs add at the same time is in the cache twice, and is read once."""
     spark = rows.sparkSession
+    batch = batch or uuid.uuid4().hex
     hashed = rows.withColumn("text_sha", F.sha1(F.coalesce("text", F.lit(""))))
-    known = lambda: read_optional(spark, cache, CACHE).filter(F.col("key") == key)
+    known = read_optional(spark, cache, CACHE).filter(F.col("key") == key)
     # which texts are new is found by their hashes alone
-    missing = hashed.select("text_sha", F.coalesce("text", F.lit("")).alias("text")).join(known().select("text_sha"), "text_sha", "left_anti").dropDuplicates(["text_sha"])
-    pooled(missing, load, **options).select(F.lit(key).alias("key"), "text_sha", "vector").write.mode("append").partitionBy("key").parquet(cache)
-    return hashed.join(known().select("text_sha", "vector").dropDuplicates(["text_sha"]), "text_sha").drop("text_sha")
-
-
-def embed_stream(stream: DataFrame, cache: str, key: str, load, checkpoint: str, **options):
-    """Keep the cache filled from a stream of (id, text); no state is held, as the cache is addressed by content."""
-
-    def batch(df: DataFrame, _: int) -> None:
-        embed(df, cache, key, load, **options)
+    missing = hashed.select("text_sha", F.coalesce("text", F.lit("")).alias("text")).join(known.filter(F.col("batch") != batch).select("text_sha"), "text_sha", "left_anti").dropDuplicates(["text_sha"])
+    made = pooled(missing, load, **options).select(F.lit(key).alias("key"), F.lit(batch).alias("batch"), "text_sha", "vector")
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key", "batch").parquet(cache)
+    known = read_optional(spark, cache, CACHE).filter(F.col("key") == key)
+    return hashed.join(known.select("text_sha", "vector").dropDuplicates(["text_sha"]), "text_sha").drop("text_sha")
+
+
+def compact(spark: SparkSession, cache: str, key: str, files: int = 1) -> None:
+    """Gathers the batches of `key` in one, each text once, in so many files; the batches that it holds are then removed. Not while
+    others write to the cache."""
+    held = read_optional(spark, cache, CACHE).filter(F.col("key") == key)
+    old = [r["batch"] for r in held.select("batch").distinct().collect()]
+    if len(old) < 2:
+        return
+    whole = held.dropDuplicates(["text_sha"]).select("key", F.lit(f"compact-{uuid.uuid4().hex}").alias("batch"), "text_sha", "vector").repartition(files, "text_sha")
+    # until the old ones are gone, both are read, each text once
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key", "batch").parquet(cache)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(cache).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{cache}/key=*/batch=*")) or []:
+        at = status.getPath()
+        if at.getName().removeprefix("batch=") in old and _is_key(at.getParent().getName(), key):
+            fs.delete(at, True)
+
+
+def _is_key(folder: str, key: str) -> bool:
+    return unquote(folder.removeprefix("key=")) == key
+
+
+def embed_stream(stream: DataFrame, cache: str, key: str, load, checkpoint: str, name: str = "stream", **options):
+    """Keep the cache filled from a stream of (id, text). No state is held, as the cache is addressed by content; a batch is named by
+    the stream's `name` and the batch's number, so that one which is run again after a failure replaces what it had written."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        embed(df, cache, key, load, f"{name}-{number}", **options)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
