@@ -104,6 +104,10 @@ def test_a_broken_rebuild_leaves_the_last_version(spark, period, parts, tmp_path
     assert after["week_points"] == 60 < before["week_points"] == 90
     assert read_snapshot(spark, path, "week_points", 1).count() == 90
     assert tables.made_folders(spark) == made
+    # one week anew, with an unchanged model: its cells alone are counted again
+    cells = lambda: sorted(tuple(r) for r in read_snapshot(spark, path, "overview_cells").select("theme", "week", "n").collect())
+    full = cells()
+    assert landscape.rebuild(fewer, parts, path, weeks=["2026-W02"], **given) == 3 and cells() == full
 
 
 def test_versions_share_weeks_and_are_cleaned(spark, tmp_path):

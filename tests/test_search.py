@@ -32,3 +32,18 @@ def test_matches_are_marked(spark):
     df = spark.createDataFrame([(1, "Abcabd x AB"), (2, "none"), (3, "abab"), (4, None), (5, "")], "id long, text string")
     x = explore.term_places(df, ["ab", "bc", "bd"]).select("id", explore.marked(F.col("text"), F.col("places"), [2, 2, 2], "[", "]").alias("m"))
     assert {r["id"]: r["m"] for r in x.collect()} == {1: "[Abcabd] x [AB]", 2: "none", 3: "[abab]", 4: None, 5: ""}
+
+
+def test_sketches_of_weeks_are_merged(spark):
+    rng = np.random.default_rng(2)
+    sizes = (rng.pareto(1.2, 20_000) * 300).astype(int).clip(0, 50_000)
+    df = spark.createDataFrame([(f"w{k % 30}", int(n)) for k, n in enumerate(sizes)], "week string, n int").select("week", F.repeat(F.lit("x"), F.col("n")).alias("text"))
+    (got,) = explore.merged_profile(explore.length_sketches(df, "week")).collect()
+    assert got["n"] == 20_000 and got["short"] == (sizes < 500).mean()
+    for name, p in explore.QUARTILES.items():
+        assert (sizes < got[name]).mean() - explore.RANK_ERROR <= p <= (sizes <= got[name]).mean() + explore.RANK_ERROR
+    values = rng.normal(0, 1, 20_000)
+    near = spark.createDataFrame([(k % 7, float(v)) for k, v in enumerate(values)], "week int, value double")
+    for r in explore.floors_of_sketches(explore.similarity_sketches(near, "week"), [-1.0, 0.0, 1.5]).collect():
+        assert abs(r["below"] - (values < r["floor"]).mean()) <= explore.RANK_ERROR
+    assert explore.merged_profile(explore.length_sketches(df.limit(0), "week"), "week").count() == 0

@@ -115,3 +115,52 @@ def corpus_profile(df: DataFrame, group: str, text: str = "text", least: int = 5
     """(group, n, median and quartiles of the length, share under `least`)."""
     size = F.length(text)
     return df.groupBy(group).agg(F.count("*").alias("n"), *[F.percentile(size, F.lit(p)).alias(a) for p, a in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))], F.avg((size < least).cast("double")).alias("short"))
+
+
+#: Size of the quantile sketches, and the share of the rows by which the rank of what they give may be off (with odds of 0.99).
+SKETCH, RANK_ERROR = 800, 0.005
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def length_sketches(df: DataFrame, *keys: str, text: str = "text", least: int = 500, size: int = SKETCH) -> DataFrame:
+    """(keys, n, short, sketch): rows, rows under `least`, and a mergeable quantile sketch of the lengths, of a few KB at any number of
+    rows. A table of it by week stands for the texts in profiles of any period. Null texts are counted as of no length."""
+    n = F.length(F.coalesce(text, F.lit(""))).cast("long")
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(n < least).alias("short"), F.kll_sketch_agg_bigint(n, F.lit(size)).alias("sketch"))
+
+
+def merged_profile(sketches: DataFrame, *group: str, size: int = SKETCH) -> DataFrame:
+    """What `corpus_profile` gives, from sketches of parts of the rows: counts are exact, the rank of a quartile off by a share of
+    RANK_ERROR."""
+    m = sketches.groupBy(*group).agg(F.sum("n").alias("n"), F.sum("short").alias("low"), F.kll_merge_agg_bigint("sketch", F.lit(size)).alias("s"))
+    return m.select(*group, "n", *[F.kll_sketch_get_quantile_bigint("s", F.lit(p)).alias(a) for a, p in QUARTILES.items()], (F.col("low") / F.col("n")).alias("short"))
+
+
+def similarity_sketches(near: DataFrame, *keys: str, size: int = SKETCH) -> DataFrame:
+    """(keys, n, sketch) of the values of neighbours, for `floors_of_sketches`."""
+    return near.groupBy(*keys).agg(F.count("*").alias("n"), F.kll_sketch_agg_double("value", F.lit(size)).alias("sketch"))
+
+
+def floors_of_sketches(sketches: DataFrame, floors: list[float], size: int = SKETCH) -> DataFrame:
+    """(floor, n, below): about how large a share of all pairs lies below each floor, off by RANK_ERROR."""
+    m = sketches.agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(size)).alias("s"))
+    each = F.explode(F.array(*[F.struct(F.lit(float(f)).alias("floor"), F.kll_sketch_get_rank_double("s", F.lit(float(f))).alias("below")) for f in floors]))
+    return m.filter("n > 0").select("n", each.alias("x")).select("x.floor", "n", "x.below")
+
+
+def entity_counts(parts: DataFrame, sittings: DataFrame, agenda: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(entity, n) of a store: sittings, agenda items and those with speeches, speeches and speakers, and paragraphs of each kind.
+    `parts` has id, agenda_item_id and person_id, `sittings` sitting_id, `agenda` agenda_item_id, `paragraphs` kind."""
+    own = parts.agg(F.count("*").alias("speeches"), F.countDistinct("person_id").alias("speakers"), F.countDistinct("agenda_item_id").alias("agenda items with speeches"))
+    rows = own.select(F.explode(F.array(*[F.struct(F.lit(c).alias("entity"), F.col(c).alias("n")) for c in own.columns])).alias("x")).select("x.*")
+    for name, table, key in (("sittings", sittings, "sitting_id"), ("agenda items", agenda, "agenda_item_id")):
+        rows = rows.union(table.agg(F.countDistinct(key).alias("n")).select(F.lit(name), "n"))
+    return rows.union(paragraphs.groupBy("kind").count().select(F.concat(F.lit("paragraphs: "), F.coalesce("kind", F.lit("none"))), "count"))
+
+
+def paragraph_kinds(paragraphs: DataFrame) -> DataFrame:
+    """(kind, n, per_speech, chars): paragraphs of each kind, how many a speech that has any paragraph holds on average, and their mean
+    length. `paragraphs` has speech_id, kind and text."""
+    each = paragraphs.groupBy("speech_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    speeches = paragraphs.agg(F.countDistinct("speech_id").alias("speeches"))
+    return each.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).crossJoin(F.broadcast(speeches)).select("kind", "n", (F.col("n") / F.col("speeches")).alias("per_speech"), (F.col("chars") / F.col("n")).alias("chars"))

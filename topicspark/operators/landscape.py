@@ -106,15 +106,20 @@ def rebuild(rows: DataFrame, parts: DataFrame, path: str, weeks: list[str] | Non
             return {"assigned": assigned, "themes": described}
 
         params = {"least": least[1], "stopwords": sorted(stopwords), "encoder": encoder, "dims": dims, "terms": PERIOD_TERMS}
-        model, _ = tables.build_if_changed(rows, params, f"{path}/period", build)
+        model, anew = tables.build_if_changed(rows, params, f"{path}/period", build)
         version.write("speech_themes", labelled_parts(model["assigned"], model["themes"], parts, ["theme"], acronyms))
         if stems is not None:
-            shown = themes.overview(model["assigned"], version.read("week_points"), model["themes"], stems)
+            given = (model["assigned"], version.read("week_points"), model["themes"], stems)
+            names = ("cells", "themes", "weeks")
+            if weeks is None or anew or not all((f"overview_{n}", "") in version.held for n in names):
+                shown = themes.overview(*given)
+            else:
+                shown = themes.refreshed_overview({n: version.read(f"overview_{n}") for n in names}, *given, weeks)
             for name, table in shown.items():
                 version.write(f"overview_{name}", table)
     if weeks is None:
         v = chosen.select("id", "vec", F.col("agenda").alias("grp"))
-        lists = neighbours.neighbour_lists(neighbours.nearest(v, v, k, floor=floor))
+        lists = neighbours.neighbour_lists(neighbours.pruned_nearest(v, v, k, floor=floor))
         version.write("speech_neighbours", themes.expanded(lists, parts).select("part_id", "near_ids"))
     number = version.commit()
     snapshots.clean(spark, path, keep)

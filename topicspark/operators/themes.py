@@ -115,6 +115,17 @@ def overview(assigned: DataFrame, points: DataFrame, described: DataFrame, stems
     return {"cells": cells, "themes": named, "weeks": weeks.join(unassigned(assigned, weeks), "week")}
 
 
+def refreshed_overview(before: dict[str, DataFrame], assigned: DataFrame, points: DataFrame, described: DataFrame, stems: DataFrame, weeks: list[str]) -> dict[str, DataFrame]:
+    """`overview` of an unchanged model after some weeks were built anew: their rows alone are read and counted, and the cells of other
+    weeks are those of `before`, the overview's tables until now. Ordinals are given anew, as weeks may have come or gone."""
+    some = lambda df: df.filter(F.col("week").isin(weeks))
+    new = overview(some(assigned), some(points), described, stems)
+    old = {n: before[n].filter(~F.col("week").isin(weeks)).drop("week_idx") for n in ("cells", "weeks")}
+    both = {n: old[n].unionByName(new[n].drop("week_idx")) for n in old}
+    ordinals = week_ordinals(both["weeks"])
+    return {n: df.join(ordinals, "week").select(*before[n].columns) for n, df in both.items()} | {"themes": new["themes"]}
+
+
 def index_tables(rows: DataFrame, week_clusters: DataFrame, shown: dict[str, DataFrame] | None = None, origins: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables of the index page: `summaries` of the built weeks, and the overview's tables and the origins where there are any.
     `rows` has week, date and cluster, `week_clusters` week, cluster and terms."""

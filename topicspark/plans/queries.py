@@ -230,15 +230,20 @@ def w1_w2_markers(spark, d):
 LEAST_CHARS = 200
 
 
-def week_speeches(spark, d):
+def week_parts(spark, d):
     given = corpus.interruptions(_parts(spark, d))
     person = F.col("person_id")
     parts = given.select(F.col("part_id").alias("id"), F.col("rede_id").alias("sitting_id"), F.when(person != "system", F.col("rede_id")).alias("agenda_item_id"), "position", "person_id", F.concat("person_id", F.lit(", a (b)")).alias("speaker_name"),
         F.when(person == "system", "Bundesrat").otherwise(person).alias("speaker_group"), person.alias("member_fraction"), F.lit(None).cast("string").alias("speaker_role"), "text", F.lit("src").alias("source_document_id"), "rede_id", "interruption", "interruption_start")
     sittings = parts.select("sitting_id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("sitting_id") % 60).cast("int")).alias("date"), F.concat(F.lit("pdf"), "sitting_id").alias("pdf_url")).distinct()
-    agenda = T(spark, d, "documents").select(F.col("doc_id").alias("agenda_item_id"), F.col("source").alias("top_id"), F.concat(F.lit("Beratung des Antrags | "), "lang").alias("title"), F.concat(F.lit('["'), "n_chars", F.lit('"]')).alias("drucksache_numbers"), F.lit(None).cast("string").alias("kind"))
     line = F.posexplode(F.split("text", "\n"))
     lines = given.select(F.col("part_id").alias("speech_id"), line.alias("position", "text")).select("speech_id", "position", F.when(F.col("text").endswith("."), "text").otherwise("comment").alias("kind"), "text")
+    return parts, sittings, lines, given
+
+
+def week_speeches(spark, d):
+    parts, sittings, lines, _ = week_parts(spark, d)
+    agenda = T(spark, d, "documents").select(F.col("doc_id").alias("agenda_item_id"), F.col("source").alias("top_id"), F.concat(F.lit("Beratung des Antrags | "), "lang").alias("title"), F.concat(F.lit('["'), "n_chars", F.lit('"]')).alias("drucksache_numbers"), F.lit(None).cast("string").alias("kind"))
     photos = T(spark, d, "region").select(F.lit("user").alias("person_id"), F.lit("me").alias("credit"))
     return parts, sittings, lines, corpus.load_weeks(parts, sittings, agenda, lines, photos, LEAST_CHARS)
 
@@ -264,7 +269,7 @@ def x1_load_weeks(spark, d):
 @query(f"""WITH {SPOKEN} SELECT part_id AS speech_id, n - 1 AS position, CASE WHEN ends_with(line, '.') THEN 'text' ELSE 'comment' END AS kind, strftime(DATE '2024-01-01' + CAST(rede_id % 60 AS INTEGER), '%Y-%m-%d') AS date
 FROM (SELECT *, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM i)""")
 def j2_paragraphs(spark, d):
-    parts, sittings, lines, _ = week_speeches(spark, d)
+    parts, sittings, lines, _ = week_parts(spark, d)
     x = corpus.joined_paragraphs(lines, parts.drop("text"), sittings)
     return x.select("speech_id", F.col("position").cast("long").alias("position"), "kind", F.col("date").cast("string").alias("date"))
 
@@ -718,17 +723,34 @@ def u2_union_weeks(spark, d):
     return themes.union_weeks(themed(spark, d)[0], order_weeks(spark, d)[0])
 
 
-@query(f"""WITH {THEMED}, n AS (SELECT theme, week, count(*) AS n FROM q WHERE theme >= 0 GROUP BY 1, 2), c AS (SELECT theme, week, cluster, count(*) AS n, min(id) AS f FROM q WHERE theme >= 0 AND cluster >= 0 AND value > 5 GROUP BY 1, 2, 3),
+OVERVIEW = f"""WITH {THEMED}, n AS (SELECT theme, week, count(*) AS n FROM q WHERE theme >= 0 GROUP BY 1, 2), c AS (SELECT theme, week, cluster, count(*) AS n, min(id) AS f FROM q WHERE theme >= 0 AND cluster >= 0 AND value > 5 GROUP BY 1, 2, 3),
 f AS (SELECT theme, week, cluster AS focus FROM c QUALIFY row_number() OVER (PARTITION BY theme, week ORDER BY n DESC, f) = 1),
 t AS (SELECT DISTINCT theme, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS terms FROM q WHERE theme >= 0 GROUP BY 1),
 w AS (SELECT week, count(*) FILTER (theme = -1) AS unassigned FROM q GROUP BY 1)
-SELECT theme, week, coalesce(n, 0) AS n, focus, CASE WHEN terms = 'view' THEN 'web' WHEN terms IN ('purchase', 'signup') THEN 'shop' ELSE 'weitere' END AS area, unassigned FROM t CROSS JOIN w LEFT JOIN n USING (theme, week) LEFT JOIN f USING (theme, week)""")
+SELECT theme, week, coalesce(n, 0) AS n, focus, CASE WHEN terms = 'view' THEN 'web' WHEN terms IN ('purchase', 'signup') THEN 'shop' ELSE 'weitere' END AS area, unassigned FROM t CROSS JOIN w LEFT JOIN n USING (theme, week) LEFT JOIN f USING (theme, week)"""
+
+
+@query(OVERVIEW)
 def x7_j19_overview(spark, d):
     e, described = themed(spark, d)
     shown = themes.overview(e, e.filter("value > 5"), described, spark.createDataFrame(AREA_STEMS, "area string, area_order int, stem string"))
     return shown["cells"].join(shown["themes"].select("theme", "area"), "theme").join(shown["weeks"].select("week", "unassigned"), "week").select("theme", "week", "n", "focus", "area", "unassigned")
 
 
+# The same overview, first counted as if one week's events were all of one theme, and then with that week counted anew
+
+
+@query(OVERVIEW)
+def x7_upkeep(spark, d):
+    e, described = themed(spark, d)
+    stems = spark.createDataFrame(AREA_STEMS, "area string, area_order int, stem string")
+    week = e.agg(F.max("week")).head()[0]
+    other = e.withColumns({"theme": F.when(F.col("week") == week, F.lit(0)).otherwise(F.col("theme")), "cluster": F.when(F.col("week") == week, F.lit(0)).otherwise(F.col("cluster"))})
+    before = {n: tables.stored(t) for n, t in themes.overview(other, other.filter("value > 5"), described, stems).items()}
+    shown = themes.refreshed_overview(before, e, e.filter("value > 5"), described, stems, [week])
+    return shown["cells"].join(shown["themes"].select("theme", "area"), "theme").join(shown["weeks"].select("week", "unassigned"), "week").select("theme", "week", "n", "focus", "area", "unassigned")
+
+
 TOPIC_LIST = "string_agg('t' || cluster || '+' || 'u' || '+' || 'v', ',' ORDER BY n DESC, cluster)"
 
 
@@ -793,6 +815,34 @@ def a26_corpus_profile(spark, d):
     return x.select("lang", "n", *[r6(F.col(c)).alias(c) for c in ("q1", "median", "q3", "short")])
 
 
+# Sketches of each source, merged by language: counts are the exact ones, and so is, within the stated error, the rank of each quartile
+
+
+@query("""SELECT lang, count(*) AS n, round(avg(CASE WHEN length(coalesce(text, '')) < 500 THEN 1.0 ELSE 0.0 END), 6) AS short, true AS q1, true AS median, true AS q3 FROM documents GROUP BY 1""")
+def a26_sketched_profile(spark, d):
+    docs = T(spark, d, "documents").withColumn("size", F.length(F.coalesce("text", F.lit(""))).cast("long"))
+    x = explore.merged_profile(explore.length_sketches(docs, "lang", "source"), "lang")
+    told = docs.alias("d").join(x.alias("x"), F.expr("x.lang <=> d.lang"))
+    # rows below a quartile, and rows up to it, lie about its share
+    off = {a: (F.count_if(F.col("d.size") < F.col(f"x.{a}")) <= F.count("*") * (p + explore.RANK_ERROR) + 1) & (F.count_if(F.col("d.size") <= F.col(f"x.{a}")) >= F.count("*") * (p - explore.RANK_ERROR) - 1) for a, p in explore.QUARTILES.items()}
+    return told.groupBy("x.lang").agg(F.first("x.n").alias("n"), r6(F.first("x.short")).alias("short"), *[c.alias(a) for a, c in off.items()])
+
+
+@query("""WITH l AS (SELECT conv_id, role, turn, unnest(string_split(text, chr(10))) AS line FROM conversations), k AS (SELECT *, CASE WHEN ends_with(line, '.') THEN 'text' ELSE 'comment' END AS kind FROM l)
+SELECT 'speeches' AS entity, count(*) AS n FROM conversations UNION ALL SELECT 'speakers', count(DISTINCT role) FROM conversations UNION ALL SELECT 'agenda items with speeches', count(DISTINCT conv_id) FROM conversations WHERE role <> 'system'
+UNION ALL SELECT 'sittings', count(DISTINCT conv_id) FROM conversations UNION ALL SELECT 'agenda items', count(DISTINCT doc_id) FROM documents UNION ALL SELECT 'paragraphs: ' || kind, count(*) FROM k GROUP BY kind""")
+def a26_entities(spark, d):
+    parts, sittings, lines, _ = week_parts(spark, d)
+    return explore.entity_counts(parts, sittings, T(spark, d, "documents").withColumnRenamed("doc_id", "agenda_item_id"), lines)
+
+
+@query("""WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations), k AS (SELECT *, CASE WHEN ends_with(line, '.') THEN 'text' ELSE 'comment' END AS kind FROM l)
+SELECT kind, count(*) AS n, round(count(*) / (SELECT count(*) FROM conversations WHERE text IS NOT NULL), 6) AS per_speech, round(avg(length(line)), 6) AS chars FROM k GROUP BY 1""")
+def a26_kinds(spark, d):
+    x = explore.paragraph_kinds(week_parts(spark, d)[2])
+    return x.select("kind", "n", r6(F.col("per_speech")).alias("per_speech"), r6(F.col("chars")).alias("chars"))
+
+
 @query(f"""WITH {THEMED}, c AS (SELECT week, cluster, count(*) AS n FROM q WHERE cluster >= 0 GROUP BY 1, 2), k AS (SELECT week, {TOPIC_LIST} AS topics FROM c GROUP BY 1)
 SELECT week, string_agg(DISTINCT date, ',' ORDER BY date) AS dates, count(*) AS speeches, any_value(topics) AS topics FROM q LEFT JOIN k USING (week) GROUP BY 1""")
 def a19_week_summary(spark, d):
