@@ -246,3 +246,35 @@ def test_queries_of_the_round(spark):
     assert reduce(lambda a, b: a and b, [n in registered.queries() for n in ("op11_winnowing", "op12_alignment", "op13_whitening")])
     assert registered.op11_winnowing(spark, SF).filter("contaminated").count() > 0
     assert registered.op13_whitening(spark, SF).agg(F.max("component")).head()[0] == 16
+
+
+# The vector index's lists
+
+
+def test_boundary_vectors_are_posted_to_several_lists():
+    from topicspark.llm import ann
+
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = ann.fit_index(x, 1.0 + 1e-9, len(x))
+    assert np.allclose(np.linalg.norm(index.centroids, axis=1), 1, atol=1e-6)
+    copies = (index.posted(x) >= 0).sum(1)
+    assert copies.mean() > 1.5 and copies.max() <= ann.COPIES
+
+
+def test_few_lists_hold_the_neighbours_of_grouped_vectors():
+    from topicspark.llm import ann
+
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((100, 64))
+    x = centres[rng.integers(0, 100, 8000)] + 0.35 * rng.standard_normal((8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = ann.fit_index(x, 1.0 + 1e-9, len(x))
+    asked = np.arange(0, 8000, 20)
+    lists, probes = index.posted(x), index.probed(x[asked])
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    top = np.argpartition(-score, 19, axis=1)[:, :20]
+    found = (probes[np.arange(len(asked))[:, None, None], np.maximum(lists[top], 0)] & (lists[top] >= 0)).any(2)
+    assert found.mean() >= 0.9 and probes.mean() < 0.1

@@ -34,7 +34,9 @@ SAMPLE_NUMBERS, LIST_LENGTH, MOST_LISTS, COPIES = 1_500_000, 128, 1024, 3
 BOUNDARY = 1.1
 #: Share of sample neighbours that the probed lists must hold.
 COVER = 0.97
-DEGREE, SHARD = 16, 8192
+#: Centroids beside one in the graph, steps that a walk takes at least (so that it isn't held up where all beside are farther), and
+#: vectors of a shard.
+DEGREE, WALK, SHARD = 16, 24, 8192
 #: Pairs scored at once.
 PAIRS = 1 << 15
 
@@ -61,6 +63,9 @@ def balanced_centroids(x: np.ndarray, n: int, rounds: int = 12, seed: int = 3) -
         total = np.zeros_like(c)
         np.add.at(total, near, x)
         c = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], x[rng.choice(len(x), n)])
+        # means of points of a sphere lie inside it, nearer to one another than to any point: back onto it, or every second list of a
+        # vector would count as shadowed by its first
+        c *= np.sqrt((x * x).sum(1).mean()) / np.maximum(np.sqrt((c * c).sum(1)), 1e-12)[:, None]
     return c
 
 
@@ -99,8 +104,8 @@ class ListIndex:
         return out
 
     def probed(self, q: np.ndarray) -> np.ndarray:
-        """Which lists each query probes: a best-first walk of the centroid graph, all queries in step, that goes on while the
-        nearest open centroid is within the ratio of the nearest seen."""
+        """Which lists each query probes: a best-first walk of the centroid graph, all queries in step, that goes on for WALK steps,
+        and then while the nearest open centroid is within the ratio of the nearest seen."""
         x, c = self.aimed(q), self.centroids
         n = len(c)
         dist = np.full((len(x), n), np.inf)
@@ -108,13 +113,14 @@ class ListIndex:
         entry = np.arange(0, n, max(1, n // 32))
         dist[:, entry] = distances(x, c[entry])
         open_ = np.isfinite(dist)
-        going = np.arange(len(x))
+        going, steps = np.arange(len(x)), 0
         while len(going):
             d = np.where(open_[going], dist[going], np.inf)
             best = d.argmin(1)
             near = d[np.arange(len(going)), best]
-            on = near <= self.ratio * dist[going].min(1)
-            going, best = going[on], best[on]
+            on = near <= (np.inf if steps < WALK else self.ratio * dist[going].min(1))
+            on &= np.isfinite(near)
+            going, best, steps = going[on], best[on], steps + 1
             if not len(going):
                 break
             open_[going, best] = False
