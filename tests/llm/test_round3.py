@@ -278,3 +278,15 @@ def test_few_lists_hold_the_neighbours_of_grouped_vectors():
     top = np.argpartition(-score, 19, axis=1)[:, :20]
     found = (probes[np.arange(len(asked))[:, None, None], np.maximum(lists[top], 0)] & (lists[top] >= 0)).any(2)
     assert found.mean() >= 0.9 and probes.mean() < 0.1
+
+
+# Fits where an id stands on many rows
+
+
+def test_a_language_of_one_id_is_learned(spark):
+    from topicspark.llm import langid
+
+    rows = [(k, f"der Hund und die Katze {k}", "de") for k in range(300)] + [(7, f"the cat of the house {k}", "en") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    network = langid.train_langid(docs, fit_texts=10)
+    assert sorted(network.langs) == ["de", "en"]

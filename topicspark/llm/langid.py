@@ -123,23 +123,23 @@ def train_network(texts: list[str], labels: list[str], seed: int = 7) -> ByteNet
 
 def train_langid(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> ByteNetwork | None:
     """Fit on `docs` (doc_id, text, lang): of each language the `fit_texts` documents with letters that come first by a hash of
-    the id (fewer each, if there are so many languages that they would be over FIT_ALL). Only ids are ranked, and
-    only about twice as many as are taken; the few texts chosen follow."""
+    the id (fewer each, if there are so many languages that they would be over FIT_ALL). Only distinct ids are ranked, and
+    only about twice as many as are taken; the few texts chosen follow, of an id on several rows the one of the least text hash."""
     languages = docs.agg(F.countDistinct("lang")).head()[0]
     fit_texts = min(fit_texts, max(1, FIT_ALL // max(1, languages)))
     fit = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # ids whose hash is in the part of its range where twice as many as wanted lie; few are ranked, and languages of fewer in whole
     ids = fit.select("doc_id", "lang", F.xxhash64("doc_id").alias("place"))
-    ids = looked_up(ids, ids.groupBy("lang").agg(F.count("*").alias("n")), ["lang"], F.col("place"))
-    ids = ids.filter(F.col("place") / F.lit(2.0**64) + 0.5 <= 2 * fit_texts / F.col("n")).drop("n")
+    ids = looked_up(ids, ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")), ["lang"], F.col("place"))
+    ids = ids.filter(F.col("place") / F.lit(2.0**64) + 0.5 <= 2 * fit_texts / F.col("n")).drop("n").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     ids = ids.withColumn("rank", rank).filter(F.col("rank") <= fit_texts)
-    ids = ids.select("doc_id", "lang").distinct()
+    ids = ids.select("doc_id", "lang")
     # a cut of this length from a seeded place is all that training looks at
     cut = F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1, WINDOW + 8)
     # at most FIT_ALL ids, or one for each language
     small = languages <= FIT_ALL
-    rows = fit.join(F.broadcast(ids) if small else ids, ["doc_id", "lang"], "left_semi").select("doc_id", cut.alias("text"), "lang").toArrow()
+    rows = fit.join(F.broadcast(ids) if small else ids, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), cut.alias("text"))).alias("one")).select("doc_id", "one.text", "lang").toArrow()
     if not rows.num_rows:
         return None
     rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
