@@ -290,3 +290,16 @@ def test_a_language_of_one_id_is_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     network = langid.train_langid(docs, fit_texts=10)
     assert sorted(network.langs) == ["de", "en"]
+
+
+def test_a_repeated_id_is_one_row_of_the_regression(spark, monkeypatch):
+    from topicspark.llm import toxicity
+
+    seen = []
+    real = toxicity._regression
+    monkeypatch.setattr(toxicity, "_regression", lambda y, *args, **options: seen.append(len(y)) or real(y, *args, **options))
+    rows = [(k, f"a clean text of {k}") for k in range(2, 20)] + [(1, f"you idiot {k}") for k in range(5000)] + [(20 + k, f"idiot again {k}") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0, 0) for k in range(2, 20)] + [(1, 0, 1)] + [(20 + k, 0, 1) for k in range(6)], "doc_id long, quality int, toxic int")
+    toxicity.train_toxicity(docs, labels, fit_rows=5)
+    assert seen == [10]

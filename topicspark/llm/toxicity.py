@@ -138,7 +138,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit
     place = np.full(size, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     first = lambda y: known.filter((F.col(label) > 0) == F.lit(bool(y))).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    # of an id on several rows that of the least text hash, so that no more rows than ids reach the driver
     picked = data.join(F.broadcast(first(0).union(first(1)).distinct()), "doc_id", "left_semi")
+    picked = picked.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("one")).select("doc_id", "one.text", "one.label")
 
     def featurised(batches):
         for batch in batches:
