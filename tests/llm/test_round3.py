@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.compare import oracle_rows, query_rows
-from topicspark.llm import alignment, whitening, winnowing
+from topicspark.llm import alignment, mixing, quality, simhash, toxicity, whitening, winnowing
 from topicspark.llm import queries as registered
+from topicspark.llm.common import crc_mod
 
 SF = "/root/testdata/sf0.001"
 FIRST, SECOND = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
@@ -303,3 +304,25 @@ def test_a_repeated_id_is_one_row_of_the_regression(spark, monkeypatch):
     labels = spark.createDataFrame([(k, 0, 0) for k in range(2, 20)] + [(1, 0, 1)] + [(20 + k, 0, 1) for k in range(6)], "doc_id long, quality int, toxic int")
     toxicity.train_toxicity(docs, labels, fit_rows=5)
     assert seen == [10]
+
+
+# Stages of the pipeline against the queries' rows
+
+
+def test_stages_keep_what_their_operators_keep(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    ids = lambda df: Counter(r["doc_id"] for r in df.select("doc_id").collect())
+    learned = crc_mod("doc_id", 5) != 0
+    clean = toxicity.clean_documents(docs.filter(learned), labels.filter(learned))
+    assert ids(clean) == ids(toxicity.op2_toxicity(docs, labels).filter("NOT held_out AND predicted = 0"))
+    assert ids(quality.good_documents(docs, labels)) == ids(quality.op10_quality(docs, labels).filter("kept"))
+    rows = mixing.mixed_rows(docs, mixing.source_domain(F.col("source")))
+    chosen = mixing.op6_mixing(docs).groupBy("doc_id").agg(F.sum("copies").alias("n"))
+    assert ids(rows) == Counter({r["doc_id"]: r["n"] for r in chosen.collect()})
+
+
+def test_rows_without_an_id_have_components(spark):
+    """A component of rows that have no id has none either; one that has any takes the smallest."""
+    docs = spark.createDataFrame([(None, "lone words of a text"), (None, "shared words"), (7, "shared words"), (9, "shared words"), (None, None), (None, "")], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.op7_simhash(docs).collect())
+    assert got == Counter([(None, None), (None, 7), (7, 7), (9, 7), (None, None), (None, None)])

@@ -4,8 +4,8 @@ Fingerprints are one or more words of 64 bits. Every distinct fingerprint is dea
 index, whose members agree on all bits of the mask. Within a group the fingerprints are sorted by Gray rank and cut into leaves;
 each node above keeps the bits that all below it share. Two nodes whose shared bits already differ in more places than a link
 allows are dropped together, else their children are compared, down to fingerprints, word by word with the differences so far
-added up. A group too large for a task is cut into runs of Gray order, and each pair of runs that the same test leaves goes to a
-task of its own. What tasks return are forests, not pairs; their components are joined by min-label rounds over written tables.
+added up. A group too large for a task is cut into runs of Gray order, whose upper nodes are compared in the same way by joins, a level
+a round, and each pair of runs that is left goes to a task of its own. What tasks return are forests, not pairs; their components are joined by min-label rounds over written tables.
 
 Two settings are in use. `EXACT`, that of the query: 64 bits of three-word shingles, three bits apart; fingerprints that close agree
 on all but three of the blocks that the masks are made of, so every link is found. `SIMILAR`, that of `without_near_duplicates`:
@@ -14,7 +14,8 @@ shingle sets, which is what SimHash estimates (for sets of one size, a Jaccard i
 and as long as it takes for a pair of that Jaccard index to agree on one with odds of RECALL.
 
 Edge cases: null, empty and wordless texts have fingerprint zero and link like any other; texts of fewer words than a shingle
-are one shingle; equal texts and repeated ids are fine; other columns stay or are left out; an empty table gives no rows.
+are one shingle; equal texts and repeated ids are fine; rows without an id link too, and have the smallest id of their component, or
+null if none has one; other columns stay or are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -338,6 +339,34 @@ def fingerprint_links(prints: DataFrame, kind: Links = EXACT, run: int = RUN) ->
     return out.union(_large_group_links(dealt.join(large, ["choice", "key"], "left_semi"), kind, run)) if has_large else out
 
 
+def _kept_pairs(runs: DataFrame, kind: Links, names: list[str]) -> DataFrame:
+    """(choice, key, ldepth, lspan, rdepth, rspan): the pairs of `runs` that shared bits don't part, each pair once, from the root of
+    each group down: of a pair of nodes that may hold a link, the pairs of their children are looked at next."""
+    above = runs.select("choice", "key", "depth", "span", *names).withColumn("at", F.explode(F.sequence(F.lit(0), "depth", F.lit(4))))
+    place = F.when(F.col("at") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(span, depth - at)"))
+    bits = [f(n).alias(f"{tag}{n}") for n in names for tag, f in (("both", F.bit_and), ("either", F.bit_or))]
+    nodes = written(above.withColumn("place", place).groupBy("choice", "key", F.col("at").alias("depth"), F.col("place").alias("span")).agg(F.bool_or(F.col("at") == F.col("depth")).alias("leaf"), *bits))
+    # what a node gives way to: its children, or itself where it is a run
+    up = F.when(F.col("depth") == 4, F.lit(0).cast("long")).otherwise(F.shiftrightunsigned("span", 4))
+    child = nodes.filter("depth > 0").withColumns({"odepth": F.col("depth") - 4, "ospan": up})
+    after = written(child.union(nodes.filter("leaf").withColumns({"odepth": F.col("depth"), "ospan": F.col("span")})))
+    side = lambda s: after.select("choice", "key", F.col("odepth").alias(f"{s}depth"), F.col("ospan").alias(f"{s}span"), F.struct("depth", "span", "leaf", *[f"{t}{n}" for n in names for t in ("both", "either")]).alias(s))
+    mask = lambda s, n: F.bitwise_not(F.col(f"{s}.both{n}").bitwiseXOR(F.col(f"{s}.either{n}")))
+    apart = sum((F.bit_count(F.col(f"l.both{n}").bitwiseXOR(F.col(f"r.both{n}")).bitwiseAND(mask("l", n)).bitwiseAND(mask("r", n))) for n in names), F.lit(0))
+    same = (F.col("ldepth") == F.col("rdepth")) & (F.col("lspan") == F.col("rspan"))
+    ends = ["choice", "key", "ldepth", "lspan", "rdepth", "rspan"]
+    root = [F.lit(0).alias("ldepth"), F.lit(0).cast("long").alias("lspan"), F.lit(0).alias("rdepth"), F.lit(0).cast("long").alias("rspan")]
+    open_, kept = nodes.select("choice", "key").distinct().select("choice", "key", *root), None
+    while True:
+        met = open_.join(side("l"), ["choice", "key", "ldepth", "lspan"]).join(side("r"), ["choice", "key", "rdepth", "rspan"])
+        met = met.filter((~same | (F.col("l.span") <= F.col("r.span"))) & (apart <= kind.distance))
+        met = written(met.select("choice", "key", *[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "lr" for c in ("depth", "span", "leaf")]))
+        done, open_ = met.filter("lleaf AND rleaf").select(*ends), met.filter("NOT (lleaf AND rleaf)").select(*ends)
+        kept = done if kept is None else kept.union(done)
+        if not open_.head(1):
+            return kept
+
+
 def _large_group_links(dealt: DataFrame, kind: Links, run: int) -> DataFrame:
     """Links within groups of over `run` fingerprints: runs of Gray order, and pairs of runs that shared bits don't part."""
     names = [f"f{w}" for w in range(kind.words)]
@@ -359,12 +388,7 @@ def _large_group_links(dealt: DataFrame, kind: Links, run: int) -> DataFrame:
         if not todo.head(1):
             break
     runs = written(runs)
-    node = runs.groupBy("choice", "key", "depth", "span").agg(*[f(n).alias(f"{tag}{n}") for n in names for tag, f in (("both", F.bit_and), ("either", F.bit_or))])
-    left, right = node.alias("l"), node.alias("r")
-    before = (F.col("l.depth") < F.col("r.depth")) | (F.col("l.depth") == F.col("r.depth")) & (F.col("l.span") <= F.col("r.span"))
-    mask = lambda s, n: F.bitwise_not(F.col(f"{s}.both{n}").bitwiseXOR(F.col(f"{s}.either{n}")))
-    apart = sum((F.bit_count(F.col(f"l.both{n}").bitwiseXOR(F.col(f"r.both{n}")).bitwiseAND(mask("l", n)).bitwiseAND(mask("r", n))) for n in names), F.lit(0))
-    kept = left.join(right, (F.col("l.choice") == F.col("r.choice")) & (F.col("l.key") == F.col("r.key")) & before & (apart <= kind.distance)).select("l.choice", "l.key", *[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "lr" for c in ("depth", "span")])
+    kept = _kept_pairs(runs, kind, names)
     kept = written(kept.withColumn("pair", F.xxhash64("choice", "key", "ldepth", "lspan", "rdepth", "rspan")))
     sides = [kept.select("choice", "key", F.col(f"{s}depth").alias("depth"), F.col(f"{s}span").alias("span"), "pair", F.lit(s == "r").alias("right"), (F.struct("ldepth", "lspan") == F.struct("rdepth", "rspan")).alias("own")) for s in "lr"]
     dealt = runs.select("choice", "key", "depth", "span", "id", *names).join(sides[0].union(sides[1].filter(~F.col("own"))), ["choice", "key", "depth", "span"]).select("pair", "right", "id", *names)
@@ -415,7 +439,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = written(each.join(label, each["fp"] == label["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label")))
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     by_print = written(looked_up(named, lowest, ["label"], F.col("fp")).select("fp", "component_id"))
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return looked_up(prints, by_print, ["fp"], F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
 def op7_simhash(docs: DataFrame) -> DataFrame:
