@@ -124,3 +124,46 @@ def test_map_moves_points_half_way_to_their_neighbours(spark):
         at = (at + at[listed].mean(axis=1)) / 2
     got = np.array([tuple(r) for r in density.plane_map(df, near, rounds=2).orderBy("id").select("x", "y").collect()])
     assert np.abs(got - at).max() < 1e-9
+
+
+def spectrum(pairs, n):
+    """Coordinates of all points by numpy: eigenvalues, largest first, and eigenvectors of the averaging over neighbours."""
+    a = np.zeros((n, n))
+    for i, j in pairs:
+        a[i, j] = a[j, i] = 1
+    w = a.sum(axis=0)
+    value, u = np.linalg.eigh(a / np.sqrt(np.outer(w, w)))
+    return value[::-1], u[:, ::-1] / np.sqrt(w)[:, None]
+
+
+def test_spectral_map_equals_numpy(spark):
+    rng = np.random.default_rng(5)
+    place = rng.random((300, 2)) * [3, 1]
+    apart = ((place[:, None] - place) ** 2).sum(axis=2)
+    pairs = [(i, int(j)) for i in range(300) for j in np.argsort(apart[i])[1:13]]
+    value, want = spectrum(pairs, 300)
+    assert value[1] < 1 - 1e-6 and value[1] - value[2] > 1e-3 and value[2] - value[3] > 1e-3
+    near, rows = spark.createDataFrame(pairs, "id long, near_id long"), spark.range(302)
+    got = np.array([(r["x"], r["y"]) for r in density.spectral_map(rows, near, tolerance=1e-7).orderBy("id").collect()])
+    for k in range(2):
+        v = want[:, k + 1]
+        np.testing.assert_allclose(got[:300, k], v * np.sign(v[np.abs(v).argmax()]), atol=2e-6)
+    assert not got[300:].any()
+
+
+def test_parts_of_a_graph_are_spots_of_a_spectral_map(spark):
+    rng = np.random.default_rng(6)
+    pairs = [(i, int(j)) for part in range(3) for i in range(part * 40, part * 40 + 40) for j in part * 40 + rng.permutation(40)[:8] if i != j]
+    rows, near = spark.range(120), spark.createDataFrame(pairs, "id long, near_id long")
+    got = np.array([(r["x"], r["y"]) for r in density.spectral_map(rows, near).orderBy("id").collect()]).reshape(3, 40, 2)
+    middle, spread = got.mean(axis=1), np.abs(got - got.mean(axis=1, keepdims=True)).max()
+    gaps = [np.linalg.norm(middle[a] - middle[b]) for a, b in ((0, 1), (0, 2), (1, 2))]
+    assert min(gaps) > 50 * spread
+
+
+def test_spectral_map_of_tiny_graphs(spark):
+    rows, none = spark.range(3), spark.createDataFrame([(1, 1)], "id long, near_id long")
+    assert [tuple(r) for r in density.spectral_map(rows, none).orderBy("id").collect()] == [(k, 0.0, 0.0) for k in range(3)]
+    one = density.spectral_map(rows, spark.createDataFrame([(0, 1), (0, 1)], "id long, near_id long")).orderBy("id").collect()
+    assert abs(one[0]["x"]) == pytest.approx(0.5**0.5) and one[0]["x"] == pytest.approx(-one[1]["x"]) and one[2]["x"] == 0 and not any(r["y"] for r in one)
+    assert density.spectral_map(rows.limit(0), none.limit(0)).count() == 0

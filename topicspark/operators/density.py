@@ -22,6 +22,8 @@ from topicspark.sources.tables import stored
 
 #: Rows of a key whose tree one task makes, rows of a block of a larger key, and edges of a key that one task takes at once.
 ALONE, BLOCK, SLICE = 16384, 4096, 1 << 20
+#: Columns of a spectral map's block, of which two are shown, passes over the graph between two orthonormal blocks, and blocks at most.
+COLUMNS, PASSES, BLOCKS = 4, 8, 40
 
 
 def reduced(rows: DataFrame, k: int = 5) -> DataFrame:
@@ -51,6 +53,65 @@ def plane_map(rows: DataFrame, near: DataFrame, rounds: int = 3) -> DataFrame:
     return at
 
 
+def spectral_map(rows: DataFrame, near: DataFrame, tolerance: float = 1e-4, blocks: int = BLOCKS) -> DataFrame:
+    """(id, x, y) of `rows` (id): the two smoothest coordinates on the neighbour graph of `near` (id, near_id), taken both ways.
+
+    They are the eigenvectors v of `mean over neighbours of v = c v` with the largest c besides the constant one, of unit length where
+    each point weighs as much as it has neighbours, each signed so that its entry of largest size (of ties that of the largest id) is
+    positive. Parts of the graph that aren't connected come out as a spot each. Points without a neighbour lie at the origin, and so do all
+    where fewer coordinates exist. A block of COLUMNS vectors is filtered by a Chebyshev polynomial of the averaging, each degree a join and
+    an aggregate, until both residuals are `tolerance` at most, or `blocks` blocks have been made."""
+    ends = near.select("id", "near_id").filter("id <> near_id")
+    ends = stored(ends.union(ends.select("near_id", "id")).distinct())
+    size = ends.groupBy("id").agg(F.count("*").cast("double").alias("w"))
+    # each point is met by itself too, so that a pass reads the block once
+    ends = stored(ends.union(size.select("id", F.col("id").alias("near_id"))))
+    y, b = [f"y{k}" for k in range(COLUMNS)], [f"b{k}" for k in range(COLUMNS)]
+    own = F.col("id") == F.col("near_id")
+
+    def averaged(at: DataFrame, keep: list[str]) -> DataFrame:
+        """`at` (id, w, y..., and `keep`) with m..., the means of y over neighbours."""
+        met = ends.join(at.withColumnRenamed("id", "near_id"), "near_id").groupBy("id")
+        return met.agg(*[F.max(F.when(own, F.col(n))).alias(n) for n in ["w", *keep]], *[F.avg(F.when(~own, F.col(n))).alias(f"m{n[1:]}") for n in y])
+
+    def combined(names: list[str], matrix_: np.ndarray, shift: np.ndarray, out: list[str]) -> list:
+        return [(sum((F.col(n) * float(matrix_[i, j]) for i, n in enumerate(names)), F.lit(0.0)) - float(shift[j])).alias(out[j]) for j in range(matrix_.shape[1])]
+
+    at = size.select("id", "w", *[(F.xxhash64("id", F.lit(k)) / F.lit(2.0**63)).alias(n) for k, n in enumerate(y)])
+    m = [f"m{k}" for k in range(COLUMNS)]
+    for _ in range(blocks):
+        at = stored(averaged(at, y))
+        pairs = [(u, v) for u in [*y, *m] for v in [*y, *m]]
+        sums = at.agg(F.sum("w"), *[F.sum(F.col("w") * F.col(n)) for n in [*y, *m]], *[F.sum(F.col("w") * F.col(u) * F.col(v)) for u, v in pairs]).head()
+        if sums[0] is None:
+            break
+        mean = np.array(sums[1 : 1 + 2 * COLUMNS]) / sums[0]
+        gram = np.array(sums[1 + 2 * COLUMNS :]).reshape(2 * COLUMNS, -1) - sums[0] * np.outer(mean, mean)
+        scale = np.sqrt(np.maximum(np.diag(gram)[:COLUMNS], 0))
+        scale = np.divide(1, scale, out=np.zeros(COLUMNS), where=scale > 0)
+        g, e = np.linalg.eigh(scale[:, None] * gram[:COLUMNS, :COLUMNS] * scale)
+        t = scale[:, None] * e[:, g > 1e-12 * max(g[-1], 1e-300)] / np.sqrt(g[g > 1e-12 * max(g[-1], 1e-300)])
+        h = t.T @ gram[:COLUMNS, COLUMNS:] @ t
+        value, r = np.linalg.eigh((h + h.T) / 2)
+        value, t = value[::-1], t @ r[:, ::-1]
+        off = np.diag(t.T @ gram[COLUMNS:, COLUMNS:] @ t) - 2 * value * np.diag(t.T @ gram[:COLUMNS, COLUMNS:] @ t) + value**2
+        # directions that a small graph lacks stay zero
+        t, value = np.pad(t, ((0, 0), (0, COLUMNS - t.shape[1]))), np.pad(value, (0, COLUMNS - len(value)), constant_values=-1.0)
+        at = at.select("id", "w", *combined(y, t, mean[:COLUMNS] @ t, y), *combined(m, t, mean[COLUMNS:] @ t, m))
+        if np.sqrt(np.maximum(off[:2], 0)).max(initial=0.0) <= tolerance:
+            break
+        # [-1, least value of the block] is damped
+        mid, half = (value[-1] - 1) / 2, max((value[-1] + 1) / 2, 0.05)
+        at = at.select("id", "w", *[F.col(n).alias(o) for n, o in zip(y, b, strict=True)], *[((F.col(o) - mid * F.col(n)) / half).alias(n) for n, o in zip(y, m, strict=True)])
+        for _ in range(PASSES - 1):
+            at = averaged(at, [*y, *b]).select("id", "w", *[F.col(n).alias(o) for n, o in zip(y, b, strict=True)], *[(2 * (F.col(k) - mid * F.col(n)) / half - F.col(o)).alias(n) for n, o, k in zip(y, b, m, strict=True)])
+        at = at.select("id", "w", *y)
+    flat = at.select("id", F.col(y[0]).alias("x"), F.col(y[1]).alias("y"))
+    signs = flat.agg(*[F.signum(F.max_by(a, F.struct(F.abs(F.col(a)), F.col("id")))).alias(f"s{a}") for a in "xy"])
+    flat = flat.crossJoin(F.broadcast(signs)).select("id", *[(F.col(a) * F.col(f"s{a}")).alias(a) for a in "xy"])
+    return rows.select("id").join(flat, "id", "left").select("id", *[F.coalesce(a, F.lit(0.0)).alias(a) for a in "xy"])
+
+
 def _spanning_tree(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ends (the lower first) and weights of the minimum spanning tree of all rows; of equal weights the edge of lower ends."""
     n = len(x)

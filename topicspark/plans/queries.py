@@ -648,6 +648,12 @@ def m3_map(spark, d):
     return density.plane_map(v, neighbours.nearest(v, v, 5))
 
 
+@query()
+def m3_spectral_map(spark, d):
+    v = vectors(spark, d).drop("grp")
+    return density.spectral_map(v, neighbours.nearest(v, v, 5))
+
+
 # Models of weeks and of the period, over all documents: vectors of their hashed words, week of a document its source, agenda its
 # language. Words tell languages apart, so that these are what clusters and themes find
 
