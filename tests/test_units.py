@@ -171,6 +171,42 @@ def test_a_stream_that_is_started_again_adds_each_text_once(spark, tmp_path, mon
     assert real(rows, cache, "k@1", lambda: pytest.fail("the cache was missed")).count() == 2
 
 
+def test_the_cache_is_joined_as_it_lies(spark, tmp_path):
+    """A second run shuffles its own rows alone, also with another number of shuffle partitions; other buckets keep all texts."""
+    cache, load = str(tmp_path / "it's c"), embedding.hashing_encoder(8)
+    rows = spark.createDataFrame([(i, f"text {i % 40}") for i in range(100)], "id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        first = {r["id"]: r["vector"] for r in embedding.embed(rows.filter("id < 20"), cache, "a/b=1", load, buckets=8).collect()}
+        embedding.embed(rows.filter("id < 30"), cache, "other", load).collect()
+        assert embedding.Cache(spark, cache).layouts() == [8] and len(first) == 20
+        for partitions in ("3", "20"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            made = embedding.embed(rows.withColumn("vector", F.lit("clash")), cache, "a/b=1", load)
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            cut = plan[plan.index("FileScan parquet") :] if "FileScan parquet" in plan else ""
+            assert "Bucketed: true" in cut and plan.count("Exchange") == 1, plan
+            got = {r["id"]: r["vector"] for r in made.collect()}
+            assert len(got) == 100 and all(got[i] == v for i, v in first.items())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
+    missed = lambda: pytest.fail("the cache was missed")
+    held = lambda key: sorted(r["text_sha"] for r in spark.read.parquet(cache).filter(F.col("key") == key).collect())
+    texts = held("a/b=1")
+    assert len(texts) == len(set(texts)) == 40
+    # keys move to other buckets one by one
+    embedding.compact(spark, cache, "a/b=1", buckets=2)
+    assert embedding.Cache(spark, cache).layouts() == [2, 8] and held("a/b=1") == texts
+    assert {r["id"]: r["vector"] for r in embedding.embed(rows, cache, "a/b=1", missed).collect()} == got
+    embedding.compact(spark, cache, "other", buckets=2)
+    assert held("other") == sorted(held("other")) and len(held("other")) == 30
+    embedding.compact(spark, cache, "nothing")
+    assert {r["id"]: r["vector"] for r in embedding.embed(rows, cache, "a/b=1", missed).collect()} == got
+    assert embedding.embed(rows.limit(0), cache, "a/b=1", missed).count() == 0
+
+
 def test_sources(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="nowhere"):
         tables.read_table(spark, str(tmp_path / "nowhere"))

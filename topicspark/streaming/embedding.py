@@ -16,9 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicspark.functions.text import text_chunks
-from topicspark.sources.tables import read_optional
 
-CACHE = "key string, batch string, text_sha string, vector array<float>"
 #: Chunks encoded at once.
 BATCH = 256
 
@@ -76,43 +74,101 @@ def pooled(texts: DataFrame, load, most: int = 500, separator: str = "\n\n", pre
     return texts.select("text_sha", "text").mapInArrow(run, "text_sha string, vector array<float>")
 
 
-def embed(rows: DataFrame, cache: str, key: str, load, batch: str | None = None, **options) -> DataFrame:
-    """`rows` (id, text) with one unit `vector` each. Texts not in the cache under `key` are encoded once and added to it.
+class Cache:
+    """The cache below `path`, as tables bucketed by the texts' hashes: `<path>/buckets=<n>/key=<key>/batch=<batch>`, a file to a bucket
+    and batch. A join with one on text_sha shuffles the other side only. There is one such table as a rule; a second one while `compact`
+    moves keys to another number of buckets, when all are read.
+
+    Tables are known to the session's catalog by names made of their paths; what batches there are is taken from the folders."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.path = self.fs.makeQualified(at).toString()
+
+    def _listed(self, pattern: str):
+        return [s.getPath() for s in self.fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")) or []]
+
+    def layouts(self) -> list[int]:
+        """Numbers of buckets that there are tables of, in order."""
+        return sorted(int(p.getName().removeprefix("buckets=")) for p in self._listed("buckets=*"))
+
+    def table(self, buckets: int) -> str:
+        """Name of the table of so many buckets, with all batches that it has now."""
+        at = f"{self.path}/buckets={buckets}"
+        name = f"cache_{hashlib.sha1(at.encode(), usedforsecurity=False).hexdigest()}"
+        self.fs.mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(at))
+        quoted = at.replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} (text_sha string, vector array<float>, key string, batch string) USING parquet OPTIONS (partitionOverwriteMode 'dynamic') "
+            f"PARTITIONED BY (key, batch) CLUSTERED BY (text_sha) INTO {buckets} BUCKETS LOCATION '{quoted}'"
+        )
+        self.spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
+        self.spark.catalog.refreshTable(name)
+        return name
+
+    def held(self, key: str, buckets: int) -> DataFrame:
+        """(batch, text_sha, vector) under `key` in the table of so many buckets."""
+        return self.spark.table(self.table(buckets)).filter(F.col("key") == key).select("batch", "text_sha", "vector")
+
+    def write(self, made: DataFrame, key: str, batch: str, buckets: int) -> None:
+        """Puts (text_sha, vector) in place of what the batch has there."""
+        made.select("text_sha", "vector", F.lit(key).alias("key"), F.lit(batch).alias("batch")).write.insertInto(self.table(buckets), overwrite=True)
+
+    def remove(self, key: str, batches: set[tuple[int, str]]) -> None:
+        """Removes (buckets, batch) of `key`."""
+        for at in self._listed("buckets=*/key=*/batch=*"):
+            buckets, own, batch = (unquote(p.partition("=")[2]) for p in at.toString().rsplit("/", 3)[1:])
+            if own == key and (int(buckets), batch) in batches:
+                self.fs.delete(at, True)
+        for at in self._listed("buckets=*"):
+            if not self._listed(f"{at.getName()}/key=*/batch=*") and at.getName() != f"buckets={self.layouts()[-1]}":
+                self.fs.delete(at, True)
+
+
+def embed(rows: DataFrame, cache: str, key: str, load, batch: str | None = None, buckets: int | None = None, **options) -> DataFrame:
+    """`rows` (id, text) with one unit `vector` each. Texts not in the cache under `key` are encoded once and added to it. `buckets` are
+    those of a new cache (by default the session's shuffle partitions); one that is there keeps its own.
 
     They are written as one `batch` of the cache, by default under a name of its own. A run with the name of an earlier one replaces
     what that has written, so that a batch which is run again after it broke off, or was complete, adds each text once. A text that two
-    runs add at the same time is in the cache twice, and is read once."""
+    runs add at the same time is in the cache twice, and is read once. A column `vector` of `rows` is replaced."""
     spark = rows.sparkSession
-    batch = batch or uuid.uuid4().hex
-    hashed = rows.withColumn("text_sha", F.sha1(F.coalesce("text", F.lit(""))))
-    known = read_optional(spark, cache, CACHE).filter(F.col("key") == key)
+    batch, held = batch or uuid.uuid4().hex, Cache(spark, cache)
+    layouts = held.layouts() or [buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))]
+    hashed = rows.drop("vector").withColumn("text_sha", F.sha1(F.coalesce("text", F.lit(""))))
     # which texts are new is found by their hashes alone
-    missing = hashed.select("text_sha", F.coalesce("text", F.lit("")).alias("text")).join(known.filter(F.col("batch") != batch).select("text_sha"), "text_sha", "left_anti").dropDuplicates(["text_sha"])
-    made = pooled(missing, load, **options).select(F.lit(key).alias("key"), F.lit(batch).alias("batch"), "text_sha", "vector")
-    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key", "batch").parquet(cache)
-    known = read_optional(spark, cache, CACHE).filter(F.col("key") == key)
-    return hashed.join(known.select("text_sha", "vector").dropDuplicates(["text_sha"]), "text_sha").drop("text_sha")
-
-
-def compact(spark: SparkSession, cache: str, key: str, files: int = 1) -> None:
-    """Gathers the batches of `key` in one, each text once, in so many files; the batches that it holds are then removed. Not while
-    others write to the cache."""
-    held = read_optional(spark, cache, CACHE).filter(F.col("key") == key)
-    old = [r["batch"] for r in held.select("batch").distinct().collect()]
-    if len(old) < 2:
+    missing = hashed.select("text_sha", F.coalesce("text", F.lit("")).alias("text"))
+    for n in layouts:
+        missing = missing.join(held.held(key, n).filter(F.col("batch") != batch).select("text_sha"), "text_sha", "left_anti")
+    held.write(pooled(missing.dropDuplicates(["text_sha"]), load, **options), key, batch, layouts[-1])
+    out = hashed
+    for n in layouts:
+        known = held.held(key, n).select("text_sha", F.col("vector").alias(f"vector_{n}")).dropDuplicates(["text_sha"])
+        out = out.join(known, "text_sha", "inner" if len(layouts) == 1 else "left")
+    found = [f"vector_{n}" for n in layouts]
+    return out.withColumn("vector", F.coalesce(*found)).drop("text_sha", *found)
+
+
+def compact(spark: SparkSession, cache: str, key: str, buckets: int | None = None) -> None:
+    """Gathers the batches of `key` in one, each text once, a file to a bucket, of so many buckets as given (as many as now by default);
+    the batches that it holds are then removed. Not while others write to the cache."""
+    held = Cache(spark, cache)
+    layouts = held.layouts()
+    if not layouts:
         return
-    whole = held.dropDuplicates(["text_sha"]).select("key", F.lit(f"compact-{uuid.uuid4().hex}").alias("batch"), "text_sha", "vector").repartition(files, "text_sha")
+    to = buckets or layouts[-1]
+    old = {(n, r["batch"]) for n in layouts for r in held.held(key, n).select("batch").distinct().collect()}
+    if len(old) < 2 and all(n == to for n, _ in old):
+        return
+    whole = None
+    for n in layouts:
+        each = held.held(key, n).select("text_sha", "vector")
+        whole = each if whole is None else whole.union(each)
     # until the old ones are gone, both are read, each text once
-    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key", "batch").parquet(cache)
-    fs = spark._jvm.org.apache.hadoop.fs.Path(cache).getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{cache}/key=*/batch=*")) or []:
-        at = status.getPath()
-        if at.getName().removeprefix("batch=") in old and _is_key(at.getParent().getName(), key):
-            fs.delete(at, True)
-
-
-def _is_key(folder: str, key: str) -> bool:
-    return unquote(folder.removeprefix("key=")) == key
+    held.write(whole.repartition(to, "text_sha").dropDuplicates(["text_sha"]), key, f"compact-{uuid.uuid4().hex}", to)
+    held.remove(key, old)
 
 
 def embed_stream(stream: DataFrame, cache: str, key: str, load, checkpoint: str, name: str = "stream", **options):
