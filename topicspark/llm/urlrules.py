@@ -1,13 +1,14 @@
 """URL filtering: fixed host and path rules, then association rules over URL tokens.
 
-FP-growth mines the labelled urls' token sets, with one more item on those labelled bad. Rules `tokens -> bad` of any length, for
-which MIN_COUNT bad urls (all, where fewer urls are labelled) and MIN_LIFT times the share of bad urls overall stand, block a url
-that holds their tokens. Tokens on fewer bad urls can be in no rule and aren't mined. Tokens that the same labelled urls hold are
+FP-growth mines the token sets of the urls labelled bad; how many other labelled urls hold a mined set is counted through an
+inverted index. Rules `tokens -> bad` of any length, for which MIN_COUNT bad urls (all, where fewer urls are labelled) and MIN_LIFT
+times the share of bad urls overall stand, block a url that holds their tokens. Tokens on fewer bad urls can be in no rule and aren't mined. Tokens that the same labelled urls hold are
 one item, met by any of them: a rule with one of them is as sure as one with several, so nothing is lost, and a long url that is
 repeated costs no more than a short one. A rule goes if one with an item less is as sure. Rules are found through an inverted
 index on the rarest item of each, over the distinct item sets only. DataFrame functions throughout.
 
-What FP-growth costs grows with the number of item sets on MIN_COUNT bad urls, which is left unbounded.
+What mining and counting cost grows with the number of item sets on MIN_COUNT bad urls, which is left unbounded; sets that only
+other urls hold cost nothing.
 
 Edge cases: a null url, or one without `://`, has an empty host and path, no tokens, and is allowed; repeated ids and urls are
 judged row by row; a label without a verdict (null quality and toxicity) is no label, of several of an id a bad one counts; without
@@ -26,7 +27,6 @@ from topicspark.llm.common import looked_up, written
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Bad urls that a rule stands on, and its share of bad urls against that of all labelled urls, at least.
 MIN_COUNT, MIN_LIFT = 20, 1.5
-BAD = "=bad"
 
 
 def _lower(c: Column) -> Column:
@@ -62,40 +62,49 @@ def url_tokens(url: Column) -> Column:
 
 
 def url_items(labelled: DataFrame, least: int) -> DataFrame:
-    """(token, item): the tokens on `least` bad urls of `labelled` (row, tokens, bad), and the least token held by the same rows."""
+    """(token, item, n): the tokens on `least` bad urls of `labelled` (row, tokens, bad), the least token held by the same rows, and the
+    number of these."""
     each = labelled.select("row", "bad", F.explode("tokens").alias("token"))
     # of two seeded hashes, the sum over the rows names the set of rows
     rows = [F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(38,0)")).alias(f"rows{k}") for k in (1, 2)]
     seen = each.groupBy("token").agg(F.count_if("bad").alias("n_bad"), F.count("*").alias("n"), *rows).filter(F.col("n_bad") >= least)
     item = seen.groupBy("n", "rows1", "rows2").agg(F.min("token").alias("item"))
-    return seen.join(item, ["n", "rows1", "rows2"]).select("token", "item")
+    return seen.join(item, ["n", "rows1", "rows2"]).select("token", "item", "n")
+
+
+def _counted(mined: DataFrame, others: DataFrame) -> DataFrame:
+    """`mined` (items, key) with the number `n_other` of rows of `others` (held, times) that hold all items. A set of items is looked
+    for only among the rows that hold its key, the rarest of them; these may be many for one key, and are dealt by their sets."""
+    asked = looked_up(others.withColumn("key", F.explode("held")), mined.select("key", "items"), ["key"], F.xxhash64("held"))
+    met = asked.filter(F.size(F.array_except("items", "held")) == 0)
+    return mined.join(met.groupBy("items").agg(F.sum("times").alias("n_other")), "items", "left").withColumn("n_other", F.coalesce("n_other", F.lit(0)))
 
 
 def mined_rules(urls: DataFrame, labels: DataFrame, min_count: int = MIN_COUNT, min_lift: float = MIN_LIFT) -> tuple[DataFrame, DataFrame] | None:
     """(items, confidence, lift, n_bad, key): rules that lead to a bad label, key being the rarest item; and (token, item), the
-    item that each token in a rule counts as. `urls` has id and tokens, `labels` has id and bad. None without bad rows."""
+    item that each token in a rule counts as. `urls` has id and tokens, `labels` has id and bad. None without bad rows, or with fewer
+    than a rule needs."""
     one = labels.groupBy("id").agg(F.max("bad").alias("bad"))
     labelled = written(written(urls.join(one, "id").select("tokens", "bad")).withColumn("row", F.monotonically_increasing_id()))
     n, n_bad = labelled.agg(F.count("*"), F.count_if("bad")).head()
-    if not n_bad:
-        return None
     least = min(min_count, n)
+    if not n_bad or n_bad < least:
+        return None
     items = written(url_items(labelled, least))
-    spread = F.col("row")
-    held = looked_up(labelled.select("row", F.explode("tokens").alias("token")), items, ["token"], spread).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("held"))
-    own = F.coalesce("held", F.array().cast("array<string>"))
-    baskets = written(labelled.select("row", "bad").join(held, "row", "left").select(F.when(F.col("bad"), F.concat(own, F.array(F.lit(BAD)))).otherwise(own).alias("items")))
+    held = looked_up(labelled.select("row", "bad", F.explode("tokens").alias("token")), items.drop("n"), ["token"], F.col("row"))
+    baskets = written(held.groupBy("row", "bad").agg(F.array_sort(F.collect_set("item")).alias("held")))
     # half a url less, so that rounding of the share doesn't ask for one more
-    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=min(1.0, min_lift * n_bad / n)).fit(baskets)
-    rules = model.associationRules.filter(F.col("consequent")[0] == BAD)
-    rules = written(rules.select(F.array_sort("antecedent").alias("items"), "confidence", "lift", F.round(F.col("support") * n).cast("long").alias("n_bad")))
+    model = FPGrowth(itemsCol="held", minSupport=(least - 0.5) / n_bad).fit(baskets.filter("bad"))
+    mined = written(model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n_bad")))
+    keyed = mined.withColumn("item", F.explode("items")).join(items.select("item", "n").distinct(), "item").groupBy("items", "n_bad").agg(F.min_by("item", F.struct("n", "item")).alias("key"))
+    others = baskets.filter(~F.col("bad")).groupBy("held").agg(F.count("*").alias("times"))
+    rules = _counted(written(keyed), others).withColumn("confidence", F.col("n_bad") / (F.col("n_bad") + F.col("n_other")))
+    rules = written(rules.filter(F.col("confidence") >= min(1.0, min_lift * n_bad / n)).select("items", "confidence", (F.col("confidence") / (n_bad / n)).alias("lift"), "n_bad", "key"))
     shorter = rules.select(F.col("items").alias("part"), F.col("confidence").alias("sure"))
     parts = rules.filter(F.size("items") > 1).select("items", "confidence", F.explode("items").alias("without")).withColumn("part", F.array_remove("items", F.col("without")))
     rules = written(rules.join(parts.join(shorter, "part").filter("sure >= confidence").select("items").distinct(), "items", "left_anti"))
-    freq = written(model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq"))
-    keyed = rules.withColumn("item", F.explode("items")).join(freq, "item").groupBy(*rules.columns).agg(F.min_by("item", F.struct("freq", "item")).alias("key"))
     needed = rules.select(F.explode("items").alias("item")).distinct()
-    return written(keyed), written(items.join(needed, "item", "left_semi"))
+    return rules, written(items.select("token", "item").join(needed, "item", "left_semi"))
 
 
 def judged_urls(pages: DataFrame, labels: DataFrame, rules=RULES, **options) -> DataFrame:
