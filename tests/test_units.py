@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pytest
@@ -181,6 +182,7 @@ def test_the_cache_is_joined_as_it_lies(spark, tmp_path):
         first = {r["id"]: r["vector"] for r in embedding.embed(rows.filter("id < 20"), cache, "a/b=1", load, buckets=8).collect()}
         embedding.embed(rows.filter("id < 30"), cache, "other", load).collect()
         assert embedding.Cache(spark, cache).layouts() == [8] and len(first) == 20
+        got = {}
         for partitions in ("3", "20"):
             spark.conf.set("spark.sql.shuffle.partitions", partitions)
             made = embedding.embed(rows.withColumn("vector", F.lit("clash")), cache, "a/b=1", load)
@@ -196,6 +198,11 @@ def test_the_cache_is_joined_as_it_lies(spark, tmp_path):
     held = lambda key: sorted(r["text_sha"] for r in spark.read.parquet(cache).filter(F.col("key") == key).collect())
     texts = held("a/b=1")
     assert len(texts) == len(set(texts)) == 40
+    # texts of more than five copies reach their rows by a broadcast
+    many = rows.union(spark.createDataFrame([(k, "text 7") for k in range(100, 110)], rows.schema))
+    by_hash = many.withColumn("text_sha", F.sha1("text"))
+    assert embedding._hot(by_hash, 5) == [hashlib.sha1(b"text 7").hexdigest()] and embedding._hot(by_hash, 20) == embedding._hot(by_hash.limit(0), 0) == []
+    assert {r["id"]: r["vector"] for r in embedding.embed(many, cache, "a/b=1", missed, copies=5).collect()} == got | {k: got[7] for k in range(100, 110)}
     # keys move to other buckets one by one
     embedding.compact(spark, cache, "a/b=1", buckets=2)
     assert embedding.Cache(spark, cache).layouts() == [2, 8] and held("a/b=1") == texts

@@ -19,6 +19,8 @@ from topicspark.functions.text import text_chunks
 
 #: Chunks encoded at once.
 BATCH = 256
+#: A text is hot that has more copies than COPIES and than a SHARE of all rows, so that there are fewer than 1 / SHARE of them.
+COPIES, SHARE = 10_000, 0.001
 
 
 def hashing_encoder(size: int = 64):
@@ -127,26 +129,44 @@ class Cache:
                 self.fs.delete(at, True)
 
 
-def embed(rows: DataFrame, cache: str, key: str, load, batch: str | None = None, buckets: int | None = None, **options) -> DataFrame:
+def _hot(hashed: DataFrame, copies: int) -> list[str]:
+    """Hashes of the texts that would make one task of a join much longer than others."""
+    each = hashed.groupBy("text_sha").agg(F.count("*").alias("n"))
+    rows, most = each.agg(F.sum("n"), F.max("n")).head()
+    least = max(copies, SHARE * (rows or 0))
+    return [r["text_sha"] for r in each.filter(F.col("n") > least).collect()] if (most or 0) > least else []
+
+
+def embed(rows: DataFrame, cache: str, key: str, load, batch: str | None = None, buckets: int | None = None, copies: int = COPIES, **options) -> DataFrame:
     """`rows` (id, text) with one unit `vector` each. Texts not in the cache under `key` are encoded once and added to it. `buckets` are
     those of a new cache (by default the session's shuffle partitions); one that is there keeps its own.
 
     They are written as one `batch` of the cache, by default under a name of its own. A run with the name of an earlier one replaces
     what that has written, so that a batch which is run again after it broke off, or was complete, adds each text once. A text that two
-    runs add at the same time is in the cache twice, and is read once. A column `vector` of `rows` is replaced."""
+    runs add at the same time is in the cache twice, and is read once. A column `vector` of `rows` is replaced. Rows of a text with very
+    many copies (above `copies`) aren't shuffled: the vectors of these few texts are broadcast."""
     spark = rows.sparkSession
     batch, held = batch or uuid.uuid4().hex, Cache(spark, cache)
     layouts = held.layouts() or [buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))]
     hashed = rows.drop("vector").withColumn("text_sha", F.sha1(F.coalesce("text", F.lit(""))))
-    # which texts are new is found by their hashes alone
-    missing = hashed.select("text_sha", F.coalesce("text", F.lit("")).alias("text"))
+    # copies go ahead of the shuffle
+    missing = hashed.select("text_sha", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text_sha"])
     for n in layouts:
         missing = missing.join(held.held(key, n).filter(F.col("batch") != batch).select("text_sha"), "text_sha", "left_anti")
-    held.write(pooled(missing.dropDuplicates(["text_sha"]), load, **options), key, batch, layouts[-1])
-    out = hashed
-    for n in layouts:
-        known = held.held(key, n).select("text_sha", F.col("vector").alias(f"vector_{n}")).dropDuplicates(["text_sha"])
-        out = out.join(known, "text_sha", "inner" if len(layouts) == 1 else "left")
+    held.write(pooled(missing, load, **options), key, batch, layouts[-1])
+    known = [held.held(key, n).select("text_sha", F.col("vector").alias(f"vector_{n}")).dropDuplicates(["text_sha"]) for n in layouts]
+
+    def joined(some: DataFrame, tables: list[DataFrame]) -> DataFrame:
+        for table in tables:
+            some = some.join(table, "text_sha", "inner" if len(tables) == 1 else "left")
+        return some
+
+    hot = _hot(hashed, copies)
+    if hot:
+        own = F.col("text_sha").isin(hot)
+        out = joined(hashed.filter(~own), known).union(joined(hashed.filter(own), [F.broadcast(k.filter(own)) for k in known]))
+    else:
+        out = joined(hashed, known)
     found = [f"vector_{n}" for n in layouts]
     return out.withColumn("vector", F.coalesce(*found)).drop("text_sha", *found)
 
