@@ -167,3 +167,29 @@ def test_spectral_map_of_tiny_graphs(spark):
     one = density.spectral_map(rows, spark.createDataFrame([(0, 1), (0, 1)], "id long, near_id long")).orderBy("id").collect()
     assert abs(one[0]["x"]) == pytest.approx(0.5**0.5) and one[0]["x"] == pytest.approx(-one[1]["x"]) and one[2]["x"] == 0 and not any(r["y"] for r in one)
     assert density.spectral_map(rows.limit(0), none.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("x", "least"), [(THREE, 10), (COPIES, 8), (EVEN, 5), (np.tile(EVEN[:60], (6, 1)), 4), (RNG.normal(0, 1, (400, 20)), 3)])
+def test_large_keys_look_for_earlier_edges_alone(spark, x, least):
+    """The tree of near rows and the edges that come before its own make the same clusters; no block's spanning tree is made."""
+    got = density.density_clusters(frame(spark, x), least, alone=50, run=64)
+    assert (labels(got) == condensed_leaves(x, least)).all()
+
+
+def test_earlier_edges_are_few(spark):
+    df = frame(spark, THREE)
+    near = neighbours.nearest(df, df, 9, by="l2")
+    core = near.groupBy("id").agg({"value": "max"}).toDF("id", "core")
+    rows = df.join(core, "id").selectExpr("0 AS k", "id", "vec", "core")
+    met = near.join(core, "id").join(core.toDF("near_id", "other"), "near_id").selectExpr("0 AS k", "least(id, near_id) AS lo", "greatest(id, near_id) AS hi", "greatest(value, core, other) AS w")
+    tree, order = density.first_tree(met, rows, ["k"])
+    assert tree.count() == 499 and order.filter("part = 0").count() == 500
+    assert density.earlier_edges(rows, order, ["k"], 128).count() < 250
+
+
+def test_passes_of_a_spectral_map_are_not_broadcast(spark, monkeypatch):
+    plans, plain = [], density.stored
+    monkeypatch.setattr(density, "stored", lambda df: plans.append(df._jdf.queryExecution().toString()) or plain(df))
+    near = spark.createDataFrame([(k, (k + d) % 30) for k in range(30) for d in (1, 2)], "id long, near_id long")
+    density.spectral_map(spark.range(30), near, blocks=2)
+    assert any("ShuffledHashJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)

@@ -1,14 +1,18 @@
 """Density clusters with noise, and plane layouts.
 
 The clusters are the leaves of the condensed tree of a minimum spanning tree over mutual reachability, the larger of two points'
-distance and their core distances. The tree is exact: each pair of blocks of rows gives the spanning tree of its own rows, which hold
-every edge of the whole tree, and where a key has several blocks, Boruvka rounds over these edges choose among them. Its edges are then
-taken in order of weight, in slices of SLICE edges, so that no task holds more of a key; what is carried from slice to slice is each
+distance and their core distances. The tree is exact. A larger key has first a tree of near rows alone; its rows are put in the order of
+its merges, in which the last edge of the path between two rows is the last of the links between their places; and all pairs of blocks of
+rows are looked through for edges that come before that, which are few. What Boruvka rounds choose of both is the whole tree. (A key of
+still more rows is put together from the trees of all pairs of its blocks.) The tree's edges are
+then taken in order of weight, in slices of SLICE edges, so that no task holds more of a key; what is carried from slice to slice is each
 point's component, with its size and the cluster it grew from.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -17,11 +21,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicspark.operators.neighbours import distances, matrix, nearest
+from topicspark.operators.neighbours import FLAT, TILE, WIDE, Scores, boxes, distances, gaps, matrix, nearest
 from topicspark.sources.tables import stored
 
 #: Rows of a key whose tree one task makes, rows of a block of a larger key, and edges of a key that one task takes at once.
 ALONE, BLOCK, SLICE = 16384, 4096, 1 << 20
+#: Rows of a key that one task puts in the order of its merges (five numbers each), of a block of such a key, and of a strip of a block;
+#: rows of a part of the first tree that look for another part, and edges that a task holds before it keeps those of their own forest.
+ORDERED, RUN, STRIP, ASKED, HELD = 1 << 22, 32768, 1024, 256, 1 << 20
 #: Columns of a spectral map's block, of which two are shown, passes over the graph between two orthonormal blocks, and blocks at most.
 COLUMNS, PASSES, BLOCKS = 4, 8, 40
 
@@ -71,7 +78,8 @@ def spectral_map(rows: DataFrame, near: DataFrame, tolerance: float = 1e-4, bloc
 
     def averaged(at: DataFrame, keep: list[str]) -> DataFrame:
         """`at` (id, w, y..., and `keep`) with m..., the means of y over neighbours."""
-        met = ends.join(at.withColumnRenamed("id", "near_id"), "near_id").groupBy("id")
+        # not by broadcast: hundreds of passes would each send the block through the driver
+        met = ends.join(at.withColumnRenamed("id", "near_id").hint("shuffle_hash"), "near_id").groupBy("id")
         return met.agg(*[F.max(F.when(own, F.col(n))).alias(n) for n in ["w", *keep]], *[F.avg(F.when(~own, F.col(n))).alias(f"m{n[1:]}") for n in y])
 
     def combined(names: list[str], matrix_: np.ndarray, shift: np.ndarray, out: list[str]) -> list:
@@ -155,10 +163,10 @@ def block_trees(rows: DataFrame, keys: list[str], alone: int = ALONE, block: int
 
 
 def spanning_forest(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """The minimum spanning forest of `edges` (keys, lo, hi, w; lo below hi) by Boruvka rounds: every component takes its lightest edge
-    to another, of equal ones that of the lowest ends, until none has one. Each round, which at least halves the components, is written
-    and read again."""
-    live = stored(edges.distinct().withColumns({"ca": F.col("lo"), "cb": F.col("hi")}))
+    """The minimum spanning forest of `edges` (keys, lo, hi, w; lo below hi; between the components ca and cb, if these are given) by
+    Boruvka rounds: every component takes its lightest edge to another, of equal ones that of the lowest ends, until none has one. Each
+    round, which at least halves the components, is written and read again."""
+    live = stored(edges.distinct().withColumns({} if "ca" in edges.columns else {"ca": F.col("lo"), "cb": F.col("hi")}))
     chosen = live.select(*keys, "lo", "hi", "w").limit(0)
     edge = F.struct("w", "lo", "hi").alias("e")
     while live.head(1):
@@ -179,6 +187,186 @@ def spanning_forest(edges: DataFrame, keys: list[str]) -> DataFrame:
     return stored(chosen.distinct())
 
 
+def merge_order(forest: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, pos, part, rank, w, lo, hi) of the ends of `forest` (keys, lo, hi, w): rows in an order in which the components of the
+    edges up to any weight are runs. The last edge of the path between two rows of a part is that of the largest rank among the links
+    from each row between them to the next; the link from a part's last row has no edge."""
+    types = dict(forest.dtypes)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("w", "ascending"), ("lo", "ascending"), ("hi", "ascending")])
+        ids = pa.compute.unique(pa.chunked_array([*table["lo"].chunks, *table["hi"].chunks]))
+        low, high = (pa.compute.index_in(table[c], ids).to_numpy() for c in ("lo", "hi"))
+        n, edges = len(ids), table.num_rows
+        up, last = array("i", range(n)), array("i", range(n))
+        then, link = array("i", [-1]) * n, array("i", [edges]) * n
+
+        def top(k):
+            while up[k] != k:
+                up[k] = k = up[up[k]]
+            return k
+
+        for at in range(0, edges, 1 << 16):
+            for rank, (a, b) in enumerate(zip(low[at : at + (1 << 16)].tolist(), high[at : at + (1 << 16)].tolist(), strict=True), at):
+                a, b = top(a), top(b)
+                if a != b:
+                    # a component's top is its first row
+                    up[b] = a
+                    then[last[a]], link[last[a]] = b, rank
+                    last[a] = last[b]
+        order, part, parts = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+        at = 0
+        for first in range(n):
+            if up[first] == first:
+                k = first
+                while k >= 0:
+                    order[at], part[at] = k, parts
+                    at, k = at + 1, then[k]
+                parts += 1
+        rank = np.frombuffer(link, np.int32).astype(np.int64)[order]
+        edge = pa.array(rank, mask=rank == edges)
+        first = {k: table[k].combine_chunks().take(pa.array(np.zeros(n, np.int64))) for k in keys}
+        return pa.table({**first, "id": ids.take(pa.array(order)), "pos": np.arange(n), "part": part, "rank": rank, **{c: table[c].combine_chunks().take(edge) for c in ("w", "lo", "hi")}})
+
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"id {types['lo']}, pos long, part long, rank long, w double, lo {types['lo']}, hi {types['lo']}"])
+    return forest.groupBy(*keys).applyInArrow(run, schema)
+
+
+def first_tree(near: DataFrame, rows: DataFrame, keys: list[str], asked: int = ASKED) -> tuple[DataFrame, DataFrame]:
+    """A spanning tree of each key of `rows` (keys, id, vec, core), and its order of merges: the forest of `near` (keys, lo, hi, w), whose
+    parts are joined by edges to near rows of others, which up to `asked` rows of a part look for."""
+    forest, plain, turn = spanning_forest(near, keys), [k for k in keys if k != "__all"], 0
+    while True:
+        order = stored(merge_order(forest, keys))
+        several = order.filter("part > 0").select(*keys).distinct()
+        if not several.head(1):
+            return forest, order
+        apart = stored(rows.join(several, keys, "left_semi").join(order.select(*keys, "id", F.col("part").alias("grp")), [*keys, "id"]))
+        size = apart.groupBy(*keys, "grp").agg(F.ceil(F.count("*") / asked).alias("__share"))
+        some = apart.join(size, [*keys, "grp"]).filter(F.pmod(F.xxhash64("id", F.lit(turn)), F.col("__share")) == 0)
+        met = nearest(some.select(*plain, "id", "vec", "grp"), apart.select(*plain, "id", "vec", "grp"), 1, by="l2", keys=tuple(plain)).withColumns({} if plain else {"__all": F.lit(0)})
+        ends = [apart.select(*keys, F.col("id").alias(n), F.col("grp").alias(f"c{n}"), F.col("core").alias(f"core_{n}")) for n in ("id", "near_id")]
+        links = met.join(ends[0], [*keys, "id"]).join(ends[1], [*keys, "near_id"])
+        links = links.select(*keys, F.least("id", "near_id").alias("lo"), F.greatest("id", "near_id").alias("hi"), F.greatest("value", "core_id", "core_near_id").alias("w"), F.col("cid").alias("ca"), F.col("cnear_id").alias("cb"))
+        forest, turn = stored(forest.unionByName(spanning_forest(links, keys))), turn + 1
+
+
+def _forest(lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of the edges of a minimum spanning forest."""
+    _, code = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+    a, b = code[: len(lo)], code[len(lo) :]
+    order = np.lexsort((b, a, w))
+    up, keep = array("i", range(int(code.max(initial=-1)) + 1)), []
+    for at, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[y] = x
+            keep.append(at)
+    return np.array(keep, np.int64)
+
+
+def earlier_edges(rows: DataFrame, order: DataFrame, keys: list[str], run_rows: int = RUN, strip: int = STRIP, held: int = HELD) -> DataFrame:
+    """(keys, lo, hi, w): the edges between `rows` (keys, id, vec, core) that come before the last edge of the path between their ends in
+    the tree of `order` (`merge_order` of one part), by weight and then ends; of those of a pair of blocks only their own forest."""
+    types = dict(rows.dtypes)
+    # a block's largest link, that to the next block included; a row for each block
+    tops = order.withColumn("__q", F.floor(F.col("pos") / run_rows)).groupBy(*keys, "__q").agg(F.max(F.struct("rank", "w", "lo", "hi")).alias("m"), F.max("pos").alias("__end")).collect()
+    largest, blocks = {(*[r[k] for k in keys], r["__q"]): tuple(r["m"]) for r in tops}, order.groupBy(*keys).agg((F.floor(F.max("pos") / run_rows) + 1).alias("__n"))
+    x = rows.join(order, [*keys, "id"]).join(blocks, keys).withColumn("__own", F.floor(F.col("pos") / run_rows))
+    x = x.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).select(*keys, "id", "vec", "core", "pos", "rank", "w", "lo", "hi", F.least("__own", "__other").alias("__q"), F.greatest("__own", "__other").alias("__s"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        q, s = table["__q"][0].as_py(), table["__s"][0].as_py()
+        key = [table[k][0].as_py() for k in keys]
+        place, core, link = matrix(table["vec"]), table["core"].to_numpy(), table["rank"].to_numpy()
+        ids = table["id"].to_numpy()
+        between = [m for m in (largest[(*key, m)] for m in range(q + 1, s))]
+        known = pa.concat_tables([table.select(["rank", "w", "lo", "hi"]), pa.table({c: pa.array([m[k] for m in between], table[c].type) for k, c in enumerate(("rank", "w", "lo", "hi"))})]).filter(pa.compute.is_valid(pa.chunked_array([*table["w"].chunks, pa.array([m[1] for m in between], pa.float64())])))
+        known = known.sort_by("rank")
+        ranks, weights, lows, highs = (known[c].to_numpy() for c in ("rank", "w", "lo", "hi"))
+        found, count = [], 0
+        flat = place.shape[1] <= FLAT
+
+        def put(a, b, rank):
+            """Edges between the rows a and b that come before those of `rank`."""
+            nonlocal found, count
+            w = np.maximum(np.maximum(distances(place[a], place[b]), core[a]), core[b])
+            at = np.searchsorted(ranks, rank)
+            near = np.flatnonzero(w <= weights[at])
+            a, b, w, at = a[near], b[near], w[near], at[near]
+            one, two = ids[a], ids[b]
+            swap = one > two
+            lo, hi = np.where(swap, two, one), np.where(swap, one, two)
+            before = np.flatnonzero((w < weights[at]) | (lo < lows[at]) | (lo == lows[at]) & (hi < highs[at]))
+            if len(before):
+                found.append((lo[before], hi[before], w[before]))
+                count += len(before)
+            if count > held:
+                lo, hi, w = (np.concatenate(c) for c in zip(*found, strict=True))
+                keep = _forest(lo, hi, w)
+                found, count = [(lo[keep], hi[keep], w[keep])], 0
+
+        def across(a, b, u, v):
+            """Pairs of the rows a and b, the largest links between which are the larger of u and v."""
+            scores = Scores(place[a], place[b], "l2")
+            kind = scores.left.dtype
+            far_u, far_v = (np.where(r >= 0, weights[np.searchsorted(ranks, np.maximum(r, ranks[0]))], 0.0) ** 2 * (1 + 1e-9) for r in (u, v))
+            parts = boxes(place[a], TILE) if flat else [np.arange(at, min(at + TILE, len(a))) for at in range(0, len(a), TILE)]
+            others = boxes(place[b]) if flat else [np.arange(at, min(at + WIDE, len(b))) for at in range(0, len(b), WIDE)]
+            apart = gaps(place[a], parts, place[b], others) if flat else np.zeros((len(parts), len(others)))
+            most_v = np.array([far_v[t].max() for t in others])
+            off = 8 * float(np.finfo(kind).eps)
+            for part, gap in zip(parts, apart, strict=True):
+                most_u = far_u[part].max()
+                for t in np.flatnonzero(gap * (1 - 1e-9) <= np.maximum(most_u, most_v) + 1e-11):
+                    other = others[t]
+                    own = scores.square[part] - scores.slack[part]
+                    own = (own - off * (np.abs(own) + max(most_u, most_v[t]))).astype(kind)
+                    least = np.minimum((own - far_u[part].astype(kind))[:, None], own[:, None] - far_v[other].astype(kind))
+                    hit = np.flatnonzero(scores.tile(part, other) >= least)
+                    for at in range(0, len(hit), 1 << 18):
+                        i, j = part[hit[at : at + (1 << 18)] // len(other)], other[hit[at : at + (1 << 18)] % len(other)]
+                        put(a[i], b[j], np.maximum(u[i], v[j]))
+
+        def back(rows_):
+            return np.maximum.accumulate(link[rows_][::-1])[::-1]
+
+        def ahead(rows_):
+            return np.concatenate([[-1], np.maximum.accumulate(link[rows_])[:-1]])
+
+        def within(rows_):
+            if len(rows_) <= strip:
+                between_ = np.where(np.arange(len(rows_))[:, None] < np.arange(len(rows_)), ahead(rows_)[None] * 0 + np.concatenate([[-1], link[rows_][:-1]]), -1)
+                i, j = np.triu_indices(len(rows_), 1)
+                rank = np.maximum.accumulate(between_, axis=1)[i, j]
+                for at in range(0, len(i), 1 << 18):
+                    cut = slice(at, at + (1 << 18))
+                    put(rows_[i[cut]], rows_[j[cut]], rank[cut])
+                return
+            a, b = rows_[: len(rows_) // 2], rows_[len(rows_) // 2 :]
+            across(a, b, back(a), ahead(b))
+            within(a)
+            within(b)
+
+        block = table["pos"].to_numpy() // run_rows
+        a, b = np.flatnonzero(block == q), np.flatnonzero(block == s)
+        if q == s:
+            within(a)
+        else:
+            across(a, b, np.maximum(back(a), max([m[0] for m in between], default=-1)), ahead(b))
+        lo, hi, w = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (ids[:0], ids[:0], np.zeros(0))
+        keep = _forest(lo, hi, w)
+        first = {k: table[k].combine_chunks().take(pa.array(np.zeros(len(keep), np.int64))) for k in keys}
+        return pa.table({**first, "lo": pa.array(lo[keep], table["id"].type), "hi": pa.array(hi[keep], table["id"].type), "w": pa.array(w[keep], pa.float64())})
+
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"lo {types['id']}", f"hi {types['id']}", "w double"])
+    return x.groupBy(*keys, "__q", "__s").applyInArrow(run, schema)
+
+
 def _merged(least: int, keys: list[str]):
     """Takes edges between components in order of weight; what becomes of each component. A component of fewer than `least` points that
     joins a larger one is part of the cluster that this grew from, unless two such have met in it (`mixed`); one that reaches `least` is
@@ -258,25 +446,34 @@ def tree_clusters(tree: DataFrame, keys: list[str], least: int, most: int = SLIC
     return points.filter("name IS NOT NULL").select(*keys, "id", "name")
 
 
-def density_clusters(rows: DataFrame, least: int, keys: tuple[str, ...] = (), alone: int = ALONE, block: int = BLOCK, most: int = SLICE) -> DataFrame:
+def density_clusters(rows: DataFrame, least: int, keys: tuple[str, ...] = (), alone: int = ALONE, block: int = BLOCK, most: int = SLICE, ordered: int = ORDERED, run: int = RUN) -> DataFrame:
     """(keys, id, cluster) of `rows` (keys, id, vec; ids unique within a key): clusters numbered by their lowest id, noise -1.
 
     A point's core distance is that to the `least`-th row, itself counted. Of the condensed tree, whose components have `least` points
     or more, the leaves are clusters, and never the whole: a key that doesn't split, or has fewer than twice `least` rows, is all noise,
     and so are rows without a vector. All keys are clustered in one job."""
     keys = list(keys) or ["__all"]
-    rows = rows.withColumns({} if keys != ["__all"] else {"__all": F.lit(0)})
+    plain = [k for k in keys if k != "__all"]
+    rows = rows.withColumns({} if plain else {"__all": F.lit(0)})
     own = rows.filter("vec IS NOT NULL").select(*keys, "id", "vec")
     own = own.join(own.groupBy(*keys).count().filter(F.col("count") >= 2 * least).drop("count"), keys, "left_semi")
-    near = nearest(own, own, max(least - 1, 1), by="l2", keys=tuple(k for k in keys if k != "__all"))
-    core = near.groupBy(*[k for k in keys if k != "__all"], "id").agg(F.max("value").alias("core"))
-    cored = own.join(core, [*[k for k in keys if k != "__all"], "id"]).withColumn("core", F.col("core") if least > 1 else F.lit(0.0))
-    edges = stored(block_trees(cored, keys, alone, block))
+    near = stored(nearest(own, own, max(least - 1, 1), by="l2", keys=tuple(plain)).withColumns({} if plain else {"__all": F.lit(0)}))
+    core = near.groupBy(*keys, "id").agg(F.max("value").alias("core"))
+    cored = stored(own.join(core, [*keys, "id"]).withColumn("core", F.col("core") if least > 1 else F.lit(0.0)))
+    size = cored.groupBy(*keys).agg(F.count("*").alias("__size"))
+    of = lambda df, c: df.join(size.filter(c).select(*keys), keys, "left_semi")
+    large = (F.col("__size") > alone) & (F.col("__size") <= ordered)
+    edges = stored(block_trees(of(cored, ~large), keys, alone, block))
     # a key of one block has its tree already
-    several = own.groupBy(*keys).agg((F.count("*") > alone).alias("__several"))
-    if several.filter("__several").head(1):
-        marked = edges.join(several, keys)
-        edges = marked.filter("NOT __several").drop("__several").unionByName(spanning_forest(marked.filter("__several").drop("__several"), keys))
+    if size.filter((F.col("__size") > alone) & ~large).head(1):
+        edges = of(edges, F.col("__size") <= alone).unionByName(spanning_forest(of(edges, F.col("__size") > alone), keys))
+    if size.filter(large).head(1):
+        some = of(cored, large)
+        cores = [some.select(*keys, F.col("id").alias(n), F.col("core").alias(f"core_{n}")) for n in ("id", "near_id")]
+        met = near.join(cores[0], [*keys, "id"]).join(cores[1], [*keys, "near_id"])
+        met = met.select(*keys, F.least("id", "near_id").alias("lo"), F.greatest("id", "near_id").alias("hi"), F.greatest("value", "core_id", "core_near_id").alias("w"))
+        tree, order = first_tree(met, some, keys)
+        edges = edges.unionByName(spanning_forest(tree.unionByName(earlier_edges(some, order, keys, run)), keys))
     found = tree_clusters(edges, keys, least, most)
     # a row for each cluster; a tree that doesn't split has one
     low = found.groupBy(*keys, "name").agg(F.min("id").alias("low")).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
