@@ -47,3 +47,16 @@ def test_sketches_of_weeks_are_merged(spark):
     for r in explore.floors_of_sketches(explore.similarity_sketches(near, "week"), [-1.0, 0.0, 1.5]).collect():
         assert abs(r["below"] - (values < r["floor"]).mean()) <= explore.RANK_ERROR
     assert explore.merged_profile(explore.length_sketches(df.limit(0), "week"), "week").count() == 0
+
+
+def test_matches_are_held_as_numbers():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["the and tion " * 200] * 1000)
+    tracemalloc.start()
+    got = explore.places_of(texts, ("the", "and", "tion"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 1000 and len(got.flatten()) == 600_000 and peak < 16 << 20

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from functools import reduce
 
 import ahocorasick
@@ -44,6 +45,19 @@ def distinct_terms(terms: list[str]) -> tuple[str, ...]:
     return tuple(dict.fromkeys(t.lower() for t in terms if t))
 
 
+def places_of(texts: pa.Array, sought: tuple[str, ...]) -> pa.Array:
+    """A list of (term, place) for each lower-cased text, in order of place; what is found is held as two plain numbers each."""
+    automaton, cut, term, at = _automaton(sought), array("i", [0]), array("i"), array("i")
+    for t in texts:
+        t = t.as_py()
+        for place, k in sorted((end - n + 2, k) for end, (k, n) in automaton.iter(t)) if t and sought else ():
+            term.append(k)
+            at.append(place)
+        cut.append(len(at))
+    plain = lambda x: pa.array(np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32))
+    return pa.ListArray.from_arrays(plain(cut), pa.StructArray.from_arrays([plain(term), plain(at)], ["term", "place"]))
+
+
 def term_places(df: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
     """`df` with `places`: an array of (term, place) of every match of any term in any case, overlapping ones too, in order of place.
     Terms are counted from 0 in the order of `distinct_terms`, places from 1 in the lower-cased text. An Aho-Corasick automaton of all
@@ -51,12 +65,7 @@ def term_places(df: DataFrame, terms: list[str], text: str = "text") -> DataFram
     sought = distinct_terms(terms)
 
     def run(texts: pa.Array) -> pa.Array:
-        automaton, cut, found = _automaton(sought), [0], []
-        for t in texts.to_pylist():
-            found += sorted((end - n + 2, k) for end, (k, n) in automaton.iter(t)) if t and sought else []
-            cut.append(len(found))
-        at, term = np.array(found, np.int32).reshape(-1, 2).T
-        return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([pa.array(term), pa.array(at)], ["term", "place"]))
+        return places_of(texts, sought)
 
     return df.withColumn("places", F.arrow_udf(run, "array<struct<term: int, place: int>>")(F.lower(text)))
 
