@@ -60,3 +60,21 @@ def test_matches_are_held_as_numbers():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(got) == 1000 and len(got.flatten()) == 600_000 and peak < 16 << 20
+
+
+def test_texts_are_embedded_a_few_at_a_time():
+    import pyarrow as pa
+
+    from topicspark.streaming import embedding
+
+    class Taken:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    run = embedding.pooled(Taken(), embedding.hashing_encoder(8), most=5)
+    batch = pa.record_batch({"text_sha": [str(k) for k in range(1000)], "text": [f"word{k} a b" for k in range(1000)]})
+    made = list(run(iter([batch])))
+    assert max(m.num_rows for m in made) <= embedding.TEXTS and sum(m.num_rows for m in made) == 1000

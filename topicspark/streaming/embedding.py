@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from topicspark.functions.text import text_chunks
 
-#: Chunks encoded at once.
-BATCH = 256
+#: Chunks encoded at once, texts cut at once, and words whose places the hashing encoder keeps.
+BATCH, TEXTS, WORDS = 256, 128, 1 << 17
 #: A text is hot that has more copies than COPIES and than a SHARE of all rows, so that there are fewer than 1 / SHARE of them.
 COPIES, SHARE = 10_000, 0.001
 
@@ -30,7 +30,7 @@ def hashing_encoder(size: int = 64):
         places: dict[str, tuple[int, int]] = {}
 
         def place(word: str) -> tuple[int, int]:
-            if len(places) > 1_000_000:
+            if len(places) > WORDS:
                 places.clear()
             h = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
             places[word] = int(h[:8], 16) % size, 1 if int(h[8], 16) < 8 else -1
@@ -62,7 +62,8 @@ def pooled(texts: DataFrame, load, most: int = 500, separator: str = "\n\n", pre
 
     def run(batches):
         encode = None
-        for batch in batches:
+        # a few texts at a time, as each has many chunks
+        for batch in (whole.slice(at, TEXTS) for whole in batches for at in range(0, max(whole.num_rows, 1), TEXTS)):
             encode = encode or load()
             shas, cut, parts = batch.column("text_sha").to_pylist(), [0], []
             for t in batch.column("text").to_pylist():
