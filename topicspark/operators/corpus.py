@@ -172,11 +172,12 @@ def latest_membership(memberships: DataFrame) -> DataFrame:
 
 def following(speeches: DataFrame, keys: list[str]) -> DataFrame:
     """`speeches` (keys, id, start, end) with `next`: the first speech whose start is after this one's end. A union of starts and
-    ends under one window, where at equal places an end comes after a start."""
+    ends under one window, where at equal places an end comes after a start. The window runs backwards, so that its frame only grows:
+    one that shrinks from the other side is counted anew for every row."""
     starts = speeches.select(*keys, F.col("start").alias("at"), F.lit(0).alias("is_end"), F.col("id").alias("start_id"), F.lit(None).cast(dict(speeches.dtypes)["id"]).alias("of"))
     ends = speeches.select(*keys, F.col("end").alias("at"), F.lit(1).alias("is_end"), F.lit(None).cast(dict(speeches.dtypes)["id"]).alias("start_id"), F.col("id").alias("of"))
-    ahead = Window.partitionBy(*keys).orderBy("at", "is_end", "start_id").rowsBetween(1, Window.unboundedFollowing)
-    found = starts.union(ends).withColumn("next", F.first("start_id", ignorenulls=True).over(ahead)).filter("is_end = 1").select(*keys, F.col("of").alias("id"), "next")
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("at"), F.desc("is_end"), F.desc("start_id")).rowsBetween(Window.unboundedPreceding, -1)
+    found = starts.union(ends).withColumn("next", F.last("start_id", ignorenulls=True).over(ahead)).filter("is_end = 1").select(*keys, F.col("of").alias("id"), "next")
     return speeches.join(found, [*keys, "id"], "left")
 
 
