@@ -32,10 +32,11 @@ def week_model(rows: DataFrame, stopwords: list[str] = (), least: int = WEEK_LEA
     """(week, id, cluster) and (week, cluster, n, terms, agenda) of all weeks in one job: clusters and vocabularies are each
     week's own; agenda is the commonest item of a cluster. Noise is cluster -1 and has no row in the second table."""
     found = tables.stored(density.density_clusters(rows.select("week", "id", "vec"), least, keys=("week",)))
-    full = rows.select("week", "id", "text", "agenda").join(found, ["week", "id"])
+    full = rows.select("week", "id", "text").join(found, ["week", "id"])
     listed = term_lists(terms.cluster_terms(_texts(full, "week"), stopwords, top, keys=("week",)), ["week", "cluster"])
-    n = full.filter("cluster >= 0").groupBy("week", "cluster").agg(F.count("*").alias("n"))
-    agenda = terms.majority(full.filter("cluster >= 0"), ["week", "cluster"], "agenda", "id").drop("n")
+    core = rows.select("week", "id", "agenda").join(found.filter("cluster >= 0"), ["week", "id"])
+    n = core.groupBy("week", "cluster").agg(F.count("*").alias("n"))
+    agenda = terms.majority(core, ["week", "cluster"], "agenda", "id").drop("n")
     clusters = n.join(listed, ["week", "cluster"], "left").join(agenda, ["week", "cluster"], "left")
     return found, clusters.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
 

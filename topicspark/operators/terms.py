@@ -36,12 +36,14 @@ def _few(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return df if keys else F.broadcast(df)
 
 
+def _totals(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return docs.select(*keys, F.lit(1).alias("one")).groupBy(*keys, "one").agg(F.count("*").alias("total"))
+
+
 def _kept_terms(counted: DataFrame, docs: DataFrame, min_df: int, max_share: float, keys: tuple[str, ...]) -> DataFrame:
-    one = F.lit(1).alias("one")
-    total = docs.select(*keys, one).groupBy(*keys, "one").agg(F.count("*").alias("total"))
-    terms = counted.groupBy(*keys, "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).select("*", one)
-    terms = terms.join(_few(total, keys), [*keys, "one"])
-    return terms.filter((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("total"))).select(*keys, "term", "df", "n")
+    terms = counted.groupBy(*keys, "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).filter(F.col("df") >= min_df).select("*", F.lit(1).alias("one"))
+    terms = terms.join(_few(_totals(docs, keys), keys), [*keys, "one"])
+    return terms.filter(F.col("df") <= max_share * F.col("total")).select(*keys, "term", "df", "n")
 
 
 def vocabulary(docs: DataFrame, stopwords: list[str] = (), min_df: int = MIN_DF, max_share: float = MAX_SHARE, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -54,10 +56,12 @@ def vocabulary(docs: DataFrame, stopwords: list[str] = (), min_df: int = MIN_DF,
 def cluster_terms(docs: DataFrame, stopwords: list[str] = (), top: int = 4, min_df: int = MIN_DF, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, cluster, rank, term, score) of the `top` terms of each cluster by class-based TF-IDF, within each key if keys are
     given. `docs` has keys, text and cluster; cluster < 0 is noise, which counts in the global counts and the vocabulary only."""
-    counted = stored(term_counts(docs, stopwords, keys))
-    terms = _kept_terms(counted, docs, min_df, MAX_SHARE, keys)
-    one = F.lit(1).alias("one")
-    tf = counted.filter("cluster >= 0").select(*keys, "cluster", "term", F.col("n").alias("own")).join(terms, [*keys, "term"])
+    own, one = Window.partitionBy(*keys, "term"), F.lit(1).alias("one")
+    counted = term_counts(docs, stopwords, keys).withColumns({"own": F.col("n"), "n": F.sum("n").over(own), "df": F.sum("df").over(own)})
+    # most words are in too few texts: they go before anything is joined, and what stays is told apart once
+    counted = counted.filter((F.col("df") >= min_df) & (F.col("cluster") >= 0)).select("*", one)
+    tf = counted.join(_few(_totals(docs, keys), keys), [*keys, "one"]).filter(F.col("df") <= MAX_SHARE * F.col("total"))
+    tf = stored(tf.select(*keys, "cluster", "term", "own", "n"))
     size = tf.groupBy(*keys, "cluster").agg(F.sum("own").alias("size"))
     # clusters without a term of the vocabulary count as well
     clusters = docs.filter("cluster >= 0").select(*keys, "cluster", one).groupBy(*keys, "one").agg(F.countDistinct("cluster").alias("clusters"))
