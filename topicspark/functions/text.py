@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Letters of a letter word at least, and what ends a word.
+LEAST_LETTERS, WORD_END = 3, r"[^\pL\pN_]+"
+
 
 def words(text: Column) -> Column:
     """Whitespace-separated words, at any Unicode white space."""
@@ -17,7 +20,7 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
-def letter_words(text: Column, least: int = 3) -> Column:
+def letter_words(text: Column, least: int = LEAST_LETTERS) -> Column:
     """Lower-cased words of at least so many letters and nothing but letters."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<![\p{{L}}\p{{N}}_])\p{{L}}{{{least},}}+(?![\p{{L}}\p{{N}}_])"), F.lit(0))
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicspark.functions.text import letter_words
+from topicspark.functions.text import LEAST_LETTERS, WORD_END
 from topicspark.sources.tables import stored
 
 MIN_DF, MAX_SHARE = 2, 0.5
+#: Texts whose words are told apart at once.
+TEXTS = 2048
 
 
 def default_stopwords(language: str = "german") -> list[str]:
@@ -18,17 +23,41 @@ def default_stopwords(language: str = "german") -> list[str]:
     return StopWordsRemover.loadDefaultStopWords(language)
 
 
+def _words_counted(names: list[str]):
+    """Counts the letter words of a few texts at a time by the columns `names`: (names, term, n, df), a row for each batch, group and word."""
+
+    def run(batches):
+        for batch in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
+            cut = pc.split_pattern_regex(pa.array([(t or "").lower() for t in batch.column("text").to_pylist()], pa.string()), WORD_END)
+            told = cut.flatten().dictionary_encode()
+            words = told.dictionary.to_pylist()
+            good = np.array([len(w) >= LEAST_LETTERS and w.isalpha() for w in words], bool)
+            code, row = told.indices.to_numpy().astype(np.int64), pc.list_parent_indices(cut).to_numpy()
+            code, row = code[good[code]], row[good[code]]
+            groups: dict[tuple, int] = {}
+            group = np.array([groups.setdefault(g, len(groups)) for g in zip(*[batch.column(c).to_pylist() for c in names], strict=True)], np.int64)
+            # first the words of each text, then those of each group
+            own, n = np.unique(row * len(words) + code, return_counts=True)
+            both, at = np.unique(group[own // len(words)] * len(words) + own % len(words), return_inverse=True)
+            first = np.unique(group, return_index=True)[1]
+            taken = [batch.column(c).take(pa.array(first[both // len(words)])) for c in names]
+            counts = [pa.array(np.bincount(at, w, len(both)).astype(np.int64)) for w in (n, None)]
+            yield pa.RecordBatch.from_arrays([*taken, told.dictionary.take(pa.array(both % len(words))), *counts], [*names, "term", "n", "df"])
+
+    return run
+
+
 def term_counts(docs: DataFrame, stopwords: list[str] = (), keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, cluster, term, n, df): occurrences of the letter words that aren't stop words, and the texts with them. `docs` has
-    keys, cluster and text. A text's words are told apart within its row, so one shuffle of pre-aggregated counts does it."""
-    spark = docs.sparkSession
-    words = letter_words(F.col("text"))
-    of = lambda w, n, df: F.transform(w, lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(df).alias("df")))
-    each = docs.select(*keys, "cluster", words.alias("w")).select(*keys, "cluster", F.explode(F.concat(of(F.col("w"), 1, 0), of(F.array_distinct("w"), 0, 1))).alias("x"))
-    counted = each.groupBy(*keys, "cluster", F.col("x.term").alias("term")).agg(F.sum("x.n").alias("n"), F.sum("x.df").alias("df"))
+    keys, cluster and text. Words are counted by groups of some texts before they leave a task, so one shuffle of these counts, by word, does it."""
+    spark, names, types = docs.sparkSession, [*keys, "cluster"], dict(docs.dtypes)
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in names], "term string, n long, df long"])
+    # by words alone: what is told of a word later needs no other shuffle
+    each = docs.select(*names, "text").mapInArrow(_words_counted(names), schema).repartition("term")
+    counted = each.groupBy(*names, "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     if stopwords:
         counted = counted.join(F.broadcast(spark.createDataFrame([(w,) for w in sorted(set(stopwords))], "term string")), "term", "left_anti")
-    return counted.select(*keys, "cluster", "term", "n", "df")
+    return counted.select(*names, "term", "n", "df")
 
 
 def _few(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -56,7 +85,7 @@ def vocabulary(docs: DataFrame, stopwords: list[str] = (), min_df: int = MIN_DF,
 def cluster_terms(docs: DataFrame, stopwords: list[str] = (), top: int = 4, min_df: int = MIN_DF, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, cluster, rank, term, score) of the `top` terms of each cluster by class-based TF-IDF, within each key if keys are
     given. `docs` has keys, text and cluster; cluster < 0 is noise, which counts in the global counts and the vocabulary only."""
-    own, one = Window.partitionBy(*keys, "term"), F.lit(1).alias("one")
+    own, one = Window.partitionBy("term", *keys), F.lit(1).alias("one")
     counted = term_counts(docs, stopwords, keys).withColumns({"own": F.col("n"), "n": F.sum("n").over(own), "df": F.sum("df").over(own)})
     # most words are in too few texts: they go before anything is joined, and what stays is told apart once
     counted = counted.filter((F.col("df") >= min_df) & (F.col("cluster") >= 0)).select("*", one)
