@@ -78,6 +78,15 @@ def test_clusters_of_several_blocks_and_slices(spark):
     assert (labels(got) == condensed_leaves(COPIES, 8)).all()
 
 
+def test_clusters_by_boxes_and_few_runs(spark, monkeypatch):
+    """A larger key's near rows come by boxes in space, and a row is sent to `RUNS` blocks at most."""
+    sent, plain = [], density.earlier_edges
+    monkeypatch.setattr(density, "earlier_edges", lambda rows, order, keys, run: sent.append(plain(rows, order, keys, run, runs=3)) or sent[-1])
+    assert (labels(density.density_clusters(frame(spark, COPIES), 8, alone=100, run=40, cell=50)) == condensed_leaves(COPIES, 8)).all()
+    rows = sent[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in rows and density.RUNS * density.RUN * density.RUNS > density.ORDERED
+
+
 def test_gaussians_of_different_density_are_told_apart(spark):
     got = labels(density.density_clusters(frame(spark, THREE), 10))
     assert [len(set(got[a:b])) for a, b in ((0, 200), (200, 350), (350, 500))] == [1, 1, 1] and set(got) == {0, 1, 2}

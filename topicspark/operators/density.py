@@ -21,14 +21,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicspark.operators.neighbours import FLAT, TILE, WIDE, Scores, boxes, distances, gaps, matrix, nearest
+from topicspark.operators.neighbours import CELL, FLAT, TILE, WIDE, Scores, boxed_nearest, boxes, distances, gaps, matrix, nearest
 from topicspark.sources.tables import stored
 
 #: Rows of a key whose tree one task makes, rows of a block of a larger key, and edges of a key that one task takes at once.
 ALONE, BLOCK, SLICE = 16384, 4096, 1 << 20
-#: Rows of a key that one task puts in the order of its merges (five numbers each), of a block of such a key, and of a strip of a block;
-#: rows of a part of the first tree that look for another part, and edges that a task holds before it keeps those of their own forest.
-ORDERED, RUN, STRIP, ASKED, HELD = 1 << 22, 32768, 1024, 256, 1 << 20
+#: Rows of a key that one task puts in the order of its merges (five numbers each), of a block of such a key as long as there are few,
+#: blocks at most, and rows of a strip of a block; rows of a part of the first tree that look for another part, and edges that a task holds
+#: before it keeps those of their own forest.
+ORDERED, RUN, RUNS, STRIP, ASKED, HELD = 1 << 22, 16384, 16, 1024, 256, 1 << 20
 #: Columns of a spectral map's block, of which two are shown, passes over the graph between two orthonormal blocks, and blocks at most.
 COLUMNS, PASSES, BLOCKS = 4, 8, 40
 
@@ -232,7 +233,12 @@ def merge_order(forest: DataFrame, keys: list[str]) -> DataFrame:
     return forest.groupBy(*keys).applyInArrow(run, schema)
 
 
-def first_tree(near: DataFrame, rows: DataFrame, keys: list[str], asked: int = ASKED) -> tuple[DataFrame, DataFrame]:
+def _near(queries: DataFrame, rows: DataFrame, k: int, keys: list[str], cell: int = CELL) -> DataFrame:
+    """The k nearest of `rows` to each of `queries` by distance, within keys; those of one set by boxes in space."""
+    return nearest(queries, rows, k, by="l2", keys=tuple(keys)) if keys else boxed_nearest(queries, rows, k, cell).withColumn("__all", F.lit(0))
+
+
+def first_tree(near: DataFrame, rows: DataFrame, keys: list[str], asked: int = ASKED, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
     """A spanning tree of each key of `rows` (keys, id, vec, core), and its order of merges: the forest of `near` (keys, lo, hi, w), whose
     parts are joined by edges to near rows of others, which up to `asked` rows of a part look for."""
     forest, plain, turn = spanning_forest(near, keys), [k for k in keys if k != "__all"], 0
@@ -244,7 +250,7 @@ def first_tree(near: DataFrame, rows: DataFrame, keys: list[str], asked: int = A
         apart = stored(rows.join(several, keys, "left_semi").join(order.select(*keys, "id", F.col("part").alias("grp")), [*keys, "id"]))
         size = apart.groupBy(*keys, "grp").agg(F.ceil(F.count("*") / asked).alias("__share"))
         some = apart.join(size, [*keys, "grp"]).filter(F.pmod(F.xxhash64("id", F.lit(turn)), F.col("__share")) == 0)
-        met = nearest(some.select(*plain, "id", "vec", "grp"), apart.select(*plain, "id", "vec", "grp"), 1, by="l2", keys=tuple(plain)).withColumns({} if plain else {"__all": F.lit(0)})
+        met = _near(some.select(*plain, "id", "vec", "grp"), apart.select(*plain, "id", "vec", "grp"), 1, plain, cell)
         ends = [apart.select(*keys, F.col("id").alias(n), F.col("grp").alias(f"c{n}"), F.col("core").alias(f"core_{n}")) for n in ("id", "near_id")]
         links = met.join(ends[0], [*keys, "id"]).join(ends[1], [*keys, "near_id"])
         links = links.select(*keys, F.least("id", "near_id").alias("lo"), F.greatest("id", "near_id").alias("hi"), F.greatest("value", "core_id", "core_near_id").alias("w"), F.col("cid").alias("ca"), F.col("cnear_id").alias("cb"))
@@ -268,10 +274,12 @@ def _forest(lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def earlier_edges(rows: DataFrame, order: DataFrame, keys: list[str], run_rows: int = RUN, strip: int = STRIP, held: int = HELD) -> DataFrame:
+def earlier_edges(rows: DataFrame, order: DataFrame, keys: list[str], run_rows: int = RUN, runs: int = RUNS, strip: int = STRIP, held: int = HELD) -> DataFrame:
     """(keys, lo, hi, w): the edges between `rows` (keys, id, vec, core) that come before the last edge of the path between their ends in
-    the tree of `order` (`merge_order` of one part), by weight and then ends; of those of a pair of blocks only their own forest."""
+    the tree of `order` (`merge_order` of one part), by weight and then ends; of those of a pair of blocks only their own forest. A row is
+    sent to all pairs of its block, so that blocks grow with the rows once there are `runs`."""
     types = dict(rows.dtypes)
+    run_rows = max(run_rows, -(-((order.agg(F.max("pos")).head()[0] or 0) + 1) // runs))
     # a block's largest link, that to the next block included; a row for each block
     tops = order.withColumn("__q", F.floor(F.col("pos") / run_rows)).groupBy(*keys, "__q").agg(F.max(F.struct("rank", "w", "lo", "hi")).alias("m"), F.max("pos").alias("__end")).collect()
     largest, blocks = {(*[r[k] for k in keys], r["__q"]): tuple(r["m"]) for r in tops}, order.groupBy(*keys).agg((F.floor(F.max("pos") / run_rows) + 1).alias("__n"))
@@ -446,7 +454,7 @@ def tree_clusters(tree: DataFrame, keys: list[str], least: int, most: int = SLIC
     return points.filter("name IS NOT NULL").select(*keys, "id", "name")
 
 
-def density_clusters(rows: DataFrame, least: int, keys: tuple[str, ...] = (), alone: int = ALONE, block: int = BLOCK, most: int = SLICE, ordered: int = ORDERED, run: int = RUN) -> DataFrame:
+def density_clusters(rows: DataFrame, least: int, keys: tuple[str, ...] = (), alone: int = ALONE, block: int = BLOCK, most: int = SLICE, ordered: int = ORDERED, run: int = RUN, cell: int = CELL) -> DataFrame:
     """(keys, id, cluster) of `rows` (keys, id, vec; ids unique within a key): clusters numbered by their lowest id, noise -1.
 
     A point's core distance is that to the `least`-th row, itself counted. Of the condensed tree, whose components have `least` points
@@ -457,7 +465,7 @@ def density_clusters(rows: DataFrame, least: int, keys: tuple[str, ...] = (), al
     rows = rows.withColumns({} if plain else {"__all": F.lit(0)})
     own = rows.filter("vec IS NOT NULL").select(*keys, "id", "vec")
     own = own.join(own.groupBy(*keys).count().filter(F.col("count") >= 2 * least).drop("count"), keys, "left_semi")
-    near = stored(nearest(own, own, max(least - 1, 1), by="l2", keys=tuple(plain)).withColumns({} if plain else {"__all": F.lit(0)}))
+    near = stored(_near(own, own, max(least - 1, 1), plain, cell))
     core = near.groupBy(*keys, "id").agg(F.max("value").alias("core"))
     cored = stored(own.join(core, [*keys, "id"]).withColumn("core", F.col("core") if least > 1 else F.lit(0.0)))
     size = cored.groupBy(*keys).agg(F.count("*").alias("__size"))
@@ -472,7 +480,7 @@ def density_clusters(rows: DataFrame, least: int, keys: tuple[str, ...] = (), al
         cores = [some.select(*keys, F.col("id").alias(n), F.col("core").alias(f"core_{n}")) for n in ("id", "near_id")]
         met = near.join(cores[0], [*keys, "id"]).join(cores[1], [*keys, "near_id"])
         met = met.select(*keys, F.least("id", "near_id").alias("lo"), F.greatest("id", "near_id").alias("hi"), F.greatest("value", "core_id", "core_near_id").alias("w"))
-        tree, order = first_tree(met, some, keys)
+        tree, order = first_tree(met, some, keys, cell=cell)
         edges = edges.unionByName(spanning_forest(tree.unionByName(earlier_edges(some, order, keys, run)), keys))
     found = tree_clusters(edges, keys, least, most)
     # a row for each cluster; a tree that doesn't split has one

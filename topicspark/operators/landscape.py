@@ -31,7 +31,7 @@ def term_lists(ranked: DataFrame, keys: list[str]) -> DataFrame:
 def week_model(rows: DataFrame, stopwords: list[str] = (), least: int = WEEK_LEAST, top: int = WEEK_TERMS) -> tuple[DataFrame, DataFrame]:
     """(week, id, cluster) and (week, cluster, n, terms, agenda) of all weeks in one job: clusters and vocabularies are each
     week's own; agenda is the commonest item of a cluster. Noise is cluster -1 and has no row in the second table."""
-    found = tables.stored(density.density_clusters(rows.select("week", "id", "vec"), least, keys=("week",)))
+    found = tables.stored_alone(rows.sparkSession, lambda: density.density_clusters(rows.select("week", "id", "vec"), least, keys=("week",)))
     full = rows.select("week", "id", "text").join(found, ["week", "id"])
     listed = term_lists(terms.cluster_terms(_texts(full, "week"), stopwords, top, keys=("week",)), ["week", "cluster"])
     core = rows.select("week", "id", "agenda").join(found.filter("cluster >= 0"), ["week", "id"])
@@ -46,14 +46,19 @@ def period_model(rows: DataFrame, stopwords: list[str] = (), least: int = PERIOD
     which their nearest core rows agree. Themes are numbered by size and described after that; theme -1 is what stays noise."""
     space = density.reduced(rows.select("id", "vec"), dims).select("id", "vec")
     space = tables.stored(space)
-    found = tables.stored(density.density_clusters(space, least))
-    core, noise = (space.join(found.filter(c), "id", "left_semi") for c in ("cluster >= 0", "cluster < 0"))
-    near = neighbours.nearest(noise, core, themes.KNN, by="l2").select("id", "near_id")
-    voted = themes.noise_vote(near.join(found.select(F.col("id").alias("near_id"), F.col("cluster").alias("theme")), "near_id"))
-    settled = found.join(voted, "id", "left").select("id", F.coalesce("theme", "cluster").alias("cluster"))
-    full = tables.stored(rows.select("id", "week", "text", "agenda").join(settled, "id"))
+    found = tables.stored_alone(space.sparkSession, lambda: density.density_clusters(space, least))
+
+    def settled() -> DataFrame:
+        core, noise = (space.join(found.filter(c), "id", "left_semi") for c in ("cluster >= 0", "cluster < 0"))
+        near = neighbours.boxed_nearest(noise, core, themes.KNN).select("id", "near_id")
+        voted = themes.noise_vote(near.join(found.select(F.col("id").alias("near_id"), F.col("cluster").alias("theme")), "near_id"))
+        given = found.join(voted, "id", "left").select("id", F.coalesce("theme", "cluster").alias("cluster"))
+        return rows.select("id", "week", "agenda").join(given, "id")
+
+    full = tables.stored_alone(space.sparkSession, settled)
     ranked = themes.ranked_themes(full)
-    listed = term_lists(terms.cluster_terms(_texts(full), stopwords, top), ["cluster"])
+    # texts are as large as all else together: they are met once, and not written again
+    listed = term_lists(terms.cluster_terms(_texts(rows.select("id", "text").join(full.select("id", "cluster"), "id")), stopwords, top), ["cluster"])
     titles = themes.top_values(full.filter("cluster >= 0"), "cluster", "agenda", "id")
     titles = titles.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "agenda"))), lambda x: x["agenda"]).alias("agendas"))
     described = ranked.join(listed, "cluster", "left").join(titles, "cluster", "left").select("theme", "n", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), "agendas")

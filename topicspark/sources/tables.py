@@ -51,6 +51,14 @@ def clear_stored(spark: SparkSession, paths: list[str] | None = None) -> None:
     _made[spark.sparkContext.applicationId] = [p for p in made_folders(spark) if p not in set(paths)]
 
 
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` returns, `stored`; what it has stored on the way is removed."""
+    before = set(made_folders(spark))
+    out = stored(make())
+    clear_stored(spark, [p for p in made_folders(spark)[:-1] if p not in before])
+    return out
+
+
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """A Parquet table; FileNotFoundError that names the path if there is none."""
     try:
