@@ -79,12 +79,26 @@ def test_clusters_of_several_blocks_and_slices(spark):
 
 
 def test_clusters_by_boxes_and_few_runs(spark, monkeypatch):
-    """A larger key's near rows come by boxes in space, and a row is sent to `RUNS` blocks at most."""
+    """A larger key's near rows come by boxes in space, and a row is sent to so many blocks at most."""
     sent, plain = [], density.earlier_edges
     monkeypatch.setattr(density, "earlier_edges", lambda rows, order, keys, run: sent.append(plain(rows, order, keys, run, runs=3)) or sent[-1])
     assert (labels(density.density_clusters(frame(spark, COPIES), 8, alone=100, run=40, cell=50)) == condensed_leaves(COPIES, 8)).all()
-    rows = sent[0]._jdf.queryExecution().optimizedPlan().toString()
-    assert "Generate explode" in rows and density.RUNS * density.RUN * density.RUNS > density.ORDERED
+    # of 300 rows each block has 100, not the 40 that would make eight of them
+    plan = sent[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "/ 100.0" in plan and "/ 40.0" not in plan
+
+
+def test_few_edges_need_no_rounds(spark, monkeypatch):
+    pairs = sorted({(*sorted((int(a), int(b))), float(w)) for a, b, w in RNG.integers(0, 60, (400, 3)) if a != b})
+    edges = spark.createDataFrame([(k, *p) for p in pairs for k in "ab"], "week string, lo long, hi long, w double").filter("week = 'a' OR lo % 3 = 0")
+    edges = edges.dropDuplicates(["week", "lo", "hi"]).localCheckpoint()
+    want = {tuple(r) for r in density.spanning_forest(edges, ["week"], few=0).collect()}
+    made, plain = [], density.stored
+    monkeypatch.setattr(density, "stored", lambda df: made.append(1) or plain(df))
+    assert {tuple(r) for r in density.spanning_forest(edges, ["week"]).collect()} == want and len(made) == 2
+    # after some rounds the rest are edges between components
+    assert {tuple(r) for r in density.spanning_forest(edges, ["week"], few=60).collect()} == want and len(made) > 6
+    assert density.spanning_forest(edges.limit(0), ["week"]).count() == 0
 
 
 def test_gaussians_of_different_density_are_told_apart(spark):

@@ -26,6 +26,8 @@ from topicspark.sources.tables import stored
 
 #: Rows of a key whose tree one task makes, rows of a block of a larger key, and edges of a key that one task takes at once.
 ALONE, BLOCK, SLICE = 16384, 4096, 1 << 20
+#: Edges of a key that one task chooses among.
+FEW = 1 << 20
 #: Rows of a key that one task puts in the order of its merges (five numbers each), of a block of such a key as long as there are few,
 #: blocks at most, and rows of a strip of a block; rows of a part of the first tree that look for another part, and edges that a task holds
 #: before it keeps those of their own forest.
@@ -163,14 +165,46 @@ def block_trees(rows: DataFrame, keys: list[str], alone: int = ALONE, block: int
     return x.groupBy(*keys, "__q", "__s").applyInArrow(tree, schema)
 
 
-def spanning_forest(edges: DataFrame, keys: list[str]) -> DataFrame:
+def _forest(lo: np.ndarray, hi: np.ndarray, w: np.ndarray, ca: np.ndarray | None = None, cb: np.ndarray | None = None) -> np.ndarray:
+    """Places of the edges of a minimum spanning forest, between the components ca and cb if these are given."""
+    _, code = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+    a, b = code[: len(lo)], code[len(lo) :]
+    order = np.lexsort((b, a, w))
+    if ca is not None:
+        _, code = np.unique(np.concatenate([ca, cb]), return_inverse=True)
+        a, b = code[: len(lo)], code[len(lo) :]
+    up, keep = array("i", range(int(code.max(initial=-1)) + 1)), []
+    for first in range(0, len(order), 1 << 16):
+        some = order[first : first + (1 << 16)]
+        for at, x, y in zip(some.tolist(), a[some].tolist(), b[some].tolist(), strict=True):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            while up[y] != y:
+                up[y] = y = up[up[y]]
+            if x != y:
+                up[y] = x
+                keep.append(at)
+    return np.array(keep, np.int64)
+
+
+def spanning_forest(edges: DataFrame, keys: list[str], few: int = FEW) -> DataFrame:
     """The minimum spanning forest of `edges` (keys, lo, hi, w; lo below hi; between the components ca and cb, if these are given) by
     Boruvka rounds: every component takes its lightest edge to another, of equal ones that of the lowest ends, until none has one. Each
-    round, which at least halves the components, is written and read again."""
+    round, which at least halves the components, is written and read again. Once no key has more than `few` edges left, a task for each
+    key takes those that are still to come in order."""
     live = stored(edges.distinct().withColumns({} if "ca" in edges.columns else {"ca": F.col("lo"), "cb": F.col("hi")}))
     chosen = live.select(*keys, "lo", "hi", "w").limit(0)
     edge = F.struct("w", "lo", "hi").alias("e")
-    while live.head(1):
+
+    def rest(table: pa.Table) -> pa.Table:
+        keep = _forest(*(table[c].to_numpy() for c in ("lo", "hi", "w", "ca", "cb")))
+        return table.select([*keys, "lo", "hi", "w"]).take(pa.array(keep))
+
+    while True:
+        most = live.groupBy(*keys).count().agg(F.max("count")).head()[0] or 0
+        if most <= few:
+            schema = chosen.schema
+            return stored(chosen.union(live.groupBy(*keys).applyInArrow(rest, schema)).distinct() if most else chosen.distinct())
         ends = live.select(*keys, F.col("ca").alias("c"), F.col("cb").alias("to"), edge).union(live.select(*keys, F.col("cb"), F.col("ca"), edge))
         best = stored(ends.groupBy(*keys, "c").agg(F.min(F.struct("e", "to")).alias("b")).select(*keys, "c", "b.to", "b.e"))
         chosen = chosen.union(best.select(*keys, "e.lo", "e.hi", "e.w"))
@@ -185,7 +219,6 @@ def spanning_forest(edges: DataFrame, keys: list[str]) -> DataFrame:
                 break
         a, b = (up.select(*keys, F.col("c").alias(n), F.col("root").alias(f"r{n}")) for n in ("ca", "cb"))
         live = stored(live.join(a, [*keys, "ca"]).join(b, [*keys, "cb"]).filter("rca <> rcb").select(*keys, "lo", "hi", "w", F.col("rca").alias("ca"), F.col("rcb").alias("cb")))
-    return stored(chosen.distinct())
 
 
 def merge_order(forest: DataFrame, keys: list[str]) -> DataFrame:
@@ -235,7 +268,8 @@ def merge_order(forest: DataFrame, keys: list[str]) -> DataFrame:
 
 def _near(queries: DataFrame, rows: DataFrame, k: int, keys: list[str], cell: int = CELL) -> DataFrame:
     """The k nearest of `rows` to each of `queries` by distance, within keys; those of one set by boxes in space."""
-    return nearest(queries, rows, k, by="l2", keys=tuple(keys)) if keys else boxed_nearest(queries, rows, k, cell).withColumn("__all", F.lit(0))
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    return nearest(queries, rows, k, by="l2", keys=tuple(keys), tasks=tasks) if keys else boxed_nearest(queries, rows, k, cell).withColumn("__all", F.lit(0))
 
 
 def first_tree(near: DataFrame, rows: DataFrame, keys: list[str], asked: int = ASKED, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
@@ -257,23 +291,6 @@ def first_tree(near: DataFrame, rows: DataFrame, keys: list[str], asked: int = A
         forest, turn = stored(forest.unionByName(spanning_forest(links, keys))), turn + 1
 
 
-def _forest(lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Places of the edges of a minimum spanning forest."""
-    _, code = np.unique(np.concatenate([lo, hi]), return_inverse=True)
-    a, b = code[: len(lo)], code[len(lo) :]
-    order = np.lexsort((b, a, w))
-    up, keep = array("i", range(int(code.max(initial=-1)) + 1)), []
-    for at, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
-        while up[x] != x:
-            up[x] = x = up[up[x]]
-        while up[y] != y:
-            up[y] = y = up[up[y]]
-        if x != y:
-            up[y] = x
-            keep.append(at)
-    return np.array(keep, np.int64)
-
-
 def earlier_edges(rows: DataFrame, order: DataFrame, keys: list[str], run_rows: int = RUN, runs: int = RUNS, strip: int = STRIP, held: int = HELD) -> DataFrame:
     """(keys, lo, hi, w): the edges between `rows` (keys, id, vec, core) that come before the last edge of the path between their ends in
     the tree of `order` (`merge_order` of one part), by weight and then ends; of those of a pair of blocks only their own forest. A row is

@@ -98,7 +98,8 @@ def rebuild(rows: DataFrame, parts: DataFrame, path: str, weeks: list[str] | Non
     with_vectors = (lambda df: df) if embed is None or "vec" in rows.columns else embed
     chosen = with_vectors(rows if weeks is None else rows.filter(F.col("week").isin(weeks)))
     found, clusters = week_model(chosen, stopwords, least[0])
-    near = tables.stored(neighbours.nearest(chosen.select("week", "id", "vec"), chosen.select("week", "id", "vec"), k, keys=("week",)))
+    # few weeks have most of the work: not dealt by their bytes
+    near = tables.stored(neighbours.nearest(chosen.select("week", "id", "vec"), chosen.select("week", "id", "vec"), k, keys=("week",), tasks=4 * spark.sparkContext.defaultParallelism))
     version.write_weeks("week_points", week_points(chosen, found, density.plane_map(chosen.select("id", "vec"), near), near), weeks)
     version.write_weeks("week_clusters", clusters, weeks)
     if decisions is not None:

@@ -12,8 +12,8 @@ from topicspark.functions.text import LEAST_LETTERS, WORD_END
 from topicspark.sources.tables import stored
 
 MIN_DF, MAX_SHARE = 2, 0.5
-#: Texts whose words are told apart at once.
-TEXTS = 2048
+#: Bytes of texts whose words are told apart at once (or one text).
+BYTES = 24 << 20
 
 
 def default_stopwords(language: str = "german") -> list[str]:
@@ -23,11 +23,21 @@ def default_stopwords(language: str = "german") -> list[str]:
     return StopWordsRemover.loadDefaultStopWords(language)
 
 
+def _some_texts(batches):
+    """Parts of `batches` of up to BYTES of text each."""
+    for batch in batches:
+        ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < batch.num_rows:
+            n = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, side="right")) - at, 1)
+            yield batch.slice(at, n)
+            at += n
+
+
 def _words_counted(names: list[str]):
     """Counts the letter words of a few texts at a time by the columns `names`: (names, term, n, df), a row for each batch, group and word."""
 
     def run(batches):
-        for batch in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
+        for batch in _some_texts(batches):
             cut = pc.split_pattern_regex(pa.array([(t or "").lower() for t in batch.column("text").to_pylist()], pa.string()), WORD_END)
             told = cut.flatten().dictionary_encode()
             words = told.dictionary.to_pylist()

@@ -17,32 +17,44 @@ from pyspark.sql import functions as F
 
 from topicspark.functions.text import text_chunks
 
-#: Chunks encoded at once, texts cut at once, and words whose places the hashing encoder keeps.
+#: Chunks encoded at once, texts cut at once, and words whose places the hashing encoder keeps (twice).
 BATCH, TEXTS, WORDS = 256, 128, 1 << 17
 #: A text is hot that has more copies than COPIES and than a SHARE of all rows, so that there are fewer than 1 / SHARE of them.
 COPIES, SHARE = 10_000, 0.001
 
 
+class _Places(dict):
+    """Place and sign of words by their MD5, as one number: 2 * place, and one more where the sign is plus. Those of up to WORDS words are
+    kept, and of as many before them, so that frequent words stay."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.before = size, {}
+
+    def __missing__(self, word: str) -> int:
+        code = self.before.get(word)
+        if code is None:
+            h = hashlib.md5(word.encode(), usedforsecurity=False).digest()
+            code = int.from_bytes(h[:4], "big") % self.size * 2 + (h[4] < 128)
+        if len(self) >= WORDS:
+            self.before = dict(self)
+            self.clear()
+        self[word] = code
+        return code
+
+
 def hashing_encoder(size: int = 64):
     """A loader that needs no model file: signed hashing of words by their MD5."""
 
     def load():
-        places: dict[str, tuple[int, int]] = {}
-
-        def place(word: str) -> tuple[int, int]:
-            if len(places) > WORDS:
-                places.clear()
-            h = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
-            places[word] = int(h[:8], 16) % size, 1 if int(h[8], 16) < 8 else -1
-            return places[word]
+        places = _Places(size)
 
         def encode(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), size), np.float32)
             for row, text in enumerate(texts):
-                found = [places.get(w) or place(w) for w in text.lower().split()]
-                if found:
-                    at, sign = zip(*found, strict=True)
-                    out[row] = np.bincount(at, weights=sign, minlength=size)
+                found = text.lower().split()
+                n = np.bincount(np.fromiter(map(places.__getitem__, found), np.int64, len(found)), minlength=2 * size)
+                out[row] = n[1::2] - n[::2]
             return out
 
         return encode
