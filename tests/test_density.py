@@ -86,6 +86,8 @@ def test_clusters_by_boxes_and_few_runs(spark, monkeypatch):
     # of 300 rows each block has 100, not the 40 that would make eight of them
     plan = sent[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "/ 100.0" in plan and "/ 40.0" not in plan
+    # nor do the few bytes of its pairs come to one task
+    assert sent[0].rdd.getNumPartitions() > 4
 
 
 def test_few_edges_need_no_rounds(spark, monkeypatch):

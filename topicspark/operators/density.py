@@ -389,6 +389,8 @@ def earlier_edges(rows: DataFrame, order: DataFrame, keys: list[str], run_rows:
         return pa.table({**first, "lo": pa.array(lo[keep], table["id"].type), "hi": pa.array(hi[keep], table["id"].type), "w": pa.array(w[keep], pa.float64())})
 
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"lo {types['id']}", f"hi {types['id']}", "w double"])
+    # the pairs are few bytes and much work
+    x = x.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys, "__q", "__s")
     return x.groupBy(*keys, "__q", "__s").applyInArrow(run, schema)
 
 
